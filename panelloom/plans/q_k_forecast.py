@@ -160,11 +160,11 @@ def _curve_sql(y: str, shape: str, b: str, c: str) -> str:
     return ctes("yearly", g="SELECT y.key, t, value, s, max(value) OVER (PARTITION BY y.key, s) * s AS a FROM yearly y, (VALUES (1.05::DOUBLE), (1.2), (1.5), (2.0), (3.0), (5.0)) v(s)",
                 f=f"SELECT key, s, a, regr_slope({y}, t) AS k, regr_intercept({y}, t) AS i FROM g GROUP BY 1, 2, 3", p=f"SELECT key, s, a, {b} AS b, {c} AS c FROM f",
                 e=f"SELECT p.key, p.s, p.a, p.b, p.c, sum((value - {shape}) ** 2) AS sse FROM p JOIN g ON g.key = p.key AND g.s = p.s GROUP BY ALL",
-                z="SELECT *, row_number() OVER (PARTITION BY key ORDER BY sse, s) AS rn FROM e") + f"SELECT key, {r('a', 2)} AS a, {r('b', 4)} AS b, {r('c')} AS c, {r('sqrt(sse)', 2)} AS root_sse FROM z WHERE rn = 1"
+                z="SELECT *, row_number() OVER (PARTITION BY key ORDER BY sse, s) AS rn FROM e") + f"SELECT key, {r('a', 4)} AS a, {r('b', 4)} AS b, {r('c')} AS c, {r('sqrt(sse)', 2)} AS root_sse FROM z WHERE rn = 1"
 
 
 def _curve(df):
-    return tidy(df.withColumn("root_sse", F.sqrt("sse")), key="bigint", a=2, b=4, c=6, root_sse=2)
+    return tidy(df.withColumn("root_sse", F.sqrt("sse")), key="bigint", a=4, b=4, c=6, root_sse=2)
 
 
 @query("k08_gompertz_fit", _curve_sql("ln(-ln(value / a))", "p.a * exp(-p.b * exp(-p.c * t))", "exp(i)", "-k"))
