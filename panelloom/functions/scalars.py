@@ -35,6 +35,19 @@ def finite(c) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
 
 
+def corr(x, y, over=None) -> Column:
+    """Pearson correlation over rows where both sides are known; null where a side does not vary.
+
+    The built-in aggregate divides by zero on a constant side and fails in ANSI mode, so it is written from moments here.
+    """
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    parts = [F.covar_pop(x, y), F.var_pop(x), F.var_pop(y)]
+    c, vx, vy = parts if over is None else [p.over(over) for p in parts]
+    return F.when((vx > 0) & (vy > 0), F.try_divide(c, F.sqrt(vx) * F.sqrt(vy)))
+
+
 def growth_rate(current, previous, annualize: bool = False, periods=1.0, high: float = 500.0, low: float = -99.0) -> Column:
     """Growth in %, 0 for missing input, ``high`` (or 0) where the base is not positive."""
     current, previous = col(current), col(previous)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelloom.functions import order
+from panelloom.functions import order, scalars as S
 
 
 def _beta_tail(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
@@ -70,7 +70,7 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str = "spearman"
     """Correlation of average ranks per group; ranks come from exact distributed positions."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
     ranked = order.with_ranks(order.with_ranks(rows, by, F.col("_x"), average="_rx"), by, F.col("_y"), average="_ry")
-    return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias(out))
+    return ranked.groupBy(*by).agg(S.corr("_rx", "_ry").alias(out))
 
 
 def kendall(df: DataFrame, by: list[str], x: str, y: str, out: str = "kendall") -> DataFrame:

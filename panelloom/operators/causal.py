@@ -13,7 +13,7 @@ from panelloom.roles import DEFAULT, Roles
 
 def pair_correlations(panel: DataFrame, names: list[str]) -> DataFrame:
     """(a, b, correlation, n) for every pair of columns from a single aggregate over the panel."""
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("correlation"), F.count(F.when(F.col(a).isNotNull(), F.col(b))).alias("n"))
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), S.corr(a, b).alias("correlation"), F.count(F.when(F.col(a).isNotNull(), F.col(b))).alias("n"))
              for a, b in combinations(names, 2)]
     return panel.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))
 
@@ -47,7 +47,7 @@ def partial_effect(panel: DataFrame, treatment: str, outcome: str, confounders:
             out = model.transform(out).withColumn(res, F.col(c) - F.col(f"_p{res}"))
         parts.append(out.select(*row_keys, "_t", "_y"))
     both = cut_lineage(reduce(DataFrame.unionByName, parts))
-    fit = both.agg(F.regr_slope("_y", "_t").alias("effect"), F.corr("_y", "_t").alias("correlation"), F.count(F.lit(1)).alias("n"))
+    fit = both.agg(F.regr_slope("_y", "_t").alias("effect"), S.corr("_y", "_t").alias("correlation"), F.count(F.lit(1)).alias("n"))
     reps = both.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", ind.poisson_weight(S.key_uniform(*row_keys, "rep")).cast("double"))
     w, t, y = F.col("_w"), F.col("_t"), F.col("_y")
     slopes = reps.groupBy("rep").agg(F.try_divide(F.sum(w) * F.sum(w * t * y) - F.sum(w * t) * F.sum(w * y), F.sum(w) * F.sum(w * t * t) - F.sum(w * t) * F.sum(w * t)).alias("_s"))
@@ -80,7 +80,7 @@ def forest_benefit(panel: DataFrame, features: list[str], outcome: str, folds_:
     out = {}
     for name, model in (("linear", LinearRegression(labelCol=outcome)), ("forest", RandomForestRegressor(labelCol=outcome, numTrees=10, maxDepth=4, seed=seed))):
         out[name] = CrossValidator(estimator=model, estimatorParamMaps=ParamGridBuilder().build(), evaluator=score, numFolds=folds_, seed=seed).fit(rows).avgMetrics[0]
-    return panel.sparkSession.createDataFrame([(out["linear"], out["forest"], out["forest"] - out["linear"])], "linear_r2 double, forest_r2 double, benefit double")
+    return panel.sparkSession.createDataFrame([(float(out["linear"]), float(out["forest"]), float(out["forest"] - out["linear"]))], "linear_r2 double, forest_r2 double, benefit double")
 
 
 def cusum(series: DataFrame, drift: float = 0.5, threshold: float = 2.0) -> DataFrame:
@@ -161,7 +161,7 @@ def variance_regimes(df: DataFrame, target: str, others: list[str], key: str = "
     limits = rows.groupBy(key).agg(F.percentile("_v", F.lit(0.5)).alias("_q"))
     split = rows.join(limits, key).withColumn("regime", (F.col("_v") > F.col("_q")).cast("int"))
     return split.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("mean"), F.var_samp(target).alias("variance"),
-                                       *[F.coalesce(S.finite(F.corr(c, target)), F.lit(0.0)).alias(f"corr_{c}") for c in others]).where("n >= 10")
+                                       *[F.coalesce(S.corr(c, target), F.lit(0.0)).alias(f"corr_{c}") for c in others]).where("n >= 10")
 
 
 def composite_strength(evidence: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def fill(df: DataFrame, columns: list[str], key: list[str], order_by: str = "yea
 def pearson(df: DataFrame, by: list[str], x: str = "value", y: str = "market_value", minimum: int = 10) -> DataFrame:
     """(by…, n, pearson, t, p_value), correlation 0 below the minimum number of rows."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    out = df.where(both).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("_r"))
+    out = df.where(both).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), S.corr(x, y).alias("_r"))
     enough = F.col("n") >= minimum
     out = out.withColumn("pearson", F.when(enough, F.coalesce(S.finite("_r"), F.lit(0.0))).otherwise(F.lit(0.0))).drop("_r")
     out = out.withColumn("t", F.when(enough, stats.correlation_t(F.col("pearson"), F.col("n"))))
@@ -54,7 +54,7 @@ def lagged(df: DataFrame, max_lag: int = 5, key: tuple[str, ...] = ("id",), orde
     w = W.partitionBy(*key, "indicator").orderBy(order_by)
     lags = list(range(-max_lag, max_lag + 1))
     rows = df.select("indicator", "value", *[(F.lead("market_value", k) if k >= 0 else F.lag("market_value", -k)).over(w).alias(f"_l{k}") for k in lags])
-    cells = [F.struct(F.lit(k).alias("lag"), F.coalesce(S.finite(F.corr("value", f"_l{k}")), F.lit(0.0)).alias("correlation"), F.count(f"_l{k}").alias("n")) for k in lags]
+    cells = [F.struct(F.lit(k).alias("lag"), F.coalesce(S.corr("value", f"_l{k}"), F.lit(0.0)).alias("correlation"), F.count(f"_l{k}").alias("n")) for k in lags]
     return rows.groupBy("indicator").agg(F.array(*cells).alias("_c")).select("indicator", F.inline("_c"))
 
 
@@ -66,7 +66,7 @@ def best_lag(lags: DataFrame) -> DataFrame:
 def rolling(df: DataFrame, key: list[str], order_by: str, x: str, y: str, window: int = 12) -> DataFrame:
     """Adds ``rolling_corr`` over a full window of rows inside one entity."""
     frame = W.partitionBy(*key).orderBy(order_by).rowsBetween(-(window - 1), 0)
-    return df.withColumn("rolling_corr", F.when(F.count(F.when(F.col(x).isNotNull(), F.col(y))).over(frame) == window, S.finite(F.corr(x, y).over(frame))))
+    return df.withColumn("rolling_corr", F.when(F.count(F.when(F.col(x).isNotNull(), F.col(y))).over(frame) == window, S.corr(x, y, frame)))
 
 
 def rolling_summary(rows: DataFrame, by: list[str], key: list[str], order_by: str) -> DataFrame:
@@ -99,7 +99,7 @@ def forest_weights(panel: DataFrame, names: list[str], y: str = "market_value",
 
 def blend_weights(df: DataFrame, bins: int = 10, x: str = "value", y: str = "market_value") -> DataFrame:
     """0.4 |correlation| + 0.3 mutual information (binned) + 0.3 stability per indicator, normalised."""
-    agg = df.groupBy("indicator").agg(F.coalesce(F.abs(F.corr(x, y)), F.lit(0.0)).alias("correlation"), (1 / (1 + F.stddev_samp(x) / (F.abs(F.avg(x)) + 1e-8))).alias("stability"),
+    agg = df.groupBy("indicator").agg(F.coalesce(F.abs(S.corr(x, y)), F.lit(0.0)).alias("correlation"), (1 / (1 + F.stddev_samp(x) / (F.abs(F.avg(x)) + 1e-8))).alias("stability"),
                                       F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
     binned = df.join(agg, "indicator").select("indicator", stats.histogram_bin(F.col(x), F.col("_x0"), F.col("_x1"), bins).alias("_bx"),
                                               stats.histogram_bin(F.col(y), F.col("_y0"), F.col("_y1"), bins).alias("_by"), F.lit(1).alias("_n"))
@@ -163,12 +163,12 @@ def stationary(df: DataFrame, key: list[str], order_by: str, method: str = "diff
         return (df.withColumn("stationary_value", F.when(positive, log).otherwise(step))
                 .withColumn("transformations", F.when(positive, "log, first_difference").otherwise("first_difference")))
     rows = df.withColumn("_d", step)
-    test = unit_root(rows.where(F.col("_d").isNotNull()), key, order_by, "_d")
+    test = unit_root(rows.where(F.col("_d").isNotNull()), key, order_by, "_d").drop("t")
     counted = rows.join(test, key, "left").withColumn("_n", F.count("_d").over(W.partitionBy(*key)))
     twice = (F.col("_n") > 10) & ~F.coalesce(F.col("stationary"), F.lit(False))
     second = F.col("_d") - F.lag("_d").over(w)
     return (counted.withColumn("stationary_value", F.when(twice, second).otherwise(F.col("_d")))
-            .withColumn("transformations", F.when(twice, "first_difference, second_difference").otherwise("first_difference")).drop("_d", "_n", "t", "stationary"))
+            .withColumn("transformations", F.when(twice, "first_difference, second_difference").otherwise("first_difference")).drop("_d", "_n", "stationary"))
 
 
 def drop_collinear(panel: DataFrame, names: list[str], threshold: float = 10.0) -> tuple[list[str], DataFrame]:

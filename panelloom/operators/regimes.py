@@ -34,7 +34,7 @@ def market_metrics(series: DataFrame, window: int = 12) -> DataFrame:
     n = F.count("growth").over(frame)
     nv = F.count("value").over(frame)
     return (rows.withColumn("volatility", _full(F.stddev_samp("growth").over(frame), n, window)).withColumn("momentum", _full(F.avg("growth").over(frame), n, window))
-            .withColumn("trend_strength", _full(F.abs(F.corr("_t", "value").over(frame)), nv, window))
+            .withColumn("trend_strength", _full(F.abs(S.corr("_t", "value", frame)), nv, window))
             .withColumn("size_relative", _full(F.try_divide(F.col("value"), F.avg("value").over(frame)), nv, window)).drop("_t"))
 
 
@@ -83,7 +83,7 @@ def regime_table(rows: DataFrame) -> DataFrame:
 def indicator_by_regime(rows: DataFrame, indicators: DataFrame) -> DataFrame:
     """(regime_type, indicator, correlation, n, p_value) over all rows of a type. ``rows`` carries key, date, regime_type, value."""
     joined = rows.select("key", "date", "regime_type", "value").join(indicators.select("key", "date", "indicator", F.col("value").alias("_x")), ["key", "date"])
-    out = joined.groupBy("regime_type", "indicator").agg(F.corr("value", "_x").alias("correlation"), F.count(F.lit(1)).alias("n")).where("n >= 3")
+    out = joined.groupBy("regime_type", "indicator").agg(S.corr("value", "_x").alias("correlation"), F.count(F.lit(1)).alias("n")).where("n >= 3")
     out = out.withColumn("correlation", F.coalesce(S.finite("correlation"), F.lit(0.0)))
     return out.withColumn("p_value", F.coalesce(stats.p_value(stats.correlation_t(F.col("correlation"), F.col("n")), F.col("n") - 2), F.lit(1.0)))
 
@@ -214,10 +214,10 @@ def market_conditions(series: DataFrame, lookback: int = 12) -> DataFrame:
     last = F.max_by("value", "_i")
     agg = rows.groupBy("key").agg(
         F.max("_n").alias("_n"), F.max("date").alias("date"), F.stddev_pop(ret).alias("volatility"), F.regr_slope(tail(F.col("value")), tail(F.col("_i").cast("double"))).alias("trend_slope"),
-        F.abs(F.corr(tail(F.col("value")), tail(F.col("_i").cast("double")))).alias("trend_strength"), F.avg(tail(F.col("value"))).alias("_long"),
+        F.abs(S.corr(tail(F.col("value")), tail(F.col("_i").cast("double")))).alias("trend_strength"), F.avg(tail(F.col("value"))).alias("_long"),
         F.avg(F.when(F.col("_i") > F.col("_n") - 5, F.col("value"))).alias("_short"), last.alias("_last"), F.max(F.when(F.col("_i") == F.col("_n") - 4, F.col("value"))).alias("_five"),
         F.stddev_pop(F.when(F.col("_i") > F.col("_n") - 5, F.col("_ret"))).alias("_rv"),
-        F.abs(F.corr(F.when(F.col("_i") > F.col("_n") - lookback + 1, F.col("_prev")), F.when(F.col("_i") > F.col("_n") - lookback + 1, F.col("value")))).alias("_auto"))
+        F.abs(S.corr(F.when(F.col("_i") > F.col("_n") - lookback + 1, F.col("_prev")), F.when(F.col("_i") > F.col("_n") - lookback + 1, F.col("value")))).alias("_auto"))
     past = rows.where(F.col("_v").isNotNull() & (F.col("_i") < F.col("_n"))).select("key", F.col("_v").alias("_h"))
     place = past.join(agg.select("key", "volatility"), "key").groupBy("key").agg(
         ((F.count_if(F.col("_h") < F.col("volatility")) + F.count_if(F.col("_h") <= F.col("volatility"))) / (2 * F.count(F.lit(1)))).alias("_p"))
@@ -295,7 +295,7 @@ def error_trend(records: DataFrame, keys: list[str], order_by: str, value: str,
     w = W.partitionBy(*keys).orderBy(F.desc(order_by))
     tail = records.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= last)
     x = -F.col("_r").cast("double")
-    fit = tail.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("recent_mean"), F.regr_slope(F.col(value), x).alias("slope"), F.corr(F.col(value), x).alias("_c"))
+    fit = tail.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("recent_mean"), F.regr_slope(F.col(value), x).alias("slope"), S.corr(F.col(value), x).alias("_c"))
     p = F.coalesce(stats.p_value(stats.correlation_t(F.col("_c"), F.col("n")), F.col("n") - 2), F.lit(1.0))
     fit = fit.withColumn("p_value", p)
     label = (F.when(F.col("n") < 3, "insufficient_data").when(F.col("p_value") >= 0.05, "no_trend").when(F.col("slope") < -limit, "improving")

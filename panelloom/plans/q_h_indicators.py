@@ -139,12 +139,12 @@ def _(spark, sf):
 
 @query("h14_stationary", ctes("adf") + f"""SELECT key, t::BIGINT AS step, 'diff' AS method, {r('CASE WHEN (SELECT a.t FROM adf a WHERE a.key = df1.key) < -2.86 THEN d ELSE d - lag(d) OVER (PARTITION BY key ORDER BY t) END', 3)} AS v FROM df1
   UNION ALL SELECT key, t, 'log_diff', {r('ln(value) - ln(lag(value) OVER (PARTITION BY key ORDER BY t))')} FROM train
-  UNION ALL SELECT key, t, 'detrend', {r('value - avg(value) OVER w - regr_slope(value, t) OVER w * (t - avg(t) OVER w)', 3)} FROM train WINDOW w AS (PARTITION BY key)""")
+  UNION ALL SELECT key, t, 'detrend', {r('value - avg(value) OVER w - regr_slope(value, t) OVER w * (t - avg(t) OVER w)', 1)} FROM train WINDOW w AS (PARTITION BY key)""")
 def _(spark, sf):
     from panelloom.operators.forecast import indexed
     s = indexed(train(spark, sf))
     out = None
-    for m, d in (("diff", 3), ("log_diff", 6), ("detrend", 3)):
+    for m, d in (("diff", 3), ("log_diff", 6), ("detrend", 1)):
         x = ind.stationary(s, ["key"], "date", m).select("key", F.col("t").cast("bigint").alias("step"), F.lit(m).alias("method"), F.round("stationary_value", d).alias("v"))
         out = x if out is None else out.unionByName(x)
     return tidy(out, key="bigint", step="bigint", method="string", v=6)
