@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from panelloom.functions.session import with_row
 
 PER_BUCKET = 50_000
 
@@ -67,7 +68,7 @@ def _left(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
     if by:
         return df.join(other, by, "left")
     # A single group: the other side is one row by construction.
-    return df.join(F.broadcast(other), F.lit(True), "left")
+    return df.transform(with_row, other, "left")
 
 
 def with_ranks(df: DataFrame, by: Sequence[str], order: Column | Sequence[Column], **named: str) -> DataFrame:

@@ -4,24 +4,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors can reach: the one the session names in ``spark.checkpoint.dir``.
 
-    The cluster sets ``spark.checkpoint.dir`` to a shared folder. Only a local session without that setting gets a
-    folder of its own; a cluster session without it is refused, because other executors could not read a local path.
+    Only a local session without that setting gets a folder of its own; a cluster session without it is refused, because
+    other executors could not read a local path.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="panelloom-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="panelloom-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` in the shared folder: later steps read files, and a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -32,3 +39,13 @@ def calendar_side(df: DataFrame, roles_by: tuple[str, ...] | list[str]) -> DataF
     the data, and the join strategy is left to the optimizer, which checks the size at run time.
     """
     return F.broadcast(df) if not roles_by else df
+
+
+def with_row(df: DataFrame, row: DataFrame, how: str = "inner") -> DataFrame:
+    """Attach the columns of a one-row aggregate (or a definition-sized table) to every row by an equi-join on a constant.
+
+    ``row`` comes from an aggregate without keys, or holds one row per year, indicator or scenario definition: its size does not
+    grow with the data, so it is broadcast.
+    """
+    one = F.lit(1)
+    return df.withColumn("_one", one).join(F.broadcast(row.withColumn("_one", one)), "_one", how).drop("_one")

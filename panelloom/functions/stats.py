@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelloom.functions import order, scalars as S
+from panelloom.functions.session import with_row
 
 
 def _beta_tail(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
@@ -119,6 +120,6 @@ def mutual_information(df: DataFrame, by: list[str], x: str, y: str, n: str = "_
     cells = df.groupBy(*by, x, y).agg(F.sum(n).cast("double").alias("_c"))
     total = cells.groupBy(*by).agg(F.sum("_c").alias("_t"))
     px, py = (cells.groupBy(*by, c).agg(F.sum("_c").alias(f"_{k}")) for k, c in (("px", x), ("py", y)))
-    joined = cells.join(px, [*by, x]).join(py, [*by, y]).join(total, by) if by else cells.join(px, x).join(py, y).join(F.broadcast(total), F.lit(True))
+    joined = cells.join(px, [*by, x]).join(py, [*by, y]).join(total, by) if by else cells.join(px, x).join(py, y).transform(with_row, total)
     c, t = F.col("_c"), F.col("_t")
     return joined.groupBy(*by).agg(F.sum(c / t * F.log(c * t / (F.col("_px") * F.col("_py")))).alias(out))

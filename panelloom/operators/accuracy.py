@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelloom.functions import order, scalars as S
-from panelloom.functions.session import calendar_side
+from panelloom.functions.session import calendar_side, with_row
 from panelloom.operators.shares import SHARE
 from panelloom.roles import DEFAULT, CalibrationSettings, Roles
 
@@ -38,7 +38,7 @@ def r_squared() -> Column:
 def backtest(df: DataFrame, periods: tuple[int, ...] = (1, 3, 5), roles: Roles = DEFAULT) -> DataFrame:
     """(by…, period, entity metrics) over the last ``period`` years of each market for entities with two years or more."""
     last = df.groupBy(*roles.by).agg(F.max(roles.year).alias("_last"))
-    joined = df.join(last, list(roles.by)) if roles.by else df.join(F.broadcast(last), F.lit(True))
+    joined = df.join(last, list(roles.by)) if roles.by else df.transform(with_row, last)
     rows = joined.withColumn("period", F.explode(F.array(*[F.lit(p) for p in periods]))).where(F.col(roles.year) > F.col("_last") - F.col("period"))
     out = rows.where(actual().isNotNull() & predicted().isNotNull()).groupBy(*roles.by, "period", roles.id).agg(
         (F.avg(F.try_divide(F.abs(actual() - predicted()), F.abs(actual()))) * 100).alias("mape"), F.sqrt(F.avg((actual() - predicted()) * (actual() - predicted()))).alias("rmse"), r_squared().alias("r2"),
@@ -126,7 +126,7 @@ def entity_adjustments(entities: DataFrame, scores: DataFrame, settings: Calibra
     keys = list(roles.by)
     means = entities.groupBy(*keys, roles.id).agg(F.avg("mape").alias("mape"), F.avg("bias").alias("bias")).where(F.col("mape") > settings.mape_gate)
     worst = means.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("mape"), roles.id))).where(F.col("rank") <= settings.top_entities)
-    joined = worst.join(scores.select(*keys, "approach"), keys) if keys else worst.join(F.broadcast(scores.select("approach")), F.lit(True))
+    joined = worst.join(scores.select(*keys, "approach"), keys) if keys else worst.transform(with_row, scores.select("approach"))
     return (joined.withColumn("strength", F.least(F.lit(0.5), F.col("mape") / 100) * approach_factor("approach"))
             .withColumn("growth_adjustment", -F.col("bias") / 100 * F.col("strength")))
 

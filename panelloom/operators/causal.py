@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from panelloom.functions.session import with_row
 from panelloom.functions import folds, scalars as S, stats
 from panelloom.operators import indicators as ind
 from panelloom.roles import DEFAULT, Roles
@@ -52,7 +53,7 @@ def partial_effect(panel: DataFrame, treatment: str, outcome: str, confounders:
     w, t, y = F.col("_w"), F.col("_t"), F.col("_y")
     slopes = reps.groupBy("rep").agg(F.try_divide(F.sum(w) * F.sum(w * t * y) - F.sum(w * t) * F.sum(w * y), F.sum(w) * F.sum(w * t * t) - F.sum(w * t) * F.sum(w * t)).alias("_s"))
     band = slopes.agg(F.percentile("_s", F.lit(0.025)).alias("lower"), F.percentile("_s", F.lit(0.975)).alias("upper"))
-    return fit.join(F.broadcast(band), F.lit(True)).withColumn("significant", (F.col("lower") > 0) | (F.col("upper") < 0))
+    return fit.transform(with_row, band).withColumn("significant", (F.col("lower") > 0) | (F.col("upper") < 0))
 
 
 def nonlinear_gain(panel: DataFrame, features: list[str], outcome: str, degree: int = 2) -> DataFrame:
@@ -130,7 +131,7 @@ def synthetic_control(df: DataFrame, treated: int, start: int, roles: Roles = DE
     gaps = controls.where(before).groupBy(*roles.entity).agg(F.avg((F.col("_c") - F.col("treated")) * (F.col("_c") - F.col("treated"))).alias("distance"))
     raw = gaps.withColumn("_w", 1 / (F.sqrt("distance") + 1e-8))
     totals = raw.groupBy(*keys).agg(F.sum("_w").alias("_t"))
-    weights = (raw.join(totals, keys) if keys else raw.join(F.broadcast(totals), F.lit(True))).withColumn("weight", F.col("_w") / F.col("_t")).drop("_w", "_t")
+    weights = (raw.join(totals, keys) if keys else raw.transform(with_row, totals)).withColumn("weight", F.col("_w") / F.col("_t")).drop("_w", "_t")
     path = (controls.join(weights, roles.entity).groupBy(*roles.period).agg(F.max("treated").alias("treated"), F.try_divide(F.sum(F.col("weight") * F.col("_c")), F.sum("weight")).alias("synthetic"))
             .withColumn("effect", F.col("treated") - F.col("synthetic")))
     e = F.col("effect")

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from panelloom.functions.session import with_row
 from panelloom.functions import folds, scalars as S
 from panelloom.roles import DEFAULT, Roles
 
@@ -24,7 +25,7 @@ def extend_total(world: DataFrame, horizon: int, last_n: int | None = None, rate
     base = world
     if last_n is not None:
         end = world.groupBy(*roles.by).agg(F.max(y).alias("_end"))
-        base = (world.join(end, list(roles.by)) if roles.by else world.join(F.broadcast(end), F.lit(True))).where(F.col(y) >= F.col("_end") - last_n)
+        base = (world.join(end, list(roles.by)) if roles.by else world.transform(with_row, end)).where(F.col(y) >= F.col("_end") - last_n)
     fit = base.groupBy(*roles.by).agg(F.min_by(v, y).alias("_a"), F.max_by(v, y).alias("_b"), F.min(y).alias("_ya"), F.max(y).alias("_yb"))
     growth = F.lit(rate) if rate is not None else S.cagr_fraction("_a", "_b", (F.col("_yb") - F.col("_ya")).cast("double"))
     ahead = (fit.withColumn("_g", F.coalesce(growth, F.lit(0.0))).withColumn("_h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
@@ -450,7 +451,7 @@ def pooled(series: DataFrame, horizon: int, frequency: str = "M", learner: str =
         done = cut_lineage(guess.select("key", "date", "t", "horizon", *[f"lag{k}" for k in range(1, depth + 1)], F.greatest("prediction", F.lit(0.0)).alias("_v")))
         out.append(done)
         state = done.select("key", "date", (F.col("t") + 1).alias("t"), F.col("_v").alias("lag1"), *[F.col(f"lag{k - 1}").alias(f"lag{k}") for k in range(2, depth + 1)])
-    rows = reduce(DataFrame.unionByName, out).join(F.broadcast(spread), F.lit(True))
+    rows = reduce(DataFrame.unionByName, out).transform(with_row, spread)
     return long_form(rows, f"pooled_{learner}", F.col("_v"), Z95 * F.col("_s") * 0.5)
 
 

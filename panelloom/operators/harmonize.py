@@ -90,12 +90,12 @@ def smooth_gaussian(v: Column, n: Column, h: Column, strength: Column, boundary:
 def _window_mean(v: Column, i: Column, low: Column, high: Column, n: Column) -> Column:
     lo, hi = F.greatest(low, F.lit(0)), F.least(high, n - 1)
     part = F.slice(v, lo + 1, hi - lo + 1)
-    return _sum(part) / F.size(part)
+    return F.try_divide(_sum(part), F.size(part).cast("double"))
 
 
 def smooth_rolling(v: Column, n: Column, strength: Column) -> Column:
     """Blend with the centred rolling mean. An interpolating curve read at its own knots returns the knots, so none is needed."""
-    w = F.least(F.greatest(F.lit(3), F.floor(n * strength * 0.3).cast("int") * 2 + 1), n - 1)
+    w = F.greatest(F.least(F.greatest(F.lit(3), F.floor(n * strength * 0.3).cast("int") * 2 + 1), n - 1), F.lit(1))
     off = F.floor((w - 1) / 2).cast("int")
     out = F.transform(v, lambda x, i: (1 - strength) * x + strength * _window_mean(v, i, i - w + 1 + off, i + off, n))
     return F.when(strength > 0, F.transform(out, lambda x: F.greatest(x, F.lit(0.0)))).otherwise(v)
@@ -199,7 +199,7 @@ def transition(smoothed: Column, v: Column, years: Column, h: Column, last_histo
             kept = F.when((i == 0) & (h > 0), orig).when((i == h - 1) & ~edge, orig).otherwise(x)
         else:
             kept = x
-        weight = 1 - (F.array_position(inside, y) - 1) / count
+        weight = 1 - F.try_divide(F.array_position(inside, y) - 1, count)
         return F.when((y >= low) & (y <= high) & (h > 0) & (h < F.size(v)), weight * orig + (1 - weight) * x).otherwise(kept)
 
     return F.transform(smoothed, one)
@@ -213,7 +213,7 @@ def converge(path: Column, n: Column, h: Column, target: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         i = F.size(acc) - h
         before = F.element_at(acc, -1)
-        own = F.greatest(F.lit(0.0), 1 - 2 * i / (ahead - 1))
+        own = F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(2 * i, ahead - 1), F.lit(0.0)))
         moved = F.when((i >= 1) & (before > 0), own * x + (1 - own) * factor * before).otherwise(x)
         return F.concat(acc, F.array(moved))
 

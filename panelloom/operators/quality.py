@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelloom.functions import order, scalars as S
+from panelloom.functions.session import with_row
 from panelloom.roles import DEFAULT, Roles
 
 HUGE = 1e15
@@ -88,7 +89,7 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataF
     if keys:
         return left.join(right, keys, how)
     # Without keys the right side is one aggregate row.
-    return left.join(F.broadcast(right), F.lit(True), how)
+    return left.transform(with_row, right, how)
 
 
 def first_per_year(df: DataFrame, tiebreak: list[Column], roles: Roles = DEFAULT) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelloom.functions import folds, scalars as S, stats
+from panelloom.functions.session import with_row
 
 # Names of regimes by their number, confidence and uncertainty by regime type.
 REGIME_NAMES = {2: ["low_volatility", "high_volatility"], 3: ["bear_market", "stable_market", "bull_market"],
@@ -105,7 +106,7 @@ def adaptive_weights(base: DataFrame, performance: DataFrame, causal: DataFrame)
 def learn_weights(weights: DataFrame, mape: DataFrame, rate: float = 0.1) -> DataFrame:
     """Weight plus rate x contribution, kept in 0.01..1, normalised. An error above 20 % counts against the weight."""
     e = F.least(F.lit(1.0), F.col("mape") / 100)
-    rows = weights.join(F.broadcast(mape.select("mape")), F.lit(True))
+    rows = weights.transform(with_row, mape.select("mape"))
     contribution = F.when(e > 0.2, -F.col("weight") * e).otherwise(F.col("weight") * (1 - e))
     rows = rows.withColumn("contribution", contribution).withColumn("_w", S.clip(F.col("weight") + rate * F.col("contribution"), 0.01, 1.0))
     rows = rows.withColumn("new_weight", F.col("_w") / F.sum("_w").over(W.partitionBy()))
@@ -128,7 +129,7 @@ def regime_parameters(regimes: DataFrame) -> DataFrame:
 
 def weight_uncertainty(weights: DataFrame, parameters: DataFrame) -> DataFrame:
     """Per regime row and indicator: uncertainty of the weight and of the data behind it."""
-    joined = parameters.select("key", "regime_id", "base_uncertainty").withColumn("_k", F.lit(1)).join(F.broadcast(weights.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    joined = parameters.select("key", "regime_id", "base_uncertainty").transform(with_row, weights)
     return (joined.withColumn("weight_uncertainty", F.greatest(F.lit(0.01), F.col("base_uncertainty") * (1.5 - F.col("weight"))))
             .withColumn("data_std", 0.02 + 0.08 * (1 - F.col("weight"))).withColumn("parameter_std", F.col("weight") * 0.1))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelloom.functions import order, scalars as S
-from panelloom.functions.session import calendar_side
+from panelloom.functions.session import with_row
 from panelloom.operators import shares as sh
 from panelloom.operators.regions import add_region
 from panelloom.roles import DEFAULT, Roles
@@ -143,7 +143,7 @@ def market_statistics(df: DataFrame, top: int = 5, roles: Roles = DEFAULT) -> Da
     span = (F.col("last_year") - F.col("first_year")).cast("double")
     totals = (totals.withColumn("multiple", F.coalesce(F.try_divide("last_total", "first_total"), F.lit(0.0)))
               .withColumn("total_cagr", F.coalesce(S.cagr_fraction("first_total", "last_total", span) * 100, F.lit(0.0))))
-    joined = df.join(totals, list(roles.by)) if roles.by else df.join(F.broadcast(totals), F.lit(True))
+    joined = df.join(totals, list(roles.by)) if roles.by else df.transform(with_row, totals)
     leaders = top_n(joined.where(F.col(y) == F.col("last_year")), list(roles.by), top, [F.desc(v), F.asc(roles.id)])
     first = joined.where(F.col(y) == F.col("first_year")).select(*roles.entity, F.col(v).alias("_first"))
     return (leaders.join(first, roles.entity, "left")
@@ -185,7 +185,7 @@ def positioning(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
 def risk_return(profile: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     """Quadrant of (cagr, volatility) by the market means, with the low and high volatility classes."""
     means = profile.groupBy(*roles.by).agg(F.avg("cagr").alias("mean_return"), F.avg("volatility").alias("mean_risk"))
-    joined = profile.join(means, list(roles.by)) if roles.by else profile.join(F.broadcast(means), F.lit(True))
+    joined = profile.join(means, list(roles.by)) if roles.by else profile.transform(with_row, means)
     gain, risky = F.col("cagr") >= F.col("mean_return"), F.col("volatility") >= F.col("mean_risk")
     return (joined.withColumn("quadrant", F.when(gain & ~risky, "star").when(gain, "growth").when(~risky, "stable").otherwise("risk"))
             .withColumn("volatility_class", F.when(F.col("volatility") < F.col("mean_risk") * 0.5, "low")
@@ -201,7 +201,7 @@ def waterfall(df: DataFrame, first: int, last: int, n: int = 10, roles: Roles =
             .withColumn("last_value", F.coalesce("last_value", F.lit(0.0))))
     totals = both.groupBy(*keys).agg(F.sum("first_value").alias("first_total"), F.sum("last_value").alias("last_total"))
     leaders = top_n(both, keys, n, [F.desc("last_value"), F.asc(roles.id)]).withColumn("contribution", F.col("last_value") - F.col("first_value"))
-    joined = leaders.join(totals, keys) if keys else leaders.join(F.broadcast(totals), F.lit(True))
+    joined = leaders.join(totals, keys) if keys else leaders.transform(with_row, totals)
     running = F.sum("contribution").over(W.partitionBy(*keys).orderBy("rank"))
     return joined.withColumn("level", F.col("first_total") + running)
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelloom.functions import folds, order, scalars as S
-from panelloom.functions.session import calendar_side, cut_lineage
+from panelloom.functions.session import calendar_side, cut_lineage, with_row
 from panelloom.roles import (DEFAULT, DEFAULT_BOUNDS, PHASE_BOUNDS, SMOOTHING_BY_TIER, SMOOTHING_OTHER, TIER_BOUND_FACTORS,
                              DistributionSettings, Roles)
 
@@ -192,7 +192,7 @@ def limit_growth(projected: DataFrame, shares: DataFrame, years: list[int], limi
     done = []
     for year in years:
         rows = projected.where(F.col(roles.year) == year).join(before, roles.entity, "left")
-        rows = rows.join(limits, list(roles.by), "left") if roles.by else rows.join(F.broadcast(limits), F.lit(True), "left")
+        rows = rows.join(limits, list(roles.by), "left") if roles.by else rows.transform(with_row, limits, "left")
         rows = rows.withColumn("_prev", F.when(F.col("_prev") > 0, F.col("_prev")).otherwise(F.lit(0.01)))
         size = (F.when(F.col("_prev") < 1.0, 2.0).when(F.col("_prev") < 5.0, 1.5).otherwise(1.0)
                 if settings.scale_limits_by_size else F.lit(1.0))
@@ -215,7 +215,7 @@ def carry_missing_years(shares: DataFrame, world: DataFrame, roles: Roles = DEFA
     absent = world.select(*roles.period).distinct().join(held, roles.period, "left_anti").withColumnRenamed(roles.year, "_y")
     last = shares.groupBy(*roles.by).agg(F.max(roles.year).alias(roles.year))
     latest = shares.join(last if roles.by else F.broadcast(last), roles.period, "left_semi").drop(roles.year)
-    filled = latest.join(absent, list(roles.by)) if roles.by else latest.join(F.broadcast(absent), F.lit(True))
+    filled = latest.join(absent, list(roles.by)) if roles.by else latest.transform(with_row, absent)
     return shares.unionByName(filled.withColumnRenamed("_y", roles.year).select(*shares.columns))
 
 
@@ -272,7 +272,7 @@ def mean_growth_fill(world: DataFrame, years: DataFrame, roles: Roles = DEFAULT)
     stats = world.withColumn("_g", growth).groupBy(*roles.by).agg(
         F.avg("_g").alias("_g"), F.min_by(v, y).alias("_fv"), F.min(y).alias("_fy"), F.max_by(v, y).alias("_lv"), F.max(y).alias("_ly"))
     wanted = years.select(*roles.period).join(world.select(*roles.period), roles.period, "left_anti")
-    joined = wanted.join(stats, list(roles.by)) if roles.by else wanted.join(F.broadcast(stats), F.lit(True))
+    joined = wanted.join(stats, list(roles.by)) if roles.by else wanted.transform(with_row, stats)
     late = F.col(y) > F.col("_ly")
     return (joined.where((F.col(y) < F.col("_fy")) | late)
             .select(*roles.period, (F.when(late, F.col("_lv")).otherwise(F.col("_fv"))

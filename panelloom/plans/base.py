@@ -286,6 +286,6 @@ NEEDS["scenarios"] = ("history",)
 def scenarios(spark, sf) -> DataFrame:
     """(market, id, year, scenario_id, value): caller-supplied draws, here from a key hash, over 1998..2000."""
     return (history(spark, sf).where("year >= 1998")
-            .withColumn("scenario_id", F.explode(F.sequence(F.lit(1), F.lit(DRAWS))).cast("bigint"))
+            .withColumn("scenario_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(DRAWS).cast("bigint"))))
             .select("market", "id", "year", "scenario_id",
                     (F.col("value") * (0.8 + 0.4 * S.key_uniform("market", "id", "scenario_id"))).alias("value")))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelloom.functions.session import cut_lineage
+from panelloom.functions.session import cut_lineage, with_row
 from panelloom.functions.stats import critical_t
 from panelloom.operators import causal as ca, indicators as ind, shares as sh
 from panelloom.plans.base import INDICATORS, NEEDS, SQL, ctes, facts, history, indicators, query, r, tidy
@@ -128,4 +128,4 @@ def _(spark, sf):
 @query("i11_causal_analysis")
 def _(spark, sf):
     parts = ca.analysis(cut_lineage(facts(spark, sf)), list(INDICATORS), "market_value", ["id", "year"], ("discovery", "effects"))
-    return parts["edges"].agg(F.count(F.lit(1)).alias("edges")).join(F.broadcast(parts["effect"]), F.lit(True))
+    return parts["edges"].agg(F.count(F.lit(1)).alias("edges")).transform(with_row, parts["effect"])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from panelloom.functions.session import cut_lineage
 from panelloom.functions.stats import critical_t
 from panelloom.operators import regimes as rg
-from panelloom.plans.base import NEEDS, SQL, INDICATORS, ctes, money, monthly, query, r, table, tidy
+from panelloom.plans.base import NEEDS, SQL, INDICATORS, ctes, money, query, r, table, tidy
 from panelloom.plans import q_l_ensemble as ql
 from panelloom.plans.q_k_forecast import train
 

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from panelloom.operators import forecast as fc, shares as sh
 from panelloom.plans.base import NEEDS, SQL, ctes, facts, history, mapping, monthly, query, r, tidy, trade
-from panelloom.roles import DEFAULT
 
 H = 6
 OUT = dict(key="bigint", date="date", horizon="int", value=4, lower=4, upper=4)

@@ -153,3 +153,16 @@ def _(spark, sf):
        "SELECT model, metric, verdict FROM (UNPIVOT v ON mape, r2, bias, direction, theil_u INTO NAME metric VALUE verdict)")
 def _(spark, sf):
     return ac.verdicts(ac.extended_metrics(scored(spark, sf), ["model"], ["market", "model", "id"]))
+
+
+@query("m11_calibration_history", ctes("bt") + f"SELECT 2 + period AS calibration_id, market, model, count(*)::BIGINT AS n, {r('avg(mape)')} AS mape FROM bt WHERE period > 1 GROUP BY 1, 2, 3")
+def _(spark, sf):
+    import uuid
+    from panelloom.functions.session import shared_folder
+    from panelloom.sources.sinks import append_history, load_history
+    path = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    e = cut_lineage(entities(spark, sf))
+    for run in range(1, 8):
+        append_history(e.where(F.col("period") == run - 2).select("market", "model", "id", "mape") if run in (5, 7) else e.limit(0).select("market", "model", "id", "mape"), path, run)
+    kept = load_history(spark, path, 5)
+    return tidy(kept.groupBy("calibration_id", "market", "model").agg(F.count(F.lit(1)).alias("n"), F.avg("mape").alias("mape")), calibration_id="int", market="string", model="string", n="bigint", mape=6)

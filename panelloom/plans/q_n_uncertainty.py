@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelloom.functions.session import cut_lineage
+from panelloom.functions.session import cut_lineage, with_row
 from panelloom.operators import ensemble as en, indicators as ind, shares as sh, uncertainty as un
 from panelloom.plans.base import DRAWS, NEEDS, SQL, ctes, facts, history, indicators, query, r, scenarios, sql_uniform, tidy
 from panelloom.plans import q_l_ensemble as ql
@@ -64,7 +64,7 @@ _U = sql_uniform("market", "id", "s")
 def _(spark, sf):
     s = cut_lineage(sh.market_shares(history(spark, sf)).where("year = 2000"))
     world = s.groupBy("market").agg(F.sum("value").alias("w"))
-    shocks = s.select("market", "id").join(world, "market").withColumn("scenario_id", F.explode(F.sequence(F.lit(1), F.lit(10))).cast("bigint"))
+    shocks = s.select("market", "id").join(world, "market").withColumn("scenario_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(10).cast("bigint"))))
     shocks = shocks.select("market", "id", "scenario_id", ((S.key_uniform("market", "id", "scenario_id") - 0.5) * 0.4).alias("shock"), (F.col("w") * (1 + 0.01 * F.col("scenario_id"))).alias("total"))
     return tidy(un.what_if(s.select("market", "id", "year", "market_share"), shocks), market="string", id="bigint", year="int", scenario_id="bigint", market_share=6, value=3)
 
@@ -195,7 +195,7 @@ def _(spark, sf):
 def _(spark, sf):
     f = cut_lineage(facts(spark, sf))
     e = f.agg(F.avg("lines").alias("e"))
-    return tidy(un.control_variate(f.join(F.broadcast(e), F.lit(True)), ["id"], "market_value", "lines", "e"), id="bigint", plain=3, estimate=3, reduction=3)
+    return tidy(un.control_variate(f.transform(with_row, e), ["id"], "market_value", "lines", "e"), id="bigint", plain=3, estimate=3, reduction=3)
 
 
 @query("n15_stratified", ctes("scenarios", p="SELECT market, year, scenario_id % 4 AS s, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM scenarios GROUP BY 1, 2, 3") + f"SELECT market, year, {r('sum(n * m) / sum(n)', 3)} AS mean, {r('sum(n * v) / sum(n) / sum(n) / 1e6', 3)} AS variance, count(*)::BIGINT AS strata FROM p GROUP BY 1, 2")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.session import cut_lineage
 from panelloom.operators import regions as rg, report as rp, shares as sh
-from panelloom.plans.base import NEEDS, SQL, ctes, history, mapping, parts, query, r, tidy, trade
+from panelloom.plans.base import NEEDS, SQL, ctes, history, mapping, parts, query, r, tidy
 from panelloom.roles import DEFAULT
 
 ONE = DEFAULT.with_(by=())

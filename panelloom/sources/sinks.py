@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from panelloom.operators import shares as sh
 from panelloom.roles import DEFAULT, Roles
-from panelloom.sources.readers import long_to_wide, with_growth
+from panelloom.sources.readers import long_to_wide
 
 
 def write_panel(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", roles: Roles = DEFAULT) -> None:
@@ -40,5 +40,3 @@ def load_history(spark: SparkSession, path: str, keep: int = 5) -> DataFrame:
     last = rows.select("calibration_id").distinct().orderBy(F.desc("calibration_id")).limit(keep)
     return rows.join(F.broadcast(last), "calibration_id", "left_semi")
 
-
-__all__ = ["append_history", "export_table", "load_history", "with_growth", "write_panel", "write_wide"]
