@@ -77,10 +77,10 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str = "spearman"
 def kendall(df: DataFrame, by: list[str], x: str, y: str, out: str = "kendall") -> DataFrame:
     """Tau-b per group without forming pairs of rows.
 
-    Ranks are written in binary. Two rows split at exactly one bit level in x and at one in y, so counting rows per (level
-    of x, level of y, common prefixes, next bits) counts every pair once. Each row adds (bits of x) times (bits of y)
-    partial counts, which the map-side aggregation merges before the shuffle; cells of a hot group spread over the
-    cluster because the prefixes are part of the key.
+    Ranks are written in base 16. Two rows differ first at exactly one digit of x and at one digit of y, so counting rows per
+    (digit place of x, digit place of y, common prefixes, digits) holds every pair once. Each row adds (digits of x) times
+    (digits of y) partial counts, which the map-side aggregation merges before the shuffle; cells of a hot group spread
+    over the cluster because the prefixes are part of the key, and a cell group has at most 256 counts.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
 
@@ -90,21 +90,31 @@ def kendall(df: DataFrame, by: list[str], x: str, y: str, out: str = "kendall")
         return p.select(*by, F.col("_key").alias(side), F.col("_below").alias(f"{side}_r"), F.col("_total").alias(f"{side}_n"))
 
     ranked = rows.join(dense("_x"), [*by, "_x"]).join(dense("_y"), [*by, "_y"])
-    bits = lambda n: F.greatest(F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double"))).cast("int"), F.lit(1))
-    cells = (ranked.withColumn("_lx", F.explode(F.sequence(F.lit(0), bits(F.col("_x_n")) - 1)))
-             .withColumn("_ly", F.explode(F.sequence(F.lit(0), bits(F.col("_y_n")) - 1))))
-    shift = lambda c, by_: F.floor(c / F.pow(F.lit(2.0), by_)).cast("bigint")
-    sx, sy = shift(F.col("_x_r"), F.col("_lx")), shift(F.col("_y_r"), F.col("_ly"))
-    cells = cells.select(*by, "_lx", "_ly", F.floor(sx / 2).cast("bigint").alias("_px"), F.floor(sy / 2).cast("bigint").alias("_py"), (sx % 2).alias("_bx"), (sy % 2).alias("_by"), "_w")
-    hit = lambda a, b: F.sum(F.when((F.col("_bx") == a) & (F.col("_by") == b), F.col("_w"))).cast("double")
-    quads = cells.groupBy(*by, "_lx", "_ly", "_px", "_py").agg(*[F.coalesce(hit(a, b), F.lit(0.0)).alias(f"_q{a}{b}") for a in (0, 1) for b in (0, 1)])
-    score = quads.groupBy(*by).agg(F.sum(F.col("_q00") * F.col("_q11") - F.col("_q01") * F.col("_q10")).alias("_s"))
+    digits = lambda n: F.greatest(F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double")) / 4).cast("int"), F.lit(1))
+    cells = (ranked.withColumn("_lx", F.explode(F.sequence(F.lit(0), digits(F.col("_x_n")) - 1)))
+             .withColumn("_ly", F.explode(F.sequence(F.lit(0), digits(F.col("_y_n")) - 1))))
+    right = lambda c, n: F.call_function("shiftright", c, n)
+    sx, sy = (right(F.col(f"_{c}_r").cast("bigint"), F.col(f"_l{c}") * 4) for c in ("x", "y"))
+    cells = cells.select(*by, "_lx", "_ly", right(sx, F.lit(4)).alias("_px"), right(sy, F.lit(4)).alias("_py"), (sx % 16).alias("_dx"), (sy % 16).alias("_dy"), "_w")
+    counted = cells.groupBy(*by, "_lx", "_ly", "_px", "_py", "_dx", "_dy").agg(F.sum("_w").cast("double").alias("_c"))
+    squares = (counted.groupBy(*by, "_lx", "_ly", "_px", "_py").agg(F.collect_list(F.struct("_dx", "_dy", "_c")).alias("_m"))
+               .where(F.size("_m") > 1))
+
+    def left_of(a: Column) -> Column:
+        """Rows left of and under a cell minus rows left of and over it."""
+        def signed(b: Column) -> Column:
+            side = F.when(b["_dy"] < a["_dy"], b["_c"]).when(b["_dy"] > a["_dy"], -b["_c"]).otherwise(F.lit(0.0))
+            return F.when(b["_dx"] < a["_dx"], side).otherwise(F.lit(0.0))
+        return F.aggregate("_m", F.lit(0.0), lambda t, b: t + signed(b))
+
+    score = squares.groupBy(*by).agg(F.sum(F.aggregate("_m", F.lit(0.0), lambda t, a: t + a["_c"] * left_of(a))).alias("_s"))
 
     def ties(side: str) -> DataFrame:
         d = rows.groupBy(*by, side).agg(F.sum("_w").cast("double").alias("_c"))
         return d.groupBy(*by).agg(F.sum(F.col("_c") * (F.col("_c") - 1) / 2).alias(f"{side}_t"), F.sum("_c").alias(f"{side}_all"))
 
-    joined = score.join(ties("_x"), by).join(ties("_y"), by)
+    # A group without a pair that differs in both columns has no square left: its score is 0.
+    joined = ties("_x").join(ties("_y"), by).join(score, by, "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
     pairs = F.col("_x_all") * (F.col("_x_all") - 1) / 2
     return joined.select(*by, F.try_divide("_s", F.sqrt((pairs - F.col("_x_t")) * (pairs - F.col("_y_t")))).alias(out))
 

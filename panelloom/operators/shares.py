@@ -188,7 +188,7 @@ def limit_growth(projected: DataFrame, shares: DataFrame, years: list[int], limi
     last = shares.groupBy(*roles.by).agg(F.max(roles.year).alias(roles.year))
     before = (shares.join(last if roles.by else F.broadcast(last), roles.period, "left_semi")
               .select(*roles.entity, F.col(SHARE).alias("_prev")))
-    projected, limits, before = cut_lineage(projected), cut_lineage(limits), cut_lineage(before)
+    projected, limits = cut_lineage(projected), cut_lineage(limits)
     done = []
     for year in years:
         rows = projected.where(F.col(roles.year) == year).join(before, roles.entity, "left")
@@ -370,8 +370,9 @@ def distribute(history: DataFrame, world: DataFrame, horizon: int, last_year: in
         kept = shares.select(*columns, roles.value)
         values = splice(kept, values.where(F.col(roles.year) >= settings.start_year).select(*columns, roles.value), settings.start_year, roles)
     if settings.smooth:
-        values = smooth_values(values.select(*columns, roles.value), roles)
-    values = rescale_to_total(values.select(*columns, roles.value), world, settings.tolerance, roles)
+        # Smoothing and the rescale below each read their input twice (rows and totals): both start from written rows.
+        values = smooth_values(cut_lineage(values.select(*columns, roles.value)), roles)
+    values = rescale_to_total(cut_lineage(values.select(*columns, roles.value)), world, settings.tolerance, roles)
     values = values.withColumn("region_type", F.lit("entity"))
     if regions is None:
         return values
