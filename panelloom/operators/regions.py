@@ -142,7 +142,7 @@ def repair_top_down(regions: DataFrame, entities: DataFrame, region_order: list[
     Regions are taken in the order given (a later one overrules an earlier one on shared leaves).
     """
     out = entities
-    for i, name in enumerate(region_order, start=1):
+    for name in region_order:
         target = regions.where(F.col(roles.name) == name).select(*roles.period, F.col(roles.value).alias("_t"))
         members = leaf_table.where(F.col("region") == name).select(F.col("leaf").alias(roles.name)).withColumn("_in", F.lit(True))
         marked = out.join(members, roles.name, "left")
@@ -151,9 +151,8 @@ def repair_top_down(regions: DataFrame, entities: DataFrame, region_order: list[
         v = F.col(roles.value)
         off = F.col("_in") & (F.abs(F.col("_t") - F.col("_s")) > _tolerance(F.col("_t"), F.col("_s")))
         new = F.when(off & (F.col("_s") == 0), F.col("_t") / F.col("_k")).when(off, v * F.try_divide(F.col("_t"), F.col("_s"))).otherwise(v)
-        out = marked.join(sums, roles.period, "left").withColumn(roles.value, new).select(*entities.columns)
-        if i % 8 == 0:
-            out = cut_lineage(out)
+        # Rows and their totals both read the step before, so each step is written out once.
+        out = cut_lineage(marked.join(sums, roles.period, "left").withColumn(roles.value, new).select(*entities.columns))
     return out
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from panelloom.functions import scalars as S
 
@@ -257,11 +257,11 @@ NEEDS["scored"] = ("history",)
 
 def scored(spark, sf) -> DataFrame:
     """(market, id, year, model, actual, forecast, horizon) from last year's value, flat and plus ten percent."""
-    h = history(spark, sf).select("market", "id", "year", "value")
-    past = h.select("market", "id", (F.col("year") + 1).alias("year"), F.col("value").alias("last"))
+    w = W.partitionBy("market", "id").orderBy("year")
+    h = history(spark, sf).select("market", "id", "year", "value", F.when(F.lag("year").over(w) == F.col("year") - 1, F.lag("value").over(w)).alias("last"))
     models = F.array(F.struct(F.lit("flat").alias("model"), F.lit(1.0).alias("factor")),
                      F.struct(F.lit("plus10").alias("model"), F.lit(1.1).alias("factor")))
-    return (h.join(past, ["market", "id", "year"]).select("*", F.inline(models))
+    return (h.where("last is not null").select("*", F.inline(models))
             .select("market", "id", "year", "model", F.col("value").alias("actual"),
                     (F.col("last") * F.col("factor")).alias("forecast"), (F.col("year") - 1995).alias("horizon")))
 
