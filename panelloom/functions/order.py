@@ -16,20 +16,14 @@ from panelloom.functions.session import with_row
 PER_BUCKET = 50_000
 
 
-def _bucket(bounds: Column, value: Column) -> Column:
-    """Number of sorted bounds at or below ``value`` by bisection (null bounds: bucket 0)."""
-    size = F.size(bounds)
+def _bucket(bounds: Column, strides: Column, value: Column) -> Column:
+    """Number of sorted bounds at or below ``value`` (null bounds: bucket 0).
 
-    def step(state: Column, _: Column) -> Column:
-        middle = ((state["lo"] + state["hi"]) / 2).cast("int")
-        right = F.get(bounds, middle) <= value
-        open_ = state["lo"] < state["hi"]
-        return F.struct(F.when(open_ & right, middle + 1).otherwise(state["lo"]).alias("lo"),
-                        F.when(open_ & ~right, middle).otherwise(state["hi"]).alias("hi"))
-
-    rounds = F.sequence(F.lit(0), F.ceil(F.log2(size.cast("double") + 1)).cast("int"))
-    found = F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), size.alias("hi")), step, lambda s: s["lo"])
-    return F.when(bounds.isNull(), F.lit(0)).otherwise(found)
+    ``strides`` are falling powers of two: each is added while the bound it lands on is still at or below the value. A step past
+    the end reads null and is not taken.
+    """
+    found = F.aggregate(strides, F.lit(0), lambda at, w: F.when(F.get(bounds, at + w - 1) <= value, at + w).otherwise(at))
+    return F.coalesce(found, F.lit(0))
 
 
 def positions(df: DataFrame, by: Sequence[str], order: Column | Sequence[Column], per_bucket: int = PER_BUCKET) -> DataFrame:
@@ -47,13 +41,16 @@ def positions(df: DataFrame, by: Sequence[str], order: Column | Sequence[Column]
             .agg(F.count(F.lit(1)).alias("_d"),
                  F.sort_array(F.collect_list(F.when(sampled, F.col("_key")))).alias("_cuts"))
             .where(F.col("_d") > per_bucket).drop("_d"))
-    placed = _left(counts, cuts, by).withColumn("_bucket", _bucket(F.col("_cuts"), F.col("_key"))).drop("_cuts")
+    top = F.floor(F.log2(F.size("_cuts").cast("double") + 1)).cast("int")
+    cuts = cuts.withColumn("_strides", F.transform(F.sequence(top, F.lit(0)), lambda k: F.call_function("shiftleft", F.lit(1), k)))
+    placed = _left(counts, cuts, by).withColumn("_bucket", _bucket(F.col("_cuts"), F.col("_strides"), F.col("_key"))).drop("_cuts", "_strides")
     inside = W.partitionBy(*by, "_bucket").orderBy("_key").rowsBetween(W.unboundedPreceding, -1)
     local = placed.select(*by, "_bucket", "_key", "_n",
                           F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_b"),
                           F.count("_n").over(inside).alias("_db"))
-    # One row per bucket: a table smaller than the data by the bucket size.
-    sums = placed.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_bn"), F.count(F.lit(1)).alias("_bd"))
+    # One row per bucket: a table smaller than the data by the bucket size. It is taken from the counted rows, which are already
+    # clustered by bucket, so the placed rows are shuffled once for both uses.
+    sums = local.groupBy(*by, "_bucket").agg(F.max(F.col("_b") + F.col("_n")).alias("_bn"), F.max(F.col("_db") + 1).alias("_bd"))
     before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*by)
     offsets = sums.select(*by, "_bucket", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_o"),
