@@ -1,0 +1,195 @@
+"""The registered llm queries against SQL twins, the library, brute force or held-out labels, over whole small tables."""
+
+import collections
+import itertools
+import re
+import zlib
+
+import duckdb
+import oracle
+import pytest
+
+import corpus_pipeline
+from panelloom.llm import chunks, decontaminate, near_dedup, token_counts
+from panelloom.llm.oracles import ORACLES
+from panelloom.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_against_sql(spark, name):
+    _, rows, problem = oracle.check(name, spark, oracle.connect(SF), SF, QUERIES[name], ORACLES[name])
+    assert problem is None and rows == 200
+
+
+def test_every_operator_has_a_query():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+
+
+def rates(rows, labels, column):
+    """Recall and specificity over held-out labelled rows."""
+    known = dict(duckdb.sql(f"SELECT doc_id, {column} FROM '{labels}'").fetchall())
+    own = [(r.predicted, known[r.doc_id]) for r in rows if r.held_out and known.get(r.doc_id) is not None]
+    good = [p == 1 for p, y in own if y == 1]
+    bad = [p == 0 for p, y in own if y == 0]
+    return sum(good) / len(good), sum(bad) / len(bad)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    rows = QUERIES["op1_toxicity"](spark, LARGER).collect()
+    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    recall, specificity = rates(rows, f"{LARGER}/labels.parquet", "toxic")
+    assert recall > 0.7 and specificity > 0.97
+
+
+def test_quality_on_held_out_labels(spark):
+    rows = QUERIES["op7_quality_classifier"](spark, LARGER).collect()
+    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    recall, specificity = rates(rows, f"{LARGER}/labels.parquet", "quality")
+    assert recall > 0.97 and specificity > 0.7
+
+
+def test_language_on_held_out_documents(spark):
+    langs = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{LARGER}/documents.parquet'").fetchall())
+    rows = QUERIES["op5_language_id"](spark, LARGER).collect()
+    assert len(rows) == 1000 and all(0 <= r.score <= 1 for r in rows)
+    own = [r.lang_pred == langs[r.doc_id] for r in rows if r.held_out]
+    assert sum(own) > 0.98 * len(own)
+
+
+def test_token_counts_are_the_library_s(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    encoder = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
+    rows = QUERIES["op10_token_counts"](spark, SF).collect()
+    assert len(rows) == 200
+    for r in rows:
+        n = len(encoder.encode(texts[r.doc_id]))
+        assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(texts[r.doc_id].encode()), n > 4096)
+
+
+def serial_chunks(text):
+    """Chunks by the recurrence itself, byte by byte."""
+    out, last, h = [], 0, 0
+    for i, b in enumerate(text):
+        h = ((h << 1) + int(chunks._GEAR[b])) & 0xFFFFFFFF
+        end = i + 1
+        if end == len(text) or (h >> (32 - chunks.CUT_BITS) == 0 and text[end] & 0xC0 != 0x80 and end - last >= chunks.SMALLEST) or (end - last >= chunks.LARGEST and text[end] & 0xC0 != 0x80):
+            out.append((last, end))
+            last = end
+    return out
+
+
+def brute_spans(docs):
+    owners = collections.defaultdict(set)
+    for d, t in docs:
+        for a, b in serial_chunks(t):
+            owners[t[a:b]].add(d)
+    out = set()
+    for d, t in docs:
+        run = None
+        for a, b in [*serial_chunks(t), (len(t), len(t))]:
+            first = min(owners[t[a:b]]) if b > a else d
+            if first != d:
+                run = (run[0], b, min(run[2], first)) if run else (a, b, first)
+            elif run:
+                if run[1] - run[0] >= chunks.LEAST_SPAN:
+                    out.add((d, run[2], run[0], run[1]))
+                run = None
+    return out
+
+
+def test_repeated_passages_against_brute_force(spark):
+    docs = [(d, t.encode()) for d, t in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' WHERE text <> ''").fetchall()]
+    got = {tuple(r) for r in QUERIES["op6_substring_dedup"](spark, SF).collect()}
+    assert got == brute_spans(docs) and got
+
+
+def near_components(docs):
+    sets = {}
+    for d, t in docs:
+        w = [x for x in re.split("[\x20\x09-\x0D]+", t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if x]
+        sets[d] = set(zip(w, w[1:])) if len(w) > 1 else set(w)
+    least = {d: d for d in sets}
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b]:
+            n = len(sets[a] & sets[b])
+            if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = sorted((root(a), root(b)))
+                least[y] = x
+    return {d: root(d) for d in sets}
+
+
+def test_pipeline_against_brute_force(spark):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    docs, folder = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        folder[name] = at = stage(spark, at, SF).cache()
+        assert at.columns == docs.columns
+    good = [(r.doc_id, r.text) for r in folder["quality classifier"].collect()]
+    first = near_components(good)
+    assert sorted(r.doc_id for r in folder["near-duplicates"].collect()) == sorted(d for d in first if first[d] == d)
+    items = [decontaminate.normal_words(t) for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()]
+    clean = {r.doc_id: r.text for r in folder["near-duplicates"].collect() if not brute_contaminated(decontaminate.normal_words(r.text), items)}
+    assert sorted(clean) == sorted(r.doc_id for r in folder["decontamination"].collect())
+    mixed = collections.Counter(r.doc_id for r in folder["mixing"].collect())
+    assert set(mixed) <= set(clean) and max(mixed.values()) <= 3
+    total = sum(len(clean[d].split()) * n for d, n in mixed.items())
+    assert abs(total - sum(len(t.split()) for t in clean.values())) < 0.1 * total
+    assert collections.Counter(r.doc_id for r in rows) == mixed
+    by_shard = collections.defaultdict(list)
+    for r in rows:
+        assert r.size == len(clean[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(clean[r.doc_id].encode())
+        by_shard[r.shard].append(r.slot)
+    assert set(by_shard) <= set(range(24)) and all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+
+
+def brute_contaminated(words, items, window=13):
+    hit = set()
+    for item in items:
+        n = min(window, len(item))
+        parts = {tuple(item[i:i + n]) for i in range(len(item) - n + 1)} if n else set()
+        for i in range(len(words) - n + 1):
+            if tuple(words[i:i + n]) in parts:
+                hit.update(range(i, i + n))
+    return bool(hit) and 20 * len(hit) >= len(words)
+
+
+def test_signatures_find_links_near_the_limit():
+    """Pairs just over the similarity limit share a table nearly always."""
+    import random
+
+    rng, met = random.Random(5), 0
+    for _ in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(201)]
+        other = words[:181] + [f"w{rng.randrange(10**6)}" for _ in range(20)]  # 180 of 220 shingles in common
+        table = near_dedup.collections(near_dedup.minhashes(near_dedup.shingle_sets([" ".join(words), " ".join(other)])))
+        met += bool((table[0, :8] == table[1, :8]).any() and (table[0, 8:] == table[1, 8:]).any())
+    assert met >= 298
+
+
+def test_counter_by_word_is_the_library():
+    import random
+
+    import public_tokenizers
+
+    rng = random.Random(3)
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        counter = token_counts.Counter(f.read())
+    assert counter.by_word
+    parts = [" ", "  ", "a", "b", "\n", "\t", "▁", "é", "<s>", "</s>", "中", "　", "ﬁ", ".", "1", "\x00", "😀", "<unk>", "x" * 90]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    want = [len(x) for x in counter.encoder.encode(texts, num_threads=1)]
+    assert counter.count(texts) == want and counter.count(texts) == want
