@@ -16,7 +16,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "conversations").split()
 
 
-def session(cpus: int = 8):
+def session(cpus: int = int(os.environ.get("TEST_CPUS", "8"))):
     from pyspark.sql import SparkSession
     return (SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", "8")
             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
