@@ -75,18 +75,23 @@ def running_totals(df: DataFrame, order: list[str], sizes: dict[str, str], by: l
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): one row (node, component) for each node of an edge, component the smallest node reached.
 
-    Contraction: every node takes its first neighbour (or itself) as parent, edges are rewritten to parents and loops vanish; the rounds
-    go on until no edge is left, then the parents are followed back. "First" alternates between the smallest id (stars fall in one
-    round) and a hash order (long chains lose a fixed share of their nodes each round). Each round is a written table and smaller than
-    the one before; neither edges nor labels come to the driver.
+    Contraction: every node takes its first neighbour (or itself) as parent and then the parent's parent, edges are rewritten to parents and
+    loops vanish; the rounds go on until no edge is left, then the parents are followed back. "First" is the smallest id for two rounds, in which
+    stars fall together, and then a hash order for one, in which a long chain loses a fixed share of its nodes. Each round is a written table and
+    smaller than the one before; neither edges nor labels come to the driver.
     """
     live = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps, turn = [], 0
     while not live.isEmpty():
         both = live.union(live.select("b", "a")).toDF("node", "other")
-        first = (F.least(F.col("node"), F.min("other")) if turn % 2 == 0 else
-                 F.least(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("node")), F.min(F.struct(F.xxhash64("other", F.lit(turn)).alias("h"), F.col("other").alias("node"))))["node"])
-        parent = cut_lineage(both.groupBy("node").agg(first.alias("parent")))
+        if turn % 3 < 2:
+            first = F.least(F.col("node"), F.min("other"))
+        else:
+            mark = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("node"))
+            first = F.least(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("node")), F.min(mark("other")))["node"]
+        near = both.groupBy("node").agg(first.alias("parent"))
+        above = near.toDF("parent", "further")
+        parent = cut_lineage(near.join(above, "parent", "left").select("node", F.coalesce("further", "parent").alias("parent")))
         steps.append(parent)
         moved = (live.join(parent.toDF("a", "pa"), "a").join(parent.toDF("b", "pb"), "b").where("pa <> pb")
                  .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
@@ -96,8 +101,7 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
     root = steps[-1].toDF("node", "root")
     for parent in reversed(steps[:-1]):
-        up = parent.toDF("node", "root")
-        further = root.toDF("root", "further")
-        root = cut_lineage(up.join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root")))
+        root = parent.toDF("node", "root").join(root.toDF("root", "further"), "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+    root = cut_lineage(root)
     least = root.groupBy("root").agg(F.min("node").alias("component"))
     return root.join(least, "root").select("node", "component")

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelloom.functions.session import cut_lineage
 
@@ -160,8 +160,8 @@ def without(text: str, spans: list[list[int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _found(docs: DataFrame, automaton: Automaton, keys: list[str], clean: bool) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(automaton)  # at most BLOCK_WORDS words of items
+def _finder(spark: SparkSession, automaton: Automaton, clean: bool):
+    shipped = spark.sparkContext.broadcast(automaton)  # at most BLOCK_WORDS words of items
 
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shipped.value
@@ -174,8 +174,30 @@ def _found(docs: DataFrame, automaton: Automaton, keys: list[str], clean: bool)
                 rows.append((len(words), hit, [{"first": a, "stop": b} for a, b in spans], sorted(items), without(t, spans) if clean and hit else t if clean else None))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "spans", "items", "clean_text"])
 
-    udf = F.pandas_udf(find, "n_words long, n_hit long, spans array<struct<first: int, stop: int>>, items array<string>, clean_text string")
-    return docs.select(*keys, udf("text").alias("f")).select(*keys, "f.*")
+    return F.pandas_udf(find, "n_words long, n_hit long, spans array<struct<first: int, stop: int>>, items array<string>, clean_text string")
+
+
+def _found(docs: DataFrame, automaton: Automaton, keys: list[str], clean: bool) -> DataFrame:
+    find = _finder(docs.sparkSession, automaton, clean)
+    return docs.select(*keys, find("text").alias("f")).select(*keys, "f.*")
+
+
+class Items:
+    """Normalised items, read from their table block by block."""
+
+    def __init__(self, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> None:
+        words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), _SPLIT), ""))
+        self.known = items.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+        total = self.known.agg(F.coalesce(F.sum(words), F.lit(0)).alias("n")).first()["n"]
+        self.blocks, self.window = max(1, math.ceil(total / block_words)), window
+
+    def automaton(self, k: int) -> Automaton:
+        rows = self.known.where(F.pmod(F.xxhash64("text"), F.lit(self.blocks)) == k).orderBy("item_id", "text").collect()  # one block
+        return Automaton([(r["item_id"], normal_words(r["text"])) for r in rows], self.window)
+
+
+def _over(coverage: int, found: str = "") -> Column:
+    return (F.col(f"{found}n_hit") > 0) & (F.col(f"{found}n_hit") * coverage >= F.col(f"{found}n_words"))
 
 
 def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, coverage: int = COVERAGE, clean: bool = False, text: str = "text",
@@ -194,23 +216,15 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_wo
     same id count once; equal rows get equal rows; without items nothing is hit; an empty table gives no row. Other columns are not read.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), _SPLIT), ""))
-    known = items.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
-    total = known.agg(F.coalesce(F.sum(words), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, math.ceil(total / block_words))
-
-    def automaton(k: int) -> Automaton:
-        rows = known.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # one block
-        return Automaton([(r["item_id"], normal_words(r["text"])) for r in rows], window)
-
-    if blocks == 1:
-        found = _found(own, automaton(0), ["doc_id"], clean)
+    known = Items(items, window, block_words)
+    if known.blocks == 1:
+        found = _found(own, known.automaton(0), ["doc_id"], clean)
     else:
         if clean:
             raise ValueError("clean texts need a benchmark of one block")
         keyed = own.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
         texts = keyed.select("key", "text").dropDuplicates(["key"])
-        part = [cut_lineage(_found(texts, automaton(k), ["key"], False).where("n_hit > 0" if k else "true")) for k in range(blocks)]
+        part = [cut_lineage(_found(texts, known.automaton(k), ["key"], False).where("n_hit > 0" if k else "true")) for k in range(known.blocks)]
         every = part[0]
         for p in part[1:]:
             every = every.unionByName(p)
@@ -221,10 +235,16 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_wo
                   .withColumn("spans", F.expr("zip_with(filter(hit, (w, i) -> i = 0 OR w > get(hit, i - 1) + 1), filter(hit, (w, i) -> i = size(hit) - 1 OR w + 1 < get(hit, i + 1)), (a, b) -> struct(a AS first, b + 1 AS stop))")))
         found = keyed.select("doc_id", "key").join(joined, "key")
     out = ["doc_id", "n_words", "n_hit", "spans", "items"] + ["clean_text"] * clean
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * coverage >= F.col("n_words"))).select(*out, "contaminated")
+    return found.withColumn("contaminated", _over(coverage)).select(*out, "contaminated")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, coverage: int = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns as they are. Ids that occur with several texts stay only if all of them are clean."""
-    bad = find_items(docs, items, window, block_words, coverage).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` that are not contaminated, all columns as they are; each row is judged by its own text."""
+    known = Items(items, window, block_words)
+    if known.blocks == 1:
+        find = _finder(docs.sparkSession, known.automaton(0), False)
+        return docs.withColumn("_found", find("text")).where(~_over(coverage, "_found.")).select(*docs.columns)
+    judged = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = judged.select(F.col("_key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    bad = find_items(texts, items, window, block_words, coverage).where("contaminated").select(F.col("doc_id").alias("_key"))
+    return judged.join(bad, "_key", "left_anti").select(*docs.columns)

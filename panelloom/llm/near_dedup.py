@@ -18,7 +18,7 @@ SIMILARITY = 80
 #: Two sets of similarity s share a table with probability (1 - (1 - s ** DEPTH) ** SIDE) ** 2, which is 0.9994 at 0.8 and 0.99993 at 0.85.
 SIDE, DEPTH = 8, 2
 #: Documents and bytes of text that are compared inside one task at a time (two blocks of them); larger groups are cut into blocks.
-BLOCK_DOCUMENTS, BLOCK_BYTES = 512, 16_000_000
+BLOCK_DOCUMENTS, BLOCK_BYTES = 1024, 16_000_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.random.default_rng(9).integers(0, 2**63, 2 * SIDE * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,18 +98,17 @@ def links_of(nodes: list, blocks: np.ndarray, texts: list[str], entry: int, simi
     mins = minhashes(sets)
     table = collections(mins)
     sizes = np.array([len(s) for s in sets])
-    same_first = table[:, None, 0] == table[None, :, 0]
-    lead = np.where(same_first, 0, SIDE)
-    for k in range(1, SIDE):
-        lead = np.where((lead == SIDE) & (table[:, None, k] == table[None, :, k]), k, lead)
-    second = np.zeros((len(sets), len(sets)), bool)
-    for k in range(SIDE, 2 * SIDE):
-        second |= table[:, None, k] == table[None, :, k]
+    lead, second = np.full((len(sets), len(sets)), SIDE, np.int8), np.zeros((len(sets), len(sets)), bool)
+    for k in reversed(range(SIDE)):
+        lead[table[:, None, k] == table[None, :, k]] = k
+        second |= table[:, None, SIDE + k] == table[None, :, SIDE + k]
     wanted = np.triu(second & (lead == entry if entry >= 0 else lead < SIDE), 1)
     if len(np.unique(blocks)) > 1:
         wanted &= blocks[:, None] != blocks[None, :]
-    wanted &= (100 * np.minimum(sizes[:, None], sizes[None, :]) >= similarity * np.maximum(sizes[:, None], sizes[None, :])) & (np.array(nodes)[:, None] != np.array(nodes)[None, :])
     left, right = np.nonzero(wanted)
+    names = np.array(nodes)
+    near = (100 * np.minimum(sizes[left], sizes[right]) >= similarity * np.maximum(sizes[left], sizes[right])) & (names[left] != names[right])
+    left, right = left[near], right[near]
     agree = np.zeros(len(left), np.int64)
     for k in range(mins.shape[1]):
         agree += mins[left, k] == mins[right, k]
@@ -140,8 +139,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, text: str = "
     1. Signatures: minhashes of every whole text in one pass, and a digest of the set. Texts with equal sets are one node, the smallest id among them.
     2. Tables: nodes that share a table key are tied to the smallest of them, which takes rows in proportion to the nodes, never pairs; the tied nodes form
        clusters inside which all candidate pairs lie.
-    3. Cells: the texts of a small cluster meet in one task. A large cluster is split by the entries of the first collection, and what is still larger into
-       blocks, each pair of blocks a task of bounded size. No pair is dropped: see ``links_of``.
+    3. Cells: the texts of a small cluster meet in one task. A large cluster is cut into blocks, each pair of blocks a task of bounded size: see ``_cells``. No
+       pair is dropped: see ``links_of``.
     4. Links that tie each cell together are joined into components.
 
     Returns doc_id, n_shingles, component_id (the smallest id reached), kept (doc_id = component_id). Null and empty texts have no shingle and are linked with
@@ -180,19 +179,24 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, text: str = "
 
 
 def _cells(clusters: DataFrame) -> DataFrame:
-    """Where the texts of clusters meet: node, cell, entry (-1: any), block (of the node), one and two (the blocks that meet)."""
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
-    sized = clusters.join(sizes, "cluster")
-    small = (F.col("n") <= BLOCK_DOCUMENTS) & (F.col("bytes") <= BLOCK_BYTES)
-    zero = F.lit(0)
-    whole = sized.where(small).select("node", F.col("cluster").cast("string").alias("cell"), F.lit(-1).alias("entry"), zero.alias("block"), zero.alias("one"), zero.alias("two"))
-    entries = sized.where(~small).select("node", "n_bytes", F.posexplode("first").alias("entry", "hash"))
-    counts = (entries.groupBy("entry", "hash").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).where("n > 1")
-              .withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK_DOCUMENTS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")))
-    dealt = entries.join(counts, ["entry", "hash"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meet = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    split = meet.select("node", F.col("hash").cast("string").alias("cell"), "entry", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    return whole.unionByName(split)
+    """Where the texts of clusters meet: node, cell, entry (-1: any), block (of the node), one and two (the blocks that meet).
+
+    A cluster of one block is one cell. A larger one is cut into blocks, all pairs of which meet, either as a whole or inside each entry of the first
+    collection, whichever moves fewer texts: a crowd of copies shares all entries, a loose cluster hardly any. Both ways look at every candidate pair.
+    """
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_DOCUMENTS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    totals = [F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")]
+    sizes = clusters.groupBy("cluster").agg(*totals).withColumn("blocks", blocks)
+    large = clusters.join(sizes.where("blocks > 1").select("cluster"), "cluster", "left_semi").select("cluster", "node", "n_bytes", F.posexplode("first").alias("entry", "hash"))
+    entries = large.groupBy("cluster", "entry", "hash").agg(*totals).where("n > 1").withColumn("blocks", blocks)
+    by_entry = entries.groupBy("cluster").agg(F.sum(F.col("n") * F.col("blocks")).alias("moved"))
+    plan = sizes.join(by_entry, "cluster", "left").withColumn("loose", F.coalesce(F.col("moved"), F.lit(0)) < F.col("n") * F.col("blocks")).withColumn("loose", F.col("loose") & (F.col("blocks") > 1))
+    name = F.col("cluster").cast("string")
+    whole = clusters.join(plan.where("NOT loose").select("cluster", "blocks"), "cluster").select("node", name.alias("cell"), F.lit(-1).alias("entry"), "blocks")
+    split = (large.join(plan.where("loose").select("cluster"), "cluster", "left_semi").join(entries.select("cluster", "entry", "hash", "blocks"), ["cluster", "entry", "hash"])
+             .select("node", F.concat_ws(" ", name, "hash").alias("cell"), "entry", "blocks"))
+    dealt = whole.unionByName(split).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return dealt.select("node", "cell", "entry", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
 
 
 def first_of_each(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:

@@ -141,6 +141,8 @@ def test_decontamination(spark, docs, none, folder):
     blocks = decontaminate.find_items(docs, items, block_words=5)
     columns = ["doc_id", "n_words", "n_hit", "contaminated", "spans", "items"]
     assert sorted(map(str, blocks.select(columns).collect())) == sorted(map(str, found.select(columns).collect()))
+    kept = [decontaminate.clean_documents(docs, items, block_words=n).select("doc_id", "text").collect() for n in (5, 1000)]
+    assert sorted(map(str, kept[0])) == sorted(map(str, kept[1])) and {r.doc_id for r in kept[0]} & {9, 10, 11} == set() and len(kept[0]) == len(TEXTS) - sum(r.contaminated for r in found.collect())
     assert decontaminate.find_items(none, items).count() == 0 and decontaminate.find_items(docs, items.where("false")).where("n_hit > 0").count() == 0
 
 
@@ -218,7 +220,7 @@ def test_near_duplicates_in_blocks_against_loops(spark, monkeypatch):
             own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
         rows.append((d * 3 + 1, " ".join(own)))
     want = near_components(rows)
-    for most in (512, 20):
+    for most in (1024, 20):
         monkeypatch.setattr(near_dedup, "BLOCK_DOCUMENTS", most)
         got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert got == want
