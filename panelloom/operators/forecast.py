@@ -310,11 +310,11 @@ SATURATIONS = (1.05, 1.2, 1.5, 2.0, 3.0, 5.0)
 def fit_curves(series: DataFrame, curve: str, saturations: tuple[float, ...] = SATURATIONS) -> DataFrame:
     """(key, a, b, c, sse): for each saturation level the curve is a line after its own transform; the lowest squared error on
     the original scale wins (the lower level among equals)."""
-    rows = indexed(series).withColumn("_top", F.max("value").over(W.partitionBy("key"))).where("value > 0")
+    rows = indexed(series).withColumn("_top", F.max("value").over(W.partitionBy("key"))).where("_top > 0")
     grid = rows.withColumn("_s", F.explode(F.array(*[F.lit(s) for s in saturations]))).withColumn("a", F.col("_top") * F.col("_s"))
     v, t, a = F.col("value"), F.col("t"), F.col("a")
-    y = F.log(-F.log(v / a)) if curve == "gompertz" else F.log(v / (a - v))
-    fits = grid.groupBy("key", "_s", "a").agg(F.regr_slope(y, t).alias("_k"), F.regr_intercept(y, t).alias("_i"), F.array_sort(F.collect_list(F.struct("t", "value"))).alias("_rows"))
+    y = F.when(v > 0, F.log(-F.log(v / a)) if curve == "gompertz" else F.log(v / (a - v)))  # only positive values have a transform; the error counts all
+    fits = grid.groupBy("key", "_s", "a").agg(F.regr_slope(y, F.when(y.isNotNull(), t)).alias("_k"), F.regr_intercept(y, F.when(y.isNotNull(), t)).alias("_i"), F.array_sort(F.collect_list(F.struct("t", "value"))).alias("_rows"))
     b, c = (F.exp("_i"), -F.col("_k")) if curve == "gompertz" else (F.try_divide(-F.col("_i"), F.col("_k")), F.col("_k"))
     shape = gompertz if curve == "gompertz" else logistic
     fits = fits.withColumn("b", b).withColumn("c", c)
@@ -492,8 +492,24 @@ def categories() -> dict[str, list[str]]:
 
 
 def forecast_many(series: DataFrame, models: list[str], horizon: int, frequency: str = "M", **options: dict) -> DataFrame:
-    """Long table of several models over the same series."""
-    return reduce(DataFrame.unionByName, [forecaster(m)(series, horizon, frequency, **options.get(m, {})) for m in models])
+    """Long table of several models over the same series, with every step of every key: see ``complete``."""
+    return reduce(DataFrame.unionByName, [complete(forecaster(m)(series, horizon, frequency, **options.get(m, {})), m, series, horizon, frequency) for m in models])
+
+
+#: Forecasters that have no value for some keys or steps: too short a history, or no row one season back.
+PARTIAL = ("exponential_smoothing", "seasonal_naive", "autoregressive", "pooled")
+
+
+def complete(main: DataFrame, model: str, series: DataFrame, horizon: int, frequency: str = "M") -> DataFrame:
+    """The model's rows, and for keys and steps that it leaves out those of ``with_fallback`` under the model's name, with the reason."""
+    known = main.withColumn("reason", F.lit(None).cast("string"))
+    if model not in PARTIAL:
+        return known
+    rows = with_fallback(main, series, horizon, frequency)
+    label = F.first(F.when(F.col("model") != "fallback", F.col("model")), True).over(W.partitionBy("key"))
+    named = rows.withColumn("_label", F.coalesce(label, F.lit(model)))
+    filled = F.col("model") == "fallback"
+    return named.select(*[F.col("_label").alias("model") if c == "model" else F.col(c) for c in main.columns], F.when(filled, F.lit("no value of the model")).alias("reason"))
 
 
 def with_fallback(main: DataFrame, series: DataFrame, horizon: int, frequency: str = "M") -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from panelloom.functions.session import cut_lineage
 from panelloom.roles import DEFAULT, Roles
 
-MAX_DEPTH = 64
 FIRST_REGION_ID = 90_000
 # Fragments that mark a row for the whole world.
 WORLD_TERMS = ("world", "global", "total", "worldwide")
@@ -38,25 +37,24 @@ def region_ids(edges: DataFrame) -> DataFrame:
     return names.withColumn("region_id", F.lit(FIRST_REGION_ID - 1) + F.row_number().over(W.orderBy("region")))
 
 
-def closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(ancestor, descendant, depth) for every path length; loops over levels only, each one a join.
+def closure(edges: DataFrame) -> DataFrame:
+    """(ancestor, descendant, depth) for every path length; loops over levels only, each one a join, however deep they go.
 
-    A cycle would keep the frontier alive, so the depth guard raises instead of running on.
+    A name that comes up below itself is a cycle, which would go on for ever: it raises.
     """
     pairs = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct()
     frontier = cut_lineage(pairs.withColumn("depth", F.lit(1)))
     step = edges.select(F.col("parent").alias("descendant"), F.col("child").alias("_next")).distinct()
-    levels = frontier
-    for depth in range(2, max_depth + 2):
+    levels, depth = frontier, 1
+    while frontier.where("ancestor = descendant").isEmpty():
+        depth += 1
         frontier = (frontier.join(step, "descendant").select("ancestor", F.col("_next").alias("descendant"))
                     .distinct().withColumn("depth", F.lit(depth)))
         frontier = cut_lineage(frontier)
         if frontier.isEmpty():
             return levels
-        if depth > max_depth:
-            break
         levels = levels.unionByName(frontier)
-    raise ValueError(f"region definitions are deeper than {max_depth} levels or hold a cycle")
+    raise ValueError("region definitions hold a cycle")
 
 
 def leaves(edges: DataFrame, closed: DataFrame | None = None) -> DataFrame:
@@ -72,17 +70,24 @@ def levels(edges: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     return leaves(edges, closed).groupBy("region").agg(F.max("depth").alias("level"))
 
 
-def cycles(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Names that reach themselves. Pairs are kept once whatever the number of ways, so the loop ends on cyclic input."""
-    pairs = cut_lineage(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
-    step = edges.select(F.col("parent").alias("descendant"), F.col("child").alias("_next")).distinct()
-    fresh = pairs
-    for _ in range(max_depth):
-        fresh = cut_lineage(fresh.join(step, "descendant").select("ancestor", F.col("_next").alias("descendant")).distinct()
-                            .join(pairs, ["ancestor", "descendant"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        pairs = pairs.unionByName(fresh)
+def cycles(edges: DataFrame) -> DataFrame:
+    """Names that reach themselves, however long the way.
+
+    First whatever has no parent or no child left is taken off, again and again: it lies on no cycle, and an edge list without cycles
+    is empty after that. Among the rest the known ways are joined with themselves, which doubles their length each time, until no new
+    pair comes up.
+    """
+    left = cut_lineage(edges.select("parent", "child").distinct())
+    size, before = left.count(), -1
+    while size not in (0, before):
+        inner = left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+        left = cut_lineage(inner.join(inner.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("parent", "child"))
+        size, before = left.count(), size
+    pairs, known, before = left.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")), size, -1
+    while known != before:
+        further = pairs.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("_next"))
+        pairs = cut_lineage(pairs.join(further, "descendant").select("ancestor", F.col("_next").alias("descendant")).unionByName(pairs).distinct())
+        known, before = pairs.count(), known
     return pairs.where("ancestor = descendant").select(F.col("ancestor").alias("region")).distinct()
 
 

@@ -178,20 +178,22 @@ def growth_limits(shares: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
                         S.clip(F.col("_q10") * 1.5, -50.0, -20.0).alias("min_growth_rate"))
 
 
-def limit_growth(projected: DataFrame, shares: DataFrame, years: list[int], limits: DataFrame,
+def limit_growth(projected: DataFrame, shares: DataFrame, horizon: int, limits: DataFrame,
                  settings: DistributionSettings = DistributionSettings(), roles: Roles = DEFAULT) -> DataFrame:
     """Hold each year's share growth to the limits against the year before *after* its own limit and rescale.
 
-    Years depend on each other across entities, so this is a driver loop over at most the horizon; each step is a keyed join and
+    Every market steps on from its own last year. Years depend on each other across entities, so this is a driver loop over the horizon; each step is a keyed join and
     two aggregates, and its result is cut off from its lineage so that neither the plan nor a recovery grows with the years.
     """
     last = shares.groupBy(*roles.by).agg(F.max(roles.year).alias(roles.year))
     before = (shares.join(last if roles.by else F.broadcast(last), roles.period, "left_semi")
               .select(*roles.entity, F.col(SHARE).alias("_prev")))
-    projected, limits = cut_lineage(projected), cut_lineage(limits)
+    ends = last.withColumnRenamed(roles.year, "_last")
+    stepped = projected.join(ends, list(roles.by)) if roles.by else projected.transform(with_row, ends)
+    stepped, limits = cut_lineage(stepped.withColumn("_step", F.col(roles.year) - F.col("_last"))), cut_lineage(limits)
     done = []
-    for year in years:
-        rows = projected.where(F.col(roles.year) == year).join(before, roles.entity, "left")
+    for step in range(1, horizon + 1):
+        rows = stepped.where(F.col("_step") == step).join(before, roles.entity, "left")
         rows = rows.join(limits, list(roles.by), "left") if roles.by else rows.transform(with_row, limits, "left")
         rows = rows.withColumn("_prev", F.when(F.col("_prev") > 0, F.col("_prev")).otherwise(F.lit(0.01)))
         size = (F.when(F.col("_prev") < 1.0, 2.0).when(F.col("_prev") < 5.0, 1.5).otherwise(1.0)
@@ -220,9 +222,12 @@ def carry_missing_years(shares: DataFrame, world: DataFrame, roles: Roles = DEFA
 
 
 def distribute_values(shares: DataFrame, world: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
-    """value = share of the total, with shares first brought to 100 so that every market-year adds up to its total."""
+    """value = share of the total, with shares first brought to 100 so that every market-year adds up to its total.
+
+    A market-year that the total series lacks stays, with a null value; ``fill_total_series`` gives it one beforehand.
+    """
     sums = shares.groupBy(*roles.period).agg(F.sum(SHARE).alias("_sum"))
-    side = sums.join(world.select(*roles.period, F.col(roles.value).alias("_world")), roles.period)
+    side = sums.join(world.select(*roles.period, F.col(roles.value).alias("_world")), roles.period, "left")
     joined = shares.drop(roles.value).join(calendar_side(side, roles.by), roles.period)
     off = (F.abs(F.col("_sum") - 100) > 0.01) & (F.col("_sum") > 0)
     return (joined.withColumn(SHARE, F.when(off, F.col(SHARE) / F.col("_sum") * 100).otherwise(F.col(SHARE)))
@@ -343,15 +348,20 @@ def rescale_to_total(df: DataFrame, world: DataFrame, tolerance: float = 0.001,
             .withColumn(roles.value, F.col(roles.value) * F.coalesce("_f", F.lit(1.0))).drop("_f"))
 
 
-def distribute(history: DataFrame, world: DataFrame, horizon: int, last_year: int,
+def distribute(history: DataFrame, world: DataFrame, horizon: int,
                settings: DistributionSettings = DistributionSettings(), roles: Roles = DEFAULT,
                adjust=None, regions: DataFrame | None = None) -> DataFrame:
     """The whole work: shares, tiers, projection, optional share adjustment, limits, values, smoothing, totals, regions.
 
-    ``world`` holds the total of every year wanted. ``adjust`` maps shares to adjusted shares. ``regions`` is a closure table
-    (region, leaf); region rows are computed last from the final entity rows and carry ``region_type = 'region'``.
+    ``world`` holds the totals; years that it lacks are filled in (``fill_total_series``), and a historical year of it without entity rows
+    takes the latest shares. Every market is carried ``horizon`` years on from its own last year. ``adjust`` maps shares to adjusted shares.
+    ``regions`` is a closure table (region, leaf); region rows are computed last from the final entity rows and carry
+    ``region_type = 'region'``.
     """
     shares = market_shares(history, roles, settings.zero_policy)
+    ends = history.groupBy(*roles.by).agg(F.max(roles.year).alias("_last"))
+    past = world.join(ends, list(roles.by)) if roles.by else world.transform(with_row, ends)
+    shares = carry_missing_years(shares, past.where(F.col(roles.year) <= F.col("_last")), roles)
     # The raw rows are read once: everything below works on one row per entity-year.
     shares = cut_lineage(shares.withColumn("tier", tier_of(SHARE, settings.tier_thresholds)))
     projected = project_shares(shares.drop("tier"), horizon, settings, roles)
@@ -362,10 +372,11 @@ def distribute(history: DataFrame, world: DataFrame, horizon: int, last_year: in
             *roles.by, F.lit(settings.max_growth_rate).alias("max_growth_rate"), F.lit(settings.min_growth_rate).alias("min_growth_rate"))
     else:
         limits = growth_limits(shares, roles)
-    years = [last_year + h for h in range(1, horizon + 1)]
-    limited = limit_growth(projected, shares, years, limits, settings, roles)
+    limited = limit_growth(projected, shares, horizon, limits, settings, roles)
     columns = [*roles.entity, roles.name, roles.year, SHARE, "tier"]
-    values = distribute_values(shares.select(*columns).unionByName(limited.select(*columns)), world, roles)
+    both = shares.select(*columns).unionByName(limited.select(*columns))
+    world = cut_lineage(fill_total_series(world, both.select(*roles.period).distinct(), roles=roles).drop("rule"))
+    values = distribute_values(both, world, roles)
     if settings.start_year is not None:
         kept = shares.select(*columns, roles.value)
         values = splice(kept, values.where(F.col(roles.year) >= settings.start_year).select(*columns, roles.value), settings.start_year, roles)

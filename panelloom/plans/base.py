@@ -76,36 +76,33 @@ SQL["panel"] = """
     FROM lineitem GROUP BY 1, 2, 3) p JOIN supplier s ON s.s_suppkey = p.id"""
 
 
-def panel(spark, sf, before: int | None = None) -> DataFrame:
+def panel(spark, sf) -> DataFrame:
     """(market, id, name, year, value). Line items are summed before the name join, so only the sums are shuffled."""
-    lines = table(spark, sf, "lineitem")
-    if before is not None:
-        lines = lines.where(F.col("l_shipdate") < F.lit(f"{before}-01-01").cast("timestamp_ntz"))
-    sums = (lines.groupBy(F.col("l_returnflag").alias("market"), F.col("l_suppkey").alias("id"),
+    sums = (table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("market"), F.col("l_suppkey").alias("id"),
                           F.year("l_shipdate").alias("year")).agg(money("l_extendedprice").alias("value")))
     names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     return sums.join(names, "id").select("market", "id", "name", "year", "value")
 
 
-# 2001 is a part year, so annual fits stop at 2000.
-SQL["history"] = "SELECT * FROM panel WHERE year <= 2000"
+#: The year that queries about one year ask for, and the first day that monthly fits do not see (what follows is held out).
+LATEST, ORIGIN = 2001, "2001-01-01"
+
+# Every row of the tables counts, the part year at the end included.
+SQL["history"] = "SELECT * FROM panel"
 NEEDS["history"] = ("panel",)
 
 
 def history(spark, sf) -> DataFrame:
-    return panel(spark, sf, before=2001)
+    return panel(spark, sf)
 
 
 SQL["world"] = "SELECT market, year, CAST(sum(CAST(value AS DECIMAL(28,2))) AS DOUBLE) AS value FROM history GROUP BY 1, 2"
 NEEDS["world"] = ("history",)
 
 
-def world(spark, sf, before: int | None = 2001) -> DataFrame:
+def world(spark, sf) -> DataFrame:
     """Total per market and year."""
-    lines = table(spark, sf, "lineitem")
-    if before is not None:
-        lines = lines.where(F.col("l_shipdate") < F.lit(f"{before}-01-01").cast("timestamp_ntz"))
-    return (lines.groupBy(F.col("l_returnflag").alias("market"), F.year("l_shipdate").alias("year"))
+    return (table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("market"), F.year("l_shipdate").alias("year"))
             .agg(money("l_extendedprice").alias("value")))
 
 
@@ -244,7 +241,7 @@ SQL["shares"] = """
   FROM history h JOIN totals t USING (market, year)"""
 NEEDS["shares"] = ("totals",)
 
-# ---- forecasts against actuals: naive growth and flat forecasts of 1996..2000 ------------------------------------------
+# ---- forecasts against actuals: naive growth and flat forecasts of each year ------------------------------------------
 
 SQL["scored"] = """
   SELECT a.market, a.id, a.year, m.model, a.value AS actual,
@@ -279,13 +276,13 @@ def sql_uniform(*parts: str) -> str:
 
 SQL["scenarios"] = f"""
   SELECT market, id, year, CAST(s AS BIGINT) AS scenario_id, value * (0.8 + 0.4 * {sql_uniform('market', 'id', 's')}) AS value
-  FROM history, range(1, {DRAWS + 1}) t(s) WHERE year >= 1998"""
+  FROM history, range(1, {DRAWS + 1}) t(s)"""
 NEEDS["scenarios"] = ("history",)
 
 
 def scenarios(spark, sf) -> DataFrame:
-    """(market, id, year, scenario_id, value): caller-supplied draws, here from a key hash, over 1998..2000."""
-    return (history(spark, sf).where("year >= 1998")
+    """(market, id, year, scenario_id, value): caller-supplied draws, here from a key hash, for every year."""
+    return (history(spark, sf)
             .withColumn("scenario_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(DRAWS).cast("bigint"))))
             .select("market", "id", "year", "scenario_id",
                     (F.col("value") * (0.8 + 0.4 * S.key_uniform("market", "id", "scenario_id"))).alias("value")))

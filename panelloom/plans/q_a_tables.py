@@ -27,22 +27,20 @@ def _(spark, sf):
 
 @query("a04_wide_to_long", ctes("trade") + "SELECT id, name, year, round(value, 2) AS value FROM trade WHERE year BETWEEN 1995 AND 2001")
 def _(spark, sf):
-    wide = R.long_to_wide(trade(spark, sf), YEARS, "sum", ONE)
+    wide = R.long_to_wide(trade(spark, sf), None, "sum", ONE)
     return tidy(R.wide_to_long(wide, ONE, drop_nulls=True), id="bigint", name="string", year="int", value=2)
 
 
 @query("a05_long_to_wide", ctes("trade") + "SELECT id, name, " + ", ".join(
     f'round(sum(value) FILTER (WHERE year = {y}), 2) AS "{y}"' for y in YEARS) + " FROM trade GROUP BY id, name")
 def _(spark, sf):
-    return tidy(R.long_to_wide(trade(spark, sf), YEARS, "sum", ONE), id="bigint", name="string", **{str(y): 2 for y in YEARS})
+    return tidy(R.long_to_wide(trade(spark, sf), None, "sum", ONE), id="bigint", name="string", **{str(y): 2 for y in YEARS})
 
 
 @query("a05_mean_by_brand", ctes("parts") + "SELECT market, " + ", ".join(
-    f'{r(f"avg(value) FILTER (WHERE year = {y}) + 0.000003", 4)} AS "{y}"' for y in YEARS) + " FROM parts GROUP BY market")
+    f'CAST(sum(CAST(value AS DECIMAL(28,6))) FILTER (WHERE year = {y}) AS DOUBLE) / count(*) FILTER (WHERE year = {y}) AS "{y}"' for y in YEARS) + " FROM parts GROUP BY market")
 def _(spark, sf):
-    wide = R.long_to_wide(parts(spark, sf), YEARS, "mean", keys=["market"])
-    # A mean of cents can end exactly on a rounding border; both sides move it off the border.
-    return tidy(wide.select("market", *[(F.col(str(y)) + 0.000003).alias(str(y)) for y in YEARS]), market="string", **{str(y): 4 for y in YEARS})
+    return R.long_to_wide(parts(spark, sf), None, "mean", keys=["market"])
 
 
 @query("a06_lenient_numbers", "SELECT o_orderkey AS id, year(o_orderdate)::INTEGER AS year, round(o_totalprice, 2) AS value FROM orders WHERE o_orderpriority NOT LIKE '5%'")
@@ -56,7 +54,7 @@ def _(spark, sf):
 @query("a07_type_label", ctes("panel") + """SELECT market, year, CASE WHEN year < 2000 THEN 'Historical' ELSE 'Forecast' END AS type,
   round(sum(CAST(value AS DECIMAL(28,2)))::DOUBLE, 2) AS value FROM panel GROUP BY 1, 2""")
 def _(spark, sf):
-    return tidy(R.label_type(world(spark, sf, before=None), 2000), market="string", year="int", type="string", value=2)
+    return tidy(R.label_type(world(spark, sf), 2000), market="string", year="int", type="string", value=2)
 
 
 @query("a08_previous_row_growth", ctes("world") + f"""SELECT market, year, {r('coalesce((value / nullif(lag(value) OVER (PARTITION BY market ORDER BY year), 0) - 1) * 100, 0)')}
@@ -337,6 +335,38 @@ def _(spark, sf):
     return tidy(R.coerce_numbers(back, {"id": "bigint", "year": "int", "value": "double"}, strict=True), market="string", id="bigint", year="int", value=2)
 
 
+@query("a01_mixed_encodings", ctes("panel") + "SELECT market, id, name || ' é' AS name, year, round(value, 2) AS value FROM panel")
+def _(spark, sf):
+    path, rows = _folder(spark), panel(spark, sf).withColumn("name", F.concat("name", F.lit(" é")))
+    for encoding, odd in (("ISO-8859-1", 1), ("UTF-8", 0)):
+        rows.where(F.col("id") % 2 == odd).write.option("header", True).option("encoding", encoding).csv(f"{path}/{odd}")
+    back = R.read_csv_any(spark, [f"{path}/0", f"{path}/1"])
+    return tidy(R.coerce_numbers(back, {"id": "bigint", "year": "int", "value": "double"}, strict=True), market="string", id="bigint", name="string", year="int", value=2)
+
+
+@query("a03_wide_table_with_own_names", ctes("trade") + "SELECT id AS code, name AS country, year AS yr, round(value, 2) AS amount FROM trade")
+def _(spark, sf):
+    own = DEFAULT.with_(id="code", name="country", year="yr", value="amount", by=())
+    wide = R.long_to_wide(trade(spark, sf), None, "sum", ONE).withColumnsRenamed({"id": "code", "name": "country"})
+    return tidy(R.to_long(wide, own).where("amount IS NOT NULL"), code="bigint", country="string", yr="int", amount=2)
+
+
+@query("a11_sink_formats", ctes("panel") + "SELECT format, market, id, year, round(value, 2) AS value FROM panel, (VALUES ('csv'), ('json'), ('wide')) f(format)")
+def _(spark, sf):
+    from panelloom.sources.sinks import write_panel, write_wide
+    path, rows, types = _folder(spark), panel(spark, sf), {"id": "bigint", "year": "int", "value": "double"}
+    write_panel(rows, f"{path}/csv", "csv")
+    write_panel(rows, f"{path}/json", "json")
+    write_wide(rows, f"{path}/wide", None)
+    back = {"csv": R.coerce_numbers(R.read_csv(spark, f"{path}/csv"), types, strict=True), "json": R.coerce_numbers(spark.read.json(f"{path}/json"), types, strict=True),
+            "wide": R.wide_to_long(R.read_parquet(spark, f"{path}/wide"), drop_nulls=True)}
+    out = None
+    for name, df in back.items():
+        part = df.select(F.lit(name).alias("format"), "market", "id", "year", "value")
+        out = part if out is None else out.unionByName(part)
+    return tidy(out, format="string", market="string", id="bigint", year="int", value=2)
+
+
 @query("a11_partitioned_sink", ctes("panel") + "SELECT market, id, year, round(value, 2) AS value FROM panel WHERE year = 1998")
 def _(spark, sf):
     from panelloom.sources.sinks import write_panel

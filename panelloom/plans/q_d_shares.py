@@ -7,7 +7,7 @@ from panelloom.operators import forecast as fc, regions as rg, shares as sh
 from panelloom.plans.base import SQL, NEEDS, ctes, edges, history, panel, parts, query, r, tidy, world
 from panelloom.roles import DEFAULT, DistributionSettings
 
-HORIZON, LAST = 3, 2000
+HORIZON, LAST = 3, 2001
 THRESHOLDS = (2.0, 1.0, 0.5)
 SET = DistributionSettings(tier_thresholds=THRESHOLDS)
 TIER = "CASE WHEN {0} >= 2 THEN 1 WHEN {0} >= 1 THEN 2 WHEN {0} >= 0.5 THEN 3 ELSE 4 END"
@@ -42,7 +42,7 @@ SQL["limits"] = """SELECT market, least(greatest(quantile_cont(g, 0.9) * 1.5, 40
   SELECT market, CASE WHEN lag(year) OVER w = year - 1 THEN (market_share / lag(market_share) OVER w - 1) * 100 END AS g
   FROM shares WINDOW w AS (PARTITION BY market, id ORDER BY year)) GROUP BY 1"""
 NEEDS["limits"] = ("shares",)
-_prev = "SELECT market, id, market_share AS p FROM shares WHERE year = 2000"
+_prev = "SELECT market, id, market_share AS p FROM shares WHERE year = 2001"
 for _h in range(1, HORIZON + 1):
     _y = LAST + _h
     SQL[f"held{_h}"] = f"""SELECT market, id, name, year, tier, CASE WHEN g > mx * f THEN p * (1 + mx * f / 100) WHEN g < mn * f THEN p * (1 + mn * f / 100) ELSE market_share END AS s FROM (
@@ -108,9 +108,7 @@ def _(spark, sf):
 
 @query("d03_one_entity_market", f"SELECT l_suppkey AS market, year(l_shipdate)::INTEGER AS year, CASE WHEN sum(l_extendedprice) > 0 THEN 100.0::DOUBLE END AS market_share, 1 AS tier FROM lineitem GROUP BY 1, 2")
 def _(spark, sf):
-    one = (history(spark, sf).select(F.col("id").alias("market"), "id", "name", "year", "value")
-           .unionByName(panel(spark, sf).where("year > 2000").select(F.col("id").alias("market"), "id", "name", "year", "value"))
-           .groupBy("market", "id", "name", "year").agg(F.sum("value").alias("value")))
+    one = history(spark, sf).select(F.col("id").alias("market"), "id", "name", "year", "value").groupBy("market", "id", "name", "year").agg(F.sum("value").alias("value"))
     out = sh.market_shares(one).withColumn("tier", sh.tier_of("market_share", (5.0, 1.0, 0.1)))
     return tidy(out, market="bigint", year="int", market_share=6, tier="int")
 
@@ -125,12 +123,12 @@ def _(spark, sf):
     return tidy(sh.phases(shares(spark, sf)), market="string", id="bigint", mean_change=6, std_change=6, phase="string")
 
 
-@query("d06_growth_bounds", ctes("phase", "bounds", t="SELECT market, id, " + TIER.format("market_share") + " AS tier FROM shares WHERE year = 2000",
+@query("d06_growth_bounds", ctes("phase", "bounds", t="SELECT market, id, " + TIER.format("market_share") + " AS tier FROM shares WHERE year = 2001",
                                  f="SELECT * FROM (VALUES (1, 1.5, 0.7), (2, 1.2, 0.9), (3, 1.0, 1.0), (4, 0.8, 1.2)) f(tier, a, b)") +
        f"SELECT market, id, phase, tier, {r('lo * a')} AS low, {r('hi * b')} AS high FROM phase JOIN bounds USING (phase) JOIN t USING (market, id) JOIN f USING (tier)")
 def _(spark, sf):
     s = shares(spark, sf)
-    latest = s.where("year = 2000").select("market", "id", sh.tier_of("market_share", THRESHOLDS).alias("tier"))
+    latest = s.where("year = 2001").select("market", "id", sh.tier_of("market_share", THRESHOLDS).alias("tier"))
     low, high = sh.bound_columns(F.col("phase"), F.col("tier"))
     return tidy(sh.phases(s).join(latest, ["market", "id"]).withColumn("low", low).withColumn("high", high),
                 market="string", id="bigint", phase="string", tier="int", low=6, high=6)
@@ -154,10 +152,10 @@ def _(spark, sf):
     return tidy(sh.project_shares(shares(spark, sf), HORIZON, SET), **ROW, tier="int", market_share=6)
 
 
-@query("d11_tier_caps", ctes("shares") + f"""SELECT market, id, CAST(2000 + h AS INTEGER) AS year, {r("least((CASE " + TIER.format('market_share') + " WHEN 1 THEN 0.2 WHEN 2 THEN 0.3 ELSE 0.5 END)::DOUBLE * (1 + 0.2 * (h - 1)), 1.0)")} AS cap
-  FROM shares, range(1, 9) g(h) WHERE year = 2000""")
+@query("d11_tier_caps", ctes("shares") + f"""SELECT market, id, CAST(2001 + h AS INTEGER) AS year, {r("least((CASE " + TIER.format('market_share') + " WHEN 1 THEN 0.2 WHEN 2 THEN 0.3 ELSE 0.5 END)::DOUBLE * (1 + 0.2 * (h - 1)), 1.0)")} AS cap
+  FROM shares, range(1, 9) g(h) WHERE year = 2001""")
 def _(spark, sf):
-    d = shares(spark, sf).where("year = 2000").withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    d = shares(spark, sf).where("year = 2001").withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(8))))
     d = d.withColumn("cap", sh.tier_change_cap(sh.tier_of("market_share", THRESHOLDS), F.col("h"))).withColumn("year", F.col("year") + F.col("h"))
     return tidy(d, **ROW, cap=6)
 
@@ -170,12 +168,12 @@ def _(spark, sf):
 @query("d13_limit_growth", ctes("limited") + f"SELECT market, id, year, tier, {r('market_share')} AS market_share FROM limited")
 def _(spark, sf):
     s = cut_lineage(shares(spark, sf))
-    out = sh.limit_growth(sh.project_shares(s, HORIZON, SET), s, [2001, 2002, 2003], sh.growth_limits(s), SET)
+    out = sh.limit_growth(sh.project_shares(s, HORIZON, SET), s, HORIZON, sh.growth_limits(s), SET)
     return tidy(out, **ROW, tier="int", market_share=6)
 
 
 @query("d14_carry_years", ctes("shares", "world_all") + f"""SELECT market, id, year, {r('market_share')} AS market_share FROM shares
-  UNION ALL SELECT s.market, s.id, w.year, {r('s.market_share')} FROM shares s JOIN world_all w ON w.market = s.market AND w.year > 2000 WHERE s.year = 2000""")
+  UNION ALL SELECT s.market, s.id, w.year, {r('s.market_share')} FROM shares s JOIN world_all w ON w.market = s.market AND w.year > 2001 WHERE s.year = 2001""")
 def _(spark, sf):
     w = fc.extend_total(world(spark, sf), HORIZON)
     return tidy(sh.carry_missing_years(shares(spark, sf), w), **ROW, market_share=6)
@@ -184,7 +182,7 @@ def _(spark, sf):
 @query("d15_values", ctes("valued") + f"SELECT market, id, year, {r('market_share')} AS market_share, {r('value', 4)} AS value FROM valued")
 def _(spark, sf):
     s = cut_lineage(shares(spark, sf))
-    lim = sh.limit_growth(sh.project_shares(s, HORIZON, SET), s, [2001, 2002, 2003], sh.growth_limits(s), SET)
+    lim = sh.limit_growth(sh.project_shares(s, HORIZON, SET), s, HORIZON, sh.growth_limits(s), SET)
     cols = ["market", "id", "year", "market_share"]
     out = sh.distribute_values(s.select(*cols).unionByName(lim.select(*cols)), fc.extend_total(world(spark, sf), HORIZON))
     return tidy(out, **ROW, market_share=6, value=4)
@@ -220,7 +218,7 @@ def _(spark, sf):
 
 @query("d18_smoothing", ctes("smoothed") + f"SELECT market, id, year, {r('value', 4)} AS value, {r('market_share')} AS market_share FROM smoothed")
 def _(spark, sf):
-    out = sh.distribute(history(spark, sf), fc.extend_total(world(spark, sf), HORIZON), HORIZON, LAST, DistributionSettings(tier_thresholds=THRESHOLDS))
+    out = sh.distribute(history(spark, sf), fc.extend_total(world(spark, sf), HORIZON), HORIZON, DistributionSettings(tier_thresholds=THRESHOLDS))
     return tidy(out, **ROW, value=4, market_share=6)
 
 
@@ -249,7 +247,7 @@ NEEDS["leaf"] = ("closure",)
 @query("d21_distribute", ctes("smoothed", "leaf") + f"""SELECT market, name, year, 'entity' AS region_type, tier, {r('value', 4)} AS value, {r('market_share')} AS market_share FROM smoothed
   UNION ALL SELECT market, region, year, 'region', NULL, {r('sum(value)', 2)}, NULL FROM smoothed JOIN leaf ON leaf = name GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    out = sh.distribute(history(spark, sf), fc.extend_total(world(spark, sf), HORIZON), HORIZON, LAST, DistributionSettings(tier_thresholds=THRESHOLDS),
+    out = sh.distribute(history(spark, sf), fc.extend_total(world(spark, sf), HORIZON), HORIZON, DistributionSettings(tier_thresholds=THRESHOLDS),
                         regions=rg.leaves(edges(spark, sf)))
     out = out.withColumn("value", F.when(F.col("region_type") == "entity", F.round("value", 4)).otherwise(F.round("value", 2)))
     return tidy(out, market="string", name="string", year="int", region_type="string", tier="int", value=4, market_share=6)

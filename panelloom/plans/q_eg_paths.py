@@ -137,20 +137,20 @@ TIER = "CASE WHEN {0} >= 2 THEN 1 WHEN {0} >= 1 THEN 2 WHEN {0} >= 0.5 THEN 3 EL
 
 
 def _latest(spark, sf):
-    d = dy.features(history(spark, sf)).where("year = 2000")
+    d = dy.features(history(spark, sf)).where("year = 2001")
     return d.withColumn("tier", sh.tier_of("market_share", (2.0, 1.0, 0.5)))
 
 
 SQL["feats"] = """SELECT market, id, year, value, market_share, g, coalesce(g, 0) AS growth_rate, CASE WHEN n > 2 THEN coalesce(stddev_samp(g) OVER (PARTITION BY market, id ORDER BY year ROWS 2 PRECEDING), 0) ELSE 0 END AS volatility, n FROM (
   SELECT *, (value / lag(value) OVER (PARTITION BY market, id ORDER BY year) - 1) * 100 AS g, count(*) OVER (PARTITION BY market, id) AS n FROM shares)"""
 NEEDS["feats"] = ("shares",)
-SQL["latest"] = f"SELECT *, {TIER.format('market_share')} AS tier FROM feats WHERE year = 2000"
+SQL["latest"] = f"SELECT *, {TIER.format('market_share')} AS tier FROM feats WHERE year = 2001"
 NEEDS["latest"] = ("feats",)
 
 
 @query("d07_automatic_tiers")
 def _(spark, sf):
-    return tr.share_tiers(sh.market_shares(history(spark, sf)), 2000)[1]
+    return tr.share_tiers(sh.market_shares(history(spark, sf)), 2001)[1]
 
 
 @query("g01_cluster_tiers")
@@ -162,7 +162,7 @@ def _(spark, sf):
 
 @query("g02_choose_k")
 def _(spark, sf):
-    return tr.choose_k(_latest(spark, sf), ["market_share", "growth_rate"], range(3, 6))[1]
+    return tr.choose_k(_latest(spark, sf), ["market_share", "growth_rate"], range(3, 9))[1]
 
 
 @query("g03_feature_importance", ctes("latest", u="SELECT tier, feature, v FROM (UNPIVOT (SELECT tier, market_share::DOUBLE AS market_share, growth_rate::DOUBLE AS growth_rate FROM latest) ON market_share, growth_rate INTO NAME feature VALUE v)",
@@ -182,7 +182,7 @@ def _(spark, sf):
 def _(spark, sf):
     f = cut_lineage(dy.features(history(spark, sf)))
     model, numbering = tr.fit(f.where("year = 1999"), ["market_share", "growth_rate"], 3)
-    return tr.predict(model, numbering, f.where("year = 2000")).select("market", "id", "year", "tier")
+    return tr.predict(model, numbering, f.where("year = 2001")).select("market", "id", "year", "tier")
 
 
 @query("g06_tier_transitions", ctes("parts", s="SELECT market, id, year, value / sum(value) OVER (PARTITION BY market, year) * 100 AS s FROM parts", t="SELECT *, " + TIER.format("s") + " AS tier FROM s",

@@ -51,18 +51,18 @@ def _(spark, sf):
 
 
 SQL["lagc"] = " UNION ALL ".join(
-    f"SELECT indicator, {k} AS lag, coalesce(corr(value, y), 0) AS c, count(y) AS n FROM (SELECT indicator, value, {'lead' if k >= 0 else 'lag'}(market_value, {abs(k)}) OVER (PARTITION BY id, indicator ORDER BY year) AS y FROM indicators) GROUP BY 1" for k in range(-3, 4))
+    f"SELECT indicator, {k} AS lag, coalesce(corr(value, y), 0) AS c, count(y) AS n FROM (SELECT indicator, value, {'lead' if k >= 0 else 'lag'}(market_value, {abs(k)}) OVER (PARTITION BY id, indicator ORDER BY year) AS y FROM indicators) GROUP BY 1" for k in range(-5, 6))
 NEEDS["lagc"] = ("indicators",)
 
 
 @query("h07_lagged_correlation", ctes("lagc") + f"SELECT indicator, lag::INTEGER AS lag, {r('c')} AS correlation, n::BIGINT AS n FROM lagc")
 def _(spark, sf):
-    return tidy(ind.lagged(indicators(spark, sf), 3), indicator="string", lag="int", correlation=6, n="bigint")
+    return tidy(ind.lagged(indicators(spark, sf), 5), indicator="string", lag="int", correlation=6, n="bigint")
 
 
 @query("h07_best_lag", ctes("lagc", k="SELECT *, row_number() OVER (PARTITION BY indicator ORDER BY abs(c) DESC) AS rn FROM lagc") + f"SELECT indicator, lag::INTEGER AS best_lag, {r('c')} AS correlation FROM k WHERE rn = 1")
 def _(spark, sf):
-    return tidy(ind.best_lag(ind.lagged(indicators(spark, sf), 3)), indicator="string", best_lag="int", correlation=6)
+    return tidy(ind.best_lag(ind.lagged(indicators(spark, sf), 5)), indicator="string", best_lag="int", correlation=6)
 
 
 SQL["roll"] = """SELECT key, indicator, date, CASE WHEN count(*) OVER w = 12 THEN corr(x, value) OVER w END AS rc FROM train JOIN mind USING (key, date) WINDOW w AS (PARTITION BY key, indicator ORDER BY date ROWS 11 PRECEDING)"""

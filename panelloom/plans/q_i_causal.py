@@ -36,7 +36,7 @@ def _(spark, sf):
 
 @query("i04_forest_benefit")
 def _(spark, sf):
-    return ca.forest_benefit(facts(spark, sf), list(INDICATORS), "market_value", 3)
+    return ca.forest_benefit(facts(spark, sf), list(INDICATORS), "market_value", 5)
 
 
 @query("i05_cusum", ctes("train", z="SELECT key, date, t, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS z FROM train WINDOW w AS (PARTITION BY key)",

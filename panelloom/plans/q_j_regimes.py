@@ -212,7 +212,8 @@ def _(spark, sf):
     return tidy(rg.current_regime(train(spark, sf)), key="bigint", recent=6, overall=6, regime="int", confidence="double")
 
 
-@query("j15_learning_record", ctes("scored", m="SELECT market, id, year, avg(abs(actual - forecast) / actual) * 100 AS e FROM scored GROUP BY 1, 2, 3", f="SELECT market, id, avg(e) AS m, regr_slope(e, year) AS s, corr(e, year) AS c, count(*) AS n FROM m GROUP BY 1, 2") +
+@query("j15_learning_record", ctes("scored", m="SELECT market, id, year, avg(abs(actual - forecast) / actual) * 100 AS e FROM scored GROUP BY 1, 2, 3", l="SELECT *, row_number() OVER (PARTITION BY market, id ORDER BY year) AS i FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY market, id ORDER BY year DESC) <= 5)",
+                                     f="SELECT market, id, avg(e) AS m, regr_slope(e, i) AS s, corr(e, i) AS c, count(*) AS n FROM l GROUP BY 1, 2") +
        f"SELECT market, id, {r('m')} AS recent_mean, {r('s')} AS slope, CASE WHEN abs(c * sqrt(3 / (1 - c * c))) <= {critical_t(0.05, 3)} THEN 'no_trend' WHEN s < -0.5 THEN 'improving' WHEN s > 0.5 THEN 'deteriorating' ELSE 'stable' END AS trend FROM f")
 def _(spark, sf):
     from panelloom.plans.base import scored

@@ -3,17 +3,17 @@
 from pyspark.sql import functions as F
 
 from panelloom.operators import forecast as fc, shares as sh
-from panelloom.plans.base import NEEDS, SQL, ctes, facts, history, mapping, monthly, query, r, tidy, trade
+from panelloom.plans.base import NEEDS, ORIGIN, SQL, ctes, facts, history, mapping, monthly, query, r, tidy, trade
 
 H = 6
 OUT = dict(key="bigint", date="date", horizon="int", value=4, lower=4, upper=4)
 
 
 def train(spark, sf):
-    return monthly(spark, sf).where("date < '2001-01-01'")
+    return monthly(spark, sf).where(F.col("date") < ORIGIN)
 
 
-SQL["train"] = "SELECT *, row_number() OVER (PARTITION BY key ORDER BY date) - 1 AS t, count(*) OVER (PARTITION BY key) AS n FROM monthly WHERE date < DATE '2001-01-01'"
+SQL["train"] = f"SELECT *, row_number() OVER (PARTITION BY key ORDER BY date) - 1 AS t, count(*) OVER (PARTITION BY key) AS n FROM monthly WHERE date < DATE '{ORIGIN}'"
 NEEDS["train"] = ("monthly",)
 SQL["lastd"] = "SELECT key, max(date) AS ld, arg_max(value, date) AS lv, arg_min(value, date) AS fv, min(date) AS fd FROM train GROUP BY 1"
 NEEDS["lastd"] = ("train",)
@@ -137,10 +137,10 @@ def _(spark, sf):
 
 
 def yearly(spark, sf):
-    return trade(spark, sf).where("year <= 2000").select(F.col("id").alias("key"), F.make_date("year", F.lit(1), F.lit(1)).alias("date"), "value")
+    return trade(spark, sf).select(F.col("id").alias("key"), F.make_date("year", F.lit(1), F.lit(1)).alias("date"), "value")
 
 
-SQL["yearly"] = "SELECT id AS key, year, value, row_number() OVER (PARTITION BY id ORDER BY year) - 1 AS t FROM trade WHERE year <= 2000"
+SQL["yearly"] = "SELECT id AS key, year, value, row_number() OVER (PARTITION BY id ORDER BY year) - 1 AS t FROM trade"
 NEEDS["yearly"] = ("trade",)
 
 
@@ -176,11 +176,11 @@ def _(spark, sf):
     return _curve(fc.fit_curves(yearly(spark, sf), "logistic"))
 
 
-@query("k09_substitution", ctes("facts", y="SELECT id AS key, returned AS f, row_number() OVER (PARTITION BY id ORDER BY year) - 1 AS t FROM facts WHERE year <= 2000",
+@query("k09_substitution", ctes("facts", y="SELECT id AS key, returned AS f, row_number() OVER (PARTITION BY id ORDER BY year) - 1 AS t FROM facts",
                                 l="SELECT key, regr_slope(ln(f / (1 - f)), t) AS b, regr_intercept(ln(f / (1 - f)), t) AS a FROM y WHERE f > 0 AND f < 1 GROUP BY 1") +
        f"SELECT key, {r('a')} AS a, {r('b')} AS b FROM l")
 def _(spark, sf):
-    s = facts(spark, sf).where("year <= 2000").select(F.col("id").alias("key"), F.make_date("year", F.lit(1), F.lit(1)).alias("date"), F.col("returned").alias("value"))
+    s = facts(spark, sf).select(F.col("id").alias("key"), F.make_date("year", F.lit(1), F.lit(1)).alias("date"), F.col("returned").alias("value"))
     return tidy(fc.fit_substitution(s).where("b is not null"), key="bigint", a=6, b=6)
 
 
@@ -246,10 +246,10 @@ def _(spark, sf):
     return tidy(_hier(spark, sf), market="string", id="bigint", mu=6, group_effect=6, tier_effect=6, growth=6)
 
 
-@query("k13_hierarchical_shares", ctes("hg", "shares", x="SELECT s.market, s.id, CAST(2000 + h AS INTEGER) AS year, s.market_share * pow(1 + growth, h) AS v FROM shares s JOIN hg USING (market, id), range(1, 4) g(h) WHERE s.year = 2000") +
+@query("k13_hierarchical_shares", ctes("hg", "shares", x="SELECT s.market, s.id, CAST(2001 + h AS INTEGER) AS year, s.market_share * pow(1 + growth, h) AS v FROM shares s JOIN hg USING (market, id), range(1, 4) g(h) WHERE s.year = 2001") +
        f"SELECT market, id, year, {r('v / sum(v) OVER (PARTITION BY market, year) * 100')} AS market_share FROM x")
 def _(spark, sf):
-    latest = sh.market_shares(history(spark, sf)).where("year = 2000")
+    latest = sh.market_shares(history(spark, sf)).where("year = 2001")
     return tidy(fc.hierarchical_shares(latest, _hier(spark, sf), 3), market="string", id="bigint", year="int", market_share=6)
 
 

@@ -12,7 +12,7 @@ KEY = dict(market="string", model="string")
 _E = "abs(actual - forecast)"
 _R2 = "CASE WHEN var_pop(actual) > 0 THEN 1 - sum((actual - forecast) ** 2) / (var_pop(actual) * count(*)) WHEN sum((actual - forecast) ** 2) = 0 THEN 1 ELSE 0 END"
 SQL["bt"] = f"""SELECT market, model, period, id, avg({_E} / abs(actual)) * 100 AS mape, sqrt(avg((actual - forecast) ** 2)) AS rmse, {_R2} AS r2, avg((forecast - actual) / actual * 100) AS bias, count(*) AS n, avg(forecast) AS w
-  FROM scored, (VALUES (1), (3), (5)) p(period) WHERE year > 2000 - period GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2 AND sum(actual) > 0"""
+  FROM scored, (VALUES (1), (3), (5)) p(period) WHERE year > 2001 - period GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2 AND sum(actual) > 0"""
 NEEDS["bt"] = ("scored",)
 SQL["psum"] = "SELECT market, model, period, sum(mape * w) / sum(w) AS mape, sum(rmse * w) / sum(w) AS rmse, sum(bias * w) / sum(w) AS bias, median(r2) AS r2, count(*) AS n FROM bt GROUP BY 1, 2, 3"
 NEEDS["psum"] = ("bt",)
@@ -99,11 +99,11 @@ def _(spark, sf):
 
 
 def _tiers(spark, sf):
-    return sh.market_shares(history(spark, sf)).where("year = 2000").select("market", "id", sh.tier_of("market_share", (2.0, 1.0, 0.5)).alias("tier"))
+    return sh.market_shares(history(spark, sf)).where("year = 2001").select("market", "id", sh.tier_of("market_share", (2.0, 1.0, 0.5)).alias("tier"))
 
 
 SQL["impact"] = """SELECT market, least(greatest(coalesce((max(m) - min(m)) / avg(m), 0), 0), 1) AS impact FROM (SELECT market, tier, avg(mape) AS m FROM bt JOIN
-  (SELECT market, id, CASE WHEN market_share >= 2 THEN 1 WHEN market_share >= 1 THEN 2 WHEN market_share >= 0.5 THEN 3 ELSE 4 END AS tier FROM shares WHERE year = 2000) USING (market, id) GROUP BY 1, 2) GROUP BY 1"""
+  (SELECT market, id, CASE WHEN market_share >= 2 THEN 1 WHEN market_share >= 1 THEN 2 WHEN market_share >= 0.5 THEN 3 ELSE 4 END AS tier FROM shares WHERE year = 2001) USING (market, id) GROUP BY 1, 2) GROUP BY 1"""
 NEEDS["impact"] = ("bt", "shares")
 _COMP = ", ".join(f"('{c}', {w})" for c, w in ac.COMPONENT_WEIGHTS.items())
 SQL["comp"] = f"SELECT market, component, weight, CASE WHEN component = 'tier_classification' THEN impact ELSE impact * weight END AS impact FROM impact, (VALUES {_COMP}) c(component, weight)"
@@ -155,7 +155,7 @@ def _(spark, sf):
     return ac.verdicts(ac.extended_metrics(scored(spark, sf), ["model"], ["market", "model", "id"]))
 
 
-@query("m11_calibration_history", ctes("bt") + f"SELECT 2 + period AS calibration_id, market, model, count(*)::BIGINT AS n, {r('avg(mape)')} AS mape FROM bt WHERE period > 1 GROUP BY 1, 2, 3")
+@query("m11_calibration_history", ctes("bt") + f"SELECT k AS calibration_id, market, model, count(*)::BIGINT AS n, {r('avg(mape)')} AS mape FROM bt JOIN (VALUES (3, 3), (4, 5), (5, 3), (6, 5), (7, 3)) v(k, p) ON period = p GROUP BY 1, 2, 3")
 def _(spark, sf):
     import uuid
     from panelloom.functions.session import shared_folder
@@ -163,6 +163,6 @@ def _(spark, sf):
     path = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
     e = cut_lineage(entities(spark, sf))
     for run in range(1, 8):
-        append_history(e.where(F.col("period") == run - 2).select("market", "model", "id", "mape") if run in (5, 7) else e.limit(0).select("market", "model", "id", "mape"), path, run)
+        append_history(e.where(F.col("period") == (3 if run % 2 else 5)).select("market", "model", "id", "mape"), path, run)
     kept = load_history(spark, path, 5)
     return tidy(kept.groupBy("calibration_id", "market", "model").agg(F.count(F.lit(1)).alias("n"), F.avg("mape").alias("mape")), calibration_id="int", market="string", model="string", n="bigint", mape=6)

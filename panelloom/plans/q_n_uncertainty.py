@@ -59,10 +59,10 @@ def _(spark, sf):
 _U = sql_uniform("market", "id", "s")
 
 
-@query("n06_what_if", ctes("shares", "world", x=f"SELECT s.market, s.id, s.year, CAST(s AS BIGINT) AS scenario_id, greatest(market_share * (1 + ({_U} - 0.5) * 0.4), 0.001) AS v, w.value * (1 + 0.01 * s) AS total FROM shares s JOIN world w ON w.market = s.market AND w.year = 2000, range(1, 11) g(s) WHERE s.year = 2000".replace("'s'", "'s'").replace("CAST(s AS VARCHAR)", "CAST(g.s AS VARCHAR)").replace("CAST(s AS BIGINT)", "CAST(g.s AS BIGINT)").replace("0.01 * s)", "0.01 * g.s)").replace("CAST(market AS", "CAST(s.market AS").replace("CAST(id AS", "CAST(s.id AS")) +
+@query("n06_what_if", ctes("shares", "world", x=f"SELECT s.market, s.id, s.year, CAST(s AS BIGINT) AS scenario_id, greatest(market_share * (1 + ({_U} - 0.5) * 0.4), 0.001) AS v, w.value * (1 + 0.01 * s) AS total FROM shares s JOIN world w ON w.market = s.market AND w.year = 2001, range(1, 11) g(s) WHERE s.year = 2001".replace("'s'", "'s'").replace("CAST(s AS VARCHAR)", "CAST(g.s AS VARCHAR)").replace("CAST(s AS BIGINT)", "CAST(g.s AS BIGINT)").replace("0.01 * s)", "0.01 * g.s)").replace("CAST(market AS", "CAST(s.market AS").replace("CAST(id AS", "CAST(s.id AS")) +
        f"SELECT market, id, year, scenario_id, {r('v / sum(v) OVER (PARTITION BY market, scenario_id) * 100')} AS market_share, {r('v / sum(v) OVER (PARTITION BY market, scenario_id) * total', 3)} AS value FROM x")
 def _(spark, sf):
-    s = cut_lineage(sh.market_shares(history(spark, sf)).where("year = 2000"))
+    s = cut_lineage(sh.market_shares(history(spark, sf)).where("year = 2001"))
     world = s.groupBy("market").agg(F.sum("value").alias("w"))
     shocks = s.select("market", "id").join(world, "market").withColumn("scenario_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(10).cast("bigint"))))
     shocks = shocks.select("market", "id", "scenario_id", ((S.key_uniform("market", "id", "scenario_id") - 0.5) * 0.4).alias("shock"), (F.col("w") * (1 + 0.01 * F.col("scenario_id"))).alias("total"))

@@ -10,14 +10,14 @@ from panelloom.roles import DEFAULT
 ONE = DEFAULT.with_(by=())
 KEY = dict(market="string", id="bigint")
 ROW = dict(**KEY, year="int")
-YEARS = list(range(1995, 2001))
+YEARS = list(range(1995, 2002))
 
 
 def fixed_parts(spark, sf):
-    return parts(spark, sf).where("year <= 2000")
+    return parts(spark, sf)
 
 
-SQL["fixed"] = "SELECT * FROM parts WHERE year <= 2000"
+SQL["fixed"] = "SELECT * FROM parts"
 NEEDS["fixed"] = ("parts",)
 SQL["pshares"] = "SELECT f.*, value / sum(value) OVER (PARTITION BY market, year) * 100 AS market_share FROM fixed f"
 NEEDS["pshares"] = ("fixed",)
@@ -73,10 +73,10 @@ def _(spark, sf):
     return tidy(rp.cagr_windows(fixed_parts(spark, sf)), **KEY, span="int", cagr=6)
 
 
-@query("o06_movers", ctes("yoy", u="SELECT *, row_number() OVER (PARTITION BY market ORDER BY vp DESC, id) AS a, row_number() OVER (PARTITION BY market ORDER BY vp, id) AS b FROM yoy WHERE year = 2000 AND vp IS NOT NULL") + f"""
+@query("o06_movers", ctes("yoy", u="SELECT *, row_number() OVER (PARTITION BY market ORDER BY vp DESC, id) AS a, row_number() OVER (PARTITION BY market ORDER BY vp, id) AS b FROM yoy WHERE year = 2001 AND vp IS NOT NULL") + f"""
   SELECT market, id, 'gain' AS side, a::INTEGER AS rank, {r('vp')} AS value_change_pct FROM u WHERE a <= 5 UNION ALL SELECT market, id, 'loss', b::INTEGER, {r('vp')} FROM u WHERE b <= 5""")
 def _(spark, sf):
-    return tidy(rp.movers(fixed_parts(spark, sf), 2000), **KEY, side="string", rank="int", value_change_pct=6)
+    return tidy(rp.movers(fixed_parts(spark, sf), 2001), **KEY, side="string", rank="int", value_change_pct=6)
 
 
 @query("o07_growth_consistency", ctes("yoy") + "SELECT market, id, " + ", ".join(
@@ -88,9 +88,9 @@ def _(spark, sf):
 
 @query("o08_market_statistics", ctes("fixed", t="SELECT market, year, sum(CAST(value AS DECIMAL(28,2)))::DOUBLE AS t FROM fixed GROUP BY 1, 2",
                                      m="SELECT market, arg_min(t, year) AS a, arg_max(t, year) AS b FROM t GROUP BY 1",
-                                     k="SELECT *, row_number() OVER (PARTITION BY market ORDER BY value DESC, id) AS rank FROM fixed WHERE year = 2000") + f"""
-  SELECT market, 1995 AS first_year, 2000 AS last_year, {r('a', 2)} AS first_total, {r('b', 2)} AS last_total, {r('b / a')} AS multiple, {r('(pow(b / a, 0.2) - 1) * 100')} AS total_cagr, rank::INTEGER AS rank, k.id,
-  {r('k.value', 2)} AS final_value, {r('k.value / b * 100')} AS final_share, {r('(pow(k.value / f.value, 0.2) - 1) * 100')} AS cagr
+                                     k="SELECT *, row_number() OVER (PARTITION BY market ORDER BY value DESC, id) AS rank FROM fixed WHERE year = 2001") + f"""
+  SELECT market, 1995 AS first_year, 2001 AS last_year, {r('a', 2)} AS first_total, {r('b', 2)} AS last_total, {r('b / a')} AS multiple, {r('(pow(b / a, 1.0 / 6) - 1) * 100')} AS total_cagr, rank::INTEGER AS rank, k.id,
+  {r('k.value', 2)} AS final_value, {r('k.value / b * 100')} AS final_share, {r('(pow(k.value / f.value, 1.0 / 6) - 1) * 100')} AS cagr
   FROM k JOIN m USING (market) LEFT JOIN fixed f ON f.market = k.market AND f.id = k.id AND f.year = 1995 WHERE rank <= 5""")
 def _(spark, sf):
     return tidy(rp.market_statistics(fixed_parts(spark, sf)), market="string", first_year="int", last_year="int", first_total=2, last_total=2, multiple=6, total_cagr=6, rank="int", id="bigint",
@@ -102,7 +102,7 @@ def _(spark, sf):
     return tidy(rp.top_per_year(fixed_parts(spark, sf), 10), **ROW, rank="int", value=2)
 
 
-@query("o09_leaders_history", ctes("fixed", k="SELECT market, id FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY value DESC, id) AS rank FROM fixed WHERE year = 2000) WHERE rank <= 15") +
+@query("o09_leaders_history", ctes("fixed", k="SELECT market, id FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY value DESC, id) AS rank FROM fixed WHERE year = 2001) WHERE rank <= 15") +
        f"SELECT market, id, year, {r('value', 2)} AS value FROM fixed SEMI JOIN k USING (market, id)")
 def _(spark, sf):
     return tidy(rp.history_of_leaders(fixed_parts(spark, sf), 15), **ROW, value=2)
@@ -129,11 +129,11 @@ def _(spark, sf):
     return tidy(rp.risk_return(rp.growth_profile(fixed_parts(spark, sf))), **KEY, cagr=6, volatility=6, quadrant="string", volatility_class="string")
 
 
-@query("o12_waterfall", ctes("fixed", b="SELECT coalesce(x.market, y.market) AS market, coalesce(x.id, y.id) AS id, coalesce(x.value, 0) AS f, coalesce(y.value, 0) AS l FROM (SELECT * FROM fixed WHERE year = 1995) x FULL JOIN (SELECT * FROM fixed WHERE year = 2000) y ON x.market = y.market AND x.id = y.id",
+@query("o12_waterfall", ctes("fixed", b="SELECT coalesce(x.market, y.market) AS market, coalesce(x.id, y.id) AS id, coalesce(x.value, 0) AS f, coalesce(y.value, 0) AS l FROM (SELECT * FROM fixed WHERE year = 1995) x FULL JOIN (SELECT * FROM fixed WHERE year = 2001) y ON x.market = y.market AND x.id = y.id",
                              t="SELECT market, sum(f) AS ft, sum(l) AS lt FROM b GROUP BY 1", k="SELECT *, row_number() OVER (PARTITION BY market ORDER BY l DESC, id) AS rank FROM b") + f"""
   SELECT market, id, rank::INTEGER AS rank, {r('l - f', 2)} AS contribution, {r('ft', 2)} AS first_total, {r('lt', 2)} AS last_total, {r('ft + sum(l - f) OVER (PARTITION BY market ORDER BY rank)', 2)} AS level FROM k JOIN t USING (market) WHERE rank <= 10""")
 def _(spark, sf):
-    return tidy(rp.waterfall(fixed_parts(spark, sf), 1995, 2000), **KEY, rank="int", contribution=2, first_total=2, last_total=2, level=2)
+    return tidy(rp.waterfall(fixed_parts(spark, sf), 1995, 2001), **KEY, rank="int", contribution=2, first_total=2, last_total=2, level=2)
 
 
 SQL["rsum"] = """SELECT market, region, t, a, n, s, t / sum(t) OVER (PARTITION BY market) * 100 AS ms, s / a * 100 AS cv FROM (
@@ -194,13 +194,13 @@ def _(spark, sf):
     return tidy(rp.table_view(history(spark, sf), (1997, 1999), limit=100), **ROW, value=2)
 
 
-@query("o18_share_table", ctes("history", k="SELECT *, row_number() OVER (PARTITION BY market ORDER BY value DESC, id) AS k FROM history WHERE year = 2000") + f"""
+@query("o18_share_table", ctes("history", k="SELECT *, row_number() OVER (PARTITION BY market ORDER BY value DESC, id) AS k FROM history WHERE year = 2001") + f"""
   SELECT market, CASE WHEN k <= 10 THEN name ELSE 'Others' END AS label, {r('sum(value)', 2)} AS value, {r('sum(value) / max(t) * 100')} AS market_share FROM (SELECT *, sum(value) OVER (PARTITION BY market) AS t FROM k) GROUP BY 1, 2""")
 def _(spark, sf):
-    return tidy(rp.share_table(history(spark, sf), 2000, 10), market="string", label="string", value=2, market_share=6)
+    return tidy(rp.share_table(history(spark, sf), 2001, 10), market="string", label="string", value=2, market_share=6)
 
 
-@query("o19_market_insights", ctes("exec", e="SELECT * FROM exec WHERE year = 2000", q="SELECT e.market, count(*) FILTER (WHERE f.value < e.t * 0.01)::DOUBLE / count(*) AS small FROM fixed f JOIN e ON e.market = f.market AND e.year = f.year GROUP BY 1") + f"""
+@query("o19_market_insights", ctes("exec", e="SELECT * FROM exec WHERE year = 2001", q="SELECT e.market, count(*) FILTER (WHERE f.value < e.t * 0.01)::DOUBLE / count(*) AS small FROM fixed f JOIN e ON e.market = f.market AND e.year = f.year GROUP BY 1") + f"""
   SELECT market, rule, fired, {r('value')} AS value FROM (
   SELECT market, 'leader_dominates' AS rule, s1 > 50 AS fired, s1 AS value FROM e UNION ALL SELECT market, 'leader_leads', s1 > 30 AND s1 <= 50, s1 FROM e
   UNION ALL SELECT market, 'top_three_concentrated', s3 > 80, s3 FROM e UNION ALL SELECT market, 'healthy_competition', s3 < 50, s3 FROM e
@@ -209,7 +209,7 @@ def _(spark, sf):
     return tidy(rp.market_insights(fixed_parts(spark, sf)), market="string", rule="string", fired="boolean", value=6)
 
 
-@query("o20_region_insights", ctes("rmet", "rgrow", g="SELECT market, count(*) FILTER (WHERE g > 10) AS n FROM rgrow WHERE year = 2000 GROUP BY 1") + f"""SELECT market, rule, fired, {r('value')} AS value FROM (
+@query("o20_region_insights", ctes("rmet", "rgrow", g="SELECT market, count(*) FILTER (WHERE g > 10) AS n FROM rgrow WHERE year = 2001 GROUP BY 1") + f"""SELECT market, rule, fired, {r('value')} AS value FROM (
   SELECT market, 'dominant_region' AS rule, true AS fired, top AS value FROM rmet UNION ALL SELECT market, 'high_concentration', hhi > 2500, hhi FROM rmet
   UNION ALL SELECT market, 'well_distributed', hhi <= 1500, hhi FROM rmet UNION ALL SELECT market, 'global_presence', n >= 4, n FROM rmet UNION ALL SELECT market, 'multi_region', n = 3, n FROM rmet
   UNION ALL SELECT market, 'focused', n < 3, n FROM rmet UNION ALL SELECT market, 'uneven', cv > 100, cv FROM rmet UNION ALL SELECT market, 'even', cv < 50, cv FROM rmet
@@ -218,7 +218,7 @@ def _(spark, sf):
     return tidy(rp.region_insights(cut_lineage(regional(spark, sf))), market="string", rule="string", fired="boolean", value=6)
 
 
-@query("o21_bubbles", ctes("yoy", k="SELECT market, id FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY value DESC, id) AS rank FROM fixed WHERE year = 2000) WHERE rank <= 10") +
+@query("o21_bubbles", ctes("yoy", k="SELECT market, id FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY value DESC, id) AS rank FROM fixed WHERE year = 2001) WHERE rank <= 10") +
        f"SELECT market, id, year, {r('value', 2)} AS value, {r('vp')} AS value_change_pct FROM yoy SEMI JOIN k USING (market, id) WHERE vp IS NOT NULL")
 def _(spark, sf):
     return tidy(rp.bubbles(fixed_parts(spark, sf), 10), **ROW, value=2, value_change_pct=6)
@@ -261,8 +261,8 @@ def _(spark, sf):
     return tidy(rp.cagr_histogram(rp.growth_profile(fixed_parts(spark, sf)), -50.0, 50.0, 20), market="string", bin="int", entities="bigint", mean_cagr=6)
 
 
-@query("o26_comparison", ctes("yoy", k="SELECT market, id FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY value DESC, id) AS rank FROM fixed WHERE year = 2000) WHERE rank <= 5", g="SELECT * FROM yoy SEMI JOIN k USING (market, id)") + _pivot("g", "max(vp) FILTER (WHERE year = {y})", "market, id", 6))
+@query("o26_comparison", ctes("yoy", k="SELECT market, id FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY value DESC, id) AS rank FROM fixed WHERE year = 2001) WHERE rank <= 5", g="SELECT * FROM yoy SEMI JOIN k USING (market, id)") + _pivot("g", "max(vp) FILTER (WHERE year = {y})", "market, id", 6))
 def _(spark, sf):
     p = fixed_parts(spark, sf)
-    ids = rp.top_n(p.where("year = 2000"), ["market"], 5, [F.desc("value"), F.asc("id")])
+    ids = rp.top_n(p.where("year = 2001"), ["market"], 5, [F.desc("value"), F.asc("id")])
     return tidy(rp.comparison(p, ids, YEARS), **KEY, **{str(y): 6 for y in YEARS})

@@ -27,6 +27,20 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", schema=Non
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
+def read_csv_any(spark: SparkSession, path: str | list[str], fallback: str = "ISO-8859-1", schema=None) -> DataFrame:
+    """CSV files of mixed encodings: each file that is not valid UTF-8 is read in the fallback encoding, which takes every byte.
+
+    One text scan marks the files that are not valid; the driver gets their names only.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (~F.is_valid_utf8("value")).alias("broken"))
+    files = lines.groupBy("file").agg(F.max("broken").alias("broken")).collect()
+    groups = [(encoding, [r["file"] for r in files if r["broken"] == broken]) for encoding, broken in (("UTF-8", False), (fallback, True))]
+    frames = [read_csv(spark, own, encoding, schema) for encoding, own in groups if own]
+    if not frames:
+        return read_csv(spark, path, "UTF-8", schema)
+    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1], allowMissingColumns=True)
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -70,10 +84,15 @@ def to_long(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     return wide_to_long(df, roles) if is_wide(df) else df
 
 
-def long_to_wide(df: DataFrame, years: list[int], how: str = "sum", roles: Roles = DEFAULT, keys: list[str] | None = None) -> DataFrame:
-    """Years as columns. The year list is given, so no extra pass looks for it."""
+def long_to_wide(df: DataFrame, years: list[int] | None = None, how: str = "sum", roles: Roles = DEFAULT, keys: list[str] | None = None) -> DataFrame:
+    """Years as columns: all that the rows hold (one small aggregate), or those of a list, which leaves the others out.
+
+    A mean is the sum as a decimal over the count, so it does not depend on the order of rows.
+    """
     keys = keys or [*roles.by, roles.id, roles.name]
-    measure = {"sum": F.sum, "mean": F.avg}[how](roles.value)
+    if years is None:
+        years = [r[0] for r in df.select(roles.year).where(F.col(roles.year).isNotNull()).distinct().orderBy(roles.year).collect()]  # a calendar
+    measure = F.sum(roles.value) if how == "sum" else F.sum(F.col(roles.value).cast("decimal(28,6)")).cast("double") / F.count(roles.value)
     return df.groupBy(*keys).pivot(roles.year, years).agg(measure)
 
 

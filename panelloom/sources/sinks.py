@@ -10,12 +10,12 @@ from panelloom.sources.readers import long_to_wide
 
 
 def write_panel(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", roles: Roles = DEFAULT) -> None:
-    """One folder per year, rows clustered by year first so that a year is not scattered over every writer."""
-    writer = df.repartition(F.col(roles.year), F.pmod(F.hash(roles.id), F.lit(64))).write.mode(mode).partitionBy(roles.year)
+    """One folder per year. Rows are gathered by year, and large years are split at run time into as many writers as their size asks for."""
+    writer = df.hint("rebalance", F.col(roles.year)).write.mode(mode).partitionBy(roles.year)
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
-def write_wide(df: DataFrame, path: str, years: list[int], fmt: str = "parquet", mode: str = "errorifexists",
+def write_wide(df: DataFrame, path: str, years: list[int] | None = None, fmt: str = "parquet", mode: str = "errorifexists",
                roles: Roles = DEFAULT) -> None:
     writer = long_to_wide(df, years, "sum", roles).write.mode(mode)
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)

@@ -55,7 +55,7 @@ def test_limits_hold_before_rescale(spark):
     shares = spark.createDataFrame([("m", i, str(i), 2020, s) for i, s in ((1, 60.0), (2, 30.0), (3, 10.0))], "market string, id long, name string, year int, market_share double")
     projected = spark.createDataFrame([("m", 1, "1", 2021, 5.0, 1), ("m", 2, "2", 2021, 90.0, 1), ("m", 3, "3", 2021, 5.0, 1)], "market string, id long, name string, year int, market_share double, tier int")
     limits = spark.createDataFrame([("m", 50.0, -40.0)], "market string, max_growth_rate double, min_growth_rate double")
-    got = {x.id: x.market_share for x in sh.limit_growth(projected, shares, [2021], limits).collect()}
+    got = {x.id: x.market_share for x in sh.limit_growth(projected, shares, 1, limits).collect()}
     raw = {1: 60 * 0.6, 2: 30 * 1.5, 3: 10 * 0.6}
     assert got == pytest.approx({k: v / sum(raw.values()) * 100 for k, v in raw.items()})
 
@@ -64,7 +64,7 @@ def test_distribution_adds_up(spark, panel):
     clean = panel.where("value is not null and market = 'm'")
     world = fc.extend_total(clean.groupBy("market", "year").agg(F.sum("value").alias("value")), 6)
     edges = spark.createDataFrame([("Worldwide", "A"), ("Worldwide", "B"), ("A", "a"), ("A", "b"), ("B", "b"), ("B", "c")], "parent string, child string")
-    out = sh.distribute(clean, world, 6, 2020, DistributionSettings(), regions=rg.leaves(edges)).cache()
+    out = sh.distribute(clean, world, 6, DistributionSettings(), regions=rg.leaves(edges)).cache()
     sums = out.where("region_type = 'entity'").groupBy("year").agg(F.sum("value").alias("s")).join(world, "year").collect()
     assert len(sums) == 9 and all(x.s == pytest.approx(x.value, abs=0.01) for x in sums)
     top = {x.year: x.value for x in out.where("name = 'Worldwide'").collect()}
@@ -76,7 +76,7 @@ def test_region_cycle_is_refused(spark):
     loop = spark.createDataFrame([("x", "y"), ("y", "x")], "parent string, child string")
     assert {r.region for r in rg.cycles(loop).collect()} == {"x", "y"}
     with pytest.raises(ValueError):
-        rg.closure(loop, 4)
+        rg.closure(loop)
 
 
 def test_nested_definition(spark):
