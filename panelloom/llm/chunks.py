@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelloom.functions.session import cut_lineage
 
-#: Bytes of the smallest and the largest chunk, and the bits of the rolling hash that must be 0 at a cut: chunks have 56 bytes on average.
-SMALLEST, LARGEST, CUT_BITS = 24, 256, 5
+#: Bytes of the smallest and the largest chunk, and the bits of the rolling hash that must be 0 at a cut: chunks have about 50 bytes on average.
+SMALLEST, LARGEST, CUT_BITS = 24, 96, 5
 #: Bytes of repeated chunks in a row that make a repeated passage.
-LEAST_SPAN = 120
+LEAST_SPAN = 100
 _WINDOW = 32
 _GEAR = np.random.default_rng(6).integers(0, 2**32, 256, dtype=np.uint32)
 _GEAR[0] = 0  # the bytes between two texts leave the hash alone
@@ -36,40 +36,32 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def cut_points(texts: list[bytes], smallest: int = SMALLEST, largest: int = LARGEST, bits: int = CUT_BITS) -> list[list[int]]:
-    """Ends of the chunks of each text. A cut depends on the 32 bytes before it (and on the last cut if that is nearer than ``smallest``), so an insertion moves only the cuts near it.
+    """Ends of the chunks of each text. A cut depends on the 32 bytes before it (and on the last cut if that is nearer than ``smallest`` or
+    farther than ``largest``), so an insertion moves only the cuts near it.
 
     Chunks never split a character; the last one of a text may be smaller. An empty text has no chunk.
     """
     gap = b"\0" * _WINDOW
     data = np.frombuffer(gap.join(texts) + gap, dtype=np.uint8)
-    marks = np.flatnonzero((gear_hashes(data)[:-1] >> np.uint32(32 - bits) == 0) & ((data[1:] & 0xC0) != 0x80)) + 1
+    hashes, whole = gear_hashes(data)[:-1], (data[1:] & 0xC0) != 0x80
+    marks = np.flatnonzero((hashes >> np.uint32(32 - bits) == 0) & whole) + 1
     out, at = [], 0
     for t in texts:
         size, ends, last = len(t), [], 0
         lo, hi = np.searchsorted(marks, [at + smallest, at + size])
-        for c in (marks[lo:hi] - at).tolist():
-            while c - last > largest:
-                last = _forced(t, last + largest)
+        for c in [*(marks[lo:hi] - at).tolist(), size]:
+            while c - last > largest:  # no mark: the smallest hash, the first of equal ones, so that texts of one repeated word fall in step too
+                window = slice(at + last + smallest - 1, at + last + largest)
+                last += smallest + int(np.argmin(np.where(whole[window], hashes[window].astype(np.int64), 1 << 32)))
                 ends.append(last)
-            if c - last >= smallest:
+            if c - last >= smallest or c == size > last:
                 ends.append(c)
                 last = c
-        while size - last > largest:
-            last = _forced(t, last + largest)
-            ends.append(last)
-        if size > last:
-            ends.append(size)
         out.append(ends)
         at += size + _WINDOW
     return out
 
 
-def _forced(text: bytes, at: int) -> int:
-    while at < len(text) and text[at] & 0xC0 == 0x80:
-        at += 1
-    return at
-
-
 def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row a chunk: doc_id, key (of the text), low and high half of the chunk's 128-bit digest, start and size in bytes."""
     kind = docs.schema[doc_id].dataType

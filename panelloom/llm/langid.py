@@ -14,6 +14,8 @@ from panelloom.llm.common import held_out
 DICTIONARY_BYTES = 400_000
 SAMPLE_DOCUMENTS = 1_000
 SAMPLE_CHARACTERS = 2_000
+#: Parts of a language in which the first documents are looked for.
+SALTS = 64
 #: A prediction is marked as rejected if the second language needs less than this share more bytes than the best.
 MARGIN = 0.02
 UNKNOWN = "und"
@@ -37,8 +39,11 @@ def dictionaries(docs: DataFrame, folds: int = 3, fold: int = 1, documents: int
     ids are shuffled; their beginnings, a bounded sample, go to the driver. Copies count once.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id", folds, fold))
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("lang", "doc_id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= documents).select("doc_id").distinct()
+    picked = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    for by in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):  # first inside parts of a language, so that a hot one is spread
+        first = W.partitionBy(*by).orderBy("h", "doc_id")
+        picked = picked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= documents).drop("n")
+    picked = picked.select("doc_id").distinct()
     rows = (known.join(F.broadcast(picked), "doc_id").select("lang", "doc_id", F.substring("text", 1, characters).alias("text"))  # ``documents`` ids a language
             .orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect())
     texts: dict[str, dict[str, None]] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from panelloom.functions.session import cut_lineage
 from panelloom.llm.common import running_totals
 
 #: Bytes that every row adds to its text.
@@ -27,7 +28,7 @@ def byte_shards(docs: DataFrame, shards: int = 24, tolerance: float = TOLERANCE,
     """
     sized = docs.select(F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
                         F.crc32(F.col(text).cast("binary")).alias("text_crc32"), F.md5(F.col(text).cast("binary")).alias("digest"))
-    placed = running_totals(sized.withColumn("one", F.lit(1).cast("long")), ["digest", "doc_id"], {"before": "size", "index": "one"})
+    placed = cut_lineage(running_totals(sized.withColumn("one", F.lit(1).cast("long")), ["digest", "doc_id"], {"before": "size", "index": "one"}))
     total = placed.agg(F.sum("size").alias("total"))
     # one row a cut: where it falls, and the group that it would split
     cuts = total.where("total > 0").select(F.explode(F.sequence(F.lit(1), F.lit(shards - 1))).alias("cut"), "total") if shards > 1 else total.where("false").select(F.lit(1).alias("cut"), "total")

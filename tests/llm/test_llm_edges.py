@@ -209,7 +209,7 @@ def test_near_duplicates(docs, none):
 
 def test_near_duplicates_in_blocks_against_loops(spark, monkeypatch):
     """Chains and crowds, with blocks of a few documents, against all pairs."""
-    from test_queries import near_components
+    from test_llm_queries import near_components
 
     rng = random.Random(11)
     base = [f"w{i}" for i in range(60)]

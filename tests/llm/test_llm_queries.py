@@ -75,13 +75,22 @@ def test_token_counts_are_the_library_s(spark):
 
 def serial_chunks(text):
     """Chunks by the recurrence itself, byte by byte."""
-    out, last, h = [], 0, 0
-    for i, b in enumerate(text):
-        h = ((h << 1) + int(chunks._GEAR[b])) & 0xFFFFFFFF
-        end = i + 1
-        if end == len(text) or (h >> (32 - chunks.CUT_BITS) == 0 and text[end] & 0xC0 != 0x80 and end - last >= chunks.SMALLEST) or (end - last >= chunks.LARGEST and text[end] & 0xC0 != 0x80):
-            out.append((last, end))
-            last = end
+    out, last, i, h, seen = [], 0, 0, 0, []
+    while i < len(text):
+        h = ((h << 1) + int(chunks._GEAR[text[i]])) & 0xFFFFFFFF
+        i += 1
+        seen.append(h)
+        whole = i == len(text) or text[i] & 0xC0 != 0x80
+        if i == len(text) or (i - last >= chunks.SMALLEST and whole and h >> (32 - chunks.CUT_BITS) == 0 and i - last <= chunks.LARGEST):
+            out.append((last, i))
+            last = i
+        elif i - last == chunks.LARGEST and i < len(text):
+            ends = [e for e in range(last + chunks.SMALLEST, i + 1) if text[e] & 0xC0 != 0x80]
+            cut = min(ends, key=lambda e: (seen[e - 1], e))
+            out.append((last, cut))
+            last = i = cut
+            h = seen[cut - 1]
+            del seen[cut:]
     return out
 
 
