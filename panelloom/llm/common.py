@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from panelloom.functions.session import cut_lineage, shared_folder
+from panelloom.functions.session import cut_lineage, run_folder
 
 #: Words are runs of anything but these (space and the controls tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A fresh path in the folder that all executors share."""
-    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def held_out(doc_id, folds: int, fold: int) -> Column:
