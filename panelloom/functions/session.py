@@ -27,13 +27,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_RUNS: dict[str, str] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This session's own folder inside the shared one; intermediate tables and files go there until ``release``."""
+    name = _RUNS.setdefault(spark.sparkContext.applicationId, f"run-{uuid.uuid4().hex}")
+    return f"{shared_folder(spark)}/{name}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session. Results that were not written or collected yet still need them."""
+    if spark.sparkContext.applicationId in _RUNS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _RUNS[spark.sparkContext.applicationId]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from its files.
 
     Later steps neither plan nor recompute what came before, a lost executor loses nothing, only the columns used are read
     back, and the optimizer knows the real size of the table when it picks a join.
     """
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

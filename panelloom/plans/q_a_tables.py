@@ -323,8 +323,8 @@ def _(spark, sf):
 
 def _folder(spark) -> str:
     import uuid
-    from panelloom.functions.session import shared_folder
-    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    from panelloom.functions.session import run_folder
+    return f"{run_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 @query("a01_csv_scan", ctes("panel") + "SELECT market, id, year, round(value, 2) AS value FROM panel")

@@ -158,9 +158,9 @@ def _(spark, sf):
 @query("m11_calibration_history", ctes("bt") + f"SELECT k AS calibration_id, market, model, count(*)::BIGINT AS n, {r('avg(mape)')} AS mape FROM bt JOIN (VALUES (3, 3), (4, 5), (5, 3), (6, 5), (7, 3)) v(k, p) ON period = p GROUP BY 1, 2, 3")
 def _(spark, sf):
     import uuid
-    from panelloom.functions.session import shared_folder
+    from panelloom.functions.session import run_folder
     from panelloom.sources.sinks import append_history, load_history
-    path = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/history-{uuid.uuid4().hex}"
     e = cut_lineage(entities(spark, sf))
     for run in range(1, 8):
         append_history(e.where(F.col("period") == (3 if run % 2 else 5)).select("market", "model", "id", "mape"), path, run)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelloom.functions.session import shared_folder
+from panelloom.functions.session import run_folder
 
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
@@ -39,7 +39,7 @@ def read_stream(spark: SparkSession, folder: str, glob: str) -> DataFrame:
 
 def run_available(stream: DataFrame) -> DataFrame:
     """Process everything available now into a Parquet sink of the shared folder and read it back."""
-    base = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    base = f"{run_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     query = (stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
              .trigger(availableNow=True).start())
     query.awaitTermination()

@@ -8,11 +8,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle  # noqa: E402
 
+from panelloom.functions import session  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
     s = oracle.session()
     yield s
+    session.release(s)
     s.stop()
 
 

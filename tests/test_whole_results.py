@@ -72,3 +72,14 @@ def test_pivot_holds_every_year(spark, tmp_path):
     assert R.long_to_wide(df).columns[-2:] == ["1890", "2040"]
     sinks.write_panel(df, str(tmp_path / "panel"))
     assert spark.read.parquet(str(tmp_path / "panel")).count() == 2
+
+
+def test_release_leaves_nothing(spark, tmp_path):
+    import os
+
+    from panelloom.functions import session
+    folder = session.run_folder(spark)
+    rows = session.cut_lineage(spark.range(5)).collect()
+    assert len(rows) == 5 and os.path.isdir(folder.removeprefix("file://"))
+    session.release(spark)
+    assert not os.path.exists(folder.removeprefix("file://")) and session.run_folder(spark) != folder
