@@ -15,8 +15,8 @@ from panelloom.llm.textnum import mixed, word_hashes
 #: Minimum similarity of linked documents, in per cent.
 SIMILARITY = 80
 #: Entries of each of the two collections, and minhashes in an entry. The tables are all pairs of entries: SIDE * SIDE of them from 2 * SIDE * DEPTH minhashes.
-#: Two sets of similarity s share a table with probability (1 - (1 - s ** DEPTH) ** SIDE) ** 2, which is 0.9994 at 0.8 and 0.99993 at 0.85.
-SIDE, DEPTH = 8, 2
+#: Two sets of similarity s share a table with probability (1 - (1 - s ** DEPTH) ** SIDE) ** 2, which is 0.99993 at 0.8 and 0.999995 at 0.85.
+SIDE, DEPTH = 10, 2
 #: Documents and bytes of text that are compared inside one task at a time (two blocks of them); larger groups are cut into blocks.
 BLOCK_DOCUMENTS, BLOCK_BYTES = 1024, 16_000_000
 
@@ -167,7 +167,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, text: str = "
         found = links_of(rows["doc_id"].tolist(), rows["block"].to_numpy(), rows["text"].tolist(), int(rows["entry"].iloc[0]), similarity)
         return pd.DataFrame(found, columns=["a", "b"])
 
-    placed = own.where(F.col("text").isNotNull()).join(cells, own["doc_id"] == cells["node"]).select("doc_id", "text", "cell", "entry", "block", "one", "two")
+    # the texts are dealt by id at every size: a broadcast of small cells would only hide what large ones cost
+    placed = own.where(F.col("text").isNotNull()).join(cells.hint("shuffle_merge"), own["doc_id"] == cells["node"]).select("doc_id", "text", "cell", "entry", "block", "one", "two")
     links = placed.groupBy("cell", "entry", "one", "two").applyInPandas(verify, f"a {kind}, b {kind}")
     sets = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").select("doc_id", "a")  # ids with several texts
     links = links.unionByName(member.join(sets, "doc_id").select("a", F.col("node").alias("b")))
