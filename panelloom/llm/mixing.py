@@ -9,6 +9,8 @@ from panelloom.llm.common import running_totals, word_array
 
 #: The schedule has 2 ** SLOT_BITS slots, whatever the input: one slot is less than 0.001 % of the mix.
 SLOT_BITS = 17
+#: A source of fewer slots, by its size or its target, is settled to the word instead: whole slots would be too coarse for it.
+FEWEST_SLOTS = 2048
 #: Most times that a source, and so any of its words, is taken.
 MOST_EPOCHS = 3
 
@@ -63,10 +65,10 @@ def blocks(targets: DataFrame, slots: DataFrame, most_epochs: int = MOST_EPOCHS,
 
     A slot stands for (all words / 2 ** bits) words, and the blocks of a source are the stretches between whole multiples of that, rounded down to whole
     words: block sizes differ by one word at most, only the last one is what is left. The n-th slot of a source takes block n, from the start again after
-    the last. The table has at most 2 ** bits rows and one more for each source.
+    the last. Sources that are settled to the word are left out. The table has at most 2 ** bits rows and one more for each source.
     """
     all_words = targets.agg(F.sum("source_size").alias("words"))
-    sources = targets.crossJoin(F.broadcast(all_words)).where("source_size > 0").select("source", "source_size", "words")  # one number beside each source
+    sources = targets.crossJoin(F.broadcast(all_words)).where(F.col("source_size") > 0).where(~_settled(bits)).select("source", "source_size", "words")  # one number beside each source
     n = F.expr(f"(source_size * {2 ** bits} + words - 1) div words")
     counted = sources.withColumn("blocks", n)
     ranked = slots.alias("s").join(counted.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source"))).where(F.col("rank") < F.col("blocks") * most_epochs)
@@ -80,13 +82,19 @@ def blocks(targets: DataFrame, slots: DataFrame, most_epochs: int = MOST_EPOCHS,
     return known.select("source", "block", "first", "times", F.coalesce(F.sum(F.col("size") * F.col("times")).over(earlier), F.lit(0)).alias("taken_before"))
 
 
+def _settled(bits: int) -> Column:
+    """True for sources whose size or target is less than FEWEST_SLOTS slots of (words / 2 ** bits) words."""
+    return F.least(F.col("source_size").cast("double"), F.col("target")) * float(2 ** bits) < F.col("words").cast("double") * FEWEST_SLOTS
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = MOST_EPOCHS, bits: int = SLOT_BITS, text: str = "text", doc_id: str = "doc_id",
         source: str = "source") -> DataFrame:
     """How many words of every document the mix takes, repeats counted.
 
     Each source's documents, shuffled by a digest of their ids, form one long sequence of words, which is cut into blocks of equal size; the schedule takes
     blocks. A block is a stretch of the sequence and not a list of documents: a long document spans many blocks, many short ones share one. The words taken
-    of a document are those before its end less those before its start, and each of the two is looked up at its block.
+    of a document are those before its end less those before its start, and each of the two is looked up at its block. A source of fewer than FEWEST_SLOTS
+    slots takes as many words as its rounded target, from the start of its sequence and again after the end; larger sources are off by a few slots.
 
     Returns doc_id, source, size (words), source_size, target, taken. Null texts and texts without words have size 0 and are never taken; a null source is a
     source of its own, the last; null ids are ordered first; equal rows follow one another and count each on its own. An empty table gives no row. The
@@ -106,11 +114,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int
 
 def _taken_before(known: DataFrame, plan: DataFrame, at: str, name: str, bits: int) -> DataFrame:
     """Adds the words that the mix takes of a source before place ``at`` of its sequence; the end of a source is looked up in its last block."""
-    block = F.expr(f"CASE WHEN source_size > 0 THEN ((least({at}, source_size - 1) + 1) * {2 ** bits} - 1) div words END")
+    block = F.when(~_settled(bits), F.expr(f"CASE WHEN source_size > 0 THEN ((least({at}, source_size - 1) + 1) * {2 ** bits} - 1) div words END"))
     left = known.withColumn("_block", block).alias("k")
+    epochs, rest = (F.expr(f"CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) {op} source_size END") for op in ("div", "%"))
+    settled = F.expr(at) * epochs + F.least(F.expr(at), rest)
     right = F.broadcast(plan).alias("b")  # at most 2 ** bits rows, and one more for each source
     on = F.col("k.source").eqNullSafe(F.col("b.source")) & (F.col("k._block") == F.col("b.block"))
-    return left.join(right, on, "left").select(*[F.col(f"k.{c}") for c in known.columns], (F.col("taken_before") + (F.expr(at) - F.col("first")) * F.col("times")).alias(name))
+    return left.join(right, on, "left").select(*[F.col(f"k.{c}") for c in known.columns],
+                                              F.when(_settled(bits), settled).otherwise(F.col("taken_before") + (F.expr(at) - F.col("first")) * F.col("times")).alias(name))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = MOST_EPOCHS, bits: int = SLOT_BITS) -> DataFrame:

@@ -80,6 +80,22 @@ def test_mixing(docs, none):
     assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mixed_documents(none).count() == 0
 
 
+def test_small_sources_are_settled_to_the_word(spark):
+    """Slots of 114 words: sources of less than one slot and of a few slots reach their targets, beside large ones."""
+    small = {"tiny": [30], "less": [40, 60], "some": [1000], "few": [4000, 1000], None: [7, 0, 3]}
+    rows = [(i, s, n) for i, (s, n) in enumerate([(s, 50_000) for s in ("x", "y", "z")] * 100 + [(s, n) for s, own in small.items() for n in own])]
+    mixed = spark.createDataFrame(rows, "doc_id long, source string, n int").select("doc_id", "source", F.expr("repeat('w ', n)").alias("text"))
+    target, taken = {}, collections.Counter()
+    for r in mixing.mix(mixed).collect():
+        target[r.source] = r.target
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 3 * r["size"]
+    assert all(taken[s] == round(target[s]) == 3 * sum(own) for s, own in small.items()), (taken, target)
+    assert all(abs(taken[s] - target[s]) < 0.002 * target[s] for s in "xyz")
+    copies = collections.Counter(r.doc_id for r in mixing.mixed_documents(mixed).select("doc_id").collect())
+    assert [copies[i] for i, s, n in rows if s in small] == [3 if n else 0 for _, s, n in rows if s in small]
+
+
 def test_targets_against_rounds_of_resharing(spark):
     rng = random.Random(2)
     for _ in range(4):
