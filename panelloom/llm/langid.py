@@ -19,6 +19,8 @@ SALTS = 64
 #: A prediction is marked as rejected if the second language needs less than this share more bytes than the best.
 MARGIN = 0.02
 UNKNOWN = "und"
+#: Bytes that are compressed together: every piece starts from the fresh dictionary, which stays in reach to its end.
+PIECE_BYTES = 16_384
 #: Greedy matching of 4 bytes and more, with tables large enough for a whole dictionary.
 ENCODER = {"window_log": 19, "hash_log": 17, "chain_log": 18, "search_log": 2, "min_match": 4, "strategy": 3, "write_content_size": False}
 #: Nats that one byte more costs in the score.
@@ -32,6 +34,11 @@ def letters(text: str) -> bytes:
     return b" ".join((" " + text.lower() + " ").encode("utf-8", "replace").translate(_LETTERS).split())
 
 
+def written(encoder, raw: bytes) -> int:
+    """Bytes that the encoder needs for all pieces of a text together."""
+    return sum(len(encoder.compress(raw[at:at + PIECE_BYTES])) for at in range(0, len(raw), PIECE_BYTES))
+
+
 def dictionaries(docs: DataFrame, folds: int = 3, fold: int = 1, documents: int = SAMPLE_DOCUMENTS, characters: int = SAMPLE_CHARACTERS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """The dictionary of every language: training documents one after the other, until ``size`` bytes are full.
 
@@ -53,7 +60,7 @@ def dictionaries(docs: DataFrame, folds: int = 3, fold: int = 1, documents: int
 
 
 def identify(docs: DataFrame, known: dict[str, bytes], text: str = "text", doc_id: str = "doc_id", margin: float = MARGIN) -> DataFrame:
-    """The language whose dictionary lets the whole text be written in the fewest bytes.
+    """The language whose dictionary lets the whole text be written in the fewest bytes, piece by piece, so that every part of a long text counts alike.
 
     Returns doc_id, lang_pred, score (0 to 1: how much shorter the best is than the others), rejected (the margin is too narrow to trust it).
 
@@ -78,7 +85,7 @@ def identify(docs: DataFrame, known: dict[str, bytes], text: str = "text", doc_i
                     out.append((UNKNOWN, 0.0, True))
                     continue
                 raw = letters(t)
-                sizes = sorted((len(e.compress(raw)), lang) for lang, e in encoders)
+                sizes = sorted((written(e, raw), lang) for lang, e in encoders)
                 least = sizes[0][0]
                 score = 1.0 / sum(math.exp(-NATS * min(s - least, 200)) for s, _ in sizes)
                 out.append((sizes[0][1], score, len(sizes) > 1 and sizes[1][0] - least < margin * least))

@@ -189,6 +189,19 @@ def test_language(docs, none):
     assert langid.dictionaries(none) == {} and langid.identify(docs, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_of_long_texts(spark):
+    """All parts of a long text count, and the margin of a pure text does not fall with its length."""
+    rng = random.Random(12)
+    words = {g: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(1500)] for g in "AB"}
+    prose = lambda g, size: " ".join(rng.choice(words[g]) for _ in range(size // 6))[:size]
+    known = {g: langid.letters(prose(g, 100_000)) for g in "AB"}
+    texts = [("B", prose("A", 300_000) + " " + prose("B", 700_000)), ("A", prose("A", 700_000) + " " + prose("B", 300_000)), ("B", prose("A", 600_000) + " " + prose("B", 3_000_000)),
+             ("A", prose("A", 2_000)), ("A", prose("A", 400_000)), ("B", prose("B", 3_000_000)), ("A", prose("A", 2_000) * 200), ("A", "ab" * 400_000 + " " + prose("A", 100_000))]
+    rows = langid.identify(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string"), known).orderBy("doc_id").collect()
+    assert [(r.lang_pred, r.rejected) for r in rows[:7]] == [(g, False) for g, _ in texts[:7]], rows
+    assert rows[7].lang_pred == "A"
+
+
 def test_substrings(docs, none):
     spans = chunks.repeated_spans(docs).collect()
     assert {(r.doc_id, r.first_doc_id) for r in spans} == {(10, 9)}
