@@ -160,7 +160,20 @@ def without(text: str, spans: list[list[int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _finder(spark: SparkSession, automaton: Automaton, clean: bool):
+def _cut(text: str | None, spans: list, least: int) -> str | None:
+    """The text without its spans of at least ``least`` words."""
+    long = [[a, b] for a, b in spans if b - a >= least]
+    return without(text, long) if long else text
+
+
+def _cutter(least: int):
+    def cut(texts: pd.Series, every: pd.Series) -> pd.Series:
+        return pd.Series([t if own is None else _cut(t, [[s["first"], s["stop"]] for s in own], least) for t, own in zip(texts, every)], dtype=object)
+
+    return F.pandas_udf(cut, "string")
+
+
+def _finder(spark: SparkSession, automaton: Automaton, clean: bool, least: int = 1):
     shipped = spark.sparkContext.broadcast(automaton)  # at most BLOCK_WORDS words of items
 
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -171,7 +184,7 @@ def _finder(spark: SparkSession, automaton: Automaton, clean: bool):
                 words = normal_words(t)
                 spans, items = own.hits(words)
                 hit = sum(b - a for a, b in spans)
-                rows.append((len(words), hit, [{"first": a, "stop": b} for a, b in spans], sorted(items), without(t, spans) if clean and hit else t if clean else None))
+                rows.append((len(words), hit, [{"first": a, "stop": b} for a, b in spans], sorted(items), _cut(t, spans, least) if clean else None))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "spans", "items", "clean_text"])
 
     return F.pandas_udf(find, "n_words long, n_hit long, spans array<struct<first: int, stop: int>>, items array<string>, clean_text string")
@@ -210,7 +223,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_wo
     holds more than one block.
 
     Returns doc_id, n_words, n_hit, spans (first and stop word), items (their ids as text, sorted), contaminated (n_hit > 0 and coverage * n_hit >= n_words), and with
-    ``clean`` also clean_text, the text without its hit words (one block only).
+    ``clean`` also clean_text, the text without its hit words.
 
     Null and empty texts have no words and no hit; items without words are never met; an item with a null id hits words but is not listed; items with the
     same id count once; equal rows get equal rows; without items nothing is hit; an empty table gives no row. Other columns are not read.
@@ -220,8 +233,6 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_wo
     if known.blocks == 1:
         found = _found(own, known.automaton(0), ["doc_id"], clean)
     else:
-        if clean:
-            raise ValueError("clean texts need a benchmark of one block")
         keyed = own.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
         texts = keyed.select("key", "text").dropDuplicates(["key"])
         part = [cut_lineage(_found(texts, known.automaton(k), ["key"], False).where("n_hit > 0" if k else "true")) for k in range(known.blocks)]
@@ -233,18 +244,25 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_wo
                   .withColumn("hit", F.expr("array_sort(array_distinct(flatten(transform(all, s -> sequence(s.first, s.stop - 1)))))"))
                   .withColumn("n_hit", F.size("hit").cast("long"))
                   .withColumn("spans", F.expr("zip_with(filter(hit, (w, i) -> i = 0 OR w > get(hit, i - 1) + 1), filter(hit, (w, i) -> i = size(hit) - 1 OR w + 1 < get(hit, i + 1)), (a, b) -> struct(a AS first, b + 1 AS stop))")))
-        found = keyed.select("doc_id", "key").join(joined, "key")
+        found = keyed.select("doc_id", "key", *["text"] * clean).join(joined, "key")
+        if clean:
+            found = found.withColumn("clean_text", _cutter(1)("text", "spans"))
     out = ["doc_id", "n_words", "n_hit", "spans", "items"] + ["clean_text"] * clean
     return found.withColumn("contaminated", _over(coverage)).select(*out, "contaminated")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, coverage: int = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns as they are; each row is judged by its own text."""
+    """The rows of ``docs`` that are not contaminated, without their hit spans of at least ``window`` words; each row is judged by its own text.
+
+    Texts without such a span and all other columns stay as they are. A shorter span, which is a short item that occurs whole, stays if the document does.
+    """
     known = Items(items, window, block_words)
     if known.blocks == 1:
-        find = _finder(docs.sparkSession, known.automaton(0), False)
-        return docs.withColumn("_found", find("text")).where(~_over(coverage, "_found.")).select(*docs.columns)
-    judged = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    texts = judged.select(F.col("_key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    bad = find_items(texts, items, window, block_words, coverage).where("contaminated").select(F.col("doc_id").alias("_key"))
-    return judged.join(bad, "_key", "left_anti").select(*docs.columns)
+        find = _finder(docs.sparkSession, known.automaton(0), True, window).asNondeterministic()  # else the filter would run it a second time
+        judged = docs.withColumn("_found", find("text")).where(~_over(coverage, "_found."))
+        return judged.select(*[F.col("_found.clean_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    keyed = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = keyed.select(F.col("_key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    found = find_items(texts, items, window, block_words, coverage).where("n_hit > 0").select(F.col("doc_id").alias("_key"), F.col("spans").alias("_spans"), F.col("contaminated").alias("_bad"))
+    judged = keyed.join(found, "_key", "left").where("_bad IS NULL OR NOT _bad")
+    return judged.select(*[F.when(F.col("_spans").isNotNull(), _cutter(window)("text", "_spans")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])

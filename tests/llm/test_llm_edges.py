@@ -162,6 +162,21 @@ def test_decontamination(spark, docs, none, folder):
     assert decontaminate.find_items(none, items).count() == 0 and decontaminate.find_items(docs, items.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_passages_below_the_coverage_limit_are_cut(spark):
+    """A long document stays, but the benchmark passages leave its text; however many blocks the benchmark has."""
+    other = " ".join(f"second{i}" for i in range(20))
+    items = spark.createDataFrame([(1, PASSAGE), (2, other), (3, "four five")], "item_id long, text string")
+    head, mid, tail = (" ".join(f"{w}{i}" for i in range(900)) for w in ("head", "mid", "tail"))
+    texts = {1: f"{head}. {PASSAGE.upper()}, {mid} {other} {tail}", 2: f"{head} four five {mid}", 3: f"{head} {other}", 4: f"{mid} {PASSAGE}", 5: None}
+    docs = spark.createDataFrame([(i, t, "keep") for i, t in texts.items()], "doc_id long, text string, lang string")
+    want = {1: f"{head}. , {mid} {tail}", 2: texts[2], 3: f"{head} ", 5: None}
+    for block_words in (1000, 30):
+        rows = decontaminate.clean_documents(docs, items, block_words=block_words).collect()
+        assert {r.doc_id: r.text for r in rows} == want and len(rows) == 4 and all(r.lang == "keep" for r in rows)
+        clean = {r.doc_id: r.clean_text for r in decontaminate.find_items(docs, items, clean=True, block_words=block_words).collect()}
+        assert clean == want | {2: f"{head} {mid}", 4: f"{mid} "}
+
+
 def test_automaton_against_loops():
     rng = random.Random(1)
     for _ in range(800):
