@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelloom.functions.session import cut_lineage
+from panelloom.llm.common import free_names
 
 #: Bytes of the smallest and the largest chunk, and the bits of the rolling hash that must be 0 at a cut: chunks have about 50 bytes on average.
 SMALLEST, LARGEST, CUT_BITS = 24, 96, 5
@@ -118,9 +119,14 @@ def repeated_spans(docs: DataFrame, least_span: int = LEAST_SPAN, text: str = "t
 
 
 def without_repeats(docs: DataFrame, least_span: int = LEAST_SPAN) -> DataFrame:
-    """The rows of ``docs`` with repeated passages cut out of ``text``; other columns stay as they are. Texts that only lose nothing are not touched."""
-    spans = (repeated_spans(docs, least_span).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-             .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans")))  # of one text
+    """The rows of ``docs`` with repeated passages cut out of ``text``; other columns stay as they are.
+
+    Every row stays, also one that loses its whole text and is empty then; a text without a repeated passage is not touched, nor is a null or empty text or a row with a
+    null id. Repeated rows are cut alike, an empty table gives no row, and further columns may have any name.
+    """
+    own_id, key, cuts = free_names(docs, "own_id", "text_key", "cuts")
+    spans = (repeated_spans(docs, least_span).groupBy(F.col("doc_id").alias(own_id), F.col("key").alias(key))
+             .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(cuts)))  # of one text
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, every: pd.Series) -> pd.Series:
@@ -135,5 +141,5 @@ def without_repeats(docs: DataFrame, least_span: int = LEAST_SPAN) -> DataFrame:
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    return joined.select(*[F.when(F.col("_spans").isNotNull(), cut("text", "_spans")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(key)), "left")
+    return joined.select(*[F.when(F.col(cuts).isNotNull(), cut("text", cuts)).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])

@@ -23,6 +23,17 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{run_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as it takes to differ from all columns of ``docs`` (letter case aside)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id, folds: int, fold: int) -> Column:
     """True for documents whose crc32 of the id as text falls in the fold kept out of training; ids that are null count as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(True))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelloom.functions.session import cut_lineage
+from panelloom.llm.common import free_names
 
 #: Words in a row that count as taken from an item; shorter items count as a whole.
 WINDOW = 13
@@ -45,7 +46,9 @@ class Automaton:
                 last = self._extend(last, word)
         # what an occurrence says: a window's state names its items; a short item's state names the item
         self.names: dict[int, set[str]] = {}
-        self.short: dict[int, list[tuple[int, str | None]]] = {}
+        #: short items: their length and names, one entry for each distinct sequence of words
+        self.short: list[tuple[int, set[str]]] = []
+        at: dict[tuple[int, int], int] = {}
         for (name, words), own in zip(items, ids):
             if not words:
                 continue
@@ -53,17 +56,30 @@ class Automaton:
                 state = 0
                 for word in own:
                     state = self.step[state][word]
-                self.short.setdefault(state, []).append((len(words), name))
+                entry = at.setdefault((state, len(words)), len(at))
+                if entry == len(self.short):
+                    self.short.append((len(words), set()))
+                self.short[entry][1].update([] if name is None else [name])
                 continue
             state, size = 0, 0
             for word in own:
                 state, size = self.step[state][word], size + 1
                 if size >= window and name is not None:
                     self.names.setdefault(self._window_state(state), set()).add(name)
-        # short items at or above each state, found by going up the links
+        # short items at or above each state, found by going up the links: one for each length at most, as they are suffixes of one sequence
+        here: dict[int, tuple[int, ...]] = {}
+        for (state, _), entry in at.items():
+            here[state] = (*here.get(state, ()), entry)
         self.above: list[tuple] = [()] * len(self.link)
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            self.above[state] = self.above[self.link[state]] + tuple(self.short.get(state, ()))
+            self.above[state] = self.above[self.link[state]] + here.get(state, ())
+
+    @classmethod
+    def of(cls, parts: dict) -> Automaton:
+        """The automaton with the attributes of another one."""
+        out = cls.__new__(cls)
+        vars(out).update(parts)
+        return out
 
     def _window_state(self, state: int) -> int:
         while self.length[self.link[state]] >= self.window:
@@ -101,11 +117,12 @@ class Automaton:
 
     def hits(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
         """Spans [first, end) of hit words, in order and apart, and the items met. One pass: the longest match is tracked word by word."""
-        step, link, length, above, window = self.step, self.link, self.length, self.above, self.window
+        step, link, length, above, short, window = self.step, self.link, self.length, self.above, self.short, self.window
         get = self.vocabulary.get
         state = size = 0
         spans: list[list[int]] = []
         met: set[int] = set()
+        met_short: set[int] = set()
         items: set[str] = set()
         for i, w in enumerate(words):
             word = get(w)
@@ -124,12 +141,11 @@ class Automaton:
             if size >= window:
                 reach = window
                 met.add(state)
-            if above[state]:
-                for n, name in above[state]:
-                    if n <= size:
-                        reach = max(reach, n)
-                        if name is not None:
-                            items.add(name)
+            for entry in above[state]:
+                n = short[entry][0]
+                if n <= size:
+                    reach = max(reach, n)
+                    met_short.add(entry)
             if reach:
                 first = i + 1 - reach
                 while spans and spans[-1][0] >= first:
@@ -140,6 +156,8 @@ class Automaton:
                     spans.append([first, i + 1])
         for s in met:
             items |= self.names.get(self._window_state(s), set())
+        for entry in met_short:
+            items |= short[entry][1]
         return spans, items
 
 
@@ -166,6 +184,14 @@ def _cut(text: str | None, spans: list, least: int) -> str | None:
     return without(text, long) if long else text
 
 
+def _cleaned(automaton: Automaton, text: str | None, spans: list, least: int) -> str | None:
+    """The text cut until no span of at least ``least`` words is left: what stood on both sides of a cut may make a window together."""
+    while text and any(b - a >= least for a, b in spans):
+        text = _cut(text, spans, least)
+        spans, _ = automaton.hits(normal_words(text))
+    return text
+
+
 def _cutter(least: int):
     def cut(texts: pd.Series, every: pd.Series) -> pd.Series:
         return pd.Series([t if own is None else _cut(t, [[s["first"], s["stop"]] for s in own], least) for t, own in zip(texts, every)], dtype=object)
@@ -174,17 +200,17 @@ def _cutter(least: int):
 
 
 def _finder(spark: SparkSession, automaton: Automaton, clean: bool, least: int = 1):
-    shipped = spark.sparkContext.broadcast(automaton)  # at most BLOCK_WORDS words of items
+    shipped = spark.sparkContext.broadcast(vars(automaton))  # at most BLOCK_WORDS words of items, as plain lists and dicts: workers need not import this package
 
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shipped.value
+        own = Automaton.of(shipped.value)
         for texts in batches:
             rows = []
             for t in texts:
                 words = normal_words(t)
                 spans, items = own.hits(words)
                 hit = sum(b - a for a, b in spans)
-                rows.append((len(words), hit, [{"first": a, "stop": b} for a, b in spans], sorted(items), _cut(t, spans, least) if clean else None))
+                rows.append((len(words), hit, [{"first": a, "stop": b} for a, b in spans], sorted(items), _cleaned(own, t, spans, least) if clean else None))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "spans", "items", "clean_text"])
 
     return F.pandas_udf(find, "n_words long, n_hit long, spans array<struct<first: int, stop: int>>, items array<string>, clean_text string")
@@ -254,15 +280,29 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_wo
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, coverage: int = COVERAGE) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, without their hit spans of at least ``window`` words; each row is judged by its own text.
 
-    Texts without such a span and all other columns stay as they are. A shorter span, which is a short item that occurs whole, stays if the document does.
+    A cut joins the words on its two sides, which may make a window together, so cutting goes on until none is left. Texts without such a span and all other
+    columns stay as they are. A shorter span, which is a short item that occurs whole, stays if the document does.
+
+    Null and empty texts, and rows with null ids, stay; repeated rows are judged alike; without items every row stays; an empty table gives no row. Further columns
+    may have any name.
     """
     known = Items(items, window, block_words)
+    found_name, key, new = free_names(docs, "found", "text_key", "new_text")
     if known.blocks == 1:
         find = _finder(docs.sparkSession, known.automaton(0), True, window).asNondeterministic()  # else the filter would run it a second time
-        judged = docs.withColumn("_found", find("text")).where(~_over(coverage, "_found."))
-        return judged.select(*[F.col("_found.clean_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    texts = keyed.select(F.col("_key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    found = find_items(texts, items, window, block_words, coverage).where("n_hit > 0").select(F.col("doc_id").alias("_key"), F.col("spans").alias("_spans"), F.col("contaminated").alias("_bad"))
-    judged = keyed.join(found, "_key", "left").where("_bad IS NULL OR NOT _bad")
-    return judged.select(*[F.when(F.col("_spans").isNotNull(), _cutter(window)("text", "_spans")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+        judged = docs.withColumn(found_name, find("text")).where(~_over(coverage, f"{found_name}."))
+        return judged.select(*[F.col(f"{found_name}.clean_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    keyed = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = keyed.select(F.col(key).alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    first = cut_lineage(find_items(texts, items, window, block_words, coverage).where("n_hit > 0").select("doc_id", "spans", "contaminated"))
+    out = keyed.join(first.where("contaminated").select(F.col("doc_id").alias(key)), key, "left_anti")
+    hit, rounds = first.where("NOT contaminated").select("doc_id", "spans"), []
+    while True:  # each round holds only the texts that the round before has cut
+        cut = cut_lineage(texts.join(hit.where(F.exists("spans", lambda s: s["stop"] - s["first"] >= window)), "doc_id").select("doc_id", _cutter(window)("text", "spans").alias("text")))
+        if cut.isEmpty():
+            break
+        rounds.append(cut)
+        texts, hit = cut, find_items(cut, items, window, block_words, coverage).where("n_hit > 0").select("doc_id", "spans")
+    for cut in rounds:
+        out = out.join(cut.toDF(key, new), key, "left").withColumn("text", F.coalesce(new, "text")).drop(new)
+    return out.select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelloom.functions.session import cut_lineage
-from panelloom.llm.common import running_totals, word_array
+from panelloom.llm.common import free_names, running_totals, word_array
 
 #: The schedule has 2 ** SLOT_BITS slots, whatever the input: one slot is less than 0.001 % of the mix.
 SLOT_BITS = 17
@@ -131,7 +131,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
     are never taken. Equal (doc_id, source, words) rows share what they are taken together.
     """
     words = F.size(word_array(F.col("text"))).cast("long")
-    copies = (mix(docs, weights, most_epochs, bits).where("taken > 0").groupBy("doc_id", "source", "size")
-              .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies")).where("copies > 0").toDF("_id", "_source", "_size", "_copies"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (words == F.col("_size"))
-    return docs.join(copies, on).select(*docs.columns, F.explode(F.expr("sequence(1, _copies)")).alias("_copy")).select(*docs.columns)
+    own_id, own_source, own_size, copies, copy = free_names(docs, "own_id", "own_source", "own_size", "copies", "copy")
+    taken = (mix(docs, weights, most_epochs, bits).where("taken > 0").groupBy("doc_id", "source", "size")
+             .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies")).where("copies > 0").toDF(own_id, own_source, own_size, copies))
+    on = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source)) & (words == F.col(own_size))
+    return docs.join(taken, on).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).select(*docs.columns)

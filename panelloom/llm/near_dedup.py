@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from panelloom.functions.session import cut_lineage
-from panelloom.llm.common import components
+from panelloom.llm.common import components, free_names
 from panelloom.llm.textnum import mixed, word_hashes
 
 #: Minimum similarity of linked documents, in per cent.
@@ -201,7 +201,12 @@ def _cells(clusters: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group is kept, all columns as they are; of rows with the same id one stays, null ids all stay."""
-    kept = near_duplicates(docs, similarity).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that stay when one document of each group is kept, the one with the smallest id, all columns as they are.
+
+    Of rows with the same id one stays (any one, if they differ); rows with a null id all stay, so do null and empty texts, which are like nothing. An empty
+    table gives no row. Further columns may have any name.
+    """
+    (name,) = free_names(docs, "kept_id")
+    kept = near_duplicates(docs, similarity).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct()
+    known = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where(F.col("doc_id").isNull()))

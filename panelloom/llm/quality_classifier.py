@@ -121,11 +121,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
 def quality_score(spark: SparkSession, model: Model, text: Column) -> Column:
     """Score of a text column, in Arrow batches; the model (half a megabyte) is broadcast."""
-    shipped = spark.sparkContext.broadcast(model)
+    shipped = spark.sparkContext.broadcast((model.logits, model.bias))  # plain data: workers need not import this package
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own_model = Model(*shipped.value)
         for texts in batches:
-            yield pd.Series(shipped.value.scores(texts), dtype="float64")
+            yield pd.Series(own_model.scores(texts), dtype="float64")
 
     return F.pandas_udf(score, "double")(text)
 
@@ -141,5 +142,9 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text:
 
 
 def good_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, all columns as they are."""
+    """The rows of ``docs`` that the classifier accepts, all columns as they are.
+
+    Each row is judged by its own whole text; null and empty texts have the score of the bias and go or stay as it says. Null ids and repeated rows are rows
+    like others, an empty table gives no row, and further columns may have any name.
+    """
     return docs.where(quality_score(docs.sparkSession, model, F.col("text")) >= threshold)

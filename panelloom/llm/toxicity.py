@@ -132,10 +132,10 @@ def detect(docs: DataFrame, model: Model, threshold: float = THRESHOLD, sentence
     Null and empty texts have no sentence: score 0, no span. Null ids stay null; equal rows get equal rows; an empty table gives no row. Other columns are not
     read.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # two megabytes
+    shipped = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # one megabyte of plain data: workers need not import this package
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own_model = shipped.value
+        own_model = Model(*shipped.value)
         for texts in batches:
             scores, spans = [], []
             for own in groups(texts):

@@ -14,6 +14,8 @@ LONG = " ".join(f"word{i % 997}x{i}" for i in range(60_000))
 PASSAGE = " ".join(f"passage{i}" for i in range(60))
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size string, shard string, node string, digest string, component string, key string, block string, "
           "score string, n_words string, copies string, words string, item_id string, start string, y string, h string")
+CLASH = ["_id", "_copies", "_size", "_source", "_copy", "_found", "_key", "_spans", "_bad", "_cuts", "_range", "own_id", "own_source", "OWN_SIZE", "copy", "found", "text_key", "text_key_", "new_text", "cuts", "kept_id"]
+SCHEMA += "".join(f", {c} string" for c in CLASH)
 TEXTS = [(1, "one two three four. five six", "en", "a"), (1, "one two three four. five six", "en", "a"), (2, "One two three FOUR. five six", "en", None), (3, None, "en", "a"), (4, "", None, "b"), (5, "  \n\t ", "de", "b"),
          (None, "no id at all here", None, None), (6, LONG, "en", "c"), (7, "!!! ??? ...", "de", "c"), (8, "word", None, None), (9, f"before {PASSAGE} after", "de", "a"), (10, f"other {PASSAGE} words", "en", "b"),
          (11, "\x00 nul \x01", "en", "b"), (1, "one id with another text entirely", "de", "a"), (12, "ééé ñ ß 中文 😀", "fr", "a"), (None, None, None, None)]
@@ -21,7 +23,7 @@ TEXTS = [(1, "one two three four. five six", "en", "a"), (1, "one two three four
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    clash = ["x"] * 15
+    clash = ["x"] * (15 + len(CLASH))
     return spark.createDataFrame([(i, t, g, s, len(t) if t else None, *clash) for i, t, g, s in TEXTS], SCHEMA).cache()
 
 
@@ -223,7 +225,7 @@ def test_substrings(docs, none):
     text = TEXTS[11][1].encode()
     assert all(text[r.start:r.stop].decode() in PASSAGE for r in spans) and sum(r.stop - r.start for r in spans) > 0.6 * len(PASSAGE)
     cut = chunks.without_repeats(docs)
-    assert cut.columns == docs.columns and cut.count() == len(TEXTS)
+    assert cut.columns == docs.columns and cut.count() == len(TEXTS) and cut.select(*CLASH).distinct().count() == 1
     rows = {r.doc_id: r.text for r in cut.collect()}
     assert rows[9] == TEXTS[10][1] and rows[10].startswith("other ") and rows[10].endswith(" words") and len(rows[10]) < 0.5 * len(TEXTS[11][1])
     assert chunks.repeated_spans(none).count() == 0
@@ -340,6 +342,7 @@ def test_stages(spark, docs, none, folder, k):
     out = stage(spark, docs, folder)
     if k < 4:
         assert out.columns == docs.columns
+        assert out.select("digest", "copies", *CLASH).distinct().collect() == [("x",) * (2 + len(CLASH))]
         ids = {r.doc_id for r in out.collect()}
         assert ids <= {i for i, *_ in TEXTS} and 6 in ids
         if name == "near-duplicates":
@@ -349,3 +352,50 @@ def test_stages(spark, docs, none, folder, k):
     else:
         assert out.count() == len(TEXTS)
     assert stage(spark, none, folder).count() == 0
+
+
+def test_a_cut_makes_no_new_window(spark):
+    """The words on both sides of a cut passage are an item themselves; so are those around that one."""
+    a, b, c = ([f"{x}{i}" for i in range(13)] for x in "abc")
+    fill = [f"fill{i}" for i in range(700)]
+    text = " ".join(fill + c[:3] + a[:6] + b + a[6:] + c[3:] + ["end"])
+    for block_words in (1000, 20):
+        items = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "item_id long, text string")
+        one = spark.createDataFrame([(1, text), (2, "clean"), (2, None)], "doc_id long, text string")
+        rows = decontaminate.clean_documents(one, items, block_words=block_words).collect()
+        assert sorted((r.doc_id, r.text or "") for r in rows) == [(1, " ".join(fill + ["end"])), (2, ""), (2, "clean")]
+
+
+def test_many_equal_short_items():
+    words = decontaminate.normal_words("so " * 3000)
+    automaton = decontaminate.Automaton([(str(k), [b"so"]) for k in range(5000)] + [("two", [b"so", b"so"])])
+    spans, items = automaton.hits(words)
+    assert spans == [[0, 3000]] and len(items) == 5001
+    assert decontaminate.Automaton.of(vars(automaton)).hits(words) == (spans, items)
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.log.level", "ERROR").config("spark.checkpoint.dir", sys.argv[2]).getOrCreate()
+for name, fn in entry.queries().items():
+    if name.startswith("op") or name == "pipeline":
+        assert fn(spark, sys.argv[3]).count() >= 0, name
+        print(name, flush=True)
+"""
+
+
+def test_workers_need_no_copy_of_the_package(folder, tmp_path):
+    """All llm queries from an empty folder, so that no worker finds the package by its path."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    env["PYTHONPATH"] = os.pathsep.join(p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and os.path.abspath(p) != repo)
+    done = subprocess.run([sys.executable, "-c", ELSEWHERE, repo, str(tmp_path / "shared"), "/root/testdata/sf0.001"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0, done.stdout + done.stderr[-3000:]
+    assert "pipeline" in done.stdout
