@@ -1,4 +1,4 @@
-"""SQL twins, for DuckDB, of the llm queries that SQL can express. The trained and hashed ones (1, 5, 6, 7, 10) are tested against brute force instead."""
+"""SQL twins, for DuckDB, of the llm queries that SQL can express. The trained and hashed ones (1, 5, 6, 7, 10, 11) are tested against brute force instead."""
 
 from __future__ import annotations
 
@@ -8,13 +8,21 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SHARDS, SLOTS = 24, 2 ** mixing.SLOT_BITS
 
-#: CRC-32 of a text, byte by byte; the table of 256 remainders is made from its polynomial.
-CRC = """
+#: CRC-32 byte by byte; the table of 256 remainders is made from its polynomial.
+CRC_TABLE = """
 crc_table AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_concat([n], range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
-              FROM (SELECT range::BIGINT AS n FROM range(256)))),
-crc AS (SELECT text, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)),
-                                     lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
-        FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), crc_table)
+              FROM (SELECT range::BIGINT AS n FROM range(256))))
+"""
+
+
+def crc(text: str) -> str:
+    """CRC-32 of a text, where ``crc_table`` is joined."""
+    return f"""xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)),
+                                     lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"""
+
+
+CRC = f"""{CRC_TABLE},
+crc AS (SELECT text, {crc("text")} AS text_crc32 FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), crc_table)
 """
 
 op2 = f"""
@@ -102,4 +110,51 @@ least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM docs JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_sharding": op2, "op3_quality_rules": op3, "op4_decontamination": op4, "op8_mixing": op8, "op9_near_dedup": op9}
+op12 = rf"""
+WITH {CRC_TABLE},
+own AS (SELECT conv_id, list({{'k': sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 'words': len({WORDS})}}
+                             ORDER BY turn NULLS FIRST, sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+headed AS (SELECT conv_id, turns, conv_id - conv_id % 20 AS base, {crc("conv_id::VARCHAR")} % 4 AS h FROM own, crc_table),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:h], c.turns[h + 1:]) AS turns FROM headed c LEFT JOIN own b ON b.conv_id = c.base),
+prefixes AS (SELECT conv_id, d, array_to_string(list_transform(turns[1:d], lambda t: t.k), '') AS node, array_to_string(list_transform(turns[1:d - 1], lambda t: t.k), '') AS up,
+                    CASE WHEN d > 0 THEN turns[d].words ELSE 0 END AS words, d = len(turns) AS is_end FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT node, d, CASE WHEN d > 0 THEN min(up) END AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256 FROM prefixes GROUP BY node, d),
+children AS (SELECT up AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY up),
+known AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (node)),
+below AS (SELECT left(node, 64 * a) AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM known) GROUP BY 1)
+SELECT k.conv_id, k.d AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM known k JOIN below USING (node) LEFT JOIN nodes p ON p.node = k.up AND k.d > 0
+"""
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _leaf(**changed: str) -> str:
+    values = [f"{changed.get(f, f)}::VARCHAR" for f in _FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({v}))::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
+
+
+op13 = f"""
+WITH RECURSIVE {CRC_TABLE},
+rows AS (SELECT doc_id, source, {_leaf()} AS leaf, {_leaf(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS altered FROM documents),
+crcs AS (SELECT doc_id, {crc("doc_id::VARCHAR")} % 5 = 0 AS tampered FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table),
+leaves AS (SELECT r.*, coalesce(tampered, false) AS tampered, row_number() OVER (PARTITION BY source ORDER BY r.doc_id NULLS FIRST, leaf) - 1 AS i FROM rows r LEFT JOIN crcs c ON c.doc_id = r.doc_id),
+up AS (SELECT source, 0 AS level, list(leaf ORDER BY i) AS hs FROM leaves GROUP BY source
+       UNION ALL SELECT source, level + 1, list_transform(range((len(hs) + 15) // 16), lambda k: sha256(array_to_string(hs[k * 16 + 1:k * 16 + 16], ''))) FROM up WHERE len(hs) > 1),
+subroots AS (SELECT source, hs[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM up WHERE len(hs) = 1),
+top AS (SELECT 0 AS level, list(subroot ORDER BY i) AS hs FROM subroots
+        UNION ALL SELECT level + 1, list_transform(range((len(hs) + 15) // 16), lambda k: sha256(array_to_string(hs[k * 16 + 1:k * 16 + 16], ''))) FROM top WHERE len(hs) > 1),
+steps AS (SELECT l.doc_id, l.source, l.i AS row, level, (l.i // pow(16, level)::BIGINT) AS pos, hs FROM leaves l JOIN up u ON l.source IS NOT DISTINCT FROM u.source AND len(hs) > 1
+          UNION ALL SELECT l.doc_id, l.source, l.i, 100 + level, (s.i // pow(16, level)::BIGINT), hs FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source JOIN top ON len(hs) > 1),
+sides AS (SELECT source, row, level, array_to_string(hs[pos - pos % 16 + 1:pos], '') AS l, array_to_string(hs[pos + 2:pos - pos % 16 + 16], '') AS r FROM steps),
+proof AS (SELECT source, row, list(l || '|' || r ORDER BY level) AS way FROM sides GROUP BY source, row),
+known AS (SELECT e.*, subroot, (SELECT hs[1] FROM top WHERE len(hs) = 1) AS root, coalesce(way, []) AS way
+          FROM leaves e JOIN subroots s ON e.source IS NOT DISTINCT FROM s.source LEFT JOIN proof p ON e.source IS NOT DISTINCT FROM p.source AND e.i = p.row),
+fold AS (SELECT *, list_reduce(list_concat([CASE WHEN tampered THEN altered ELSE leaf END], way), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root FROM known)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(way, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM fold
+"""
+
+ORACLES: dict[str, str] = {"op2_sharding": op2, "op3_quality_rules": op3, "op4_decontamination": op4, "op8_mixing": op8, "op9_near_dedup": op9, "op12_conversation_trie": op12,
+                           "op13_merkle_manifest": op13}

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelloom.llm import chunks, decontaminate, langid, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from panelloom.llm import (chunks, decontaminate, langid, merkle, mixing, near_dedup, prefix_trie, quality_classifier, quality_rules, sharding, syncmers, token_counts,
+                           toxicity)
 from panelloom.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,18 @@ def op10_token_counts(spark, sf):
     import public_tokenizers
 
     return token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_document_fingerprints(spark, sf):
+    return syncmers.fingerprints(table(spark, sf, "documents"))
+
+
+@query
+def op12_conversation_trie(spark, sf):
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(table(spark, sf, "conversations")))
+
+
+@query
+def op13_merkle_manifest(spark, sf):
+    return merkle.manifest(table(spark, sf, "documents"))
