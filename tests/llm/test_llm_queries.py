@@ -18,14 +18,14 @@ SF = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(n for n in ORACLES if not n.startswith(("op11", "op12", "op13"))))
 def test_against_sql(spark, name):
     _, rows, problem = oracle.check(name, spark, oracle.connect(SF), SF, QUERIES[name], ORACLES[name])
     assert problem is None and rows == 200
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def rates(rows, labels, column):
