@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelloom.functions import stats
 from panelloom.functions.session import cut_lineage
+from panelloom.sources.readers import latest_slice
 from panelloom.roles import DEFAULT, Roles
 
 
@@ -57,13 +58,13 @@ def predict(model: PipelineModel, numbering: DataFrame, df: DataFrame) -> DataFr
     return scored.select(*df.columns, "tier")
 
 
-def share_tiers(shares: DataFrame, latest_year: int, k: int | None = None, roles: Roles = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(tiered latest shares, thresholds): clusters of the latest shares, thresholds from the edges of the clusters.
+def share_tiers(shares: DataFrame, latest_year: int | None = None, k: int | None = None, roles: Roles = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(tiered latest shares, thresholds): clusters of the shares of ``latest_year``, or of each market's last one, thresholds from the edges of the clusters.
 
     First tier: its lowest share. Middle tiers: root of own lowest times next tier's highest. Last tier: 0.3 of its lowest, at
     least 0.01.
     """
-    latest = cut_lineage(shares.where(F.col(roles.year) == latest_year))
+    latest = cut_lineage(latest_slice(shares, roles) if latest_year is None else shares.where(F.col(roles.year) == latest_year))
     model, numbering = fit(latest, ["market_share"], k)
     tiered = cut_lineage(predict(model, numbering, latest))
     edges = tiered.groupBy("tier").agg(F.min("market_share").alias("low"), F.max("market_share").alias("high"), F.count(F.lit(1)).alias("entities"))

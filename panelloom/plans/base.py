@@ -84,9 +84,6 @@ def panel(spark, sf) -> DataFrame:
     return sums.join(names, "id").select("market", "id", "name", "year", "value")
 
 
-#: The year that queries about one year ask for, and the first day that monthly fits do not see (what follows is held out).
-LATEST, ORIGIN = 2001, "2001-01-01"
-
 # Every row of the tables counts, the part year at the end included.
 SQL["history"] = "SELECT * FROM panel"
 NEEDS["history"] = ("panel",)
@@ -240,6 +237,9 @@ SQL["shares"] = """
   SELECT h.market, h.id, h.name, h.year, h.value, h.value / t.total * 100 AS market_share
   FROM history h JOIN totals t USING (market, year)"""
 NEEDS["shares"] = ("totals",)
+# the shares of each market's own last year
+SQL["now"] = "SELECT s.* FROM shares s JOIN (SELECT market, max(year) AS year FROM shares GROUP BY 1) USING (market, year)"
+NEEDS["now"] = ("shares",)
 
 # ---- forecasts against actuals: naive growth and flat forecasts of each year ------------------------------------------
 

@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.session import cut_lineage
 from panelloom.operators import forecast as fc, regions as rg, shares as sh
+from panelloom.sources.readers import latest_slice
 from panelloom.plans.base import SQL, NEEDS, ctes, edges, history, panel, parts, query, r, tidy, world
 from panelloom.roles import DEFAULT, DistributionSettings
 
-HORIZON, LAST = 3, 2001
+HORIZON = 3
 THRESHOLDS = (2.0, 1.0, 0.5)
 SET = DistributionSettings(tier_thresholds=THRESHOLDS)
 TIER = "CASE WHEN {0} >= 2 THEN 1 WHEN {0} >= 1 THEN 2 WHEN {0} >= 0.5 THEN 3 ELSE 4 END"
@@ -34,20 +35,19 @@ SQL["raw_proj"] = f"""SELECT market, id, name, CAST(year + h AS INTEGER) AS year
     market_share * least(greatest(pow(trend_factor, greatest(2.0 / (1 + exp(0.3 * h)) - 0.5, 0) * h), 1 - cap), 1 + cap) AS s FROM (
   SELECT s.market, s.id, s.name, s.year, s.market_share, t.trend_factor, {TIER.format('s.market_share')} AS tier, h,
     least((CASE {TIER.format('s.market_share')} WHEN 1 THEN 0.2 WHEN 2 THEN 0.3 ELSE 0.5 END)::DOUBLE * (1 + 0.2 * (h - 1)), 1.0)::DOUBLE AS cap
-  FROM shares s JOIN trend t USING (market, id), range(1, {HORIZON + 1}) g(h) WHERE s.year = {LAST})"""
-NEEDS["raw_proj"] = ("trend",)
+  FROM now s JOIN trend t USING (market, id), range(1, {HORIZON + 1}) g(h))"""
+NEEDS["raw_proj"] = ("trend", "now")
 SQL["proj"] = """SELECT market, id, name, year, tier, s / (sum(s) OVER (PARTITION BY market, year)) * 100 AS market_share FROM raw_proj"""
 NEEDS["proj"] = ("raw_proj",)
 SQL["limits"] = """SELECT market, least(greatest(quantile_cont(g, 0.9) * 1.5, 40), 100) AS mx, least(greatest(quantile_cont(g, 0.1) * 1.5, -50), -20) AS mn FROM (
   SELECT market, CASE WHEN lag(year) OVER w = year - 1 THEN (market_share / lag(market_share) OVER w - 1) * 100 END AS g
   FROM shares WINDOW w AS (PARTITION BY market, id ORDER BY year)) GROUP BY 1"""
 NEEDS["limits"] = ("shares",)
-_prev = "SELECT market, id, market_share AS p FROM shares WHERE year = 2001"
+_prev = "SELECT market, id, market_share AS p FROM now"
 for _h in range(1, HORIZON + 1):
-    _y = LAST + _h
     SQL[f"held{_h}"] = f"""SELECT market, id, name, year, tier, CASE WHEN g > mx * f THEN p * (1 + mx * f / 100) WHEN g < mn * f THEN p * (1 + mn * f / 100) ELSE market_share END AS s FROM (
       SELECT *, CASE WHEN p < 1 THEN 2.0 WHEN p < 5 THEN 1.5 ELSE 1.0 END AS f, least(greatest((market_share / p - 1) * 100, -90), 200) AS g FROM (
-      SELECT j.*, CASE WHEN q.p > 0 THEN q.p ELSE 0.01 END AS p, l.mx, l.mn FROM proj j LEFT JOIN ({_prev}) q USING (market, id) JOIN limits l USING (market) WHERE j.year = {_y}))"""
+      SELECT j.*, CASE WHEN q.p > 0 THEN q.p ELSE 0.01 END AS p, l.mx, l.mn FROM proj j LEFT JOIN ({_prev}) q USING (market, id) JOIN limits l USING (market) JOIN (SELECT DISTINCT market, year AS ly FROM now) USING (market) WHERE j.year = ly + {_h}))"""
     SQL[f"norm{_h}"] = f"""SELECT market, id, name, year, tier, CASE WHEN x < 0.001 THEN 0.001 WHEN k > 0 AND a > 0 THEN x * (1 + (100 - k * 0.001 - a) / a) ELSE x END AS market_share FROM (
       SELECT *, count(*) FILTER (WHERE x < 0.001) OVER (PARTITION BY market) AS k, sum(x) FILTER (WHERE x >= 0.001) OVER (PARTITION BY market) AS a FROM (
       SELECT *, s * (100.0 / sum(s) OVER (PARTITION BY market)) AS x FROM held{_h}))"""
@@ -56,9 +56,9 @@ for _h in range(1, HORIZON + 1):
     _prev = f"SELECT market, id, market_share AS p FROM norm{_h}"
 SQL["limited"] = " UNION ALL ".join(f"SELECT * FROM norm{h}" for h in range(1, HORIZON + 1))
 NEEDS["limited"] = tuple(f"norm{h}" for h in range(1, HORIZON + 1))
-SQL["world_rate"] = """SELECT market, arg_max(value, year) AS last_value, pow(arg_max(value, year) / arg_min(value, year), 1.0 / (max(year) - min(year))) - 1 AS rate FROM world GROUP BY 1"""
+SQL["world_rate"] = """SELECT market, max(year) AS last_year, arg_max(value, year) AS last_value, pow(arg_max(value, year) / arg_min(value, year), 1.0 / (max(year) - min(year))) - 1 AS rate FROM world GROUP BY 1"""
 NEEDS["world_rate"] = ("world",)
-SQL["world_all"] = f"SELECT market, year, value FROM world UNION ALL SELECT market, CAST({LAST} + h AS INTEGER), last_value * pow(1 + rate, h) FROM world_rate, range(1, {HORIZON + 1}) g(h)"
+SQL["world_all"] = f"SELECT market, year, value FROM world UNION ALL SELECT market, CAST(last_year + h AS INTEGER), last_value * pow(1 + rate, h) FROM world_rate, range(1, {HORIZON + 1}) g(h)"
 NEEDS["world_all"] = ("world_rate",)
 SQL["valued"] = f"""SELECT market, id, name, year, market_share, tier, market_share * w.value / 100 AS value FROM (
   SELECT market, id, name, year, market_share, {TIER.format('market_share')} AS tier FROM shares UNION ALL SELECT market, id, name, year, market_share, tier FROM limited) JOIN world_all w USING (market, year)"""
@@ -123,12 +123,12 @@ def _(spark, sf):
     return tidy(sh.phases(shares(spark, sf)), market="string", id="bigint", mean_change=6, std_change=6, phase="string")
 
 
-@query("d06_growth_bounds", ctes("phase", "bounds", t="SELECT market, id, " + TIER.format("market_share") + " AS tier FROM shares WHERE year = 2001",
+@query("d06_growth_bounds", ctes("phase", "bounds", "now", t="SELECT market, id, " + TIER.format("market_share") + " AS tier FROM now",
                                  f="SELECT * FROM (VALUES (1, 1.5, 0.7), (2, 1.2, 0.9), (3, 1.0, 1.0), (4, 0.8, 1.2)) f(tier, a, b)") +
        f"SELECT market, id, phase, tier, {r('lo * a')} AS low, {r('hi * b')} AS high FROM phase JOIN bounds USING (phase) JOIN t USING (market, id) JOIN f USING (tier)")
 def _(spark, sf):
     s = shares(spark, sf)
-    latest = s.where("year = 2001").select("market", "id", sh.tier_of("market_share", THRESHOLDS).alias("tier"))
+    latest = latest_slice(s).select("market", "id", sh.tier_of("market_share", THRESHOLDS).alias("tier"))
     low, high = sh.bound_columns(F.col("phase"), F.col("tier"))
     return tidy(sh.phases(s).join(latest, ["market", "id"]).withColumn("low", low).withColumn("high", high),
                 market="string", id="bigint", phase="string", tier="int", low=6, high=6)
@@ -152,10 +152,10 @@ def _(spark, sf):
     return tidy(sh.project_shares(shares(spark, sf), HORIZON, SET), **ROW, tier="int", market_share=6)
 
 
-@query("d11_tier_caps", ctes("shares") + f"""SELECT market, id, CAST(2001 + h AS INTEGER) AS year, {r("least((CASE " + TIER.format('market_share') + " WHEN 1 THEN 0.2 WHEN 2 THEN 0.3 ELSE 0.5 END)::DOUBLE * (1 + 0.2 * (h - 1)), 1.0)")} AS cap
-  FROM shares, range(1, 9) g(h) WHERE year = 2001""")
+@query("d11_tier_caps", ctes("now") + f"""SELECT market, id, CAST(year + h AS INTEGER) AS year, {r("least((CASE " + TIER.format('market_share') + " WHEN 1 THEN 0.2 WHEN 2 THEN 0.3 ELSE 0.5 END)::DOUBLE * (1 + 0.2 * (h - 1)), 1.0)")} AS cap
+  FROM now, range(1, 9) g(h)""")
 def _(spark, sf):
-    d = shares(spark, sf).where("year = 2001").withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    d = latest_slice(shares(spark, sf)).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(8))))
     d = d.withColumn("cap", sh.tier_change_cap(sh.tier_of("market_share", THRESHOLDS), F.col("h"))).withColumn("year", F.col("year") + F.col("h"))
     return tidy(d, **ROW, cap=6)
 
@@ -172,8 +172,8 @@ def _(spark, sf):
     return tidy(out, **ROW, tier="int", market_share=6)
 
 
-@query("d14_carry_years", ctes("shares", "world_all") + f"""SELECT market, id, year, {r('market_share')} AS market_share FROM shares
-  UNION ALL SELECT s.market, s.id, w.year, {r('s.market_share')} FROM shares s JOIN world_all w ON w.market = s.market AND w.year > 2001 WHERE s.year = 2001""")
+@query("d14_carry_years", ctes("now", "world_all") + f"""SELECT market, id, year, {r('market_share')} AS market_share FROM shares
+  UNION ALL SELECT s.market, s.id, w.year, {r('s.market_share')} FROM now s JOIN world_all w ON w.market = s.market AND w.year > s.year""")
 def _(spark, sf):
     w = fc.extend_total(world(spark, sf), HORIZON)
     return tidy(sh.carry_missing_years(shares(spark, sf), w), **ROW, market_share=6)

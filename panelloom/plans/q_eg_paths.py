@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.session import cut_lineage
 from panelloom.operators import dynamics as dy, forecast as fc, harmonize as hz, regions as rg, shares as sh, tiers as tr
+from panelloom.sources.readers import latest_slice
 from panelloom.plans.base import NEEDS, SQL, ctes, edges, history, parts, query, r, tidy, trade
 from panelloom.plans import q_d_shares  # noqa: F401  (leaf input)
 from panelloom.plans.q_k_forecast import yearly
@@ -137,20 +138,20 @@ TIER = "CASE WHEN {0} >= 2 THEN 1 WHEN {0} >= 1 THEN 2 WHEN {0} >= 0.5 THEN 3 EL
 
 
 def _latest(spark, sf):
-    d = dy.features(history(spark, sf)).where("year = 2001")
+    d = latest_slice(dy.features(history(spark, sf)))
     return d.withColumn("tier", sh.tier_of("market_share", (2.0, 1.0, 0.5)))
 
 
 SQL["feats"] = """SELECT market, id, year, value, market_share, g, coalesce(g, 0) AS growth_rate, CASE WHEN n > 2 THEN coalesce(stddev_samp(g) OVER (PARTITION BY market, id ORDER BY year ROWS 2 PRECEDING), 0) ELSE 0 END AS volatility, n FROM (
   SELECT *, (value / lag(value) OVER (PARTITION BY market, id ORDER BY year) - 1) * 100 AS g, count(*) OVER (PARTITION BY market, id) AS n FROM shares)"""
 NEEDS["feats"] = ("shares",)
-SQL["latest"] = f"SELECT *, {TIER.format('market_share')} AS tier FROM feats WHERE year = 2001"
-NEEDS["latest"] = ("feats",)
+SQL["latest"] = f"SELECT *, {TIER.format('market_share')} AS tier FROM feats SEMI JOIN now USING (market, id, year)"
+NEEDS["latest"] = ("feats", "now")
 
 
 @query("d07_automatic_tiers")
 def _(spark, sf):
-    return tr.share_tiers(sh.market_shares(history(spark, sf)), 2001)[1]
+    return tr.share_tiers(sh.market_shares(history(spark, sf)))[1]
 
 
 @query("g01_cluster_tiers")
@@ -181,8 +182,8 @@ def _(spark, sf):
 @query("g05_score_new_rows")
 def _(spark, sf):
     f = cut_lineage(dy.features(history(spark, sf)))
-    model, numbering = tr.fit(f.where("year = 1999"), ["market_share", "growth_rate"], 3)
-    return tr.predict(model, numbering, f.where("year = 2001")).select("market", "id", "year", "tier")
+    model, numbering = tr.fit(f.join(latest_slice(f).select("market", "id", (F.col("year") - 2).alias("year")), ["market", "id", "year"], "left_semi"), ["market_share", "growth_rate"], 3)
+    return tr.predict(model, numbering, latest_slice(f)).select("market", "id", "year", "tier")
 
 
 @query("g06_tier_transitions", ctes("parts", s="SELECT market, id, year, value / sum(value) OVER (PARTITION BY market, year) * 100 AS s FROM parts", t="SELECT *, " + TIER.format("s") + " AS tier FROM s",

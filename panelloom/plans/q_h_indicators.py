@@ -5,9 +5,8 @@ from pyspark.sql import functions as F
 from panelloom.functions import stats
 from panelloom.functions.session import cut_lineage
 from panelloom.operators import indicators as ind, shares as sh
-from panelloom.plans.base import INDICATORS, NEEDS, SQL, ctes, facts, history, indicators, query, r, sql_uniform, table, tidy
+from panelloom.plans.base import INDICATORS, NEEDS, SQL, ctes, facts, history, indicators, monthly, query, r, sql_uniform, table, tidy
 from panelloom.plans import q_j_regimes as qj
-from panelloom.plans.q_k_forecast import train
 
 NAMES = list(INDICATORS)
 IY = dict(id="bigint", year="int")
@@ -65,12 +64,12 @@ def _(spark, sf):
     return tidy(ind.best_lag(ind.lagged(indicators(spark, sf), 5)), indicator="string", best_lag="int", correlation=6)
 
 
-SQL["roll"] = """SELECT key, indicator, date, CASE WHEN count(*) OVER w = 12 THEN corr(x, value) OVER w END AS rc FROM train JOIN mind USING (key, date) WINDOW w AS (PARTITION BY key, indicator ORDER BY date ROWS 11 PRECEDING)"""
-NEEDS["roll"] = ("train", "mind")
+SQL["roll"] = """SELECT key, indicator, date, CASE WHEN count(*) OVER w = 12 THEN corr(x, value) OVER w END AS rc FROM series JOIN mind USING (key, date) WINDOW w AS (PARTITION BY key, indicator ORDER BY date ROWS 11 PRECEDING)"""
+NEEDS["roll"] = ("series", "mind")
 
 
 def roll(spark, sf):
-    j = train(spark, sf).join(qj.mind(spark, sf).withColumnRenamed("value", "x"), ["key", "date"])
+    j = monthly(spark, sf).join(qj.mind(spark, sf).withColumnRenamed("value", "x"), ["key", "date"])
     return ind.rolling(j, ["key", "indicator"], "date", "x", "value")
 
 
@@ -117,15 +116,15 @@ def _(spark, sf):
 _F = "PARTITION BY key ORDER BY date"
 
 
-@query("h13_features", ctes("train") + f"SELECT key, date, {r(f'CASE WHEN t >= 2 THEN avg(value) OVER ({_F} ROWS 2 PRECEDING) END', 4)} AS ma3, {r(f'CASE WHEN t >= 11 THEN avg(value) OVER ({_F} ROWS 11 PRECEDING) END', 4)} AS ma12, "
+@query("h13_features", ctes("series") + f"SELECT key, date, {r(f'CASE WHEN t >= 2 THEN avg(value) OVER ({_F} ROWS 2 PRECEDING) END', 4)} AS ma3, {r(f'CASE WHEN t >= 11 THEN avg(value) OVER ({_F} ROWS 11 PRECEDING) END', 4)} AS ma12, "
        f"{r(f'CASE WHEN t >= 5 THEN stddev_samp(value) OVER ({_F} ROWS 5 PRECEDING) END', 4)} AS vol6, {r(f'value - 2 * lag(value) OVER ({_F}) + lag(value, 2) OVER ({_F})', 3)} AS acceleration, {r(f'value / lag(value, 3) OVER ({_F}) - 1')} AS momentum3, "
-       f"{r('(value - avg(value) OVER (PARTITION BY key)) / (stddev_samp(value) OVER (PARTITION BY key) + 1e-8)')} AS zscore, {r('(rank() OVER (PARTITION BY key ORDER BY value) + (count(*) OVER (PARTITION BY key, value) - 1) / 2.0) / count(*) OVER (PARTITION BY key)')} AS rank FROM train")
+       f"{r('(value - avg(value) OVER (PARTITION BY key)) / (stddev_samp(value) OVER (PARTITION BY key) + 1e-8)')} AS zscore, {r('(rank() OVER (PARTITION BY key ORDER BY value) + (count(*) OVER (PARTITION BY key, value) - 1) / 2.0) / count(*) OVER (PARTITION BY key)')} AS rank FROM series")
 def _(spark, sf):
-    return tidy(ind.features(train(spark, sf), ["key"], "date"), key="bigint", date="date", ma3=4, ma12=4, vol6=4, acceleration=3, momentum3=6, zscore=6, rank=6)
+    return tidy(ind.features(monthly(spark, sf), ["key"], "date"), key="bigint", date="date", ma3=4, ma12=4, vol6=4, acceleration=3, momentum3=6, zscore=6, rank=6)
 
 
-SQL["df1"] = "SELECT key, t, value - lag(value) OVER (PARTITION BY key ORDER BY t) AS d FROM train"
-NEEDS["df1"] = ("train",)
+SQL["df1"] = "SELECT key, t, value - lag(value) OVER (PARTITION BY key ORDER BY t) AS d FROM series"
+NEEDS["df1"] = ("series",)
 SQL["adf"] = """SELECT key, regr_slope(dd, p) / sqrt(var_pop(dd) * (1 - regr_r2(dd, p)) / (var_pop(p) * (count(*) - 2))) AS t FROM (SELECT key, lag(d) OVER (PARTITION BY key ORDER BY t) AS p, d - lag(d) OVER (PARTITION BY key ORDER BY t) AS dd FROM df1 WHERE d IS NOT NULL) WHERE dd IS NOT NULL GROUP BY 1"""
 NEEDS["adf"] = ("df1",)
 
@@ -133,16 +132,16 @@ NEEDS["adf"] = ("df1",)
 @query("h14_unit_root", ctes("adf") + f"SELECT key, {r('t', 4)} AS t, t < -2.86 AS stationary FROM adf")
 def _(spark, sf):
     from pyspark.sql import Window as W
-    d = train(spark, sf).withColumn("d", F.col("value") - F.lag("value").over(W.partitionBy("key").orderBy("date"))).where("d is not null")
+    d = monthly(spark, sf).withColumn("d", F.col("value") - F.lag("value").over(W.partitionBy("key").orderBy("date"))).where("d is not null")
     return tidy(ind.unit_root(d, ["key"], "date", "d"), key="bigint", t=4, stationary="boolean")
 
 
 @query("h14_stationary", ctes("adf") + f"""SELECT key, t::BIGINT AS step, 'diff' AS method, {r('CASE WHEN (SELECT a.t FROM adf a WHERE a.key = df1.key) < -2.86 THEN d ELSE d - lag(d) OVER (PARTITION BY key ORDER BY t) END', 3)} AS v FROM df1
-  UNION ALL SELECT key, t, 'log_diff', {r('ln(value) - ln(lag(value) OVER (PARTITION BY key ORDER BY t))')} FROM train
-  UNION ALL SELECT key, t, 'detrend', {r('value - avg(value) OVER w - regr_slope(value, t) OVER w * (t - avg(t) OVER w)', 1)} FROM train WINDOW w AS (PARTITION BY key)""")
+  UNION ALL SELECT key, t, 'log_diff', {r('ln(value) - ln(lag(value) OVER (PARTITION BY key ORDER BY t))')} FROM series
+  UNION ALL SELECT key, t, 'detrend', {r('value - avg(value) OVER w - regr_slope(value, t) OVER w * (t - avg(t) OVER w)', 1)} FROM series WINDOW w AS (PARTITION BY key)""")
 def _(spark, sf):
     from panelloom.operators.forecast import indexed
-    s = indexed(train(spark, sf))
+    s = indexed(monthly(spark, sf))
     out = None
     for m, d in (("diff", 3), ("log_diff", 6), ("detrend", 1)):
         x = ind.stationary(s, ["key"], "date", m).select("key", F.col("t").cast("bigint").alias("step"), F.lit(m).alias("method"), F.round("stationary_value", d).alias("v"))

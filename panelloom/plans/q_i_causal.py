@@ -5,9 +5,8 @@ from pyspark.sql import functions as F
 from panelloom.functions.session import cut_lineage, with_row
 from panelloom.functions.stats import critical_t
 from panelloom.operators import causal as ca, indicators as ind, shares as sh
-from panelloom.plans.base import INDICATORS, NEEDS, SQL, ctes, facts, history, indicators, query, r, tidy
+from panelloom.plans.base import INDICATORS, NEEDS, SQL, ctes, facts, history, indicators, monthly, query, r, tidy
 from panelloom.plans import q_h_indicators as qh, q_j_regimes as qj  # noqa: F401  (blend, mind inputs)
-from panelloom.plans.q_k_forecast import train
 
 VARS = [*INDICATORS, "market_value"]
 SQL["pairs"] = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS c, count(*) AS n FROM facts" for i, a in enumerate(VARS) for b in VARS[i + 1:])
@@ -39,23 +38,23 @@ def _(spark, sf):
     return ca.forest_benefit(facts(spark, sf), list(INDICATORS), "market_value", 5)
 
 
-@query("i05_cusum", ctes("train", z="SELECT key, date, t, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS z FROM train WINDOW w AS (PARTITION BY key)",
+@query("i05_cusum", ctes("series", z="SELECT key, date, t, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS z FROM series WINDOW w AS (PARTITION BY key)",
                          f="SELECT key, date, t, 0.0::DOUBLE AS u, 0.0::DOUBLE AS d FROM z WHERE t = 0 UNION ALL SELECT b.key, b.date, b.t, greatest(0, a.u + b.z - 0.5), least(0, a.d + b.z + 0.5) FROM f a JOIN z b ON b.key = a.key AND b.t = a.t + 1") +
        f"SELECT key, date, {r('u')} AS upper, {r('d')} AS lower, u > 2 OR abs(d) > 2 AS is_change FROM f")
 def _(spark, sf):
-    return tidy(ca.cusum(train(spark, sf)), key="bigint", date="date", upper=6, lower=6, is_change="boolean")
+    return tidy(ca.cusum(monthly(spark, sf)), key="bigint", date="date", upper=6, lower=6, is_change="boolean")
 
 
 @query("i06_peaks", ctes("df1", d="SELECT key, t, abs(d) AS s FROM df1", q="SELECT key, quantile_cont(s, 0.9) AS q FROM d GROUP BY 1", n="SELECT *, lag(s) OVER (PARTITION BY key ORDER BY t) AS a, lead(s) OVER (PARTITION BY key ORDER BY t) AS b FROM d") +
-       f"SELECT n.key, tr.date, {r('s', 3)} AS step FROM n JOIN q USING (key) JOIN train tr ON tr.key = n.key AND tr.t = n.t WHERE s > a AND s > b AND s >= q")
+       f"SELECT n.key, tr.date, {r('s', 3)} AS step FROM n JOIN q USING (key) JOIN series tr ON tr.key = n.key AND tr.t = n.t WHERE s > a AND s > b AND s >= q")
 def _(spark, sf):
-    return tidy(ca.peaks(train(spark, sf)), key="bigint", date="date", step=3)
+    return tidy(ca.peaks(monthly(spark, sf)), key="bigint", date="date", step=3)
 
 
-@query("i06_variance_changes", ctes("train", v="SELECT key, date, n, CASE WHEN t >= 9 THEN var_samp(value) OVER (PARTITION BY key ORDER BY date ROWS 9 PRECEDING) END / 1e6 AS v FROM train", m="SELECT key, date, abs(v - lag(v) OVER (PARTITION BY key ORDER BY date)) AS m FROM v WHERE n >= 20",
+@query("i06_variance_changes", ctes("series", v="SELECT key, date, n, CASE WHEN t >= 9 THEN var_samp(value) OVER (PARTITION BY key ORDER BY date ROWS 9 PRECEDING) END / 1e6 AS v FROM series", m="SELECT key, date, abs(v - lag(v) OVER (PARTITION BY key ORDER BY date)) AS m FROM v WHERE n >= 20",
                                     q="SELECT key, quantile_cont(m, 0.9) AS q FROM m GROUP BY 1") + f"SELECT key, date, {r('m', 3)} AS move FROM m JOIN q USING (key) WHERE m > q")
 def _(spark, sf):
-    return tidy(ca.variance_changes(train(spark, sf)).withColumn("move", F.col("move") / 1e6), key="bigint", date="date", move=3)
+    return tidy(ca.variance_changes(monthly(spark, sf)).withColumn("move", F.col("move") / 1e6), key="bigint", date="date", move=3)
 
 
 SQL["sc"] = """SELECT c.market, c.id, c.year, c.value AS cv, t.value AS tv FROM history c JOIN history t ON t.market = c.market AND t.year = c.year AND t.id = 1 WHERE c.id <> 1"""
@@ -78,13 +77,13 @@ def _(spark, sf):
 
 
 def wide(spark, sf):
-    return train(spark, sf).join(qj.mind(spark, sf).groupBy("key", "date").pivot("indicator", list(INDICATORS)).agg(F.first("value")), ["key", "date"])
+    return monthly(spark, sf).join(qj.mind(spark, sf).groupBy("key", "date").pivot("indicator", list(INDICATORS)).agg(F.first("value")), ["key", "date"])
 
 
 _M = {f"{a}{b}": f"covar_pop({x}, {y}) OVER w" for a, x in (("t", "quantity"), ("y", "value"), ("z", "discount")) for b, y in (("t", "quantity"), ("y", "value"), ("z", "discount"))}
 SQL["reff"] = "SELECT key, date, ty - tz * yz / zz AS ty, tt - tz * tz / zz AS tt, yy - yz * yz / zz AS yy FROM (SELECT key, date, count(*) OVER w AS n, " + ", ".join(f"{e} AS {k}" for k, e in _M.items()) + \
-    " FROM train JOIN mfacts USING (key, date) WINDOW w AS (PARTITION BY key ORDER BY date ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE n = 12"
-NEEDS["reff"] = ("train", "mfacts")
+    " FROM series JOIN mfacts USING (key, date) WINDOW w AS (PARTITION BY key ORDER BY date ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE n = 12"
+NEEDS["reff"] = ("series", "mfacts")
 
 
 @query("i08_rolling_effect", ctes("reff") + f"SELECT key, date, {r('ty / tt', 2)} AS effect, {r('ty / sqrt(tt * yy)')} AS correlation FROM reff")
@@ -92,7 +91,7 @@ def _(spark, sf):
     return tidy(ca.rolling_effect(wide(spark, sf), "quantity", "value", "discount"), key="bigint", date="date", effect=2, correlation=6)
 
 
-@query("i09_variance_regimes", ctes("train", "mfacts", v="SELECT f.*, t.value, CASE WHEN count(*) OVER w = 6 THEN var_samp(t.value) OVER w END AS v FROM train t JOIN mfacts f USING (key, date) WINDOW w AS (PARTITION BY key ORDER BY date ROWS 5 PRECEDING)",
+@query("i09_variance_regimes", ctes("series", "mfacts", v="SELECT f.*, t.value, CASE WHEN count(*) OVER w = 6 THEN var_samp(t.value) OVER w END AS v FROM series t JOIN mfacts f USING (key, date) WINDOW w AS (PARTITION BY key ORDER BY date ROWS 5 PRECEDING)",
                                     q="SELECT key, median(v) AS q FROM v GROUP BY 1", s="SELECT v.*, (v.v > q.q)::INT AS regime FROM v JOIN q USING (key) WHERE v.v IS NOT NULL") +
        f"SELECT regime::INTEGER AS regime, count(*)::BIGINT AS n, {r('avg(value)', 2)} AS mean, {r('var_samp(value) / 1e6', 2)} AS variance, {r('corr(lines, value)')} AS corr_lines, {r('corr(quantity, value)')} AS corr_quantity FROM s GROUP BY 1")
 def _(spark, sf):

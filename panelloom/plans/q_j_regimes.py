@@ -5,11 +5,10 @@ from pyspark.sql import functions as F
 from panelloom.functions.session import cut_lineage
 from panelloom.functions.stats import critical_t
 from panelloom.operators import regimes as rg
-from panelloom.plans.base import NEEDS, SQL, INDICATORS, ctes, money, query, r, table, tidy
+from panelloom.plans.base import INDICATORS, NEEDS, SQL, ctes, money, monthly, query, r, table, tidy
 from panelloom.plans import q_l_ensemble as ql
-from panelloom.plans.q_k_forecast import train
 
-WIN = 6
+WIN = 12
 KD = dict(key="bigint", date="date")
 SQL["mfacts"] = """SELECT l_suppkey AS key, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, CAST(count(*) AS DOUBLE) AS lines, CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS discount,
   CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS quantity, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) / count(*) AS returned FROM lineitem GROUP BY 1, 2"""
@@ -26,8 +25,8 @@ def mind(spark, sf):
 
 SQL["met"] = f"""SELECT key, date, t, n, value, g, CASE WHEN count(g) OVER f = {WIN} THEN stddev_samp(g) OVER f END AS vol, CASE WHEN count(g) OVER f = {WIN} THEN avg(g) OVER f END AS mom,
   CASE WHEN count(value) OVER f = {WIN} THEN abs(corr(t, value) OVER f) END AS ts, CASE WHEN count(value) OVER f = {WIN} THEN value / avg(value) OVER f END AS sr
-  FROM (SELECT *, value / lag(value) OVER (PARTITION BY key ORDER BY date) - 1 AS g FROM train) WINDOW f AS (PARTITION BY key ORDER BY date ROWS {WIN - 1} PRECEDING)"""
-NEEDS["met"] = ("train",)
+  FROM (SELECT *, value / lag(value) OVER (PARTITION BY key ORDER BY date) - 1 AS g FROM series) WINDOW f AS (PARTITION BY key ORDER BY date ROWS {WIN - 1} PRECEDING)"""
+NEEDS["met"] = ("series",)
 SQL["cand"] = f"""SELECT key, date, row_number() OVER w AS i, CASE WHEN count(vol) OVER nx = {WIN} AND count(vol) OVER pv = {WIN} AND count(vol) OVER nn = {WIN + 1}
   THEN abs(avg(vol) OVER nx - avg(vol) OVER pv) / nullif(sqrt((var_samp(vol) OVER nx + var_samp(vol) OVER pv) / 2), 0) > 1.5 ELSE false END AS c FROM met WHERE vol IS NOT NULL
   WINDOW w AS (PARTITION BY key ORDER BY date), nx AS (PARTITION BY key ORDER BY date ROWS BETWEEN CURRENT ROW AND {WIN - 1} FOLLOWING), pv AS (PARTITION BY key ORDER BY date ROWS BETWEEN {WIN} PRECEDING AND 1 PRECEDING),
@@ -46,7 +45,7 @@ NEEDS["typed"] = ("regs",)
 
 
 def rows(spark, sf):
-    return rg.with_regimes(rg.change_points(rg.market_metrics(train(spark, sf), WIN), WIN, 1.5, 6))
+    return rg.with_regimes(rg.change_points(rg.market_metrics(monthly(spark, sf), WIN), WIN, 1.5, 6))
 
 
 def typed(spark, sf):
@@ -56,12 +55,12 @@ def typed(spark, sf):
 
 @query("j01_market_metrics", ctes("met") + f"SELECT key, date, {r('g')} AS growth, {r('vol')} AS volatility, {r('mom')} AS momentum, {r('ts')} AS trend_strength, {r('sr')} AS size_relative FROM met")
 def _(spark, sf):
-    return tidy(rg.market_metrics(train(spark, sf), WIN), **KD, growth=6, volatility=6, momentum=6, trend_strength=6, size_relative=6)
+    return tidy(rg.market_metrics(monthly(spark, sf), WIN), **KD, growth=6, volatility=6, momentum=6, trend_strength=6, size_relative=6)
 
 
 @query("j02_change_points", ctes("rows") + "SELECT key, date, chg AS is_change FROM rows")
 def _(spark, sf):
-    return tidy(rg.change_points(rg.market_metrics(train(spark, sf), WIN), WIN, 1.5, 6), **KD, is_change="boolean")
+    return tidy(rg.change_points(rg.market_metrics(monthly(spark, sf), WIN), WIN, 1.5, 6), **KD, is_change="boolean")
 
 
 @query("j03_regime_table", ctes("typed") + f"SELECT key, rid::BIGINT AS regime_id, len::BIGINT AS length, {r('mg')} AS mean_growth, {r('gv')} AS growth_volatility, {r('mv')} AS mean_volatility, {r('mm')} AS mean_momentum, {r('mt')} AS mean_trend_strength, typ AS regime_type FROM typed")
@@ -85,14 +84,14 @@ def _(spark, sf):
     return tidy(rg.regime_weights(rg.indicator_by_regime(typed(spark, sf), mind(spark, sf))), regime_type="string", indicator="string", weight=6)
 
 
-SQL["wbase"] = "SELECT indicator, abs(corr(value, x)) / sum(abs(corr(value, x))) OVER () AS weight FROM train t JOIN mind i ON i.key = t.key AND i.date = t.date GROUP BY 1"
-NEEDS["wbase"] = ("train", "mind")
+SQL["wbase"] = "SELECT indicator, abs(corr(value, x)) / sum(abs(corr(value, x))) OVER () AS weight FROM series t JOIN mind i ON i.key = t.key AND i.date = t.date GROUP BY 1"
+NEEDS["wbase"] = ("series", "mind")
 _MAIN = "SELECT indicator, arg_max(c, n) AS c FROM perfr GROUP BY 1"
 
 
 def wbase(spark, sf):
     from pyspark.sql import Window as W
-    j = train(spark, sf).join(mind(spark, sf).withColumnRenamed("value", "x"), ["key", "date"])
+    j = monthly(spark, sf).join(mind(spark, sf).withColumnRenamed("value", "x"), ["key", "date"])
     c = j.groupBy("indicator").agg(F.abs(F.corr("value", "x")).alias("c"))
     return c.select("indicator", (F.col("c") / F.sum("c").over(W.partitionBy())).alias("weight"))
 
@@ -130,14 +129,14 @@ def _(spark, sf):
 
 
 SQL["feat"] = f"""SELECT * FROM (SELECT key, date, value, g, CASE WHEN count(g) OVER f = {WIN} THEN stddev_samp(g) OVER f END AS vol, CASE WHEN count(g) OVER f = {WIN} THEN avg(g) OVER f END AS mr, value / lag(value, {WIN}) OVER (PARTITION BY key ORDER BY date) - 1 AS mom
-  FROM (SELECT *, value / lag(value) OVER (PARTITION BY key ORDER BY date) - 1 AS g FROM train) WINDOW f AS (PARTITION BY key ORDER BY date ROWS {WIN - 1} PRECEDING)) WHERE g IS NOT NULL AND vol IS NOT NULL AND mom IS NOT NULL"""
-NEEDS["feat"] = ("train",)
+  FROM (SELECT *, value / lag(value) OVER (PARTITION BY key ORDER BY date) - 1 AS g FROM series) WINDOW f AS (PARTITION BY key ORDER BY date ROWS {WIN - 1} PRECEDING)) WHERE g IS NOT NULL AND vol IS NOT NULL AND mom IS NOT NULL"""
+NEEDS["feat"] = ("series",)
 SQL["thr"] = "SELECT f.*, (vol > a)::INT + (vol > b)::INT AS regime FROM feat f JOIN (SELECT key, quantile_cont(vol, 0.33) AS a, quantile_cont(vol, 0.67) AS b FROM feat GROUP BY 1) USING (key)"
 NEEDS["thr"] = ("feat",)
 
 
 def thr(spark, sf):
-    return rg.threshold_regimes(rg.regime_features(train(spark, sf), WIN))
+    return rg.threshold_regimes(rg.regime_features(monthly(spark, sf), WIN))
 
 
 @query("j08_threshold_regimes", ctes("thr") + f"SELECT key, date, {r('vol')} AS volatility, {r('mr')} AS mean_return, {r('mom')} AS momentum, regime::INTEGER AS regime FROM thr")
@@ -147,12 +146,12 @@ def _(spark, sf):
 
 @query("j08_volatility_regimes", ctes("feat", q="SELECT key, quantile_cont(vol, 0.25) AS a, quantile_cont(vol, 0.75) AS b FROM feat GROUP BY 1") + "SELECT key, date, CASE WHEN vol <= a THEN 1 WHEN vol <= b AND g >= 0 THEN 2 ELSE 0 END::INTEGER AS regime FROM feat JOIN q USING (key)")
 def _(spark, sf):
-    return tidy(rg.volatility_regimes(rg.regime_features(train(spark, sf), WIN)), **KD, regime="int")
+    return tidy(rg.volatility_regimes(rg.regime_features(monthly(spark, sf), WIN)), **KD, regime="int")
 
 
 @query("j09_mixture_regimes")
 def _(spark, sf):
-    return rg.mixture_regimes(cut_lineage(rg.regime_features(train(spark, sf), WIN))).groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg("volatility").alias("volatility"))
+    return rg.mixture_regimes(cut_lineage(rg.regime_features(monthly(spark, sf), WIN))).groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg("volatility").alias("volatility"))
 
 
 SQL["trans"] = "SELECT a, b, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY a) AS p FROM (SELECT regime AS a, lead(regime) OVER (PARTITION BY key ORDER BY date) AS b FROM thr) WHERE b IS NOT NULL GROUP BY 1, 2"
@@ -180,7 +179,7 @@ def _(spark, sf):
 
 @query("j12_market_conditions", ctes("cond") + f"SELECT key, date, {r('vol')} AS volatility, {r('tp')} AS volatility_percentile, {r('slope', 4)} AS trend_slope, {r('strength')} AS trend_strength, {r('mom')} AS momentum, regime, phase, {r('1 / (1 + vol)')} AS stability, {r('pred')} AS predictability FROM cond")
 def _(spark, sf):
-    return tidy(rg.market_conditions(train(spark, sf)), **KD, volatility=6, volatility_percentile=6, trend_slope=4, trend_strength=6, momentum=6, regime="string", phase="string", stability=6, predictability=6)
+    return tidy(rg.market_conditions(monthly(spark, sf)), **KD, volatility=6, volatility_percentile=6, trend_slope=4, trend_strength=6, momentum=6, regime="string", phase="string", stability=6, predictability=6)
 
 
 SQL["vprof"] = """SELECT key, avg(v) AS m, stddev_pop(v) AS s, arg_max(v, date) AS c, (count(*) FILTER (WHERE v < l) + count(*) FILTER (WHERE v <= l))::DOUBLE / (2 * count(*)) AS p FROM (SELECT key, date, v, last_value(v) OVER (PARTITION BY key ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM (
@@ -190,7 +189,7 @@ NEEDS["vprof"] = ("retn",)
 
 @query("j13_volatility_profile", ctes("vprof") + f"SELECT key, {r('m')} AS mean_volatility, {r('s')} AS volatility_std, {r('c')} AS current_volatility, {r('p')} AS volatility_percentile FROM vprof")
 def _(spark, sf):
-    return tidy(rg.volatility_profile(train(spark, sf)), key="bigint", mean_volatility=6, volatility_std=6, current_volatility=6, volatility_percentile=6)
+    return tidy(rg.volatility_profile(monthly(spark, sf)), key="bigint", mean_volatility=6, volatility_std=6, current_volatility=6, volatility_percentile=6)
 
 
 @query("j13_weight_tilt", ctes("invw", "vprof", t="SELECT w.key, model, c, weight * CASE WHEN c < 0.3 THEN CASE WHEN model IN ('linear', 'exponential') THEN 1.1 ELSE 1 END WHEN c > 0.5 THEN CASE WHEN model = 'naive' THEN 1.15 ELSE 0.95 END ELSE 1 END AS x FROM invw w JOIN vprof USING (key)") +
@@ -198,18 +197,18 @@ def _(spark, sf):
 def _(spark, sf):
     from panelloom.operators import ensemble as en
     w = en.weights(cut_lineage(ql.perf(spark, sf)))
-    return tidy(rg.tilt_weights(w, rg.volatility_profile(train(spark, sf)), 0.3, 0.5), key="bigint", model="string", state="string", tilted=6)
+    return tidy(rg.tilt_weights(w, rg.volatility_profile(monthly(spark, sf)), 0.3, 0.5), key="bigint", model="string", state="string", tilted=6)
 
 
 @query("j13_recommendations", ctes("cond") + f"""SELECT key, CASE WHEN vol > 0.1 THEN 'volatility_aware' ELSE 'weighted' END AS ensemble_type, CASE WHEN pred < 0.3 THEN 'diversified' WHEN vol > 0.08 THEN 'adaptive' ELSE 'performance' END AS optimization_method,
   least(24, greatest(6, trunc(12 / vol)))::INTEGER AS volatility_window, {r('least(greatest(vol * 2, 0.05), 0.3)')} AS learning_rate FROM cond""")
 def _(spark, sf):
-    return tidy(rg.recommendations(rg.market_conditions(train(spark, sf))), key="bigint", ensemble_type="string", optimization_method="string", volatility_window="int", learning_rate=6)
+    return tidy(rg.recommendations(rg.market_conditions(monthly(spark, sf))), key="bigint", ensemble_type="string", optimization_method="string", volatility_window="int", learning_rate=6)
 
 
 @query("j14_current_regime", ctes("retn", c="SELECT key, count(ret) AS k, stddev_samp(ret) FILTER (WHERE t >= n - 12) AS a, stddev_samp(ret) AS b FROM retn GROUP BY 1") + f"SELECT key, {r('a')} AS recent, {r('b')} AS overall, CASE WHEN a > b * 1.5 THEN 0 ELSE 1 END::INTEGER AS regime, 0.7::DOUBLE AS confidence FROM c")
 def _(spark, sf):
-    return tidy(rg.current_regime(train(spark, sf)), key="bigint", recent=6, overall=6, regime="int", confidence="double")
+    return tidy(rg.current_regime(monthly(spark, sf)), key="bigint", recent=6, overall=6, regime="int", confidence="double")
 
 
 @query("j15_learning_record", ctes("scored", m="SELECT market, id, year, avg(abs(actual - forecast) / actual) * 100 AS e FROM scored GROUP BY 1, 2, 3", l="SELECT *, row_number() OVER (PARTITION BY market, id ORDER BY year) AS i FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY market, id ORDER BY year DESC) <= 5)",
@@ -224,6 +223,6 @@ def _(spark, sf):
 @query("j16_regime_analysis")
 def _(spark, sf):
     base = cut_lineage(wbase(spark, sf))
-    parts = rg.regime_analysis(train(spark, sf), mind(spark, sf), base, base.select("indicator", F.col("weight").alias("strength")), WIN)
+    parts = rg.regime_analysis(monthly(spark, sf), mind(spark, sf), base, base.select("indicator", F.col("weight").alias("strength")), WIN)
     return parts["parameters"].groupBy("regime_type").agg(F.count(F.lit(1)).alias("regimes"), F.avg("base_uncertainty").alias("base_uncertainty")).join(
         parts["regime_weights"].groupBy("regime_type").agg(F.max_by("indicator", "weight").alias("main_indicator")), "regime_type", "left")

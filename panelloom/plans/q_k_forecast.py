@@ -3,20 +3,26 @@
 from pyspark.sql import functions as F
 
 from panelloom.operators import forecast as fc, shares as sh
-from panelloom.plans.base import NEEDS, ORIGIN, SQL, ctes, facts, history, mapping, monthly, query, r, tidy, trade
+from panelloom.sources.readers import latest_slice
+from panelloom.plans.base import NEEDS, SQL, ctes, facts, history, mapping, monthly, query, r, tidy, trade
 
 H = 6
 OUT = dict(key="bigint", date="date", horizon="int", value=4, lower=4, upper=4)
 
 
-def train(spark, sf):
-    return monthly(spark, sf).where(F.col("date") < ORIGIN)
+def held(spark, sf):
+    """The series without the last H months of each key, which forecasts are scored on."""
+    s = monthly(spark, sf)
+    return s.join(s.groupBy("key").agg(F.add_months(F.max("date"), -H).alias("origin")), "key").where("date <= origin").drop("origin")
 
 
-SQL["train"] = f"SELECT *, row_number() OVER (PARTITION BY key ORDER BY date) - 1 AS t, count(*) OVER (PARTITION BY key) AS n FROM monthly WHERE date < DATE '{ORIGIN}'"
-NEEDS["train"] = ("monthly",)
-SQL["lastd"] = "SELECT key, max(date) AS ld, arg_max(value, date) AS lv, arg_min(value, date) AS fv, min(date) AS fd FROM train GROUP BY 1"
-NEEDS["lastd"] = ("train",)
+SQL["series"] = "SELECT *, row_number() OVER (PARTITION BY key ORDER BY date) - 1 AS t, count(*) OVER (PARTITION BY key) AS n FROM monthly"
+NEEDS["series"] = ("monthly",)
+SQL["held"] = f"""SELECT key, date, value, row_number() OVER (PARTITION BY key ORDER BY date) - 1 AS t, count(*) OVER (PARTITION BY key) AS n
+  FROM monthly JOIN (SELECT key, CAST(max(date) - INTERVAL {H} MONTH AS DATE) AS origin FROM monthly GROUP BY 1) USING (key) WHERE date <= origin"""
+NEEDS["held"] = ("monthly",)
+SQL["lastd"] = "SELECT key, max(date) AS ld, arg_max(value, date) AS lv, arg_min(value, date) AS fv, min(date) AS fd FROM series GROUP BY 1"
+NEEDS["lastd"] = ("series",)
 _DATE = "CAST(ld + to_months(CAST(horizon AS INTEGER)) AS DATE)"
 _STEPS = f"range(1, {H + 1}) g(horizon)"
 
@@ -31,109 +37,111 @@ _CAGR = "CASE WHEN fv > 0 THEN least(greatest((pow(lv / fv, 1.0 / ((ld - fd) / 3
 
 @query("k01_cagr", ctes("lastd", f=f"SELECT *, {_CAGR} AS c FROM lastd", x=f"SELECT key, horizon, {_DATE} AS date, lv * pow(1 + c / 100, horizon / 12.0) AS v FROM f, {_STEPS}") + _out("v", "abs(v) * 0.1", "x"))
 def _(spark, sf):
-    return tidy(fc.cagr(train(spark, sf), H), **OUT)
+    return tidy(fc.cagr(monthly(spark, sf), H), **OUT)
 
 
-@query("k01_cagr_last_years", ctes("train", e="SELECT key, max(date) AS ld FROM train GROUP BY 1", w="SELECT t.*, ld FROM train t JOIN e USING (key) WHERE date >= ld - INTERVAL 24 MONTH",
+@query("k01_cagr_last_years", ctes("series", e="SELECT key, max(date) AS ld FROM series GROUP BY 1", w="SELECT t.*, ld FROM series t JOIN e USING (key) WHERE date >= ld - INTERVAL 24 MONTH",
                                    l="SELECT key, max(ld) AS ld, arg_max(value, date) AS lv, arg_min(value, date) AS fv, min(date) AS fd FROM w GROUP BY 1",
                                    f=f"SELECT *, {_CAGR} AS c FROM l", x=f"SELECT key, horizon, CAST(ld + to_months(CAST(horizon * 3 AS INTEGER)) AS DATE) AS date, lv * pow(1 + c / 100, horizon * 0.25) AS v FROM f, {_STEPS}") + _out("v", "abs(v) * 0.1", "x"))
 def _(spark, sf):
-    return tidy(fc.cagr(train(spark, sf), H, "Q", last_years=2), **OUT)
+    return tidy(fc.cagr(monthly(spark, sf), H, "Q", last_years=2), **OUT)
 
 
-_TAIL = "SELECT key, date, value, row_number() OVER (PARTITION BY key ORDER BY date DESC) AS r FROM train"
+_TAIL = "SELECT key, date, value, row_number() OVER (PARTITION BY key ORDER BY date DESC) AS r FROM series"
 
 
 def _ma(weighted: bool) -> str:
     w = "(1 + i)" if weighted else "1"
     tot = "21.0" if weighted else "6.0"
     terms = " + ".join(f"{(k if weighted else 1)} * w[{k}]" for k in range(1, 7))
-    return ctes("train", t=_TAIL, l="SELECT key, max(date) AS ld, stddev_pop(value) AS s, list(value ORDER BY date) AS w FROM t WHERE r <= 6 GROUP BY 1",
+    return ctes("series", t=_TAIL, l="SELECT key, max(date) AS ld, stddev_pop(value) AS s, list(value ORDER BY date) AS w FROM t WHERE r <= 6 GROUP BY 1",
                 p=f"SELECT key, ld, s, 1 AS horizon, w, ({terms}) / {tot} AS v FROM l UNION ALL SELECT key, ld, s, horizon + 1, list_append(w[2:6], v), ({' + '.join(f'{(k if weighted else 1)} * (list_append(w[2:6], v))[{k}]' for k in range(1, 7))}) / {tot} FROM p WHERE horizon < {H}",
                 x=f"SELECT key, {_DATE} AS date, horizon, v, s FROM p") + _out("v", "1.96 * s", "x")
 
 
 @query("k02_moving_average", _ma(False))
 def _(spark, sf):
-    return tidy(fc.moving_average(train(spark, sf), H, window=6), **OUT)
+    return tidy(fc.moving_average(monthly(spark, sf), H, window=6), **OUT)
 
 
 @query("k02_weighted_average", _ma(True))
 def _(spark, sf):
-    return tidy(fc.moving_average(train(spark, sf), H, window=6, weighted=True), **OUT)
+    return tidy(fc.moving_average(monthly(spark, sf), H, window=6, weighted=True), **OUT)
 
 
-@query("k03_simple_smoothing", ctes("train", f="SELECT key, date, t, value AS l, 0.0::DOUBLE AS sse, n FROM train WHERE t = 0 UNION ALL SELECT b.key, b.date, b.t, 0.3 * b.value + 0.7 * a.l, a.sse + (b.value - a.l) ** 2, b.n FROM f a JOIN train b ON b.key = a.key AND b.t = a.t + 1",
+@query("k03_simple_smoothing", ctes("series", f="SELECT key, date, t, value AS l, 0.0::DOUBLE AS sse, n FROM series WHERE t = 0 UNION ALL SELECT b.key, b.date, b.t, 0.3 * b.value + 0.7 * a.l, a.sse + (b.value - a.l) ** 2, b.n FROM f a JOIN series b ON b.key = a.key AND b.t = a.t + 1",
                                     e="SELECT key, date AS ld, l, sse, n FROM f WHERE t = n - 1", x=f"SELECT key, {_DATE} AS date, horizon, l, sqrt(sse / (n - 1)) * sqrt(horizon) AS s FROM e, {_STEPS}") + _out("l", "1.96 * s", "x"))
 def _(spark, sf):
-    return tidy(fc.exponential_smoothing(train(spark, sf), H, kind="simple"), **OUT)
+    return tidy(fc.exponential_smoothing(monthly(spark, sf), H, kind="simple"), **OUT)
 
 
-@query("k03_double_smoothing", ctes("train", s="SELECT a.key, a.value AS v0, b.value AS v1 FROM train a JOIN train b ON a.key = b.key AND a.t = 0 AND b.t = 1",
+@query("k03_double_smoothing", ctes("series", s="SELECT a.key, a.value AS v0, b.value AS v1 FROM series a JOIN series b ON a.key = b.key AND a.t = 0 AND b.t = 1",
                                     f="""SELECT key, 0::BIGINT AS t, v0 AS l, v1 - v0 AS b, 0.0::DOUBLE AS sse FROM s UNION ALL
-   SELECT c.key, c.t, 0.3 * c.value + 0.7 * (a.l + 0.9 * a.b), 0.1 * (0.3 * c.value + 0.7 * (a.l + 0.9 * a.b) - a.l) + 0.9 * 0.9 * a.b, a.sse + (c.value - a.l - 0.9 * a.b) ** 2 FROM f a JOIN train c ON c.key = a.key AND c.t = a.t + 1""",
-                                    e="SELECT f.key, l.ld, f.l, f.b, f.sse, m.n FROM f JOIN lastd2 l USING (key) JOIN (SELECT DISTINCT key, n FROM train) m ON m.key = f.key AND f.t = m.n - 1".replace("lastd2", "(SELECT key, max(date) AS ld FROM train GROUP BY 1)"),
+   SELECT c.key, c.t, 0.3 * c.value + 0.7 * (a.l + 0.9 * a.b), 0.1 * (0.3 * c.value + 0.7 * (a.l + 0.9 * a.b) - a.l) + 0.9 * 0.9 * a.b, a.sse + (c.value - a.l - 0.9 * a.b) ** 2 FROM f a JOIN series c ON c.key = a.key AND c.t = a.t + 1""",
+                                    e="SELECT f.key, l.ld, f.l, f.b, f.sse, m.n FROM f JOIN lastd2 l USING (key) JOIN (SELECT DISTINCT key, n FROM series) m ON m.key = f.key AND f.t = m.n - 1".replace("lastd2", "(SELECT key, max(date) AS ld FROM series GROUP BY 1)"),
                                     x=f"SELECT key, {_DATE} AS date, horizon, l + 0.9 * (1 - pow(0.9, horizon)) / 0.1 * b AS v, sqrt(sse / (n - 1)) * sqrt(horizon) AS s FROM e, {_STEPS}") + _out("v", "1.96 * s", "x"))
 def _(spark, sf):
-    return tidy(fc.exponential_smoothing(train(spark, sf), H, kind="double", phi=0.9), **OUT)
+    return tidy(fc.exponential_smoothing(monthly(spark, sf), H, kind="double", phi=0.9), **OUT)
 
 
-@query("k03_triple_smoothing", ctes("train", i="SELECT key, avg(value) FILTER (WHERE t < 12) AS l, (avg(value) FILTER (WHERE t BETWEEN 12 AND 23) - avg(value) FILTER (WHERE t < 12)) / 12 AS b, list(value ORDER BY t) FILTER (WHERE t < 12) AS first, max(date) AS ld, max(n) AS n FROM train GROUP BY 1 HAVING max(n) >= 24",
+@query("k03_triple_smoothing", ctes("series", i="SELECT key, avg(value) FILTER (WHERE t < 12) AS l, (avg(value) FILTER (WHERE t BETWEEN 12 AND 23) - avg(value) FILTER (WHERE t < 12)) / 12 AS b, list(value ORDER BY t) FILTER (WHERE t < 12) AS first, max(date) AS ld, max(n) AS n FROM series GROUP BY 1 HAVING max(n) >= 24",
                                     f="""SELECT key, 11::BIGINT AS t, l, b, list_transform(first, lambda z: z - l) AS s, 0.0::DOUBLE AS sse, ld, n FROM i UNION ALL
    SELECT key, t, nl, 0.1 * (nl - l) + 0.9 * b, list_append(s[2:12], 0.1 * (value - nl) + 0.9 * s[1]), sse + (value - l - b - s[1]) ** 2, ld, n FROM (
-     SELECT c.key, c.t, c.value, a.l, a.b, a.s, a.sse, a.ld, a.n, 0.3 * (c.value - a.s[1]) + 0.7 * (a.l + a.b) AS nl FROM f a JOIN train c ON c.key = a.key AND c.t = a.t + 1)""",
+     SELECT c.key, c.t, c.value, a.l, a.b, a.s, a.sse, a.ld, a.n, 0.3 * (c.value - a.s[1]) + 0.7 * (a.l + a.b) AS nl FROM f a JOIN series c ON c.key = a.key AND c.t = a.t + 1)""",
                                     x=f"SELECT key, {_DATE} AS date, horizon, l + horizon * b + s[horizon] AS v, sqrt(sse / (n - 1)) * sqrt(horizon) AS sd FROM f, {_STEPS} WHERE t = n - 1") + _out("v", "1.96 * sd", "x"))
 def _(spark, sf):
-    return tidy(fc.exponential_smoothing(train(spark, sf), H, kind="triple"), **OUT)
+    return tidy(fc.exponential_smoothing(monthly(spark, sf), H, kind="triple"), **OUT)
 
 
 SQL["lines"] = """SELECT key, max(date) AS ld, max(n) AS n, regr_slope(value, t) AS b, regr_intercept(value, t) AS a, regr_slope(ln(value), t) AS rate, regr_intercept(ln(value), t) AS ll,
-  sqrt(greatest(var_pop(value) * (1 - coalesce(regr_r2(value, t), 0)), 0)) AS s, avg(value) AS ym, avg(t) AS tm, avg(t * t) AS t2m, var_pop(t) AS v1, var_pop(t * t) AS v2, covar_pop(t, t * t) AS c12, covar_pop(value, t) AS c1, covar_pop(value, t * t) AS c2 FROM train GROUP BY 1"""
-NEEDS["lines"] = ("train",)
+  sqrt(greatest(var_pop(value) * (1 - coalesce(regr_r2(value, t), 0)), 0)) AS s, avg(value) AS ym, avg(t) AS tm, avg(t * t) AS t2m, var_pop(t) AS v1, var_pop(t * t) AS v2, covar_pop(t, t * t) AS c12, covar_pop(value, t) AS c1, covar_pop(value, t * t) AS c2 FROM series GROUP BY 1"""
+NEEDS["lines"] = ("series",)
+SQL["hlines"], SQL["hlastd"] = SQL["lines"].replace("FROM series", "FROM held"), SQL["lastd"].replace("FROM series", "FROM held")
+NEEDS["hlines"] = NEEDS["hlastd"] = ("held",)
 _Z = "1.959963984540054::DOUBLE * s * sqrt(horizon)"
 _LX = f"SELECT *, {_DATE} AS date, (n - 1 + horizon)::DOUBLE AS x FROM lines, {_STEPS}"
 
 
 @query("k04_trend_regression", ctes("lines", x=_LX) + _out("a + b * x", _Z, "x"))
 def _(spark, sf):
-    return tidy(fc.linear(train(spark, sf), H), **OUT)
+    return tidy(fc.linear(monthly(spark, sf), H), **OUT)
 
 
 @query("k04_pooled_ridge")
 def _(spark, sf):
-    return fc.pooled(train(spark, sf), 3, learner="ridge")
+    return fc.pooled(monthly(spark, sf), 3, learner="ridge")
 
 
-SQL["ar"] = """SELECT key, date, value, d, lag(d) OVER (PARTITION BY key ORDER BY date) AS p FROM (SELECT key, date, value, value - lag(value) OVER (PARTITION BY key ORDER BY date) AS d FROM train)"""
-NEEDS["ar"] = ("train",)
+SQL["ar"] = """SELECT key, date, value, d, lag(d) OVER (PARTITION BY key ORDER BY date) AS p FROM (SELECT key, date, value, value - lag(value) OVER (PARTITION BY key ORDER BY date) AS d FROM series)"""
+NEEDS["ar"] = ("series",)
 
 
 @query("k05_autoregression", ctes("ar", f="SELECT key, max(date) AS ld, arg_max(value, date) AS v0, arg_max(d, date) AS d0, regr_slope(d, p) AS phi, regr_intercept(d, p) AS c, sqrt(greatest(var_pop(d) FILTER (WHERE p IS NOT NULL) * (1 - regr_r2(d, p)), 0)) AS s FROM ar GROUP BY 1",
                                   p=f"SELECT key, ld, phi, c, s, 1 AS horizon, c + phi * d0 AS d, v0 + c + phi * d0 AS v FROM f UNION ALL SELECT key, ld, phi, c, s, horizon + 1, c + phi * d, v + c + phi * d FROM p WHERE horizon < {H}",
                                   x=f"SELECT *, {_DATE} AS date FROM p") + _out("v", "1.96 * s * sqrt(horizon)", "x", floor=False))
 def _(spark, sf):
-    return tidy(fc.autoregressive(train(spark, sf), H), **OUT)
+    return tidy(fc.autoregressive(monthly(spark, sf), H), **OUT)
 
 
 @query("k05_autocorrelation", ctes("ar", c="SELECT key, date, d - avg(d) OVER (PARTITION BY key) AS c FROM ar WHERE d IS NOT NULL") + "\nUNION ALL ".join(
     f"SELECT key, {k}::INTEGER AS lag, {r('sum(c * l) / sum(c * c)')} AS acf FROM (SELECT key, c, lag(c, {k}) OVER (PARTITION BY key ORDER BY date) AS l FROM c) GROUP BY 1" for k in range(1, 7)))
 def _(spark, sf):
-    return tidy(fc.autocorrelation(train(spark, sf), 6), key="bigint", lag="int", acf=6)
+    return tidy(fc.autocorrelation(monthly(spark, sf), 6), key="bigint", lag="int", acf=6)
 
 
-@query("k06_seasonal_naive", ctes("train", "lastd", x=f"SELECT l.key, {_DATE} AS date, horizon, s FROM lastd l JOIN (SELECT key, stddev_pop(value) AS s FROM train GROUP BY 1) USING (key), {_STEPS}",
-                                  y="SELECT x.*, t.value AS v FROM x JOIN train t ON t.key = x.key AND t.date = CAST(x.date - INTERVAL 12 MONTH AS DATE)") + _out("v", "1.96 * s", "y"))
+@query("k06_seasonal_naive", ctes("series", "lastd", x=f"SELECT l.key, {_DATE} AS date, horizon, s FROM lastd l JOIN (SELECT key, stddev_pop(value) AS s FROM series GROUP BY 1) USING (key), {_STEPS}",
+                                  y="SELECT x.*, t.value AS v FROM x JOIN series t ON t.key = x.key AND t.date = CAST(x.date - INTERVAL 12 MONTH AS DATE)") + _out("v", "1.96 * s", "y"))
 def _(spark, sf):
-    return tidy(fc.seasonal_naive(train(spark, sf), H), **OUT)
+    return tidy(fc.seasonal_naive(monthly(spark, sf), H), **OUT)
 
 
-@query("k06_seasonal_autoregression", ctes("train", a="SELECT key, t, n, date, value, value - lag(value, 12) OVER (PARTITION BY key ORDER BY date) AS d FROM train",
+@query("k06_seasonal_autoregression", ctes("series", a="SELECT key, t, n, date, value, value - lag(value, 12) OVER (PARTITION BY key ORDER BY date) AS d FROM series",
                                            b="SELECT *, lag(d) OVER (PARTITION BY key ORDER BY date) AS p FROM a",
                                            f="SELECT key, max(date) AS ld, arg_max(d, date) AS d0, regr_slope(d, p) AS phi, regr_intercept(d, p) AS c, sqrt(greatest(var_pop(d) FILTER (WHERE p IS NOT NULL) * (1 - regr_r2(d, p)), 0)) AS s, list(value ORDER BY date) FILTER (WHERE t >= n - 12) AS w FROM b GROUP BY 1 HAVING regr_slope(d, p) IS NOT NULL",
                                            p=f"SELECT key, ld, phi, c, s, w, 1 AS horizon, c + phi * d0 AS d FROM f UNION ALL SELECT key, ld, phi, c, s, w, horizon + 1, c + phi * d FROM p WHERE horizon < {H}",
                                            x=f"SELECT *, {_DATE} AS date, w[horizon] + d AS v FROM p") + _out("v", "1.96 * s * sqrt(horizon)", "x", floor=False))
 def _(spark, sf):
-    return tidy(fc.autoregressive(train(spark, sf), H, season=12), **OUT)
+    return tidy(fc.autoregressive(monthly(spark, sf), H, season=12), **OUT)
 
 
 def yearly(spark, sf):
@@ -186,19 +194,19 @@ def _(spark, sf):
 
 @query("k10_exponential_trend", ctes("lines", x=_LX) + _out("exp(ll + rate * x)", _Z, "x"))
 def _(spark, sf):
-    return tidy(fc.exponential(train(spark, sf), H), **OUT)
+    return tidy(fc.exponential(monthly(spark, sf), H), **OUT)
 
 
 @query("k10_quadratic_trend", ctes("lines", q="SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM lines",
                                    x=f"SELECT *, {_DATE} AS date, (n - 1 + horizon)::DOUBLE AS x FROM q, {_STEPS}").replace("x AS MATERIALIZED", "x AS MATERIALIZED") +
        f"SELECT key, date, CAST(horizon AS INTEGER) AS horizon, {r('greatest(ym - b1 * tm - b2 * t2m + b1 * x + b2 * x * x, 0)', 2)} AS value FROM x")
 def _(spark, sf):
-    return tidy(fc.quadratic(train(spark, sf), H), key="bigint", date="date", horizon="int", value=2)
+    return tidy(fc.quadratic(monthly(spark, sf), H), key="bigint", date="date", horizon="int", value=2)
 
 
 @query("k10_conservative_growth", ctes("lastd", f=f"SELECT *, {_CAGR} AS c FROM lastd", x=f"SELECT key, horizon, {_DATE} AS date, lv * pow(1 + c * 0.7 / 100, horizon / 12.0) AS v FROM f, {_STEPS}") + _out("v", "abs(v) * 0.1", "x"))
 def _(spark, sf):
-    return tidy(fc.conservative(train(spark, sf), H), **OUT)
+    return tidy(fc.conservative(monthly(spark, sf), H), **OUT)
 
 
 @query("k11_multi_phase", ctes("yearly", m="SELECT key, max(value) AS m FROM yearly GROUP BY 1") + f"""SELECT key, year, {r('0.6 * m / (1 + exp(-1.5 * (t - 1))) + 0.4 * m / (1 + exp(-0.8 * (t - 4)))', 4)} AS level,
@@ -223,7 +231,7 @@ def _(spark, sf):
 
 @query("k12_boosted_trees")
 def _(spark, sf):
-    return fc.pooled(train(spark, sf), 3, learner="boosted", rounds=5)
+    return fc.pooled(monthly(spark, sf), 3, learner="boosted", rounds=5)
 
 
 SQL["hier"] = """SELECT h.market, h.id, h.year, h.value / lag(h.value) OVER (PARTITION BY h.market, h.id ORDER BY h.year) - 1 AS g, coalesce(m.region, 'Others') AS region, (h.id % 3)::INTEGER AS tier
@@ -246,10 +254,10 @@ def _(spark, sf):
     return tidy(_hier(spark, sf), market="string", id="bigint", mu=6, group_effect=6, tier_effect=6, growth=6)
 
 
-@query("k13_hierarchical_shares", ctes("hg", "shares", x="SELECT s.market, s.id, CAST(2001 + h AS INTEGER) AS year, s.market_share * pow(1 + growth, h) AS v FROM shares s JOIN hg USING (market, id), range(1, 4) g(h) WHERE s.year = 2001") +
+@query("k13_hierarchical_shares", ctes("hg", "now", x="SELECT s.market, s.id, CAST(s.year + h AS INTEGER) AS year, s.market_share * pow(1 + growth, h) AS v FROM now s JOIN hg USING (market, id), range(1, 4) g(h)") +
        f"SELECT market, id, year, {r('v / sum(v) OVER (PARTITION BY market, year) * 100')} AS market_share FROM x")
 def _(spark, sf):
-    latest = sh.market_shares(history(spark, sf)).where("year = 2001")
+    latest = latest_slice(sh.market_shares(history(spark, sf)))
     return tidy(fc.hierarchical_shares(latest, _hier(spark, sf), 3), market="string", id="bigint", year="int", market_share=6)
 
 
@@ -267,18 +275,18 @@ def _(spark, sf):
                             x=f"SELECT *, {_DATE} AS date, (n - 1 + horizon)::DOUBLE AS x FROM c, {_STEPS}") +
        f"SELECT key, date, CASE WHEN key % 3 = 0 THEN 'fallback' ELSE 'cagr' END AS model, CAST(horizon AS INTEGER) AS horizon, {r('CASE WHEN key % 3 = 0 THEN greatest(a + b * x, 0) ELSE greatest(lv * pow(1 + c / 100, horizon / 12.0), 0) END', 4)} AS value FROM x")
 def _(spark, sf):
-    s = train(spark, sf)
+    s = monthly(spark, sf)
     return tidy(fc.with_fallback(fc.cagr(s, H).where("key % 3 <> 0"), s, H), key="bigint", date="date", model="string", horizon="int", value=4)
 
 
-@query("k15_evaluate", ctes("lines", x=_LX, j="SELECT m.value AS actual, greatest(a + b * x.x, 0) AS forecast FROM x JOIN monthly m ON m.key = x.key AND m.date = x.date") +
+@query("k15_evaluate", ctes("monthly", "hlines", x=_LX.replace("FROM lines", "FROM hlines"), j="SELECT m.value AS actual, greatest(a + b * x.x, 0) AS forecast FROM x JOIN monthly m ON m.key = x.key AND m.date = x.date") +
        f"SELECT 'linear' AS model, {r('avg(abs(actual - forecast))', 4)} AS mae, {r('avg(abs(actual - forecast) / abs(actual)) * 100')} AS mape, {r('sqrt(avg((actual - forecast) ** 2))', 4)} AS rmse FROM j")
 def _(spark, sf):
-    return tidy(fc.evaluate(fc.linear(train(spark, sf), H), monthly(spark, sf)), model="string", mae=4, mape=6, rmse=4)
+    return tidy(fc.evaluate(fc.linear(held(spark, sf), H), monthly(spark, sf)), model="string", mae=4, mape=6, rmse=4)
 
 
 @query("k16_registry_run", ctes("lines", "lastd", x=_LX) + f"""SELECT 'linear' AS model, count(*)::BIGINT AS n, {r('sum(greatest(a + b * x, 0))', 2)} AS total FROM x
   UNION ALL SELECT 'naive', count(*)::BIGINT, {r('sum(lv)', 2)} FROM lastd, {_STEPS} UNION ALL SELECT 'exponential', count(*)::BIGINT, {r('sum(exp(ll + rate * x))', 2)} FROM x""")
 def _(spark, sf):
-    out = fc.forecast_many(train(spark, sf), ["linear", "Last value", "exponential"], H)
+    out = fc.forecast_many(monthly(spark, sf), ["linear", "Last value", "exponential"], H)
     return tidy(out.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), model="string", n="bigint", total=2)

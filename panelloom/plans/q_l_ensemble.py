@@ -6,7 +6,7 @@ from panelloom.functions.session import cut_lineage
 from panelloom.functions.stats import critical_t
 from panelloom.operators import ensemble as en, forecast as fc, regimes as rg
 from panelloom.plans.base import NEEDS, SQL, ctes, monthly, query, r, sql_uniform, tidy
-from panelloom.plans.q_k_forecast import H, _LX, _STEPS, train
+from panelloom.plans.q_k_forecast import H, _LX, _STEPS, held
 
 SQL["fx"] = _LX
 NEEDS["fx"] = ("lines",)
@@ -16,20 +16,29 @@ NEEDS["fcs"] = ("fx", "lastd")
 MODELS = ["linear", "exponential", "naive"]
 SQL["perf"] = """SELECT key, model, avg(abs(p - a) / a) * 100 AS mape, sqrt(avg((p - a) ** 2)) AS rmse, avg(p - a) AS bias, 1 / (1 + var_pop(p - a)) AS cons, coalesce(avg(hit), 0) AS dir FROM (
   SELECT f.key, f.model, f.date, f.value AS p, m.value AS a, CASE WHEN lag(f.value) OVER w IS NOT NULL THEN (sign(m.value - lag(m.value) OVER w) = sign(f.value - lag(f.value) OVER w))::INT END AS hit
-  FROM fcs f JOIN monthly m USING (key, date) WINDOW w AS (PARTITION BY f.key, f.model ORDER BY f.date)) GROUP BY 1, 2"""
-NEEDS["perf"] = ("fcs",)
+  FROM hfcs f JOIN monthly m USING (key, date) WINDOW w AS (PARTITION BY f.key, f.model ORDER BY f.date)) GROUP BY 1, 2"""
+NEEDS["perf"] = ("hfcs", "monthly")
 SQL["perfc"] = "SELECT *, 0.4 * greatest(0, 1 - mape / 100) + 0.3 / (1 + rmse) + 0.2 * cons + 0.1 * dir AS comp FROM perf"
 NEEDS["perfc"] = ("perf",)
 OUT = dict(key="bigint", date="date", horizon="int", value=4, lower=4, upper=4)
 _SEL = "SELECT key, date, CAST(horizon AS INTEGER) AS horizon, "
 
 
+SQL["hfx"], SQL["hfcs"] = SQL["fx"].replace("FROM lines", "FROM hlines"), SQL["fcs"].replace("FROM fx", "FROM hfx").replace("fx.", "hfx.").replace("JOIN fx", "JOIN hfx").replace("lastd", "hlastd")
+NEEDS["hfx"], NEEDS["hfcs"] = ("hlines",), ("hfx", "hlastd")
+
+
 def fcs(spark, sf):
-    return fc.forecast_many(train(spark, sf), MODELS, H)
+    return fc.forecast_many(monthly(spark, sf), MODELS, H)
+
+
+def held_fcs(spark, sf):
+    """Forecasts of the last H months of each key from what came before."""
+    return fc.forecast_many(held(spark, sf), MODELS, H)
 
 
 def perf(spark, sf):
-    return en.performance(fcs(spark, sf), monthly(spark, sf))
+    return en.performance(held_fcs(spark, sf), monthly(spark, sf))
 
 
 def _band(center):
@@ -68,37 +77,37 @@ SQL["invw"] = "SELECT key, model, (1 / (mape + 1e-10)) / sum(1 / (mape + 1e-10))
 NEEDS["invw"] = ("perf",)
 
 
-@query("l03_weighted_ensemble", ctes("invw", w="SELECT key, date, horizon, sum(weight * value) / sum(weight) AS m, sum(weight * value * value) / sum(weight) AS q FROM fcs JOIN invw USING (key, model) GROUP BY 1, 2, 3",
+@query("l03_weighted_ensemble", ctes("invw", w="SELECT key, date, horizon, sum(weight * value) / sum(weight) AS m, sum(weight * value * value) / sum(weight) AS q FROM hfcs JOIN invw USING (key, model) GROUP BY 1, 2, 3",
                                      s="SELECT *, sqrt(avg(greatest(q - m * m, 0)) OVER (PARTITION BY key)) AS s FROM w") +
        _SEL + f"{r('m', 3)} AS value, {r('greatest(m - 1.959963984540054::DOUBLE * s * sqrt(horizon), 0)', 1)} AS lower, {r('m + 1.959963984540054::DOUBLE * s * sqrt(horizon)', 1)} AS upper FROM s")
 def _(spark, sf):
-    f = fcs(spark, sf)
+    f = held_fcs(spark, sf)
     return tidy(en.weighted(f, en.weights(en.performance(f, monthly(spark, sf)))), key="bigint", date="date", horizon="int", value=3, lower=1, upper=1)
 
 
 @query("l04_stacking")
 def _(spark, sf):
-    return en.stacking(cut_lineage(fcs(spark, sf)), monthly(spark, sf), MODELS, 3)
+    return en.stacking(cut_lineage(held_fcs(spark, sf)), monthly(spark, sf), MODELS, 3)
 
 
-@query("l05_boosting", ctes("train", b="SELECT *, month(date) AS m FROM train",
+@query("l05_boosting", ctes("series", b="SELECT *, month(date) AS m FROM series",
                             r1="SELECT key, regr_slope(value, t) AS b, avg(value) - regr_slope(value, t) * avg(t) AS a FROM b GROUP BY 1", e1="SELECT x.*, value - 0.5 * (a + b * t) AS r1 FROM b x JOIN r1 USING (key)",
                             r2="SELECT key, m, avg(r1) AS c FROM e1 GROUP BY 1, 2", e2="SELECT x.*, r1 - 0.5 * c AS r2 FROM e1 x JOIN r2 USING (key, m)",
                             r3="SELECT key, regr_slope(r2, t) AS b, avg(r2) - regr_slope(r2, t) * avg(t) AS a FROM e2 GROUP BY 1", e3="SELECT x.*, r2 - 0.5 * (a + b * t) AS r3 FROM e2 x JOIN r3 USING (key)",
                             r4="SELECT key, m, avg(r3) AS c FROM e3 GROUP BY 1, 2",
-                            x="SELECT l.key, CAST(l.ld + to_months(CAST(horizon AS INTEGER)) AS DATE) AS date, horizon, n - 1 + horizon AS t FROM lines2 l, ".replace("lines2", "(SELECT key, max(date) AS ld, max(n) AS n FROM train GROUP BY 1)") + _STEPS) +
+                            x="SELECT l.key, CAST(l.ld + to_months(CAST(horizon AS INTEGER)) AS DATE) AS date, horizon, n - 1 + horizon AS t FROM lines2 l, ".replace("lines2", "(SELECT key, max(date) AS ld, max(n) AS n FROM series GROUP BY 1)") + _STEPS) +
        _SEL + f"{r('0.5 * (r1.a + r1.b * t) + 0.5 * coalesce(r2.c, 0) + 0.5 * (r3.a + r3.b * t) + 0.5 * coalesce(r4.c, 0)', 4)} AS value FROM x JOIN r1 USING (key) JOIN r3 USING (key) LEFT JOIN r2 ON r2.key = x.key AND r2.m = month(date) LEFT JOIN r4 ON r4.key = x.key AND r4.m = month(date)")
 def _(spark, sf):
-    return tidy(en.boosting(train(spark, sf), H), key="bigint", date="date", horizon="int", value=4)
+    return tidy(en.boosting(monthly(spark, sf), H), key="bigint", date="date", horizon="int", value=4)
 
 
-_BAG = ctes("train", s=f"SELECT key, t, value, rep FROM train, range(1, 21) g(rep) WHERE {sql_uniform('key', 'CAST(t AS DOUBLE)', 'rep')} < 0.8", f="SELECT key, rep, regr_slope(value, t) AS b, regr_intercept(value, t) AS a FROM s GROUP BY 1, 2",
-            l="SELECT key, max(date) AS ld, max(n) AS n FROM train GROUP BY 1", x=f"SELECT key, CAST(ld + to_months(CAST(horizon AS INTEGER)) AS DATE) AS date, horizon, a + b * (n - 1 + horizon) AS v FROM f JOIN l USING (key), {_STEPS}")
+_BAG = ctes("series", s=f"SELECT key, t, value, rep FROM series, range(1, 21) g(rep) WHERE {sql_uniform('key', 'CAST(t AS DOUBLE)', 'rep')} < 0.8", f="SELECT key, rep, regr_slope(value, t) AS b, regr_intercept(value, t) AS a FROM s GROUP BY 1, 2",
+            l="SELECT key, max(date) AS ld, max(n) AS n FROM series GROUP BY 1", x=f"SELECT key, CAST(ld + to_months(CAST(horizon AS INTEGER)) AS DATE) AS date, horizon, a + b * (n - 1 + horizon) AS v FROM f JOIN l USING (key), {_STEPS}")
 
 
 @query("l06_bagging", _BAG + _SEL + f"{r('avg(v)', 4)} AS value, {r('quantile_cont(v, 0.025)', 4)} AS lower, {r('quantile_cont(v, 0.975)', 4)} AS upper FROM x GROUP BY 1, 2, 3")
 def _(spark, sf):
-    return tidy(en.bagging(train(spark, sf), H), **OUT)
+    return tidy(en.bagging(monthly(spark, sf), H), **OUT)
 
 
 @query("l07_backtest", ctes("monthly", o="SELECT key, date, value, row_number() OVER (PARTITION BY key ORDER BY date DESC) AS r FROM monthly", q="SELECT key, arg_max(value, date) AS lv FROM o WHERE r > 4 GROUP BY 1",
@@ -120,8 +129,8 @@ SQL["cond"] = """SELECT key, date, vol, tp, slope, strength, mom, CASE WHEN vol
     (avg(value) FILTER (WHERE t >= n - 5) - avg(value) FILTER (WHERE t >= n - 12)) / avg(value) FILTER (WHERE t >= n - 12) AS mom,
     (arg_max(value, t) - max(value) FILTER (WHERE t = n - 5)) / max(value) FILTER (WHERE t = n - 5) AS r5, stddev_pop(ret) FILTER (WHERE t >= n - 5) AS rv, abs(corr(value, prev) FILTER (WHERE t > n - 12)) AS pred,
     0 AS dummy FROM retn GROUP BY 1) JOIN place USING (key)"""
-SQL["retn"] = "SELECT *, lag(value) OVER w AS prev, value / lag(value) OVER w - 1 AS ret FROM train WINDOW w AS (PARTITION BY key ORDER BY date)"
-NEEDS["retn"] = ("train",)
+SQL["retn"] = "SELECT *, lag(value) OVER w AS prev, value / lag(value) OVER w - 1 AS ret FROM series WINDOW w AS (PARTITION BY key ORDER BY date)"
+NEEDS["retn"] = ("series",)
 SQL["place"] = """SELECT h.key, (count(*) FILTER (WHERE hv < v) + count(*) FILTER (WHERE hv <= v))::DOUBLE / (2 * count(*)) AS tp FROM (SELECT key, t, n, stddev_pop(ret) OVER (PARTITION BY key ORDER BY date ROWS 10 PRECEDING) AS hv FROM retn) h
   JOIN (SELECT key, stddev_pop(ret) FILTER (WHERE t > n - 12) AS v FROM retn GROUP BY 1) c USING (key) WHERE h.t >= 11 AND h.t < h.n - 1 GROUP BY 1"""
 NEEDS["place"] = ("retn",)
@@ -134,7 +143,7 @@ NEEDS["cond"] = ("retn", "place")
   SELECT key, model, 'adaptive' AS method, {r('CASE WHEN sum(z) OVER (PARTITION BY key) > 0 THEN z / sum(z) OVER (PARTITION BY key) ELSE 1.0 / 3 END')} AS weight FROM d
   UNION ALL SELECT key, model, 'performance', {r('pw')} FROM n UNION ALL SELECT key, model, 'diversified', {r('0.7 * pw + 0.1')} FROM n""")
 def _(spark, sf):
-    p, c = cut_lineage(perf(spark, sf)), cut_lineage(rg.market_conditions(train(spark, sf)))
+    p, c = cut_lineage(perf(spark, sf)), cut_lineage(rg.market_conditions(monthly(spark, sf)))
     out = None
     for m in ("adaptive", "performance", "diversified"):
         d = en.optimize(p, c, m).select("key", "model", F.lit(m).alias("method"), "weight")
@@ -145,19 +154,19 @@ def _(spark, sf):
 _CRIT = critical_t(0.05, 3)
 
 
-@query("l09_performance_trend", ctes("train", t="SELECT key, value / 10000 AS v, row_number() OVER (PARTITION BY key ORDER BY date DESC) AS r FROM train", f="SELECT key, count(v) AS n, avg(v) AS m, regr_slope(v, -r) AS s, corr(v, -r) AS c FROM t WHERE r <= 5 GROUP BY 1") +
+@query("l09_performance_trend", ctes("series", t="SELECT key, value / 10000 AS v, row_number() OVER (PARTITION BY key ORDER BY date DESC) AS r FROM series", f="SELECT key, count(v) AS n, avg(v) AS m, regr_slope(v, -r) AS s, corr(v, -r) AS c FROM t WHERE r <= 5 GROUP BY 1") +
        f"SELECT key, n::BIGINT AS n, {r('m')} AS recent_mean, {r('s')} AS slope, CASE WHEN abs(c * sqrt(3 / (1 - c * c))) <= {_CRIT} THEN 'no_trend' WHEN s < -1 THEN 'improving' WHEN s > 1 THEN 'deteriorating' ELSE 'stable' END AS trend FROM f")
 def _(spark, sf):
-    d = train(spark, sf).withColumn("v", F.col("value") / 10000)
+    d = monthly(spark, sf).withColumn("v", F.col("value") / 10000)
     return tidy(rg.error_trend(d, ["key"], "date", "v", limit=1.0), key="bigint", n="bigint", recent_mean=6, slope=6, trend="string")
 
 
-@query("l10_hybrid", ctes("train", f="SELECT key, date, t, n, value AS l, NULL::DOUBLE AS e FROM train WHERE t = 0 UNION ALL SELECT b.key, b.date, b.t, b.n, 0.3 * b.value + 0.7 * a.l, b.value - a.l FROM f a JOIN train b ON b.key = a.key AND b.t = a.t + 1",
+@query("l10_hybrid", ctes("series", f="SELECT key, date, t, n, value AS l, NULL::DOUBLE AS e FROM series WHERE t = 0 UNION ALL SELECT b.key, b.date, b.t, b.n, 0.3 * b.value + 0.7 * a.l, b.value - a.l FROM f a JOIN series b ON b.key = a.key AND b.t = a.t + 1",
                           p="SELECT *, lag(e) OVER (PARTITION BY key ORDER BY t) AS p FROM f", q="SELECT key, max(date) AS ld, arg_max(l, t) AS l, arg_max(e, t) AS e, regr_slope(e, p) AS phi, regr_intercept(e, p) AS c FROM p GROUP BY 1",
                           h=f"SELECT key, ld, l, phi, c, 1 AS horizon, c + phi * e AS e FROM q UNION ALL SELECT key, ld, l, phi, c, horizon + 1, c + phi * e FROM h WHERE horizon < {H}") +
        f"SELECT key, CAST(ld + to_months(horizon) AS DATE) AS date, horizon::INTEGER AS horizon, {r('greatest(l + e, 0)', 4)} AS value FROM h")
 def _(spark, sf):
-    return tidy(en.hybrid(train(spark, sf), H), key="bigint", date="date", horizon="int", value=4)
+    return tidy(en.hybrid(monthly(spark, sf), H), key="bigint", date="date", horizon="int", value=4)
 
 
 @query("l11_adapted_weights", ctes("invw", "perfc", "cond", a="SELECT p.key, p.model, greatest(CASE WHEN regime LIKE 'volatile%' THEN 0.6 * cons + 0.4 * dir ELSE 0.7 * (1 - mape / 100) + 0.3 * (1 - abs(bias) / 10) END, 0) AS raw, pred FROM perfc p JOIN cond USING (key)",
@@ -166,4 +175,4 @@ def _(spark, sf):
   SELECT key, model, 1 AS version, {r('weight')} AS weight FROM invw UNION ALL SELECT key, model, 2, {r('CASE WHEN sum(z) OVER (PARTITION BY key) > 0 THEN z / sum(z) OVER (PARTITION BY key) ELSE 1.0 / 3 END')} FROM d""")
 def _(spark, sf):
     p = cut_lineage(perf(spark, sf))
-    return tidy(en.adapt(train(spark, sf), p, en.weights(p), 2), key="bigint", model="string", version="int", weight=6)
+    return tidy(en.adapt(monthly(spark, sf), p, en.weights(p), 2), key="bigint", model="string", version="int", weight=6)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.session import cut_lineage
 from panelloom.operators import accuracy as ac, shares as sh
+from panelloom.sources.readers import latest_slice
 from panelloom.plans.base import NEEDS, SQL, ctes, history, query, r, scored, tidy
 from panelloom.roles import DEFAULT
 
@@ -12,7 +13,7 @@ KEY = dict(market="string", model="string")
 _E = "abs(actual - forecast)"
 _R2 = "CASE WHEN var_pop(actual) > 0 THEN 1 - sum((actual - forecast) ** 2) / (var_pop(actual) * count(*)) WHEN sum((actual - forecast) ** 2) = 0 THEN 1 ELSE 0 END"
 SQL["bt"] = f"""SELECT market, model, period, id, avg({_E} / abs(actual)) * 100 AS mape, sqrt(avg((actual - forecast) ** 2)) AS rmse, {_R2} AS r2, avg((forecast - actual) / actual * 100) AS bias, count(*) AS n, avg(forecast) AS w
-  FROM scored, (VALUES (1), (3), (5)) p(period) WHERE year > 2001 - period GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2 AND sum(actual) > 0"""
+  FROM scored JOIN (SELECT market, model, max(year) AS ly FROM scored GROUP BY 1, 2) USING (market, model), (VALUES (1), (3), (5)) p(period) WHERE year > ly - period GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2 AND sum(actual) > 0"""
 NEEDS["bt"] = ("scored",)
 SQL["psum"] = "SELECT market, model, period, sum(mape * w) / sum(w) AS mape, sum(rmse * w) / sum(w) AS rmse, sum(bias * w) / sum(w) AS bias, median(r2) AS r2, count(*) AS n FROM bt GROUP BY 1, 2, 3"
 NEEDS["psum"] = ("bt",)
@@ -99,12 +100,12 @@ def _(spark, sf):
 
 
 def _tiers(spark, sf):
-    return sh.market_shares(history(spark, sf)).where("year = 2001").select("market", "id", sh.tier_of("market_share", (2.0, 1.0, 0.5)).alias("tier"))
+    return latest_slice(sh.market_shares(history(spark, sf))).select("market", "id", sh.tier_of("market_share", (2.0, 1.0, 0.5)).alias("tier"))
 
 
 SQL["impact"] = """SELECT market, least(greatest(coalesce((max(m) - min(m)) / avg(m), 0), 0), 1) AS impact FROM (SELECT market, tier, avg(mape) AS m FROM bt JOIN
-  (SELECT market, id, CASE WHEN market_share >= 2 THEN 1 WHEN market_share >= 1 THEN 2 WHEN market_share >= 0.5 THEN 3 ELSE 4 END AS tier FROM shares WHERE year = 2001) USING (market, id) GROUP BY 1, 2) GROUP BY 1"""
-NEEDS["impact"] = ("bt", "shares")
+  (SELECT market, id, CASE WHEN market_share >= 2 THEN 1 WHEN market_share >= 1 THEN 2 WHEN market_share >= 0.5 THEN 3 ELSE 4 END AS tier FROM now) USING (market, id) GROUP BY 1, 2) GROUP BY 1"""
+NEEDS["impact"] = ("bt", "now")
 _COMP = ", ".join(f"('{c}', {w})" for c, w in ac.COMPONENT_WEIGHTS.items())
 SQL["comp"] = f"SELECT market, component, weight, CASE WHEN component = 'tier_classification' THEN impact ELSE impact * weight END AS impact FROM impact, (VALUES {_COMP}) c(component, weight)"
 NEEDS["comp"] = ("impact",)

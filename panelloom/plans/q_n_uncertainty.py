@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.session import cut_lineage, with_row
 from panelloom.operators import ensemble as en, indicators as ind, shares as sh, uncertainty as un
-from panelloom.plans.base import DRAWS, NEEDS, SQL, ctes, facts, history, indicators, query, r, scenarios, sql_uniform, tidy
+from panelloom.sources.readers import latest_slice
+from panelloom.plans.base import DRAWS, NEEDS, SQL, ctes, facts, history, indicators, monthly, query, r, scenarios, sql_uniform, tidy
 from panelloom.plans import q_l_ensemble as ql
-from panelloom.plans.q_k_forecast import H, train
+from panelloom.plans.q_k_forecast import H
 from panelloom.functions import scalars as S
 
 MY = dict(market="string", year="int")
@@ -59,10 +60,10 @@ def _(spark, sf):
 _U = sql_uniform("market", "id", "s")
 
 
-@query("n06_what_if", ctes("shares", "world", x=f"SELECT s.market, s.id, s.year, CAST(s AS BIGINT) AS scenario_id, greatest(market_share * (1 + ({_U} - 0.5) * 0.4), 0.001) AS v, w.value * (1 + 0.01 * s) AS total FROM shares s JOIN world w ON w.market = s.market AND w.year = 2001, range(1, 11) g(s) WHERE s.year = 2001".replace("'s'", "'s'").replace("CAST(s AS VARCHAR)", "CAST(g.s AS VARCHAR)").replace("CAST(s AS BIGINT)", "CAST(g.s AS BIGINT)").replace("0.01 * s)", "0.01 * g.s)").replace("CAST(market AS", "CAST(s.market AS").replace("CAST(id AS", "CAST(s.id AS")) +
+@query("n06_what_if", ctes("now", "world", x=f"SELECT s.market, s.id, s.year, CAST(s AS BIGINT) AS scenario_id, greatest(market_share * (1 + ({_U} - 0.5) * 0.4), 0.001) AS v, w.value * (1 + 0.01 * s) AS total FROM now s JOIN world w ON w.market = s.market AND w.year = s.year, range(1, 11) g(s)".replace("'s'", "'s'").replace("CAST(s AS VARCHAR)", "CAST(g.s AS VARCHAR)").replace("CAST(s AS BIGINT)", "CAST(g.s AS BIGINT)").replace("0.01 * s)", "0.01 * g.s)").replace("CAST(market AS", "CAST(s.market AS").replace("CAST(id AS", "CAST(s.id AS")) +
        f"SELECT market, id, year, scenario_id, {r('v / sum(v) OVER (PARTITION BY market, scenario_id) * 100')} AS market_share, {r('v / sum(v) OVER (PARTITION BY market, scenario_id) * total', 3)} AS value FROM x")
 def _(spark, sf):
-    s = cut_lineage(sh.market_shares(history(spark, sf)).where("year = 2001"))
+    s = cut_lineage(latest_slice(sh.market_shares(history(spark, sf))))
     world = s.groupBy("market").agg(F.sum("value").alias("w"))
     shocks = s.select("market", "id").join(world, "market").withColumn("scenario_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(10).cast("bigint"))))
     shocks = shocks.select("market", "id", "scenario_id", ((S.key_uniform("market", "id", "scenario_id") - 0.5) * 0.4).alias("shock"), (F.col("w") * (1 + 0.01 * F.col("scenario_id"))).alias("total"))
@@ -153,7 +154,7 @@ def _(spark, sf):
 
 @query("n11_bootstrap_band", ql._BAG + f"SELECT key, date, CAST(horizon AS INTEGER) AS horizon, {r('avg(v)', 4)} AS value, {r('quantile_cont(v, 0.05)', 4)} AS lower, {r('quantile_cont(v, 0.95)', 4)} AS upper, {r('stddev_pop(v)', 4)} AS std FROM x GROUP BY 1, 2, 3")
 def _(spark, sf):
-    return tidy(en.bagging(train(spark, sf), H, levels=(0.05, 0.95)), key="bigint", date="date", horizon="int", value=4, lower=4, upper=4, std=4)
+    return tidy(en.bagging(monthly(spark, sf), H, levels=(0.05, 0.95)), key="bigint", date="date", horizon="int", value=4, lower=4, upper=4, std=4)
 
 
 SQL["spr"] = "SELECT key, date, horizon, avg(value) AS m, stddev_pop(value) AS s, min(value) AS lo, max(value) AS hi FROM fcs GROUP BY 1, 2, 3"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.session import cut_lineage
 from panelloom.operators import regions as rg, report as rp, shares as sh
+from panelloom.sources.readers import latest_slice
 from panelloom.plans.base import NEEDS, SQL, ctes, history, mapping, parts, query, r, tidy
 from panelloom.roles import DEFAULT
 
@@ -261,8 +262,8 @@ def _(spark, sf):
     return tidy(rp.cagr_histogram(rp.growth_profile(fixed_parts(spark, sf)), -50.0, 50.0, 20), market="string", bin="int", entities="bigint", mean_cagr=6)
 
 
-@query("o26_comparison", ctes("yoy", k="SELECT market, id FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY value DESC, id) AS rank FROM fixed WHERE year = 2001) WHERE rank <= 5", g="SELECT * FROM yoy SEMI JOIN k USING (market, id)") + _pivot("g", "max(vp) FILTER (WHERE year = {y})", "market, id", 6))
+@query("o26_comparison", ctes("yoy", k="SELECT market, id FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY value DESC, id) AS rank FROM fixed SEMI JOIN (SELECT market, max(year) AS year FROM fixed GROUP BY 1) USING (market, year)) WHERE rank <= 5", g="SELECT * FROM yoy SEMI JOIN k USING (market, id)") + _pivot("g", "max(vp) FILTER (WHERE year = {y})", "market, id", 6))
 def _(spark, sf):
     p = fixed_parts(spark, sf)
-    ids = rp.top_n(p.where("year = 2001"), ["market"], 5, [F.desc("value"), F.asc("id")])
+    ids = rp.top_n(latest_slice(p), ["market"], 5, [F.desc("value"), F.asc("id")])
     return tidy(rp.comparison(p, ids, YEARS), **KEY, **{str(y): 6 for y in YEARS})
