@@ -141,20 +141,6 @@ def synthetic_control(df: DataFrame, treated: int, start: int, roles: Roles = DE
     return {"weights": weights, "path": path, "effect": effect}
 
 
-def rolling_effect(df: DataFrame, treatment: str, outcome: str, confounder: str, key: str = "key", order_by: str = "date", window: int = 12) -> DataFrame:
-    """Partial slope of outcome on treatment given one confounder over the ``window`` rows before each row, with t and p."""
-    frame = W.partitionBy(key).orderBy(order_by).rowsBetween(-window, -1)
-    t, y, z = F.col(treatment), F.col(outcome), F.col(confounder)
-    cov = lambda a, b: F.covar_pop(a, b).over(frame)
-    rows = df.withColumn("_n", F.count(t).over(frame))
-    vz = F.var_pop(z).over(frame)
-    rows = rows.withColumn("_tt", F.var_pop(t).over(frame) - F.try_divide(cov(t, z) * cov(t, z), vz)).withColumn("_yy", F.var_pop(y).over(frame) - F.try_divide(cov(y, z) * cov(y, z), vz))
-    rows = rows.withColumn("_ty", cov(t, y) - F.try_divide(cov(t, z) * cov(y, z), vz)).where(F.col("_n") == window)
-    r = F.try_divide("_ty", F.sqrt(F.greatest(F.col("_tt") * F.col("_yy"), F.lit(0.0))))
-    out = rows.select(key, order_by, F.try_divide("_ty", "_tt").alias("effect"), r.alias("correlation"))
-    return out.withColumn("p_value", F.coalesce(stats.p_value(stats.correlation_t(F.col("correlation"), F.lit(window)), F.lit(window - 2)), F.lit(1.0)))
-
-
 def variance_regimes(df: DataFrame, target: str, others: list[str], key: str = "key", order_by: str = "date", window: int = 6) -> DataFrame:
     """(regime, n, mean, variance, correlations): rows split at the median of their key's rolling variance, joined on the row itself."""
     frame = W.partitionBy(key).orderBy(order_by).rowsBetween(-(window - 1), 0)

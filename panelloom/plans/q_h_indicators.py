@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import stats
 from panelloom.functions.session import cut_lineage
-from panelloom.operators import indicators as ind, shares as sh
+from panelloom.operators import indicators as ind, keyed_fits as kf, shares as sh
 from panelloom.plans.base import INDICATORS, NEEDS, SQL, ctes, facts, history, indicators, monthly, query, r, sql_uniform, table, tidy
 from panelloom.plans import q_j_regimes as qj
 
@@ -136,6 +136,11 @@ def _(spark, sf):
     return tidy(ind.unit_root(d, ["key"], "date", "d"), key="bigint", t=4, stationary="boolean")
 
 
+@query("h14_lagged_unit_root")
+def _(spark, sf):
+    return tidy(kf.unit_root_lags(monthly(spark, sf), ["key"], "date"), key="bigint", n="bigint", lags="int", t=4, stationary="boolean")
+
+
 @query("h14_stationary", ctes("adf") + f"""SELECT key, t::BIGINT AS step, 'diff' AS method, {r('CASE WHEN (SELECT a.t FROM adf a WHERE a.key = df1.key) < -2.86 THEN d ELSE d - lag(d) OVER (PARTITION BY key ORDER BY t) END', 3)} AS v FROM df1
   UNION ALL SELECT key, t, 'log_diff', {r('ln(value) - ln(lag(value) OVER (PARTITION BY key ORDER BY t))')} FROM series
   UNION ALL SELECT key, t, 'detrend', {r('value - avg(value) OVER w - regr_slope(value, t) OVER w * (t - avg(t) OVER w)', 1)} FROM series WINDOW w AS (PARTITION BY key)""")

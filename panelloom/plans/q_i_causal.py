@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.session import cut_lineage, with_row
 from panelloom.functions.stats import critical_t
-from panelloom.operators import causal as ca, indicators as ind, shares as sh
+from panelloom.operators import causal as ca, indicators as ind, shares as sh, keyed_fits as kf
 from panelloom.plans.base import INDICATORS, NEEDS, SQL, ctes, facts, history, indicators, monthly, query, r, tidy
 from panelloom.plans import q_h_indicators as qh, q_j_regimes as qj  # noqa: F401  (blend, mind inputs)
 
@@ -88,7 +88,12 @@ NEEDS["reff"] = ("series", "mfacts")
 
 @query("i08_rolling_effect", ctes("reff") + f"SELECT key, date, {r('ty / tt', 2)} AS effect, {r('ty / sqrt(tt * yy)')} AS correlation FROM reff")
 def _(spark, sf):
-    return tidy(ca.rolling_effect(wide(spark, sf), "quantity", "value", "discount"), key="bigint", date="date", effect=2, correlation=6)
+    return tidy(kf.rolling_effects(wide(spark, sf), "quantity", "value", ["discount"]), key="bigint", date="date", effect=2, correlation=6)
+
+
+@query("i08_several_confounders")
+def _(spark, sf):
+    return tidy(kf.rolling_effects(wide(spark, sf), "quantity", "value", ["discount", "lines", "returned"]), key="bigint", date="date", effect=2, correlation=6, p_value=6)
 
 
 @query("i09_variance_regimes", ctes("series", "mfacts", v="SELECT f.*, t.value, CASE WHEN count(*) OVER w = 6 THEN var_samp(t.value) OVER w END AS v FROM series t JOIN mfacts f USING (key, date) WINDOW w AS (PARTITION BY key ORDER BY date ROWS 5 PRECEDING)",

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelloom.operators import forecast as fc, shares as sh
+from panelloom.operators import forecast as fc, keyed_fits as kf, shares as sh
 from panelloom.sources.readers import latest_slice
 from panelloom.plans.base import NEEDS, SQL, ctes, facts, history, mapping, monthly, query, r, tidy, trade
 
@@ -107,6 +107,19 @@ def _(spark, sf):
     return tidy(fc.linear(monthly(spark, sf), H), **OUT)
 
 
+def _keyed(kind, **how):
+    def run(spark, sf):
+        out = kf.keyed_regression(monthly(spark, sf), H, kind=kind, **how)
+        return tidy(out.withColumn("first_coefficient", F.round(F.get("coefficients", 1), 4)), **OUT, first_coefficient="double")
+    return run
+
+
+query("k04_keyed_polynomial")(_keyed("polynomial", degree=2))
+query("k04_keyed_ridge")(_keyed("ridge", alpha=1.0))
+query("k04_keyed_lasso")(_keyed("lasso", alpha=100.0))
+query("k04_keyed_elasticnet_lags")(_keyed("elasticnet", alpha=100.0, lags=(1, 2, 3)))
+
+
 @query("k04_pooled_ridge")
 def _(spark, sf):
     return fc.pooled(monthly(spark, sf), 3, learner="ridge")
@@ -123,6 +136,36 @@ def _(spark, sf):
     return tidy(fc.autoregressive(monthly(spark, sf), H), **OUT)
 
 
+# order of differencing by the plain unit-root test, order of autoregression by Durbin and Levinson's recursion and the lowest AICc
+SQL["dforder"] = """SELECT m.key, CASE WHEN t < -2.86 THEN 0 ELSE 1 END AS d FROM (SELECT DISTINCT key FROM series) m LEFT JOIN (
+  SELECT key, CASE WHEN count(*) > 3 THEN regr_slope(s, p) / sqrt(var_pop(s) * (1 - regr_r2(s, p)) / (var_pop(p) * (count(*) - 2))) END AS t
+  FROM (SELECT key, lag(value) OVER w AS p, value - lag(value) OVER w AS s FROM series WINDOW w AS (PARTITION BY key ORDER BY date)) WHERE p IS NOT NULL GROUP BY 1) USING (key)"""
+NEEDS["dforder"] = ("series",)
+_G = ", ".join(f"coalesce(sum(c * l{k}), 0) / count(c)" for k in range(6))
+SQL["gammas"] = f"""SELECT key, max(d) AS d, count(c) AS n, [{_G}] AS g FROM (
+  SELECT key, d, c, c AS l0, {", ".join(f"lag(c, {k}) OVER (PARTITION BY key ORDER BY date) AS l{k}" for k in range(1, 6))} FROM (
+    SELECT key, d, date, x - avg(x) OVER (PARTITION BY key) AS c FROM (SELECT key, d, date, CASE WHEN d = 0 THEN value ELSE value - lag(value) OVER (PARTITION BY key ORDER BY date) END AS x FROM series JOIN dforder USING (key)))) GROUP BY 1"""
+NEEDS["gammas"] = ("dforder",)
+SQL["orders"] = """SELECT key, d, n, g, 0::BIGINT AS p, []::DOUBLE[] AS phi, g[1] AS v FROM gammas UNION ALL
+  SELECT key, d, n, g, p + 1, list_append(list_transform(range(1, p + 1), lambda i: phi[i] - turn * phi[p - i + 1]), turn), v * (1 - turn * turn) FROM (
+    SELECT *, (g[p + 2] - coalesce(list_sum(list_transform(range(1, p + 1), lambda i: phi[i] * g[p + 2 - i])), 0)) / v AS turn FROM orders WHERE p < 5)"""
+NEEDS["orders"] = ("gammas",)
+
+
+@query("k05_order_selection", ctes("orders", z="SELECT *, row_number() OVER (PARTITION BY key ORDER BY n * ln(v) + 2 * (p + 1) + 2 * (p + 1) * (p + 2) / (n - p - 2), p) AS rn FROM orders") +
+       f"SELECT key, d::INTEGER AS d, p::INTEGER AS p, {r('ln(v)')} AS log_variance, {r('coalesce(phi[1], 0)')} AS first, {r('coalesce(phi[p], 0)')} AS last FROM z WHERE rn = 1")
+def _(spark, sf):
+    s = monthly(spark, sf)
+    fit = kf.select_order(s, kf.differencing_order(s, 1, 0), 5)
+    return tidy(fit.withColumn("log_variance", F.log("variance")).withColumn("first", F.coalesce(F.get("phi", 0), F.lit(0.0))).withColumn("last", F.coalesce(F.get("phi", F.size("phi") - 1), F.lit(0.0))),
+                key="bigint", d="int", p="int", log_variance=6, first=6, last=6)
+
+
+@query("k05_chosen_autoregression")
+def _(spark, sf):
+    return tidy(kf.autoregression(monthly(spark, sf), H), **OUT, reason="string")
+
+
 @query("k05_autocorrelation", ctes("ar", c="SELECT key, date, d - avg(d) OVER (PARTITION BY key) AS c FROM ar WHERE d IS NOT NULL") + "\nUNION ALL ".join(
     f"SELECT key, {k}::INTEGER AS lag, {r('sum(c * l) / sum(c * c)')} AS acf FROM (SELECT key, c, lag(c, {k}) OVER (PARTITION BY key ORDER BY date) AS l FROM c) GROUP BY 1" for k in range(1, 7)))
 def _(spark, sf):
