@@ -43,7 +43,7 @@ def dictionaries(docs: DataFrame, folds: int = 3, fold: int = 1, documents: int
     """The dictionary of every language: training documents one after the other, until ``size`` bytes are full.
 
     Documents are taken in a hash order of their ids, ``documents`` for each language at most, by a limit that is applied inside every task before the
-    ids are shuffled; their beginnings, a bounded sample, go to the driver. Copies count once.
+    ids are shuffled; a passage of each, from a place that the hash of its id tells, goes to the driver: a bounded sample of labelled rows. Copies count once.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id", folds, fold))
     picked = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
@@ -51,7 +51,7 @@ def dictionaries(docs: DataFrame, folds: int = 3, fold: int = 1, documents: int
         first = W.partitionBy(*by).orderBy("h", "doc_id")
         picked = picked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= documents).drop("n")
     picked = picked.select("doc_id").distinct()
-    rows = (known.join(F.broadcast(picked), "doc_id").select("lang", "doc_id", F.substring("text", 1, characters).alias("text"))  # ``documents`` ids a language
+    rows = (known.join(F.broadcast(picked), "doc_id").select("lang", "doc_id", F.expr(f"substring(text, CAST(1 + pmod(xxhash64(doc_id, 1), greatest(char_length(text) - {characters}, 0) + 1) AS INT), {characters})").alias("text"))  # ``documents`` ids a language
             .orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect())
     texts: dict[str, dict[str, None]] = {}
     for lang, _, text in rows:

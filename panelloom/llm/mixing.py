@@ -9,8 +9,6 @@ from panelloom.llm.common import free_names, running_totals, word_array
 
 #: The schedule has 2 ** SLOT_BITS slots, whatever the input: one slot is less than 0.001 % of the mix.
 SLOT_BITS = 17
-#: A source of fewer slots, by its size or its target, is settled to the word instead: whole slots would be too coarse for it.
-FEWEST_SLOTS = 2048
 #: Most times that a source, and so any of its words, is taken.
 MOST_EPOCHS = 3
 
@@ -44,7 +42,8 @@ def schedule(targets: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
     """The slots of the mix in training order: slot, source, rank (of the slot among its source's slots).
 
     Slot k has the k-th van der Corput point; it belongs to the source in whose stretch of the cumulative targets the point falls. The points of any
-    stretch of slots are spread evenly, so every prefix of the schedule holds each source in its share, off by a few slots.
+    stretch of slots are spread evenly, so every prefix of the schedule holds each source in its share, off by a few slots. A source whose stretch lies between two points shares the
+    slot of the point before it.
     """
     order = W.orderBy(F.col("source").asc_nulls_last())
     total = F.sum("target").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
@@ -57,82 +56,77 @@ def schedule(targets: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
     listed = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))))
     placed = (points.withColumn("cell", cell).join(listed, "cell").where((F.col("point") >= F.col("low")) & ((F.col("point") < F.col("high")) | F.col("last")))
               .select("slot", "source"))
-    return placed.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1)
-
-
-def blocks(targets: DataFrame, slots: DataFrame, most_epochs: int = MOST_EPOCHS, bits: int = SLOT_BITS) -> DataFrame:
-    """The blocks of every source and how often the schedule takes them: source, block, first (word), times, taken_before (words, of earlier blocks).
-
-    A slot stands for (all words / 2 ** bits) words, and the blocks of a source are the stretches between whole multiples of that, rounded down to whole
-    words: block sizes differ by one word at most, only the last one is what is left. The n-th slot of a source takes block n, from the start again after
-    the last. Sources that are settled to the word are left out. The table has at most 2 ** bits rows and one more for each source.
-    """
-    all_words = targets.agg(F.sum("source_size").alias("words"))
-    sources = targets.crossJoin(F.broadcast(all_words)).where(F.col("source_size") > 0).where(~_settled(bits)).select("source", "source_size", "words")  # one number beside each source
-    n = F.expr(f"(source_size * {2 ** bits} + words - 1) div words")
-    counted = sources.withColumn("blocks", n)
-    ranked = slots.alias("s").join(counted.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source"))).where(F.col("rank") < F.col("blocks") * most_epochs)
-    times = ranked.select("s.source", (F.col("rank") % F.col("blocks")).alias("block")).groupBy("source", "block").agg(F.count("*").alias("times"))
-    every = (counted.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
-             .withColumn("first", F.expr(f"(block * words) div {2 ** bits}"))
-             .withColumn("size", F.least(F.expr(f"((block + 1) * words) div {2 ** bits}"), "source_size") - F.col("first")))
-    known = (every.alias("e").join(times.alias("t"), F.col("e.source").eqNullSafe(F.col("t.source")) & (F.col("e.block") == F.col("t.block")), "left")
-             .select("e.source", "e.block", "first", "size", F.coalesce("times", F.lit(0)).alias("times")))
-    earlier = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    return known.select("source", "block", "first", "times", F.coalesce(F.sum(F.col("size") * F.col("times")).over(earlier), F.lit(0)).alias("taken_before"))
-
-
-def _settled(bits: int) -> Column:
-    """True for sources whose size or target is less than FEWEST_SLOTS slots of (words / 2 ** bits) words."""
-    return F.least(F.col("source_size").cast("double"), F.col("target")) * float(2 ** bits) < F.col("words").cast("double") * FEWEST_SLOTS
+    own = cut_lineage(placed.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1))
+    met = own.where("rank = 0").select(F.col("source").alias("met"))
+    before = F.least(F.floor(F.col("low") * 2 ** bits), F.lit(2 ** bits - 1)).cast("long")
+    between = shares.join(met, F.col("source").eqNullSafe(F.col("met")), "left_anti").select((van_der_corput(before, bits) * 2 ** bits).cast("long").alias("slot"), "source", F.lit(0).alias("rank"))
+    return own.unionByName(between)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = MOST_EPOCHS, bits: int = SLOT_BITS, text: str = "text", doc_id: str = "doc_id",
         source: str = "source") -> DataFrame:
-    """How many words of every document the mix takes, repeats counted.
+    """How many words of every document the mix takes, repeats counted, and where in the schedule it takes them first.
 
-    Each source's documents, shuffled by a digest of their ids, form one long sequence of words, which is cut into blocks of equal size; the schedule takes
-    blocks. A block is a stretch of the sequence and not a list of documents: a long document spans many blocks, many short ones share one. The words taken
-    of a document are those before its end less those before its start, and each of the two is looked up at its block. A source of fewer than FEWEST_SLOTS
-    slots takes as many words as its rounded target, from the start of its sequence and again after the end; larger sources are off by a few slots.
+    Each source's documents, shuffled by a digest of their ids, form one long sequence of words, which is repeated until it fills the source's rounded target. The ranked slots of the source
+    share these words equally: slot number r of n takes the r-th of n blocks of equal size, from the start again after the end. A block is a stretch of the sequence and not a list of
+    documents: a long document spans many blocks, many short ones share one. A slot stands for (all words / 2 ** bits) words in every source, off by the rounding of its number
+    of slots. The words taken of a document are those before its end less those before its start.
 
-    Returns doc_id, source, size (words), source_size, target, taken. Null texts and texts without words have size 0 and are never taken; a null source is a
-    source of its own, the last; null ids are ordered first; equal rows follow one another and count each on its own. An empty table gives no row. The
-    same input gives the same mix, whatever its partitions. Other columns are not read.
+    Returns doc_id, source, size (words), source_size, target, taken, first_slot and last_slot (of the schedule, at which the first pass through the source takes the document's first and last
+    words; null if it takes none). Null texts and texts without words have size 0 and are never taken; a null source is a source of its own, the last; null ids are ordered first; equal
+    rows follow one another and count each on its own. An empty table gives no row. The same input gives the same mix, whatever its partitions. Other columns are not read.
     """
+    known, slots = _places(docs, weights, most_epochs, bits, text, doc_id, source)
+    last = F.least(F.col("start") + F.col("size"), F.col("all_taken")) - 1
+    ends = known.withColumn("r0", _rank(F.col("start"))).withColumn("r1", F.when(F.col("taken") > 0, _rank(last)))
+    for at, name in (("r0", "first_slot"), ("r1", "last_slot")):
+        ends = ends.alias("k").join(slots.alias("s"), F.col("k.source").eqNullSafe(F.col("s.source")) & (F.col(f"k.{at}") == F.col("s.rank")), "left").select("k.*", F.col("s.slot").alias(name))
+    return ends.select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "last_slot")
+
+
+def _places(docs: DataFrame, weights: tuple[int, ...], most_epochs: int, bits: int, text: str, doc_id: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """Every document's place in its source's sequence with the words that the mix takes of it, and the slots (source, rank, slot)."""
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"))
     shuffled = sized.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     placed = running_totals(shuffled, ["order", "doc_id", "size"], {"start": "size"}, ["source"])
     targets = cut_lineage(target_weights(placed.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), most_epochs))
-    plan = cut_lineage(blocks(targets, schedule(targets, bits), most_epochs, bits))
-    all_words = targets.agg(F.sum("source_size").alias("words"))
-    known = (placed.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.*", "source_size", "target")
-             .crossJoin(F.broadcast(all_words)))
-    known = _taken_before(_taken_before(known, plan, "start", "from_start", bits), plan, "start + size", "to_end", bits)
-    return known.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("to_end") - F.col("from_start")).otherwise(F.lit(0)).cast("long").alias("taken"))
-
-
-def _taken_before(known: DataFrame, plan: DataFrame, at: str, name: str, bits: int) -> DataFrame:
-    """Adds the words that the mix takes of a source before place ``at`` of its sequence; the end of a source is looked up in its last block."""
-    block = F.when(~_settled(bits), F.expr(f"CASE WHEN source_size > 0 THEN ((least({at}, source_size - 1) + 1) * {2 ** bits} - 1) div words END"))
-    left = known.withColumn("_block", block).alias("k")
-    epochs, rest = (F.expr(f"CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) {op} source_size END") for op in ("div", "%"))
-    settled = F.expr(at) * epochs + F.least(F.expr(at), rest)
-    right = F.broadcast(plan).alias("b")  # at most 2 ** bits rows, and one more for each source
-    on = F.col("k.source").eqNullSafe(F.col("b.source")) & (F.col("k._block") == F.col("b.block"))
-    return left.join(right, on, "left").select(*[F.col(f"k.{c}") for c in known.columns],
-                                              F.when(_settled(bits), settled).otherwise(F.col("taken_before") + (F.expr(at) - F.col("first")) * F.col("times")).alias(name))
-
-
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = MOST_EPOCHS, bits: int = SLOT_BITS) -> DataFrame:
+    slots = cut_lineage(schedule(targets, bits))
+    counts = slots.groupBy("source").agg(F.count("*").alias("slots"))
+    sources = (targets.alias("t").join(counts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
+               .select("t.*", F.coalesce("slots", F.lit(0)).alias("slots"), F.round("target").cast("long").alias("all_taken")))
+    known = placed.alias("p").join(sources.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.*", "source_size", "target", "slots", "all_taken")
+    epochs, rest = (F.expr(f"CASE WHEN source_size > 0 THEN all_taken {op} source_size END") for op in ("div", "%"))
+    before = lambda at: at * epochs + F.least(at, rest)
+    taken = F.when(F.col("size") > 0, before(F.col("start") + F.col("size")) - before(F.col("start"))).otherwise(F.lit(0)).cast("long")
+    return known.withColumn("taken", taken), slots
+
+
+def _rank(place: Column) -> Column:
+    """The slot, among its source's, that takes a place of the source's repeated sequence; null for places that are not taken."""
+    return F.when((F.col("all_taken") > 0) & (place < F.col("all_taken")), F.call_function("div", place * F.col("slots"), F.col("all_taken")))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = MOST_EPOCHS, bits: int = SLOT_BITS, slot: str | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes its words, rounded to whole documents; all columns stay as they are.
 
-    Only the documents at the last cut of a source are taken in part, so rounding moves a source by less than one of its documents. Documents without words
-    are never taken. Equal (doc_id, source, words) rows share what they are taken together.
+    With ``slot`` a column of that name says at which slot of the schedule each copy begins: sorted by it, the copies are in training order. Only the documents at the last cut of a
+    source are taken in part, so rounding moves a source by less than one of its documents. Documents without words are never taken. Equal (doc_id, source, words) rows share what
+    they are taken together. A null source is a source of its own; an empty table gives no row; further columns may have any name.
     """
     words = F.size(word_array(F.col("text"))).cast("long")
-    own_id, own_source, own_size, copies, copy = free_names(docs, "own_id", "own_source", "own_size", "copies", "copy")
-    taken = (mix(docs, weights, most_epochs, bits).where("taken > 0").groupBy("doc_id", "source", "size")
-             .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies")).where("copies > 0").toDF(own_id, own_source, own_size, copies))
+    own_id, own_source, own_size, copies, starts, copy = free_names(docs, "own_id", "own_source", "own_size", "copies", "starts", "copy")
+    known, slots = _places(docs, weights, most_epochs, bits, "text", "doc_id", "source")
+    length = F.max(F.struct("source_size", "slots", "all_taken"))
+    taken = (known.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies"), F.min("start").alias("start"), length.alias("of"))
+             .where("copies > 0"))
+    if slot is None:
+        passes = taken.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    else:
+        each = taken.select("doc_id", "source", "size", "start", "of.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        each = each.withColumn("r", _rank(F.least(F.col("start") + (F.col("copy") - 1) * F.col("source_size"), F.col("all_taken") - 1)))
+        passes = (each.alias("e").join(slots.alias("s"), F.col("e.source").eqNullSafe(F.col("s.source")) & (F.col("e.r") == F.col("s.rank")), "left")
+                  .select("e.doc_id", "e.source", "e.size", "e.copy", F.col("s.slot").alias("slot")))
+    extra = [] if slot is None else [F.col(starts).alias(slot)]
+    passes = passes.toDF(own_id, own_source, own_size, copy, *[starts] * (slot is not None))
     on = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source)) & (words == F.col(own_size))
-    return docs.join(taken, on).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).select(*docs.columns)
+    return docs.join(passes, on).select(*docs.columns, *extra)

@@ -40,8 +40,9 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INT AS shard, index - mi
 """
 
 _RATES = {"mean_word": "word_chars", "symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines", "repeat_rate": "n_repeat_words"}
-_LIMITS = ", ".join(f"quantile_disc({c}, {quality_rules.MIDDLE}) + {quality_rules.SPREAD} * (quantile_disc({c}, {quality_rules.HIGH}) - quantile_disc({c}, {quality_rules.MIDDLE})) + {quality_rules.SLACK[c]} AS {c}_limit"
-                    for c in _RATES)
+_Q = quality_rules
+_RAW = ", ".join(f"quantile_disc({c}, {_Q.MIDDLE}) + {_Q.SPREAD} * (quantile_disc({c}, {_Q.HIGH}) - quantile_disc({c}, {_Q.MIDDLE})) + {_Q.SLACK[c]} AS {c}_limit" for c in _RATES)
+_SHRUNK = ", ".join(f"(g.n * g.{c}_limit + {_Q.PRIOR} * up.{c}_limit) / (g.n + {_Q.PRIOR}) AS {c}_limit" for c in _RATES)
 op3 = rf"""
 WITH docs AS (SELECT row_number() OVER () AS row, *, {WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 windows AS (SELECT row, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
@@ -51,7 +52,9 @@ counted AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_stri
                    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM docs LEFT JOIN covered USING (row)),
 rated AS (SELECT *, n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quality_rules.MOST_REPEATED} * n_words AS base_failed,
                  {", ".join(f"{n} / greatest(n_words, 1)::DOUBLE AS {c}" for c, n in _RATES.items())} FROM counted),
-limits AS (SELECT lang, source, {_LIMITS} FROM rated WHERE NOT base_failed GROUP BY lang, source)
+every AS (SELECT {_RAW} FROM rated WHERE NOT base_failed),
+languages AS (SELECT g.lang, {_SHRUNK} FROM (SELECT lang, count(*) AS n, {_RAW} FROM rated WHERE NOT base_failed GROUP BY lang) g, every up),
+limits AS (SELECT g.lang, g.source, {_SHRUNK} FROM (SELECT lang, source, count(*) AS n, {_RAW} FROM rated WHERE NOT base_failed GROUP BY lang, source) g JOIN languages up ON g.lang IS NOT DISTINCT FROM up.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND {" AND ".join(f"coalesce({c} <= {c}_limit, true)" for c in _RATES)} AS kept
 FROM rated r LEFT JOIN limits l ON r.lang IS NOT DISTINCT FROM l.lang AND r.source IS NOT DISTINCT FROM l.source
@@ -84,18 +87,16 @@ targets AS (SELECT source, source_size, (CASE WHEN place >= first_place THEN wei
 shares AS (SELECT *, coalesce(lag(high) OVER (ORDER BY source NULLS LAST), 0) AS low, lead(high) OVER (ORDER BY source NULLS LAST) IS NULL AS last
            FROM (SELECT *, sum(target) OVER (ORDER BY source NULLS LAST) / sum(target) OVER () AS high FROM targets WHERE target > 0)),
 points AS (SELECT slot, list_sum(list_transform(range({mixing.SLOT_BITS}), lambda b: ((slot >> b) & 1) << ({mixing.SLOT_BITS} - 1 - b)))::BIGINT / {SLOTS}.0 AS point FROM range({SLOTS}) r(slot)),
-ranked AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM points JOIN shares ON point >= low AND (point < high OR last)),
-words AS (SELECT sum(source_size)::HUGEINT AS words FROM targets),
-counted AS (SELECT source, source_size, words, (source_size * {SLOTS} + words - 1) // words AS blocks FROM targets, words WHERE source_size > 0),
-times AS (SELECT r.source, rank % blocks AS block, count(*) AS times FROM ranked r JOIN counted c ON r.source IS NOT DISTINCT FROM c.source WHERE rank < blocks * {mixing.MOST_EPOCHS} GROUP BY ALL),
-listed AS (SELECT source, block, (block * words) // {SLOTS} AS first, least(((block + 1) * words) // {SLOTS}, source_size) - (block * words) // {SLOTS} AS size
-           FROM (SELECT *, unnest(range(blocks::BIGINT)) AS block FROM counted)),
-plan AS (SELECT l.source, l.block, first, coalesce(times, 0) AS times, coalesce(sum(size * coalesce(times, 0)) OVER (PARTITION BY l.source ORDER BY l.block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-         FROM listed l LEFT JOIN times t ON l.source IS NOT DISTINCT FROM t.source AND l.block = t.block),
-ends AS (SELECT p.*, source_size, target, words, ((least(start, source_size - 1) + 1) * {SLOTS} - 1) // words AS b0, ((least(start + size, source_size - 1) + 1) * {SLOTS} - 1) // words AS b1
-         FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source, words)
-SELECT doc_id, e.size, source_size, target, (CASE WHEN e.size = 0 THEN 0 ELSE (q.before + (e.start + e.size - q.first) * q.times) - (p.before + (e.start - p.first) * p.times) END)::BIGINT AS taken
-FROM ends e LEFT JOIN plan p ON e.source IS NOT DISTINCT FROM p.source AND e.b0 = p.block LEFT JOIN plan q ON e.source IS NOT DISTINCT FROM q.source AND e.b1 = q.block
+met AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM points JOIN shares ON point >= low AND (point < high OR last)),
+slots AS (SELECT * FROM met UNION ALL
+          SELECT source, slot, 0 FROM shares s JOIN points ON point = least(floor(low * {SLOTS}), {SLOTS} - 1) / {SLOTS}.0 WHERE NOT EXISTS (SELECT 1 FROM met WHERE met.source IS NOT DISTINCT FROM s.source)),
+sourced AS (SELECT t.*, coalesce(n, 0) AS n, round(target)::BIGINT AS total FROM targets t LEFT JOIN (SELECT source, count(*) AS n FROM slots GROUP BY source) c ON t.source IS NOT DISTINCT FROM c.source),
+ends AS (SELECT p.*, source_size, target, total, n, CASE WHEN source_size > 0 THEN (start + size) * (total // source_size) + least(start + size, total % source_size)
+                                                                - start * (total // source_size) - least(start, total % source_size) ELSE 0 END AS taken
+         FROM placed p JOIN sourced t ON p.source IS NOT DISTINCT FROM t.source),
+ranks AS (SELECT *, CASE WHEN total > 0 AND start < total THEN start * n // total END AS r0, CASE WHEN taken > 0 THEN (least(start + size, total) - 1) * n // total END AS r1 FROM ends)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken, a.slot AS first_slot, b.slot AS last_slot
+FROM ranks e LEFT JOIN slots a ON e.source IS NOT DISTINCT FROM a.source AND r0 = a.rank LEFT JOIN slots b ON e.source IS NOT DISTINCT FROM b.source AND r1 = b.rank
 """
 
 op9 = r"""

@@ -12,7 +12,10 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
 #: Signals with learned upper limits, and the distance over the middle that is always allowed. Limit: middle + SPREAD * (high - middle) + slack.
 SLACK = {"mean_word": 2.0, "symbol_rate": 0.1, "dup_line_rate": 0.1, "repeat_rate": 0.25}
-MIDDLE, HIGH, SPREAD = 0.5, 0.9, 4.0
+#: High is the upper quartile, which less than a quarter of bad rows cannot move.
+MIDDLE, HIGH, SPREAD = 0.5, 0.75, 6.0
+#: Rows of the wider group (the language, all rows) that every group's own limit is averaged with.
+PRIOR = 200
 #: Entries of a sketch: quantiles are off by at most 1 / ACCURACY of the rows.
 ACCURACY = 2000
 
@@ -38,12 +41,24 @@ def word_signals(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
 
 def adaptive_limits(signals: DataFrame, rates: list[str], by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Upper limit of each rate for each group: the group's own middle plus its own spread, from quantile sketches.
+    """Upper limit of each rate for each group: middle plus spread to the upper quartile, from quantile sketches, drawn towards the wider groups.
 
-    The sketch of a group is built inside every partition and merged after the shuffle: a group with a third of all rows sends one small sketch from each task.
+    All levels (all columns of ``by``, all but the last ... none) come from one rollup, whose sketches are built inside every partition and merged after the shuffle: a group with a third of
+    all rows sends one small sketch from each task. A group of n rows has its own limit with weight n and that of the next wider level with weight PRIOR, so a few rows
+    do not judge themselves.
     """
-    sketches = signals.groupBy(*by).agg(*[F.percentile_approx(c, F.array(F.lit(MIDDLE), F.lit(HIGH)), ACCURACY).alias(c) for c in rates])
-    return sketches.select(*by, *[(F.col(c)[0] + SPREAD * (F.col(c)[1] - F.col(c)[0]) + SLACK[c]).alias(f"{c}_limit") for c in rates])
+    levels = cut_lineage(signals.rollup(*by).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"),
+                                                 *[F.percentile_approx(c, F.array(F.lit(MIDDLE), F.lit(HIGH)), ACCURACY).alias(c) for c in rates]))
+    raw = {c: F.col(c)[0] + SPREAD * (F.col(c)[1] - F.col(c)[0]) + SLACK[c] for c in rates}
+    out = levels.where(F.col("level") == 2 ** len(by) - 1).select(*[raw[c].alias(f"{c}_limit") for c in rates])
+    for k in range(1, len(by) + 1):
+        own = levels.where(F.col("level") == 2 ** (len(by) - k) - 1).select(*by[:k], "n", *[raw[c].alias(f"_{c}") for c in rates]).alias("g")
+        wider = F.broadcast(out).alias("w") if k == 1 else out.alias("w")  # one row
+        on = F.lit(True)
+        for c in by[:k - 1]:
+            on = on & F.col(f"g.{c}").eqNullSafe(F.col(f"w.{c}"))
+        out = own.join(wider, on).select(*[F.col(f"g.{c}") for c in by[:k]], *[((F.col("n") * F.col(f"_{c}") + PRIOR * F.col(f"{c}_limit")) / (F.col("n") + PRIOR)).alias(f"{c}_limit") for c in rates])
+    return out
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
