@@ -7,18 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from panelloom.functions.session import cut_lineage
 from panelloom.llm.common import free_names
 
 #: Bytes of the smallest and the largest chunk, and the bits of the rolling hash that must be 0 at a cut: chunks have about 50 bytes on average.
 SMALLEST, LARGEST, CUT_BITS = 24, 96, 5
-#: Bytes of repeated chunks in a row that make a repeated passage.
-LEAST_SPAN = 100
+#: Bytes of a repeated passage, after its repeated chunks have been extended at both ends.
+LEAST_SPAN = 140
+#: Bytes of a step by which a run of repeated chunks is extended to one side, and most steps: together as far as the largest chunk.
+STEP, STEPS = 12, 8
 _WINDOW = 32
 _GEAR = np.random.default_rng(6).integers(0, 2**32, 256, dtype=np.uint32)
 _GEAR[0] = 0  # the bytes between two texts leave the hash alone
+_MIX = np.random.default_rng(16).integers(0, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes worked on at a time; a longer text is worked on alone.
 _GROUP_BYTES = 200_000
 
@@ -63,11 +65,41 @@ def cut_points(texts: list[bytes], smallest: int = SMALLEST, largest: int = LARG
     return out
 
 
+def step_codes(data: np.ndarray) -> np.ndarray:
+    """A code from 1 to 255 of the STEP bytes that begin at each place."""
+    value = (data.astype(np.uint64) + np.uint64(1)) * _MIX[0]
+    value ^= value >> np.uint64(29)
+    pair = value[:-1] + value[1:] * _MIX[1]
+    four = pair[:-2] + pair[2:] * _MIX[2]
+    twelve = four[:-8] + (four[4:-4] + four[8:] * _MIX[1]) * _MIX[0]
+    return ((twelve >> np.uint64(40)) % np.uint64(255)).astype(np.int64) + 1
+
+
+def surroundings(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What stands around chunks [begins, ends) of texts [first, last): codes of the steps before and after, one a byte, nearest lowest, 0 beyond the text; and shifts.
+
+    A step that would end inside a character ends up to three bytes nearer; ``shift`` has two bits for each step, those before in the lower half.
+    """
+    codes, inside = step_codes(data), (data & 0xC0) == 0x80
+    left, right, shift = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64)
+    for k in range(STEPS):
+        for at, into, forward, low in ((begins - STEP * (k + 1), left, 1, 0), (ends + STEP * k, right, -1, 16)):
+            edge = at if forward > 0 else at + STEP
+            known = (edge >= first) & (edge <= last)
+            into |= np.where(known, codes[np.where(known, at, 0)], 0) << (8 * k)
+            moved = np.zeros(len(at), np.int64)
+            for _ in range(3):
+                moved += inside[np.where(known, edge + forward * moved, 0)]
+            shift |= np.where(known, moved, 0) << (low + 2 * k)
+    return left, right, np.where(shift >= 1 << 31, shift - (1 << 32), shift)
+
+
 def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row a chunk: doc_id, key (of the text), low and high half of the chunk's 128-bit digest, start and size in bytes."""
+    """One row a chunk: doc_id, key (of the text), low and high half of the chunk's 128-bit digest, start and size in bytes, whether it is the text's first with this digest, and its
+    surroundings (left, right, shift)."""
     kind = docs.schema[doc_id].dataType
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    schema = f"doc_id {kind.simpleString()}, key long, low long, high long, start int, size int"
+    schema = f"doc_id {kind.simpleString()}, key long, low long, high long, start int, size int, fresh boolean, left long, right long, shift int"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -81,41 +113,75 @@ def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                 while stop < len(raw) and (stop == at or size + len(raw[stop]) <= _GROUP_BYTES):
                     size += len(raw[stop]) + _WINDOW
                     stop += 1
-                owner, starts, sizes, digests = [], [], [], []
+                owner, starts, sizes, digests, fresh, bases, limits, base = [], [], [], [], [], [], [], 0
                 for k, (t, ends) in enumerate(zip(raw[at:stop], cut_points(raw[at:stop]))):
-                    begins = [0, *ends[:-1]] if ends else []
+                    begins, seen = [0, *ends[:-1]] if ends else [], set()
                     starts.extend(begins)
                     sizes.extend(e - b for b, e in zip(begins, ends))
-                    digests.extend(xxhash.xxh3_128_digest(t[b:e]) for b, e in zip(begins, ends))
+                    for b, e in zip(begins, ends):
+                        d = xxhash.xxh3_128_digest(t[b:e])
+                        fresh.append(d not in seen)
+                        seen.add(d)
+                        digests.append(d)
                     owner.extend([at + k] * len(ends))
+                    bases.extend([base] * len(ends))
+                    limits.extend([base + len(t)] * len(ends))
+                    base += len(t) + _WINDOW
                 halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+                gap = b"\0" * _WINDOW
+                data, first = np.frombuffer(gap.join(raw[at:stop]) + gap, dtype=np.uint8), np.array(bases, dtype=np.int64)
+                begin = first + np.array(starts, dtype=np.int64)
+                around = surroundings(data, begin, begin + np.array(sizes, dtype=np.int64), first, np.array(limits, dtype=np.int64))
                 take = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])),
-                                                  pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())], names=["doc_id", "key", "low", "high", "start", "size"])
+                yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), pa.array(starts, pa.int32()),
+                                                  pa.array(sizes, pa.int32()), pa.array(fresh, pa.bool_()), pa.array(around[0]), pa.array(around[1]), pa.array(around[2].astype(np.int32))],
+                                                 names=["doc_id", "key", "low", "high", "start", "size", "fresh", "left", "right", "shift"])
                 at = stop
 
     return own.mapInArrow(split, schema)
 
 
+def _reach(mine: str, other: str, low: int) -> Column:
+    """Bytes by which a chunk and its owner's agree beyond its edge: whole steps from the nearest on, less the shift of the last one."""
+    out = F.lit(0)
+    agree = F.lit(True)
+    for k in range(STEPS):
+        code = lambda c, k=k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(255)
+        agree = agree & (code(mine) == code(other)) & (code(mine) != 0)
+        out = F.when(agree, STEP * (k + 1) - F.shiftright("shift", low + 2 * k).bitwiseAND(3)).otherwise(out)
+    return out
+
+
 def repeated_spans(docs: DataFrame, least_span: int = LEAST_SPAN, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Passages that an earlier document (smaller id) holds as well: one row each, with doc_id, first_doc_id, start, stop (bytes of the UTF-8 text).
 
-    Every whole text is cut into chunks; a chunk belongs to the smallest id that holds it and is repeated in all others. Neighbouring repeated chunks are
-    joined, and passages of at least ``least_span`` bytes are returned; first_doc_id is the smallest id that owns one of the chunks. First the owner of each
-    digest is found by an aggregate that also runs inside every task, then only digests with two owners or more are joined back; a chunk that a third
-    of the documents share is one row of that side.
+    Every whole text is cut into chunks; a chunk belongs to the smallest id that holds it and is repeated in all others. A repeated chunk is an anchor: its passage goes on into the chunks before and
+    after, which hold something else too. So each chunk carries short codes of the bytes around it in steps, and where a run of repeated chunks ends it is extended as far as the codes agree
+    with those of the owner's chunk (one step in 255 agrees by chance). Passages that touch are joined, and those of at least ``least_span`` bytes are returned; first_doc_id is the smallest id
+    that owns one of the chunks.
+
+    First the owner of each digest is found by an aggregate that also runs inside every task, then only digests with two owners or more are joined back; a chunk that a third
+    of the documents share is one row of that side. The chunks are cut once for each of the two and not stored in between.
 
     Passages that repeat only inside one document stay. Null and empty texts have no chunk; rows with a null id own nothing and lose nothing; equal rows, and
     rows with the same id and text, count once. An empty table gives no row. Other columns are not read.
     """
-    pieces = cut_lineage(chunk_table(docs.where(F.col(doc_id).isNotNull() & (F.octet_length(text) > 0)), text, doc_id))
-    owners = pieces.groupBy("low", "high").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner <> last").select("low", "high", "owner")
-    again = pieces.join(owners.hint("shuffle_hash"), ["low", "high"]).where("doc_id <> owner").select("doc_id", "key", "start", "size", "owner").distinct()
+    pieces = chunk_table(docs.where(F.col(doc_id).isNotNull() & (F.octet_length(text) > 0)), text, doc_id)
+    first = F.when(F.col("fresh"), F.col("doc_id"))
+    owners = (pieces.groupBy("low", "high").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min_by("left", first).alias("own_left"), F.min_by("right", first).alias("own_right"))
+              .where("owner <> last").select("low", "high", "owner", "own_left", "own_right"))
+    again = (pieces.join(owners.hint("shuffle_hash"), ["low", "high"]).where("doc_id <> owner")
+             .select("doc_id", "key", "start", "size", "owner", _reach("left", "own_left", 0).alias("before"), _reach("right", "own_right", 16).alias("after")).distinct())
     order = W.partitionBy("doc_id", "key").orderBy("start")  # of one text
+    up_to = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     begins = again.withColumn("begins", F.coalesce(F.lag(F.col("start") + F.col("size")).over(order) < F.col("start"), F.lit(True)).cast("int"))
-    runs = begins.withColumn("run", F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    spans = runs.groupBy("doc_id", "key", "run").agg(F.min("owner").alias("first_doc_id"), F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("stop"))
-    return spans.where(F.col("stop") - F.col("start") >= least_span).select("doc_id", "first_doc_id", "start", "stop", "key")
+    runs = begins.withColumn("run", F.sum("begins").over(up_to))
+    spans = runs.groupBy("doc_id", "key", "run").agg(F.min("owner").alias("owner"), F.min("start").alias("from"), F.max(F.col("start") + F.col("size")).alias("to"),
+                                                     F.min_by("before", "start").alias("before"), F.max_by("after", "start").alias("after"))
+    wide = spans.select("doc_id", "key", "owner", (F.col("from") - F.col("before")).alias("start"), (F.col("to") + F.col("after")).alias("stop"))
+    apart = wide.withColumn("begins", F.coalesce(F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1)) < F.col("start"), F.lit(True)).cast("int"))
+    joined = apart.withColumn("run", F.sum("begins").over(up_to)).groupBy("doc_id", "key", "run").agg(F.min("owner").alias("first_doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return joined.where(F.col("stop") - F.col("start") >= least_span).select("doc_id", "first_doc_id", "start", "stop", "key")
 
 
 def without_repeats(docs: DataFrame, least_span: int = LEAST_SPAN) -> DataFrame:

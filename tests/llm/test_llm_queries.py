@@ -6,6 +6,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import oracle
 import pytest
 
@@ -94,25 +95,80 @@ def serial_chunks(text):
     return out
 
 
+def step_code(part):
+    """The code of a step from the array function on these bytes alone."""
+    return int(chunks.step_codes(np.frombuffer(part, np.uint8))[0])
+
+
+def reach(mine, other, at, place, side):
+    """Bytes to one side of two places at which the codes agree step by step, ended at a whole character."""
+    far = 0
+    for k in range(1, chunks.STEPS + 1):
+        if side < 0:
+            a, b = (t[p - chunks.STEP * k:p - chunks.STEP * (k - 1)] if p >= chunks.STEP * k else b"" for t, p in ((mine, at), (other, place)))
+        else:
+            a, b = (t[p + chunks.STEP * (k - 1):p + chunks.STEP * k] for t, p in ((mine, at), (other, place)))
+        if len(a) < chunks.STEP or len(b) < chunks.STEP or step_code(a) != step_code(b):
+            break
+        far = chunks.STEP * k
+    while far and at + side * far < len(mine) and mine[at + side * far] & 0xC0 == 0x80:
+        far -= 1
+    return far
+
+
 def brute_spans(docs):
-    owners = collections.defaultdict(set)
-    for d, t in docs:
+    owners = {}
+    for d, t in sorted(docs):
         for a, b in serial_chunks(t):
-            owners[t[a:b]].add(d)
+            owners.setdefault(t[a:b], (d, t, a, b))
     out = set()
     for d, t in docs:
-        run = None
-        for a, b in [*serial_chunks(t), (len(t), len(t))]:
-            first = min(owners[t[a:b]]) if b > a else d
+        runs = []
+        for a, b in serial_chunks(t):
+            first, other, c, e = owners[t[a:b]]
             if first != d:
-                run = (run[0], b, min(run[2], first)) if run else (a, b, first)
-            elif run:
-                if run[1] - run[0] >= chunks.LEAST_SPAN:
-                    out.add((d, run[2], run[0], run[1]))
-                run = None
+                left, right = a - reach(t, other, a, c, -1), b + reach(t, other, b, e, 1)
+                if runs and runs[-1][4] == a:
+                    runs[-1] = (runs[-1][0], runs[-1][1], min(runs[-1][2], first), right, b)
+                else:
+                    runs.append((d, left, first, right, b))
+        wide = []
+        for _, left, first, right, _ in sorted(runs, key=lambda r: r[1]):
+            if wide and wide[-1][1] >= left:
+                wide[-1] = (wide[-1][0], max(wide[-1][1], right), min(wide[-1][2], first))
+            else:
+                wide.append((left, right, first))
+        out.update((d, first, left, right) for left, right, first in wide if right - left >= chunks.LEAST_SPAN)
     return out
 
 
+def test_planted_passages_are_found_and_covered(spark):
+    """Passages of 51 words of real texts, each planted into two documents, and the clean documents around them."""
+    import random
+
+    rng = random.Random(7)
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{LARGER}/documents.parquet' WHERE length(text) BETWEEN 900 AND 6000 AND lang = 'en' ORDER BY doc_id").fetchall()]
+    texts = [t for t in texts if len(set(t.split())) > 60][:400]
+    rows, planted = [], {}
+    for k in range(0, 200, 2):
+        source = texts[200 + k // 2].split()
+        at = rng.randrange(len(source) - 51)
+        passage = " ".join(source[at:at + 51])
+        for d in (k, k + 1):
+            words = texts[d].split()
+            cut = rng.randrange(1, len(words))
+            head = " ".join(words[:cut]) + " "
+            rows.append((d, head + passage + " " + " ".join(words[cut:])))
+            planted[d] = (len(head.encode()), len((head + passage).encode()))
+    found = {}
+    for r in chunks.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.stop))
+    whole = [planted[d] for d in range(1, 200, 2)]
+    covered = [sum(max(0, min(b, y) - max(a, x)) for x, y in found.get(d, [])) for d, (a, b) in zip(range(1, 200, 2), whole)]
+    assert sum(c > 0 for c in covered) >= 99
+    assert sum(covered) > 0.9 * sum(b - a for a, b in whole)
+
+
 def test_repeated_passages_against_brute_force(spark):
     docs = [(d, t.encode()) for d, t in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' WHERE text <> ''").fetchall()]
     got = {tuple(r) for r in QUERIES["op6_substring_dedup"](spark, SF).collect()}
