@@ -92,8 +92,8 @@ def _places(docs: DataFrame, weights: tuple[int, ...], most_epochs: int, bits: i
     targets = cut_lineage(target_weights(placed.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), most_epochs))
     slots = cut_lineage(schedule(targets, bits))
     counts = slots.groupBy("source").agg(F.count("*").alias("slots"))
-    sources = (targets.alias("t").join(counts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
-               .select("t.*", F.coalesce("slots", F.lit(0)).alias("slots"), F.round("target").cast("long").alias("all_taken")))
+    sources = cut_lineage(targets.alias("t").join(counts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
+                          .select("t.*", F.coalesce("slots", F.lit(0)).alias("slots"), F.round("target").cast("long").alias("all_taken")))
     known = placed.alias("p").join(sources.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.*", "source_size", "target", "slots", "all_taken")
     epochs, rest = (F.expr(f"CASE WHEN source_size > 0 THEN all_taken {op} source_size END") for op in ("div", "%"))
     before = lambda at: at * epochs + F.least(at, rest)
