@@ -97,7 +97,7 @@ def curve_fits(series: DataFrame) -> DataFrame:
     two = wide.select("key", F.inline(F.array(F.struct(F.lit("linear").alias("model"), F.col("la").alias("a"), F.col("lb").alias("b"), none.alias("c"), F.col("ls").alias("sse")),
                                               F.struct(F.lit("exponential").alias("model"), F.col("ea").alias("a"), F.col("eb").alias("b"), none.alias("c"), F.col("es").alias("sse")))))
     curves = [fc.fit_curves(series, k).select("key", F.lit(k).alias("model"), "a", "b", "c", "sse") for k in ("logistic", "gompertz")]
-    bass = (rows.join(fc.fit_bass(series), "key").withColumn("_e", fc.bass(t + 1, F.col("m"), F.col("p"), F.col("q")) - fc.bass(t, F.col("m"), F.col("p"), F.col("q")))
+    bass = (rows.join(fc.fit_bass(series).where("reason IS NULL"), "key").withColumn("_e", fc.bass(t + 1, F.col("m"), F.col("p"), F.col("q")) - fc.bass(t, F.col("m"), F.col("p"), F.col("q")))
             .groupBy("key").agg(F.max("m").alias("a"), F.max("p").alias("b"), F.max("q").alias("c"), F.sum(F.pow(v - F.col("_e"), F.lit(2.0))).alias("sse")).withColumn("model", F.lit("bass")))
     both = reduce(lambda x, y: x.unionByName(y), [two, *curves, bass.select("key", "model", "a", "b", "c", "sse")])
     return both.where(F.col("sse").isNotNull() & ~F.isnan("sse")).join(n, "key").withColumn("rmse", F.sqrt(F.col("sse") / F.col("n")))

@@ -287,9 +287,10 @@ def logistic(t: Column, a: Column, b: Column, c: Column) -> Column:
 
 
 def fit_bass(series: DataFrame) -> DataFrame:
-    """(key, m, p, q) from adoption per period regressed on earlier cumulative adoption and its square.
+    """(key, m, p, q, reason) from adoption per period regressed on earlier cumulative adoption and its square.
 
-    Cumulative adoption is scaled by its largest value first, which keeps the moments well conditioned.
+    Cumulative adoption is scaled by its largest value first, which keeps the moments well conditioned. A key whose parabola has no positive root has null parameters and says
+    so in ``reason``.
     """
     w = W.partitionBy("key").orderBy("date")
     whole = W.partitionBy("key")
@@ -299,8 +300,9 @@ def fit_bass(series: DataFrame) -> DataFrame:
     abc = rows.groupBy("key").agg(F.max("_top").alias("_top"), *[fit[k].alias(k) for k in ("intercept", "first", "second")])
     root = F.col("first") * F.col("first") - 4 * F.col("second") * F.col("intercept")
     m = F.when(root >= 0, F.try_divide(-F.col("first") - F.sqrt(F.greatest(root, F.lit(0.0))), 2 * F.col("second")))
-    out = abc.withColumn("_m", m).where(F.col("_m") > 0)
-    return out.select("key", (F.col("_m") * F.col("_top")).alias("m"), F.try_divide("intercept", "_m").alias("p"), (-F.col("_m") * F.col("second")).alias("q"))
+    out = abc.withColumn("_m", F.when(m > 0, m))
+    return out.select("key", (F.col("_m") * F.col("_top")).alias("m"), F.try_divide("intercept", "_m").alias("p"), (-F.col("_m") * F.col("second")).alias("q"),
+                      F.when(F.col("_m").isNull(), F.lit("no positive root")).alias("reason"))
 
 
 # Saturation levels tried, as multiples of the largest value seen.
@@ -323,6 +325,12 @@ def fit_curves(series: DataFrame, curve: str, saturations: tuple[float, ...] = S
     return fits.withColumn("sse", error).where(F.col("sse").isNotNull() & ~F.isnan("sse")).groupBy("key").agg(best.alias("_b")).select("key", "_b.*")
 
 
+def every_key(fits: DataFrame, series: DataFrame, fitted: str, reason: str) -> DataFrame:
+    """The fits with a row for each key of the series; where ``fitted`` is null the parameters are null and ``reason`` tells why."""
+    keys = series.select("key").distinct()
+    return keys.join(fits, "key", "left").withColumn("reason", F.when(F.col(fitted).isNull(), F.lit(reason)))
+
+
 def fit_substitution(series: DataFrame, share: str = "value") -> DataFrame:
     """Share of a newer product over time: logit line per key, with the time of half substitution and the takeover time."""
     f = F.col(share)

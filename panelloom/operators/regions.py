@@ -140,24 +140,48 @@ def repair_bottom_up(regions: DataFrame, entities: DataFrame, leaf_table: DataFr
             .withColumn(roles.value, F.when(off, F.col("_e")).otherwise(F.col(roles.value))).drop("_e"))
 
 
+def repair_waves(region_order: list[str], leaf_table: DataFrame) -> DataFrame:
+    """(region, wave): regions in the same wave share no leaf, and a region comes after every earlier one with which it shares a leaf.
+
+    The pairs of regions that share a leaf are found from the leaf table; they and the waves have the size of the region definitions.
+    """
+    spark = leaf_table.sparkSession
+    place = spark.createDataFrame([(n, k) for k, n in enumerate(dict.fromkeys(reversed(region_order)))] or [("", 0)], "region string, back int")  # a name given twice counts at its last place
+    known = leaf_table.select("region", "leaf").distinct().join(F.broadcast(place), "region")
+    pairs = (known.select("leaf", F.col("back").alias("a")).join(known.select("leaf", F.col("back").alias("b")), "leaf").where("a > b").select("a", "b").distinct().collect())
+    order = list(dict.fromkeys(reversed(region_order)))
+    wave = [0] * len(order)
+    earlier: dict[int, list[int]] = {}
+    for a, b in pairs:
+        earlier.setdefault(b, []).append(a)
+    for b in reversed(range(len(order))):
+        wave[b] = 1 + max((wave[a] for a in earlier.get(b, ())), default=-1)
+    return spark.createDataFrame(list(zip(order, wave)), "region string, wave int")
+
+
 def repair_top_down(regions: DataFrame, entities: DataFrame, region_order: list[str], leaf_table: DataFrame,
                     roles: Roles = DEFAULT) -> DataFrame:
     """Entity values scaled so that each named region's leaves add up to the region row; equal parts where they sum to 0.
 
-    Regions are taken in the order given (a later one overrules an earlier one on shared leaves).
+    Regions are taken in the order given (a later one overrules an earlier one on shared leaves). Those that share no leaf do not touch each other's sums, so they are
+    repaired together: the entities are written once for each wave (``repair_waves``), at most as often as regions overlap each other, however many there are.
     """
+    if not region_order:
+        return entities
+    waves = cut_lineage(repair_waves(region_order, leaf_table))
     out = entities
-    for name in region_order:
-        target = regions.where(F.col(roles.name) == name).select(*roles.period, F.col(roles.value).alias("_t"))
-        members = leaf_table.where(F.col("region") == name).select(F.col("leaf").alias(roles.name)).withColumn("_in", F.lit(True))
+    for wave in range(waves.agg(F.max("wave")).first()[0] + 1):
+        own = waves.where(F.col("wave") == wave).select("region")
+        members = leaf_table.join(F.broadcast(own), "region", "left_semi").select(F.col("leaf").alias(roles.name), F.col("region").alias("_region")).distinct()
+        target = regions.select(*roles.period, F.col(roles.name).alias("_region"), F.col(roles.value).alias("_t")).join(F.broadcast(own.withColumnRenamed("region", "_region")), "_region", "left_semi")
         marked = out.join(members, roles.name, "left")
-        sums = (marked.where("_in").groupBy(*roles.period).agg(F.sum(roles.value).alias("_s"), F.count(F.lit(1)).alias("_k"))
-                .join(target, roles.period))
+        group = [*roles.period, "_region"]
+        sums = marked.where("_region IS NOT NULL").groupBy(*group).agg(F.sum(roles.value).alias("_s"), F.count(F.lit(1)).alias("_k")).join(target, group)
         v = F.col(roles.value)
-        off = F.col("_in") & (F.abs(F.col("_t") - F.col("_s")) > _tolerance(F.col("_t"), F.col("_s")))
+        off = F.abs(F.col("_t") - F.col("_s")) > _tolerance(F.col("_t"), F.col("_s"))
         new = F.when(off & (F.col("_s") == 0), F.col("_t") / F.col("_k")).when(off, v * F.try_divide(F.col("_t"), F.col("_s"))).otherwise(v)
         # Rows and their totals both read the step before, so each step is written out once.
-        out = cut_lineage(marked.join(sums, roles.period, "left").withColumn(roles.value, new).select(*entities.columns))
+        out = cut_lineage(marked.join(sums, group, "left").withColumn(roles.value, new).select(*entities.columns))
     return out
 
 

@@ -6,7 +6,7 @@ from panelloom.functions import scalars as S
 from panelloom.operators import quality as Q, shares as sh
 from panelloom.plans.base import (INDICATORS, ctes, daily, facts, history, money, panel, part_months, parts, query, r,
                                   table, tidy, trade, world)
-from panelloom.roles import DEFAULT
+from panelloom.roles import DEFAULT, setting, with_setting
 from panelloom.sources import readers as R
 
 ONE = DEFAULT.with_(by=())
@@ -374,3 +374,16 @@ def _(spark, sf):
     write_panel(panel(spark, sf), path)
     # Only the folder of the wanted year is read.
     return tidy(R.read_parquet(spark, path).where("year = 1998"), market="string", id="bigint", year="int", value=2)
+
+
+# Roles named in a nested configuration, read and changed by dotted paths.
+_CONFIG = {"column_mapping": {"sales": {"market": "L_RETURNFLAG", "id": "l_suppkey", "value": "l_extendedprice", "day": "l_shipdate"}}, "distribution": {"tiers": {"thresholds": [5.0, 1.0]}}}
+
+
+@query("a12_column_mapping", """SELECT l_linestatus AS market, l_suppkey AS id, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value,
+  count(*) FILTER (WHERE l_extendedprice >= 5000)::BIGINT AS large FROM lineitem GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    config = with_setting(with_setting(_CONFIG, "column_mapping.sales.market", "l_linestatus"), "limits.value.large", 5000)
+    sales = R.mapped(table(spark, sf, "lineitem"), config, "sales")
+    large = F.count_if(F.col("value") >= setting(config, "limits.value.large"))
+    return sales.groupBy("market", "id", F.year("day").alias("year")).agg(money("value").alias("value"), large.alias("large"))

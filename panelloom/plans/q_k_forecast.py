@@ -84,15 +84,6 @@ def _(spark, sf):
     return tidy(fc.exponential_smoothing(monthly(spark, sf), H, kind="double", phi=0.9), **OUT)
 
 
-@query("k03_triple_smoothing", ctes("series", i="SELECT key, avg(value) FILTER (WHERE t < 12) AS l, (avg(value) FILTER (WHERE t BETWEEN 12 AND 23) - avg(value) FILTER (WHERE t < 12)) / 12 AS b, list(value ORDER BY t) FILTER (WHERE t < 12) AS first, max(date) AS ld, max(n) AS n FROM series GROUP BY 1 HAVING max(n) >= 24",
-                                    f="""SELECT key, 11::BIGINT AS t, l, b, list_transform(first, lambda z: z - l) AS s, 0.0::DOUBLE AS sse, ld, n FROM i UNION ALL
-   SELECT key, t, nl, 0.1 * (nl - l) + 0.9 * b, list_append(s[2:12], 0.1 * (value - nl) + 0.9 * s[1]), sse + (value - l - b - s[1]) ** 2, ld, n FROM (
-     SELECT c.key, c.t, c.value, a.l, a.b, a.s, a.sse, a.ld, a.n, 0.3 * (c.value - a.s[1]) + 0.7 * (a.l + a.b) AS nl FROM f a JOIN series c ON c.key = a.key AND c.t = a.t + 1)""",
-                                    x=f"SELECT key, {_DATE} AS date, horizon, l + horizon * b + s[horizon] AS v, sqrt(sse / (n - 1)) * sqrt(horizon) AS sd FROM f, {_STEPS} WHERE t = n - 1") + _out("v", "1.96 * sd", "x"))
-def _(spark, sf):
-    return tidy(fc.exponential_smoothing(monthly(spark, sf), H, kind="triple"), **OUT)
-
-
 SQL["lines"] = """SELECT key, max(date) AS ld, max(n) AS n, regr_slope(value, t) AS b, regr_intercept(value, t) AS a, regr_slope(ln(value), t) AS rate, regr_intercept(ln(value), t) AS ll,
   sqrt(greatest(var_pop(value) * (1 - coalesce(regr_r2(value, t), 0)), 0)) AS s, avg(value) AS ym, avg(t) AS tm, avg(t * t) AS t2m, var_pop(t) AS v1, var_pop(t * t) AS v2, covar_pop(t, t * t) AS c12, covar_pop(value, t) AS c1, covar_pop(value, t * t) AS c2 FROM series GROUP BY 1"""
 NEEDS["lines"] = ("series",)
@@ -102,6 +93,28 @@ _Z = "1.959963984540054::DOUBLE * s * sqrt(horizon)"
 _LX = f"SELECT *, {_DATE} AS date, (n - 1 + horizon)::DOUBLE AS x FROM lines, {_STEPS}"
 
 
+def _completed(sql: str) -> str:
+    """The forecasts of a query with the trend line, then the mean, where a key or step has none."""
+    return (ctes("lines", x=_LX, f=_out("a + b * x", _Z, "x"), m="SELECT key, avg(value) AS mean FROM series GROUP BY 1") +
+            f"SELECT f.key, f.date, f.horizon, " + ", ".join(f"coalesce(q.{c}, f.{c}, {r('mean', 4)}) AS {c}" for c in ("value", "lower", "upper")) +
+            f", CASE WHEN q.value IS NULL THEN 'no value of the model' END AS reason FROM f JOIN m USING (key) LEFT JOIN ({sql}) q ON q.key = f.key AND q.horizon = f.horizon")
+
+
+def _whole(out, model, spark, sf):
+    return tidy(fc.complete(out, model, monthly(spark, sf), H), **OUT, reason="string")
+
+
+@query("k03_triple_smoothing", _completed(ctes("series", i="SELECT key, avg(value) FILTER (WHERE t < 12) AS l, (avg(value) FILTER (WHERE t BETWEEN 12 AND 23) - avg(value) FILTER (WHERE t < 12)) / 12 AS b, list(value ORDER BY t) FILTER (WHERE t < 12) AS first, max(date) AS ld, max(n) AS n FROM series GROUP BY 1 HAVING max(n) >= 24",
+                                    f="""SELECT key, 11::BIGINT AS t, l, b, list_transform(first, lambda z: z - l) AS s, 0.0::DOUBLE AS sse, ld, n FROM i UNION ALL
+   SELECT key, t, nl, 0.1 * (nl - l) + 0.9 * b, list_append(s[2:12], 0.1 * (value - nl) + 0.9 * s[1]), sse + (value - l - b - s[1]) ** 2, ld, n FROM (
+     SELECT c.key, c.t, c.value, a.l, a.b, a.s, a.sse, a.ld, a.n, 0.3 * (c.value - a.s[1]) + 0.7 * (a.l + a.b) AS nl FROM f a JOIN series c ON c.key = a.key AND c.t = a.t + 1)""",
+                                    x=f"SELECT key, {_DATE} AS date, horizon, l + horizon * b + s[horizon] AS v, sqrt(sse / (n - 1)) * sqrt(horizon) AS sd FROM f, {_STEPS} WHERE t = n - 1") + _out("v", "1.96 * sd", "x")))
+def _(spark, sf):
+    return _whole(fc.exponential_smoothing(monthly(spark, sf), H, kind="triple"), "exponential_smoothing", spark, sf)
+
+
+
+
 @query("k04_trend_regression", ctes("lines", x=_LX) + _out("a + b * x", _Z, "x"))
 def _(spark, sf):
     return tidy(fc.linear(monthly(spark, sf), H), **OUT)
@@ -122,18 +135,18 @@ query("k04_keyed_elasticnet_lags")(_keyed("elasticnet", alpha=100.0, lags=(1, 2,
 
 @query("k04_pooled_ridge")
 def _(spark, sf):
-    return fc.pooled(monthly(spark, sf), 3, learner="ridge")
+    return fc.complete(fc.pooled(monthly(spark, sf), 3, learner="ridge"), "pooled", monthly(spark, sf), 3)
 
 
 SQL["ar"] = """SELECT key, date, value, d, lag(d) OVER (PARTITION BY key ORDER BY date) AS p FROM (SELECT key, date, value, value - lag(value) OVER (PARTITION BY key ORDER BY date) AS d FROM series)"""
 NEEDS["ar"] = ("series",)
 
 
-@query("k05_autoregression", ctes("ar", f="SELECT key, max(date) AS ld, arg_max(value, date) AS v0, arg_max(d, date) AS d0, regr_slope(d, p) AS phi, regr_intercept(d, p) AS c, sqrt(greatest(var_pop(d) FILTER (WHERE p IS NOT NULL) * (1 - regr_r2(d, p)), 0)) AS s FROM ar GROUP BY 1",
+@query("k05_autoregression", _completed(ctes("ar", f="SELECT key, max(date) AS ld, arg_max(value, date) AS v0, arg_max(d, date) AS d0, regr_slope(d, p) AS phi, regr_intercept(d, p) AS c, sqrt(greatest(var_pop(d) FILTER (WHERE p IS NOT NULL) * (1 - regr_r2(d, p)), 0)) AS s FROM ar GROUP BY 1",
                                   p=f"SELECT key, ld, phi, c, s, 1 AS horizon, c + phi * d0 AS d, v0 + c + phi * d0 AS v FROM f UNION ALL SELECT key, ld, phi, c, s, horizon + 1, c + phi * d, v + c + phi * d FROM p WHERE horizon < {H}",
-                                  x=f"SELECT *, {_DATE} AS date FROM p") + _out("v", "1.96 * s * sqrt(horizon)", "x", floor=False))
+                                  x=f"SELECT *, {_DATE} AS date FROM p") + _out("v", "1.96 * s * sqrt(horizon)", "x", floor=False)))
 def _(spark, sf):
-    return tidy(fc.autoregressive(monthly(spark, sf), H), **OUT)
+    return _whole(fc.autoregressive(monthly(spark, sf), H), "autoregressive", spark, sf)
 
 
 # order of differencing by the plain unit-root test, order of autoregression by Durbin and Levinson's recursion and the lowest AICc
@@ -172,19 +185,19 @@ def _(spark, sf):
     return tidy(fc.autocorrelation(monthly(spark, sf), 6), key="bigint", lag="int", acf=6)
 
 
-@query("k06_seasonal_naive", ctes("series", "lastd", x=f"SELECT l.key, {_DATE} AS date, horizon, s FROM lastd l JOIN (SELECT key, stddev_pop(value) AS s FROM series GROUP BY 1) USING (key), {_STEPS}",
-                                  y="SELECT x.*, t.value AS v FROM x JOIN series t ON t.key = x.key AND t.date = CAST(x.date - INTERVAL 12 MONTH AS DATE)") + _out("v", "1.96 * s", "y"))
+@query("k06_seasonal_naive", _completed(ctes("series", "lastd", x=f"SELECT l.key, {_DATE} AS date, horizon, s FROM lastd l JOIN (SELECT key, stddev_pop(value) AS s FROM series GROUP BY 1) USING (key), {_STEPS}",
+                                  y="SELECT x.*, t.value AS v FROM x JOIN series t ON t.key = x.key AND t.date = CAST(x.date - INTERVAL 12 MONTH AS DATE)") + _out("v", "1.96 * s", "y")))
 def _(spark, sf):
-    return tidy(fc.seasonal_naive(monthly(spark, sf), H), **OUT)
+    return _whole(fc.seasonal_naive(monthly(spark, sf), H), "seasonal_naive", spark, sf)
 
 
-@query("k06_seasonal_autoregression", ctes("series", a="SELECT key, t, n, date, value, value - lag(value, 12) OVER (PARTITION BY key ORDER BY date) AS d FROM series",
+@query("k06_seasonal_autoregression", _completed(ctes("series", a="SELECT key, t, n, date, value, value - lag(value, 12) OVER (PARTITION BY key ORDER BY date) AS d FROM series",
                                            b="SELECT *, lag(d) OVER (PARTITION BY key ORDER BY date) AS p FROM a",
                                            f="SELECT key, max(date) AS ld, arg_max(d, date) AS d0, regr_slope(d, p) AS phi, regr_intercept(d, p) AS c, sqrt(greatest(var_pop(d) FILTER (WHERE p IS NOT NULL) * (1 - regr_r2(d, p)), 0)) AS s, list(value ORDER BY date) FILTER (WHERE t >= n - 12) AS w FROM b GROUP BY 1 HAVING regr_slope(d, p) IS NOT NULL",
                                            p=f"SELECT key, ld, phi, c, s, w, 1 AS horizon, c + phi * d0 AS d FROM f UNION ALL SELECT key, ld, phi, c, s, w, horizon + 1, c + phi * d FROM p WHERE horizon < {H}",
-                                           x=f"SELECT *, {_DATE} AS date, w[horizon] + d AS v FROM p") + _out("v", "1.96 * s * sqrt(horizon)", "x", floor=False))
+                                           x=f"SELECT *, {_DATE} AS date, w[horizon] + d AS v FROM p") + _out("v", "1.96 * s * sqrt(horizon)", "x", floor=False)))
 def _(spark, sf):
-    return tidy(fc.autoregressive(monthly(spark, sf), H, season=12), **OUT)
+    return _whole(fc.autoregressive(monthly(spark, sf), H, season=12), "autoregressive", spark, sf)
 
 
 def yearly(spark, sf):
@@ -199,40 +212,42 @@ NEEDS["yearly"] = ("trade",)
                             m="SELECT key, max(top) AS top, avg(y) AS ym, avg(x) AS xm, avg(x * x) AS x2m, var_pop(x) AS v1, var_pop(x * x) AS v2, covar_pop(x, x * x) AS c12, covar_pop(y, x) AS c1, covar_pop(y, x * x) AS c2 FROM a GROUP BY 1",
                             b="SELECT key, top, ym, xm, x2m, (c1 * v2 - c2 * c12) / nullif(v1 * v2 - c12 * c12, 0) AS b1, (c2 * v1 - c1 * c12) / nullif(v1 * v2 - c12 * c12, 0) AS b2 FROM m",
                             c="SELECT key, top, ym - b1 * xm - b2 * x2m AS b0, b1, b2 FROM b", d="SELECT *, CASE WHEN b1 * b1 - 4 * b2 * b0 >= 0 THEN (-b1 - sqrt(greatest(b1 * b1 - 4 * b2 * b0, 0))) / nullif(2 * b2, 0) END AS mm FROM c") +
-       f"SELECT key, {r('mm', 4)} AS m_scaled, {r('b0 / mm', 4)} AS p, {r('-mm * b2', 4)} AS q FROM d WHERE mm > 0")
+       f"SELECT key, {r('CASE WHEN mm > 0 THEN mm END', 4)} AS m_scaled, {r('CASE WHEN mm > 0 THEN b0 / mm END', 4)} AS p, {r('CASE WHEN mm > 0 THEN -mm * b2 END', 4)} AS q, CASE WHEN coalesce(mm > 0, false) THEN NULL ELSE 'no positive root' END AS reason FROM d")
 def _(spark, sf):
     total = yearly(spark, sf).groupBy("key").agg(F.sum("value").alias("_t"))
     out = fc.fit_bass(yearly(spark, sf)).join(total, "key").withColumn("m_scaled", F.col("m") / F.col("_t"))
-    return tidy(out, key="bigint", m_scaled=4, p=4, q=4)
+    return tidy(out, key="bigint", m_scaled=4, p=4, q=4, reason="string")
 
 
 def _curve_sql(y: str, shape: str, b: str, c: str) -> str:
     return ctes("yearly", g="SELECT y.key, t, value, s, max(value) OVER (PARTITION BY y.key, s) * s AS a FROM yearly y, (VALUES (1.05::DOUBLE), (1.2), (1.5), (2.0), (3.0), (5.0)) v(s)",
                 f=f"SELECT key, s, a, regr_slope({y}, t) AS k, regr_intercept({y}, t) AS i FROM g GROUP BY 1, 2, 3", p=f"SELECT key, s, a, {b} AS b, {c} AS c FROM f",
                 e=f"SELECT p.key, p.s, p.a, p.b, p.c, sum((value - {shape}) ** 2) AS sse FROM p JOIN g ON g.key = p.key AND g.s = p.s GROUP BY ALL",
-                z="SELECT *, row_number() OVER (PARTITION BY key ORDER BY sse, s) AS rn FROM e") + f"SELECT key, {r('a', 4)} AS a, {r('b', 4)} AS b, {r('c')} AS c, {r('sqrt(sse)', 2)} AS root_sse FROM z WHERE rn = 1"
+                z="SELECT *, row_number() OVER (PARTITION BY key ORDER BY sse, s) AS rn FROM e") + f"SELECT k.key, {r('a', 4)} AS a, {r('b', 4)} AS b, {r('c')} AS c, {r('sqrt(sse)', 2)} AS root_sse, CASE WHEN sse IS NULL THEN 'no fit on any level' END AS reason FROM (SELECT DISTINCT key FROM yearly) k LEFT JOIN z ON z.key = k.key AND rn = 1 AND sse IS NOT NULL"
 
 
-def _curve(df):
-    return tidy(df.withColumn("root_sse", F.sqrt("sse")), key="bigint", a=4, b=4, c=6, root_sse=2)
+def _curve(spark, sf, curve):
+    s = yearly(spark, sf)
+    fits = fc.every_key(fc.fit_curves(s, curve), s, "sse", "no fit on any level")
+    return tidy(fits.withColumn("root_sse", F.sqrt("sse")), key="bigint", a=4, b=4, c=6, root_sse=2, reason="string")
 
 
 @query("k08_gompertz_fit", _curve_sql("ln(-ln(value / a))", "p.a * exp(-p.b * exp(-p.c * t))", "exp(i)", "-k"))
 def _(spark, sf):
-    return _curve(fc.fit_curves(yearly(spark, sf), "gompertz"))
+    return _curve(spark, sf, "gompertz")
 
 
 @query("k09_logistic_fit", _curve_sql("ln(value / (a - value))", "p.a / (1 + exp(-p.c * (t - p.b)))", "-i / nullif(k, 0)", "k"))
 def _(spark, sf):
-    return _curve(fc.fit_curves(yearly(spark, sf), "logistic"))
+    return _curve(spark, sf, "logistic")
 
 
 @query("k09_substitution", ctes("facts", y="SELECT id AS key, returned AS f, row_number() OVER (PARTITION BY id ORDER BY year) - 1 AS t FROM facts",
                                 l="SELECT key, regr_slope(ln(f / (1 - f)), t) AS b, regr_intercept(ln(f / (1 - f)), t) AS a FROM y WHERE f > 0 AND f < 1 GROUP BY 1") +
-       f"SELECT key, {r('a')} AS a, {r('b')} AS b FROM l")
+       f"SELECT k.key, {r('CASE WHEN b IS NOT NULL THEN a END')} AS a, {r('b')} AS b, CASE WHEN b IS NULL THEN 'fewer than two shares between 0 and 1' END AS reason FROM (SELECT DISTINCT key FROM y) k LEFT JOIN l USING (key)")
 def _(spark, sf):
     s = facts(spark, sf).select(F.col("id").alias("key"), F.make_date("year", F.lit(1), F.lit(1)).alias("date"), F.col("returned").alias("value"))
-    return tidy(fc.fit_substitution(s).where("b is not null"), key="bigint", a=6, b=6)
+    return tidy(fc.every_key(fc.fit_substitution(s).where("b is not null"), s, "b", "fewer than two shares between 0 and 1"), key="bigint", a=6, b=6, reason="string")
 
 
 @query("k10_exponential_trend", ctes("lines", x=_LX) + _out("exp(ll + rate * x)", _Z, "x"))
@@ -274,7 +289,7 @@ def _(spark, sf):
 
 @query("k12_boosted_trees")
 def _(spark, sf):
-    return fc.pooled(monthly(spark, sf), 3, learner="boosted", rounds=5)
+    return fc.complete(fc.pooled(monthly(spark, sf), 3, learner="boosted", rounds=10), "pooled", monthly(spark, sf), 3)
 
 
 SQL["hier"] = """SELECT h.market, h.id, h.year, h.value / lag(h.value) OVER (PARTITION BY h.market, h.id ORDER BY h.year) - 1 AS g, coalesce(m.region, 'Others') AS region, (h.id % 3)::INTEGER AS tier

@@ -35,6 +35,31 @@ class Roles:
 DEFAULT = Roles()
 
 
+def setting(config: dict, path: str, default=None):
+    """The value at a dotted path of a nested configuration, or ``default`` where a part of the path is missing."""
+    value = config
+    for part in path.split("."):
+        if not isinstance(value, dict) or part not in value:
+            return default
+        value = value[part]
+    return value
+
+
+def with_setting(config: dict, path: str, value) -> dict:
+    """A copy of the configuration with the value set at a dotted path; levels that are missing, or are no level, are made."""
+    first, _, rest = path.partition(".")
+    inner = config.get(first)
+    return {**config, first: with_setting(inner if isinstance(inner, dict) else {}, rest, value) if rest else value}
+
+
+def roles_from(config: dict, source: str) -> Roles:
+    """Roles of a table whose columns are named by ``column_mapping.<source>`` (role to column); ``by`` may be one name or a list."""
+    named = setting(config, f"column_mapping.{source}", {})
+    known = {r: named[r] for r in ("id", "name", "year", "value", "type") if r in named}
+    by = named.get("by")
+    return DEFAULT.with_(**known, **({} if by is None else {"by": (by,) if isinstance(by, str) else tuple(by)}))
+
+
 # Growth multiplier bounds by phase, and their adjustment by tier.
 PHASE_BOUNDS = {
     "emerging": (0.01, 50.0),

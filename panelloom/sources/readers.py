@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from panelloom.roles import DEFAULT, Roles
+from panelloom.roles import DEFAULT, Roles, setting
 
 # Names that are taken for a role when matched exactly, and the fragment that matches anywhere.
 SYNONYMS = {
@@ -143,3 +143,21 @@ def latest_slice(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     if not roles.by:
         last = F.broadcast(last)
     return df.join(last, [*roles.by, roles.year], "left_semi")
+
+
+def mapped(df: DataFrame, config: dict, source: str) -> DataFrame:
+    """The table with its columns renamed by ``column_mapping.<source>`` (logical to actual name, found at any letter case); the others keep their names.
+
+    Only renames, so no column is read that the query does not use. A logical column whose actual one is missing raises, with the names that the table has; so does a
+    column that is mapped twice, or a logical name that an unmapped column already has.
+    """
+    found = {c.lower(): c for c in df.columns}
+    names = {k: v for k, v in setting(config, f"column_mapping.{source}", {}).items() if isinstance(v, str)}
+    missing = [f"{k}: {v}" for k, v in names.items() if v.lower() not in found]
+    if missing:
+        raise ValueError(f"no column for {', '.join(missing)}; the table has {', '.join(df.columns)}")
+    logical = {found[v.lower()]: k for k, v in names.items()}
+    renamed = [logical.get(c, c) for c in df.columns]
+    if len(logical) < len(names) or len({c.lower() for c in renamed}) < len(renamed):
+        raise ValueError(f"{source}: two columns for one name in {', '.join(renamed)}")
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, renamed)])

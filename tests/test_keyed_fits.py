@@ -199,3 +199,39 @@ def test_rolling_effects_against_loops(spark, confounders):
             r = got[k, MONTH[i]]
             assert r.effect == pytest.approx(t @ y / (t @ t), rel=1e-5) and r.correlation == pytest.approx(t @ y / math.sqrt((t @ t) * (y @ y)), rel=1e-5)
             assert 0 <= r.p_value <= 1 and (k < 2 or r.p_value < 1e-6)
+
+
+def test_every_key_and_step_of_sparse_series(spark):
+    """Keys of one row, with gaps, constant, at most a season long: every model has every step of each, and says where it could not."""
+    from panelloom.operators import forecast as fc
+
+    rows = [(1, MONTH[0], 5.0), (2, MONTH[0], 1.0), (2, MONTH[7], 4.0), (3, MONTH[3], 2.0), (3, MONTH[4], 2.0), (3, MONTH[5], 2.0)]
+    rows += [(4, MONTH[t], float(t + 1)) for t in range(40) if t % 3] + [(5, MONTH[t], 10.0 + t % 12) for t in range(30)]
+    sparse = spark.createDataFrame(rows, "key long, date date, value double")
+    tables = {"smoothing": fc.complete(fc.exponential_smoothing(sparse, 4, kind="triple"), "exponential_smoothing", sparse, 4), "naive": fc.complete(fc.seasonal_naive(sparse, 4), "seasonal_naive", sparse, 4),
+              "season": fc.complete(fc.autoregressive(sparse, 4, season=12), "autoregressive", sparse, 4), "pooled": fc.complete(fc.pooled(sparse, 4, learner="ridge"), "pooled", sparse, 4),
+              "chosen": kf.autoregression(sparse, 4), "keyed": kf.keyed_regression(sparse, 4, kind="ridge")}
+    for name, table in tables.items():
+        got = table.collect()
+        assert sorted((r.key, r.horizon) for r in got) == [(k, h) for k in range(1, 6) for h in range(1, 5)], name
+        assert all(r.value is not None for r in got), name
+        if "reason" in table.columns:
+            assert {r.key for r in got if r.reason} >= {1}, name
+    assert fc.fit_bass(sparse).count() == 5 and fc.every_key(fc.fit_curves(sparse, "logistic"), sparse, "sse", "none").count() == 5
+
+
+def test_settings_by_dotted_paths(spark):
+    from panelloom.roles import roles_from, setting, with_setting
+    from panelloom.sources.readers import mapped
+
+    config = {"a": {"b": {"c": 1}}, "column_mapping": {"t": {"id": "K", "value": "v", "by": "m"}}}
+    assert setting(config, "a.b.c") == 1 and setting(config, "a.x.c", 5) == 5 and setting(config, "a.b.c.d", None) is None
+    changed = with_setting(with_setting(config, "a.b.c", 2), "new.level", 3)
+    assert (setting(changed, "a.b.c"), setting(changed, "new.level"), setting(config, "a.b.c")) == (2, 3, 1)
+    assert roles_from(config, "t").entity == ["m", "K"] and roles_from(config, "none") .id == "id"
+    df = spark.createDataFrame([(1, 2.0, "x")], "k long, V double, other string")
+    only = {"column_mapping": {"t": {"id": "K", "value": "v"}}}
+    assert mapped(df, only, "t").columns == ["id", "value", "other"] and mapped(df, only, "unknown").columns == df.columns
+    for bad in ({"id": "absent"}, {"id": "k", "value": "K"}, {"other": "k"}):
+        with pytest.raises(ValueError):
+            mapped(df, {"column_mapping": {"t": bad}}, "t")
