@@ -399,3 +399,38 @@ def test_workers_need_no_copy_of_the_package(folder, tmp_path):
     done = subprocess.run([sys.executable, "-c", ELSEWHERE, repo, str(tmp_path / "shared"), "/root/testdata/sf0.001"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert done.returncode == 0, done.stdout + done.stderr[-3000:]
     assert "pipeline" in done.stdout
+
+
+def test_spam_and_few_rows_do_not_move_the_limits(spark):
+    """A fifth of a hot group and half of a group of four are full of symbols; so is the only row of a group."""
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(400)]
+    rows = []
+    for k in range(600):
+        lang, source = ("en", "hot") if k < 500 else ("en", "few") if k < 504 else ("de", "one") if k == 504 else ("de", "other")
+        spam = k % 5 == 0 if k < 500 else k % 2 == 0 if k < 504 else k == 504
+        own = [rng.choice(words) for _ in range(80)]
+        rows.append((k, " ".join(w + " ##" if spam and i % 2 else w for i, w in enumerate(own)), lang, source, spam))
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, spam boolean")).collect()}
+    assert all(kept[k] != spam for k, *_, spam in rows)
+
+
+def test_slots_follow_the_schedule(spark):
+    """Sorted by slot, every stretch of the copies holds the sources near their shares; each slot of a source takes equally many of its words."""
+    rows = [(i, s, n) for i, (s, n) in enumerate([("a", 30)] * 400 + [("b", 10)] * 1200 + [("c", 50)] * 300 + [("tiny", 1)] * 2)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, n int").select("doc_id", "source", F.expr("repeat('w ', n)").alias("text"))
+    mixed = mixing.mixed_documents(table, bits=12, slot="slot")
+    assert mixed.columns == ["doc_id", "source", "text", "slot"]
+    size = {i: n for i, _, n in rows}
+    copies = sorted((r.slot, r.source, size[r.doc_id]) for r in mixed.collect())
+    total = collections.Counter()
+    for _, s, n in copies:
+        total[s] += n
+    assert total["tiny"] == 6 and all(slot is not None for slot, *_ in copies)
+    for at in (len(copies) // 7, len(copies) // 3, len(copies) // 2):
+        part = collections.Counter()
+        for _, s, n in copies[:at]:
+            part[s] += n
+        assert all(abs(part[s] / sum(part.values()) - total[s] / sum(total.values())) < 0.03 for s in "abc")
+    for r in mixing.mix(table, bits=12).collect():
+        assert (r.first_slot is None) == (r.taken == 0) and (r.taken == 0 or r.first_slot <= r.last_slot)
