@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelloom.functions import scalars as S, stats
+from panelloom.operators import warping
 from panelloom.operators.shares import SHARE, rescale_shares
 from panelloom.roles import DEFAULT, Roles
 
@@ -235,35 +236,8 @@ def impact_level(score: Column | str) -> Column:
 
 
 def warping_similarity(df: DataFrame, key: list[str], order_by: str, x: str, y: str, band: int | None = None) -> DataFrame:
-    """(key…, similarity): 1 - warping distance / (n + m) of min-max scaled series, one Arrow group per entity.
-
-    The recurrence has no relational form; groups are one entity's history, and a band keeps the work linear in its length.
-    """
-    import numpy as np
-    import pandas as pd
-    schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in key) + ", similarity double"
-
-    def scaled(v):
-        return (v - v.min()) / (v.max() - v.min() + 1e-8)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_by)
-        a, b = scaled(pdf[x].to_numpy(float)), scaled(pdf[y].to_numpy(float))
-        n = len(a)
-        prev = np.full(n, np.inf)
-        prev[0] = abs(a[0] - b[0])
-        for i in range(1, n):
-            now = np.full(n, np.inf)
-            lo, hi = max(1, i - band if band else 1), min(n, i + band + 1 if band else n)
-            for j in range(lo, hi):
-                now[j] = abs(a[i] - b[j]) + min(prev[j], now[j - 1], prev[j - 1])
-            prev = now
-        out = {k: [pdf[k].iloc[0]] for k in key}
-        distance = prev[-1]
-        out["similarity"] = [max(-1.0, min(1.0, 1 - distance / (2 * n))) if np.isfinite(distance) else None]
-        return pd.DataFrame(out)
-
-    return df.select(*key, order_by, x, y).dropna().groupBy(*key).applyInPandas(one, schema)
+    """(key…, similarity): 1 - warping distance / (n + m) of min-max scaled series, see ``warping.similarities``; rows with a null are left out."""
+    return warping.similarities(df.select(*key, order_by, x, y).dropna(), key, order_by, x, y, band).select(*key, "similarity")
 
 
 def analysis_record(df: DataFrame, rows_key: list[str]) -> DataFrame:

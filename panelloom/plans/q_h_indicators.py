@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import stats
 from panelloom.functions.session import cut_lineage
-from panelloom.operators import indicators as ind, keyed_fits as kf, shares as sh
-from panelloom.plans.base import INDICATORS, NEEDS, SQL, ctes, facts, history, indicators, monthly, query, r, sql_uniform, table, tidy
+from panelloom.operators import indicators as ind, keyed_fits as kf, shares as sh, warping as wp
+from panelloom.plans.base import INDICATORS, NEEDS, SQL, ctes, facts, history, indicators, money, monthly, query, r, sql_uniform, table, tidy
 from panelloom.plans import q_j_regimes as qj
 
 NAMES = list(INDICATORS)
@@ -44,9 +44,44 @@ def _(spark, sf):
     return tidy(stats.kendall(indicators(spark, sf), ["indicator"], "value", "market_value"), indicator="string", kendall=6)
 
 
-@query("h06_warping_similarity")
+# One step a diagonal; a cell outside the table, or in its first row or column, costs 1e300.
+_SCALED = "list_transform({0}, lambda v: (v - list_min({0})) / (list_max({0}) - list_min({0}) + 1e-8))"
+
+
+def warp_sql(source: str, key: str, order: str, x: str, y: str) -> dict[str, str]:
+    """Steps ``p``, ``s``, ``g`` and ``w`` (key, n, s) of the warping of two columns of a source."""
+    inf = "1e300::DOUBLE"
+    return dict(p=f"SELECT {key}, list({x} ORDER BY {order}) AS a, list({y} ORDER BY {order}) AS b, count(*)::BIGINT AS n FROM {source} GROUP BY ALL",
+                s=f"SELECT {key}, n, {_SCALED.format('a')} AS a, {_SCALED.format('b')} AS b FROM p",
+                g=f"""SELECT {key}, n, a, b, 1::BIGINT AS k, list_transform(range(1, n + 1), lambda i: {inf}) AS one, list_transform(range(1, n + 1), lambda i: CASE WHEN i = 1 THEN abs(a[1] - b[1]) ELSE {inf} END) AS two FROM s
+    UNION ALL SELECT {key}, n, a, b, k + 1, list_transform(range(1, n + 1), lambda i: CASE WHEN i >= 2 AND k + 3 - i BETWEEN 2 AND n THEN abs(a[i] - b[k + 3 - i]) + least(one[i], one[i - 1], two[i - 1]) ELSE {inf} END), one FROM g WHERE k < 2 * (n - 1)""",
+                w=f"SELECT {key}, n, greatest(least(1 - (CASE WHEN n = 1 THEN two[1] ELSE one[n] END) / (2 * n), 1), -1) AS s FROM g WHERE k = greatest(2 * (n - 1), 1)")
+
+
+@query("h06_warping_similarity", ctes("indicators", **warp_sql("indicators", "id, indicator", "year", "value", "market_value")) + f"SELECT id, indicator, {r('s')} AS similarity FROM w")
+def _(spark, sf):
+    return tidy(ind.warping_similarity(indicators(spark, sf), ["id", "indicator"], "year", "value", "market_value"), id="bigint", indicator="string", similarity=6)
+
+
+def months(spark, sf):
+    """(key, date, value, returned): value of a supplier's month and share of its lines that came back."""
+    l = table(spark, sf, "lineitem")
+    return l.groupBy(F.col("l_suppkey").alias("key"), F.trunc("l_shipdate", "month").alias("date")).agg(
+        money("l_extendedprice").alias("value"), (F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1)).cast("double")).alias("returned"))
+
+
+_WARP = ctes(m="""SELECT l_suppkey AS key, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value,
+    CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) / count(*) AS returned FROM lineitem GROUP BY 1, 2""", **warp_sql("m", "key", "date", "value", "returned"))
+
+
+@query("h06_warping_months", _WARP + f"SELECT key, n, {r('s')} AS similarity FROM w")
+def _(spark, sf):
+    return tidy(wp.similarities(months(spark, sf), ["key"], "date", "value", "returned"), key="bigint", n="bigint", similarity=6)
+
+
+@query("h06_warping_at_least", _WARP + f"SELECT key, n, CASE WHEN s >= 0.94 THEN {r('s')} END AS similarity, s < 0.94 AS below FROM w")
 def _(spark, sf):
-    return ind.warping_similarity(indicators(spark, sf), ["id", "indicator"], "year", "value", "market_value", 3)
+    return tidy(wp.similarities(months(spark, sf), ["key"], "date", "value", "returned", at_least=0.94), key="bigint", n="bigint", similarity=6, below="boolean")
 
 
 SQL["lagc"] = " UNION ALL ".join(

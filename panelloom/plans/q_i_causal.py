@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.session import cut_lineage, with_row
 from panelloom.functions.stats import critical_t
-from panelloom.operators import causal as ca, indicators as ind, shares as sh, keyed_fits as kf
+from panelloom.operators import causal as ca, indicators as ind, shares as sh, keyed_fits as kf, synthetic as sy
+from panelloom.roles import Roles
 from panelloom.plans.base import INDICATORS, NEEDS, SQL, ctes, facts, history, indicators, monthly, query, r, tidy
 from panelloom.plans import q_h_indicators as qh, q_j_regimes as qj  # noqa: F401  (blend, mind inputs)
 
+MONTHLY = Roles(id="key", year="date", by=())
 VARS = [*INDICATORS, "market_value"]
 SQL["pairs"] = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS c, count(*) AS n FROM facts" for i, a in enumerate(VARS) for b in VARS[i + 1:])
 NEEDS["pairs"] = ("facts",)
@@ -76,6 +78,19 @@ def _(spark, sf):
     return tidy(ca.synthetic_control(history(spark, sf), 1, 1998)["path"], market="string", year="int", treated=2, synthetic=2)
 
 
+@query("i07_fitted_control")
+def _(spark, sf):
+    return tidy(sy.fitted_control(history(spark, sf), 1, 1998)["effect"], market="string", average_effect=2, cumulative_effect=2, pre_r2=4)
+
+
+@query("i07_fitted_months")
+def _(spark, sf):
+    months = monthly(spark, sf)
+    middle = months.where("key = 1").agg(F.percentile(F.unix_date("date"), F.lit(0.75)).alias("d")).first()["d"]
+    start = F.date_from_unix_date(F.lit(int(middle or 0)))
+    return tidy(sy.fitted_control(months, 1, start, MONTHLY)["path"], date="date", treated=2, synthetic=2, effect=2)
+
+
 def wide(spark, sf):
     return monthly(spark, sf).join(qj.mind(spark, sf).groupBy("key", "date").pivot("indicator", list(INDICATORS)).agg(F.first("value")), ["key", "date"])
 

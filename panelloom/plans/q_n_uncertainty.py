@@ -1,9 +1,11 @@
 """Uncertainty over result tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from panelloom.functions.session import cut_lineage, with_row
-from panelloom.operators import ensemble as en, indicators as ind, shares as sh, uncertainty as un
+from panelloom.functions.session import cut_lineage, run_folder, with_row
+from panelloom.operators import ensemble as en, indicators as ind, shares as sh, sketches as sk, uncertainty as un
 from panelloom.sources.readers import latest_slice
 from panelloom.plans.base import DRAWS, NEEDS, SQL, ctes, facts, history, indicators, monthly, query, r, scenarios, sql_uniform, tidy
 from panelloom.plans import q_l_ensemble as ql
@@ -24,6 +26,25 @@ def _(spark, sf):
     return tidy(un.bands(scenarios(spark, sf)), market="string", id="bigint", year="int", p5=4, p25=4, p50=4, p75=4, p95=4, mean=4, std=4)
 
 
+@query("n01_stored_sketches", ctes("scenarios") + "SELECT market, id, year, count(*)::BIGINT AS n, " + ", ".join(f"{r(f'quantile_disc(value, {p / 100})', 4)} AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM scenarios GROUP BY 1, 2, 3")
+def _(spark, sf):
+    """The draws come in two lots; each lot's sketches are stored, then merged."""
+    keys, draws = ["market", "id", "year"], scenarios(spark, sf)
+    path = f"{run_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    for lot in (0, 1):
+        sk.store(draws.where(F.col("scenario_id") % 2 == lot), keys, path, lot)
+    return tidy(sk.bands(sk.stored(spark, path, keys), keys), market="string", id="bigint", year="int", n="bigint", p5=4, p25=4, p50=4, p75=4, p95=4)
+
+
+@query("n01_sketch_rank_error", ctes("scenarios") + "SELECT market, year, count(*)::BIGINT AS n, true AS within FROM scenarios GROUP BY 1, 2")
+def _(spark, sf):
+    """Sketches of single entities rolled up to markets, with the rank error over all draws: within 2 % at size 400."""
+    draws = scenarios(spark, sf)
+    fine = sk.sketches(draws, ["market", "id", "year"], size=400)
+    out = sk.rank_errors(cut_lineage(sk.merged(fine, ["market", "year"], 400)), draws, ["market", "year"])
+    return tidy(out.withColumn("within", F.col("rank_error") <= 0.02), market="string", year="int", n="bigint", within="boolean")
+
+
 @query("n02_scenario_statistics", ctes("tot", m="SELECT *, avg(total) OVER (PARTITION BY market, year) AS m FROM tot") + f"""SELECT market, year, count(*)::BIGINT AS scenarios, 1.0::DOUBLE AS success_rate, {r('avg(total)', 3)} AS mean, {r('stddev_pop(total)', 3)} AS std, {r('min(total)', 3)} AS low, {r('max(total)', 3)} AS high,
   {r('avg((total - m) ** 3) / stddev_pop(total) ** 3', 5)} AS skewness, {r('avg((total - m) ** 4) / var_pop(total) ** 2 - 3', 5)} AS kurtosis FROM m GROUP BY 1, 2""")
 def _(spark, sf):
