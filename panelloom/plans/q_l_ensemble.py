@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.session import cut_lineage
 from panelloom.functions.stats import critical_t
-from panelloom.operators import ensemble as en, forecast as fc, regimes as rg
+from panelloom.operators import ensemble as en, forecast as fc, regimes as rg, stacking as st
 from panelloom.plans.base import NEEDS, SQL, ctes, monthly, query, r, sql_uniform, tidy
 from panelloom.plans.q_k_forecast import H, _LX, _STEPS, held
 
@@ -90,6 +90,26 @@ def _(spark, sf):
     return en.stacking(cut_lineage(held_fcs(spark, sf)), monthly(spark, sf), MODELS, 3)
 
 
+_ROLL = ctes("monthly", i="SELECT key, date, value AS v, year(date) * 12 + month(date) - min(year(date) * 12 + month(date)) OVER (PARTITION BY key) AS x FROM monthly",
+             o="""SELECT key, date, x, v, count(*) OVER w AS n, regr_slope(v, x) OVER w AS b, regr_intercept(v, x) OVER w AS a, regr_slope(CASE WHEN v > 0 THEN ln(v) END, x) OVER w AS g, regr_intercept(CASE WHEN v > 0 THEN ln(v) END, x) OVER w AS l,
+    min(v) OVER w AS low, max(v) OVER w AS high FROM i WINDOW w AS (PARTITION BY key ORDER BY x ROWS UNBOUNDED PRECEDING)""",
+             pr=f"""SELECT o.key, o.date AS origin, y.date, h.horizon, greatest(o.a + o.b * (o.x + horizon), 0) AS linear, CASE WHEN o.low > 0 THEN least(exp(least(o.l + o.g * (o.x + horizon), 700)), 10 * o.high) END AS exponential, o.v AS naive, y.v AS actual
+    FROM o CROSS JOIN range(1, {H + 1}) h(horizon) JOIN i y ON y.key = o.key AND y.x = o.x + h.horizon WHERE o.n >= 6""")
+
+
+@query("l04_rolling_errors", _ROLL + f"SELECT key, CAST(horizon AS INTEGER) AS horizon, count(*)::BIGINT AS pairs, " + ", ".join(f"{r(f'sum(abs({m} - actual)) / sum(abs(actual))')} AS {m}" for m in st.MEMBERS) + " FROM pr GROUP BY 1, 2")
+def _(spark, sf):
+    """Sum of absolute errors of each member as a share of the values, by key and step, over all origins."""
+    pairs = st.rolling_pairs(monthly(spark, sf), H)
+    out = pairs.groupBy("key", "horizon").agg(F.count(F.lit(1)).alias("pairs"), *[F.try_divide(F.sum(F.abs(F.col(m) - F.col("actual"))), F.sum(F.abs("actual"))).alias(m) for m in st.MEMBERS])
+    return tidy(out, key="bigint", horizon="int", pairs="bigint", **{m: 6 for m in st.MEMBERS})
+
+
+@query("l04_rolling_stacking")
+def _(spark, sf):
+    return tidy(st.rolling_stacking(monthly(spark, sf), H), key="bigint", date="date", horizon="int", value=4, pairs="bigint", reason="string")
+
+
 @query("l05_boosting", ctes("series", b="SELECT *, month(date) AS m FROM series",
                             r1="SELECT key, regr_slope(value, t) AS b, avg(value) - regr_slope(value, t) * avg(t) AS a FROM b GROUP BY 1", e1="SELECT x.*, value - 0.5 * (a + b * t) AS r1 FROM b x JOIN r1 USING (key)",
                             r2="SELECT key, m, avg(r1) AS c FROM e1 GROUP BY 1, 2", e2="SELECT x.*, r1 - 0.5 * c AS r2 FROM e1 x JOIN r2 USING (key, m)",
