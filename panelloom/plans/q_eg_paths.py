@@ -154,6 +154,35 @@ def _(spark, sf):
     return tr.share_tiers(sh.market_shares(history(spark, sf)))[1]
 
 
+# Least error of the first j distinct shares in k tiers, with the cuts; then the silhouette of each market's partitions.
+_DP = dict(c="SELECT market, CAST(round(market_share / 1e-4) AS BIGINT) AS u, count(*) AS n FROM now GROUP BY ALL",
+           px="SELECT market, row_number() OVER w AS j, u, n, sum(n) OVER w AS cn, sum(n * u::DOUBLE) OVER w AS cs, sum(n * u::DOUBLE * u) OVER w AS cq FROM c WINDOW w AS (PARTITION BY market ORDER BY u)",
+           p0="SELECT market, j, cn, cs, cq FROM px UNION ALL SELECT DISTINCT market, 0, 0, 0, 0 FROM px",
+           co="SELECT a.market, a.j AS i, b.j, greatest(b.cq - a.cq - (b.cs - a.cs) ** 2 / (b.cn - a.cn), 0)::DOUBLE AS v FROM p0 a JOIN p0 b ON a.market = b.market AND a.j < b.j",
+           d1="SELECT market, j, v, [0::BIGINT, j] AS cuts FROM co WHERE i = 0",
+           **{f"d{k}": f"SELECT d.market, co.j, min(d.v + co.v) AS v, arg_min(list_append(d.cuts, co.j), d.v + co.v) AS cuts FROM d{k - 1} d JOIN co ON co.market = d.market AND co.i = d.j GROUP BY 1, 2" for k in range(2, 9)},
+           mx="SELECT market, max(j) AS m FROM px GROUP BY 1",
+           pt=" UNION ALL ".join(f"SELECT market, {k}::INTEGER AS k, v, cuts FROM d{k} JOIN mx USING (market) WHERE j = m" + (" AND m < 3" if k == 1 else "") for k in (1, *range(3, 9))),
+           cl="SELECT market, k, v, k - t.i + 1 AS tier, cuts[t.i] AS lo, cuts[t.i + 1] AS hi FROM pt, range(1, 9) t(i) WHERE t.i <= k",
+           cm="SELECT cl.*, b.cn - a.cn AS n, b.cs - a.cs AS s, b.cq - a.cq AS q FROM cl JOIN p0 a ON a.market = cl.market AND a.j = cl.lo JOIN p0 b ON b.market = cl.market AND b.j = cl.hi",
+           ds="SELECT px.market, px.j, px.n AS w, cm.k, cm.n, j > lo AND j <= hi AS own, greatest(cm.n * px.u::DOUBLE * px.u - 2 * px.u * cm.s + cm.q, 0) AS d FROM px JOIN cm USING (market)",
+           ab="SELECT market, k, j, max(w) AS w, max(n) FILTER (WHERE own) AS n, max(d / greatest(n - 1, 1)) FILTER (WHERE own) AS a, min(d / n) FILTER (WHERE NOT own) AS b FROM ds GROUP BY 1, 2, 3",
+           sl="SELECT market, k, sum(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END * w) / sum(w) AS sil FROM ab WHERE k > 1 GROUP BY 1, 2")
+
+
+@query("g02_exact_partitions", ctes("now", **_DP) + f"SELECT market, k, {r('v * 1e-8', 5)} AS error, {r('sil', 5)} AS silhouette FROM pt LEFT JOIN sl USING (market, k)")
+def _(spark, sf):
+    return tidy(tr.exact_partitions(latest_slice(sh.market_shares(history(spark, sf)))), market="string", k="int", error=5, silhouette=5)
+
+
+@query("d07_exact_tiers", ctes("now", **_DP, bk="SELECT market, arg_max(k, coalesce(sil, -2) - k * 1e-12) AS k FROM pt LEFT JOIN sl USING (market, k) GROUP BY 1",
+                               e="SELECT cm.market, cm.k, cm.tier, cm.n, a.u * 1e-4 AS low, b.u * 1e-4 AS high FROM cm JOIN bk USING (market, k) JOIN px a ON a.market = cm.market AND a.j = lo + 1 JOIN px b ON b.market = cm.market AND b.j = hi") +
+       f"""SELECT market, k, CAST(tier AS INTEGER) AS tier, {r('low', 4)} AS low, {r('high', 4)} AS high, n::BIGINT AS entities,
+  {r('CASE WHEN tier = 1 THEN low WHEN tier = k THEN greatest(low * 0.3, 0.01) ELSE sqrt(low * lead(high) OVER (PARTITION BY market ORDER BY tier)) END', 5)} AS threshold FROM e""")
+def _(spark, sf):
+    return tidy(tr.exact_tiers(latest_slice(sh.market_shares(history(spark, sf)))), market="string", k="int", tier="int", low=4, high=4, entities="bigint", threshold=5)
+
+
 @query("g01_cluster_tiers")
 def _(spark, sf):
     d = cut_lineage(_latest(spark, sf).drop("tier"))
