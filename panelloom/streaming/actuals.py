@@ -32,15 +32,32 @@ def windowed_accuracy(actuals: DataFrame, forecasts: DataFrame, key: str, by: li
             .select(F.col("_w.start").alias("window_start"), *by, "n", "mae", "rmse", "bias"))
 
 
-def read_stream(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+def read_stream(spark: SparkSession, folder: str, glob: str, files: int | None = None) -> DataFrame:
+    """Stream of the Parquet files of ``folder``, at most ``files`` new ones a batch."""
     schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(folder)
 
 
-def run_available(stream: DataFrame) -> DataFrame:
-    """Process everything available now into a Parquet sink of the shared folder and read it back."""
-    base = f"{run_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    query = (stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-             .trigger(availableNow=True).start())
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_available(stream: DataFrame, base: str | None = None, keyed_state: bool = False) -> DataFrame:
+    """Process everything available now into a Parquet sink of the shared folder and read it back.
+
+    With the ``base`` of an earlier run it goes on from that run's offsets and state. ``keyed_state`` asks for the store
+    that arbitrary state needs; a running query keeps its own settings, so the session's is put back at once.
+    """
+    spark = stream.sparkSession
+    base = base or f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
+    before = spark.conf.get(_STORE)
+    if keyed_state:
+        spark.conf.set(_STORE, _ROCKS)
+    try:
+        query = (stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+                 .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(_STORE, before)
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
