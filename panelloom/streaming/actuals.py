@@ -39,8 +39,10 @@ def read_stream(spark: SparkSession, folder: str, glob: str, files: int | None =
     return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(folder)
 
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PREFIX = "spark.sql.streaming.stateStore"
+# Stores are many and small: space is not reserved ahead, and a batch writes its changes instead of a whole copy.
+_KEYED = {f"{_PREFIX}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+          f"{_PREFIX}.rocksdb.allowFAllocate": "false", f"{_PREFIX}.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 def run_available(stream: DataFrame, base: str | None = None, keyed_state: bool = False) -> DataFrame:
@@ -51,13 +53,18 @@ def run_available(stream: DataFrame, base: str | None = None, keyed_state: bool
     """
     spark = stream.sparkSession
     base = base or f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
-    before = spark.conf.get(_STORE)
-    if keyed_state:
-        spark.conf.set(_STORE, _ROCKS)
+    settings = _KEYED if keyed_state else {}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         query = (stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
                  .trigger(availableNow=True).start())
     finally:
-        spark.conf.set(_STORE, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
