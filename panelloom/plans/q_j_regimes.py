@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from panelloom.functions.session import cut_lineage
+from panelloom.functions.session import cut_lineage, dealt
 from panelloom.functions.stats import critical_t
 from panelloom.operators import regimes as rg
 from panelloom.plans.base import INDICATORS, NEEDS, SQL, ctes, money, monthly, query, r, table, tidy
 from panelloom.plans import q_l_ensemble as ql
+from panelloom.plans.q_k_forecast import months
 
 WIN = 12
 KD = dict(key="bigint", date="date")
@@ -196,8 +197,9 @@ def _(spark, sf):
        f"SELECT key, model, CASE WHEN c < 0.3 THEN 'low' WHEN c > 0.5 THEN 'high' ELSE 'medium' END AS state, {r('x / sum(x) OVER (PARTITION BY key)')} AS tilted FROM t")
 def _(spark, sf):
     from panelloom.operators import ensemble as en
-    w = en.weights(cut_lineage(ql.perf(spark, sf)))
-    return tidy(rg.tilt_weights(w, rg.volatility_profile(monthly(spark, sf)), 0.3, 0.5), key="bigint", model="string", state="string", tilted=6)
+    series = months(spark, sf)
+    w = en.weights(dealt(cut_lineage(ql.perf(series)), "key"))
+    return tidy(rg.tilt_weights(w, rg.volatility_profile(series), 0.3, 0.5), key="bigint", model="string", state="string", tilted=6)
 
 
 @query("j13_recommendations", ctes("cond") + f"""SELECT key, CASE WHEN vol > 0.1 THEN 'volatility_aware' ELSE 'weighted' END AS ensemble_type, CASE WHEN pred < 0.3 THEN 'diversified' WHEN vol > 0.08 THEN 'adaptive' ELSE 'performance' END AS optimization_method,

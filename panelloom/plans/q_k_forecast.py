@@ -1,7 +1,8 @@
 """Forecasters."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from panelloom.functions.session import cut_lineage, dealt
 from panelloom.operators import forecast as fc, keyed_fits as kf, shares as sh
 from panelloom.sources.readers import latest_slice
 from panelloom.plans.base import NEEDS, SQL, ctes, facts, history, mapping, monthly, query, r, tidy, trade
@@ -10,10 +11,19 @@ H = 6
 OUT = dict(key="bigint", date="date", horizon="int", value=4, lower=4, upper=4)
 
 
-def held(spark, sf):
-    """The series without the last H months of each key, which forecasts are scored on."""
-    s = monthly(spark, sf)
-    return s.join(s.groupBy("key").agg(F.add_months(F.max("date"), -H).alias("origin")), "key").where("date <= origin").drop("origin")
+def months(spark, sf) -> DataFrame:
+    """The monthly series, written once and dealt by key: what is fitted, held out and joined afterwards neither sums line items again nor deals anew."""
+    return dealt(cut_lineage(monthly(spark, sf)), "key")
+
+
+def held(series: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(history, later): the series without the last H months of each key, and these months, which forecasts are scored on.
+
+    No forecast from the history has a row of the series at its date unless that row is a later one.
+    """
+    whole = W.partitionBy("key").orderBy("date").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = series.where("key IS NOT NULL").withColumn("origin", F.add_months(F.max("date").over(whole), -H))
+    return rows.where("date <= origin").drop("origin"), rows.where("date > origin").drop("origin")
 
 
 SQL["series"] = "SELECT *, row_number() OVER (PARTITION BY key ORDER BY date) - 1 AS t, count(*) OVER (PARTITION BY key) AS n FROM monthly"
@@ -340,7 +350,8 @@ def _(spark, sf):
 @query("k15_evaluate", ctes("monthly", "hlines", x=_LX.replace("FROM lines", "FROM hlines"), j="SELECT m.value AS actual, greatest(a + b * x.x, 0) AS forecast FROM x JOIN monthly m ON m.key = x.key AND m.date = x.date") +
        f"SELECT 'linear' AS model, {r('avg(abs(actual - forecast))', 4)} AS mae, {r('avg(abs(actual - forecast) / abs(actual)) * 100')} AS mape, {r('sqrt(avg((actual - forecast) ** 2))', 4)} AS rmse FROM j")
 def _(spark, sf):
-    return tidy(fc.evaluate(fc.linear(held(spark, sf), H), monthly(spark, sf)), model="string", mae=4, mape=6, rmse=4)
+    history, later = held(months(spark, sf))
+    return tidy(fc.evaluate(fc.linear(history, H), later), model="string", mae=4, mape=6, rmse=4)
 
 
 @query("k16_registry_run", ctes("lines", "lastd", x=_LX) + f"""SELECT 'linear' AS model, count(*)::BIGINT AS n, {r('sum(greatest(a + b * x, 0))', 2)} AS total FROM x

@@ -6,7 +6,7 @@ from panelloom.functions.session import cut_lineage
 from panelloom.functions.stats import critical_t
 from panelloom.operators import ensemble as en, forecast as fc, regimes as rg, stacking as st
 from panelloom.plans.base import NEEDS, SQL, ctes, monthly, query, r, sql_uniform, tidy
-from panelloom.plans.q_k_forecast import H, _LX, _STEPS, held
+from panelloom.plans.q_k_forecast import H, _LX, _STEPS, held, months
 
 SQL["fx"] = _LX
 NEEDS["fx"] = ("lines",)
@@ -32,13 +32,14 @@ def fcs(spark, sf):
     return fc.forecast_many(monthly(spark, sf), MODELS, H)
 
 
-def held_fcs(spark, sf):
-    """Forecasts of the last H months of each key from what came before."""
-    return fc.forecast_many(held(spark, sf), MODELS, H)
+def held_fcs(series):
+    """Forecasts of the last H months of each key from what came before, and these months."""
+    history, later = held(series)
+    return fc.forecast_many(history, MODELS, H), later
 
 
-def perf(spark, sf):
-    return en.performance(held_fcs(spark, sf), monthly(spark, sf))
+def perf(series):
+    return en.performance(*held_fcs(series))
 
 
 def _band(center):
@@ -65,7 +66,7 @@ def _(spark, sf):
   UNION ALL SELECT key, model, 'performance', {r('(1 / (1 + mape)) / sum(1 / (1 + mape)) OVER (PARTITION BY key)')} FROM perf UNION ALL SELECT key, model, 'equal', {r('1.0 / 3')} FROM perf
   UNION ALL SELECT key, model, 'custom', {r("CASE model WHEN 'linear' THEN 0.75 WHEN 'naive' THEN 0.25 ELSE 0 END")} FROM perf""")
 def _(spark, sf):
-    p = cut_lineage(perf(spark, sf))
+    p = cut_lineage(perf(months(spark, sf)))
     out = None
     for m in ("inverse_error", "performance", "equal", "custom"):
         d = en.weights(p, m, custom={"linear": 3.0, "naive": 1.0}).select("key", "model", F.lit(m).alias("method"), "weight")
@@ -81,13 +82,14 @@ NEEDS["invw"] = ("perf",)
                                      s="SELECT *, sqrt(avg(greatest(q - m * m, 0)) OVER (PARTITION BY key)) AS s FROM w") +
        _SEL + f"{r('m', 3)} AS value, {r('greatest(m - 1.959963984540054::DOUBLE * s * sqrt(horizon), 0)', 1)} AS lower, {r('m + 1.959963984540054::DOUBLE * s * sqrt(horizon)', 1)} AS upper FROM s")
 def _(spark, sf):
-    f = held_fcs(spark, sf)
-    return tidy(en.weighted(f, en.weights(en.performance(f, monthly(spark, sf)))), key="bigint", date="date", horizon="int", value=3, lower=1, upper=1)
+    f, later = held_fcs(months(spark, sf))
+    return tidy(en.weighted(f, en.weights(en.performance(f, later))), key="bigint", date="date", horizon="int", value=3, lower=1, upper=1)
 
 
 @query("l04_stacking")
 def _(spark, sf):
-    return en.stacking(cut_lineage(held_fcs(spark, sf)), monthly(spark, sf), MODELS, 3)
+    f, later = held_fcs(months(spark, sf))
+    return en.stacking(cut_lineage(f), later, MODELS, 3)
 
 
 _ROLL = ctes("monthly", i="SELECT key, date, value AS v, year(date) * 12 + month(date) - min(year(date) * 12 + month(date)) OVER (PARTITION BY key) AS x FROM monthly",
@@ -163,7 +165,7 @@ NEEDS["cond"] = ("retn", "place")
   SELECT key, model, 'adaptive' AS method, {r('CASE WHEN sum(z) OVER (PARTITION BY key) > 0 THEN z / sum(z) OVER (PARTITION BY key) ELSE 1.0 / 3 END')} AS weight FROM d
   UNION ALL SELECT key, model, 'performance', {r('pw')} FROM n UNION ALL SELECT key, model, 'diversified', {r('0.7 * pw + 0.1')} FROM n""")
 def _(spark, sf):
-    p, c = cut_lineage(perf(spark, sf)), cut_lineage(rg.market_conditions(monthly(spark, sf)))
+    p, c = cut_lineage(perf(months(spark, sf))), cut_lineage(rg.market_conditions(monthly(spark, sf)))
     out = None
     for m in ("adaptive", "performance", "diversified"):
         d = en.optimize(p, c, m).select("key", "model", F.lit(m).alias("method"), "weight")
@@ -194,5 +196,5 @@ def _(spark, sf):
                                    d="SELECT *, CASE WHEN pred < 0.3 AND hot THEN CASE WHEN raw >= 0.4 THEN 0.4 ELSE raw + x / k END ELSE raw END AS z FROM c") + f"""
   SELECT key, model, 1 AS version, {r('weight')} AS weight FROM invw UNION ALL SELECT key, model, 2, {r('CASE WHEN sum(z) OVER (PARTITION BY key) > 0 THEN z / sum(z) OVER (PARTITION BY key) ELSE 1.0 / 3 END')} FROM d""")
 def _(spark, sf):
-    p = cut_lineage(perf(spark, sf))
+    p = cut_lineage(perf(months(spark, sf)))
     return tidy(en.adapt(monthly(spark, sf), p, en.weights(p), 2), key="bigint", model="string", version="int", weight=6)
