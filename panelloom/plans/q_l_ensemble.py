@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelloom.functions.session import cut_lineage
+from panelloom.functions.session import cut_lineage, dealt
 from panelloom.functions.stats import critical_t
 from panelloom.operators import ensemble as en, forecast as fc, regimes as rg, stacking as st
 from panelloom.plans.base import NEEDS, SQL, ctes, monthly, query, r, sql_uniform, tidy
@@ -66,7 +66,7 @@ def _(spark, sf):
   UNION ALL SELECT key, model, 'performance', {r('(1 / (1 + mape)) / sum(1 / (1 + mape)) OVER (PARTITION BY key)')} FROM perf UNION ALL SELECT key, model, 'equal', {r('1.0 / 3')} FROM perf
   UNION ALL SELECT key, model, 'custom', {r("CASE model WHEN 'linear' THEN 0.75 WHEN 'naive' THEN 0.25 ELSE 0 END")} FROM perf""")
 def _(spark, sf):
-    p = cut_lineage(perf(months(spark, sf)))
+    p = dealt(cut_lineage(perf(months(spark, sf))), "key")
     out = None
     for m in ("inverse_error", "performance", "equal", "custom"):
         d = en.weights(p, m, custom={"linear": 3.0, "naive": 1.0}).select("key", "model", F.lit(m).alias("method"), "weight")

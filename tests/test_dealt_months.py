@@ -56,7 +56,7 @@ def test_scores_on_later_months_equal_scores_on_all_months(series):
     assert rows(now) == rows(old.select(*now.columns)) and now.count() > 0
 
 
-@pytest.mark.parametrize("name", ["j13_weight_tilt"])
+@pytest.mark.parametrize("name", ["j13_weight_tilt", "l02_ensemble_weights"])
 def test_line_items_are_summed_once(spark, tmp_path, monkeypatch, name):
     """What is fitted and joined reads the written months; the rows of the result come from bounded parts."""
     monkeypatch.setattr(session, "PART_ROWS", 100)
