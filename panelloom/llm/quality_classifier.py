@@ -20,6 +20,8 @@ CHARACTER_GRAMS = (3, 4, 5)
 #: Passes over the sample, and more on small samples, until so many texts have been shown.
 EPOCHS, LEAST_STEPS = 5, 12_000
 RATE = 0.25
+#: Features of training texts that are packed together.
+PACK = 1 << 18
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
 
@@ -76,6 +78,41 @@ class Model:
         return np.concatenate(out)
 
 
+class Bags:
+    """Features of training texts: the distinct buckets of each, ascending, and how often it has them.
+
+    The driver holds all bags of a sample while it learns, so each feature takes two bytes for the lower part of its bucket and one for its count (more if a count of
+    its pack needs more); buckets from 65536 on are marked by where they begin. Packs are single arrays, which go back to the system as a whole.
+    """
+
+    def __init__(self, texts: list[str]) -> None:
+        self.packs: list[tuple[np.ndarray, np.ndarray]] = []
+        #: of each text: its pack, where it begins, where its upper buckets begin and where it ends
+        self.places: list[tuple[int, int, int, int]] = []
+        open_ids, open_counts, size = [], [], 0
+        for n, t in enumerate(texts, 1):
+            ids, counts = np.unique(np.concatenate([b for b, _ in feature_buckets([t])]), return_counts=True)
+            self.places.append((len(self.packs), size, size + int(np.searchsorted(ids, 1 << 16)), size + len(ids)))
+            open_ids.append(ids.astype(np.uint16))
+            open_counts.append(counts.astype(np.uint32))
+            size += len(ids)
+            if size >= PACK or n == len(texts):
+                every = np.concatenate(open_counts)
+                self.packs.append((np.concatenate(open_ids), every.astype(np.min_scalar_type(every.max(initial=0)))))
+                open_ids, open_counts, size = [], [], 0
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of text ``k``, and the share of each in the text's features."""
+        pack, first, upper, stop = self.places[k]
+        ids, counts = (x[first:stop] for x in self.packs[pack])
+        ids = ids.astype(np.int64)
+        ids[upper - first:] += 1 << 16
+        return ids, (counts / max(counts.sum(dtype=np.int64), 1)).astype(np.float32)
+
+
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Stochastic gradient descent on the softmax loss: the vectors of all buckets and the output layer are learned together.
 
@@ -83,12 +120,11 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """
     if len(set(labels)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 20.0 * (2 * labels[0] - 1) if labels else 0.0)
-    bags = []
-    for t in texts:
-        ids, counts = np.unique(np.concatenate([b for b, _ in feature_buckets([t])]), return_counts=True)
-        bags.append((ids, (counts / max(counts.sum(), 1)).astype(np.float32)))
+    bags = Bags(texts)
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1.0 / DIMENSIONS, 1.0 / DIMENSIONS, (1 << BITS, DIMENSIONS)).astype(np.float32)
+    vectors = np.empty((1 << BITS, DIMENSIONS), np.float32)
+    for own in np.split(vectors, 32):  # the draws are float64, twice the size
+        own[:] = rng.uniform(-1.0 / DIMENSIONS, 1.0 / DIMENSIONS, own.shape)
     output, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
     epochs, done = max(EPOCHS, LEAST_STEPS // len(bags)), 0
     steps = epochs * len(bags)

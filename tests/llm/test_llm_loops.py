@@ -2,8 +2,10 @@
 
 import math
 import re
+import tracemalloc
 
 import duckdb
+import numpy as np
 import pytest
 
 from panelloom.llm import langid, quality_classifier, textnum, toxicity
@@ -109,3 +111,40 @@ def test_language_against_loops(spark):
         second = sorted(sizes.values())[1]
         assert got[d].lang_pred == best and got[d].rejected == (second - sizes[best] < langid.MARGIN * sizes[best])
         assert got[d].score == pytest.approx(1 / sum(math.exp(-langid.NATS * min(s - sizes[best], 200)) for s in sizes.values()))
+
+
+def some_texts(n, words, seed=3):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"{chr(97 + k % 26)}{k:x}" for k in rng.integers(0, 1 << 20, words)) for _ in range(n)]
+
+
+def test_packed_features_are_the_features(monkeypatch):
+    own = [*EXTRA, *some_texts(20, 400), "a " * 700, "a b " * 40_000, "", *some_texts(5, 9)]
+    for pack in (1, 1000, quality_classifier.PACK):
+        monkeypatch.setattr(quality_classifier, "PACK", pack)
+        bags = quality_classifier.Bags(own)
+        assert len(bags) == len(own)
+        for k, text in enumerate(own):
+            ids, counts = np.unique(np.concatenate([b for b, _ in quality_classifier.feature_buckets([text])]), return_counts=True)
+            got, weight = bags[k]
+            assert got.tolist() == ids.tolist()
+            assert weight.tolist() == (counts / max(counts.sum(), 1)).astype(np.float32).tolist()
+    assert max(i for k in range(len(own)) for i in bags[k][0].tolist()) >= 1 << 16
+    assert len(quality_classifier.Bags(["", ""])) == 2 and quality_classifier.Bags(["", ""])[1][0].size == 0
+
+
+def test_fit_holds_few_bytes_a_feature(monkeypatch):
+    """The driver holds the features of the whole sample: 300 texts of 1,000 words have over two million."""
+    monkeypatch.setattr(quality_classifier, "EPOCHS", 1)
+    monkeypatch.setattr(quality_classifier, "LEAST_STEPS", 1)
+    own = some_texts(300, 1000)
+    features = sum(len(np.unique(np.concatenate([b for b, _ in quality_classifier.feature_buckets([t])]))) for t in own)
+    assert features > 2_000_000
+    tracemalloc.start()
+    try:
+        quality_classifier.fit(own, [k % 2 for k in range(len(own))])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    table = (1 << quality_classifier.BITS) * quality_classifier.DIMENSIONS * 4
+    assert peak < 4 * features + table + 6_000_000
