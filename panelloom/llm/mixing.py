@@ -76,7 +76,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int
     words; null if it takes none). Null texts and texts without words have size 0 and are never taken; a null source is a source of its own, the last; null ids are ordered first; equal
     rows follow one another and count each on its own. An empty table gives no row. The same input gives the same mix, whatever its partitions. Other columns are not read.
     """
-    known, slots = _places(docs, weights, most_epochs, bits, text, doc_id, source)
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"))
+    known, slots = _places(sized, weights, most_epochs, bits)
     last = F.least(F.col("start") + F.col("size"), F.col("all_taken")) - 1
     ends = known.withColumn("r0", _rank(F.col("start"))).withColumn("r1", F.when(F.col("taken") > 0, _rank(last)))
     for at, name in (("r0", "first_slot"), ("r1", "last_slot")):
@@ -84,11 +85,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int
     return ends.select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
-def _places(docs: DataFrame, weights: tuple[int, ...], most_epochs: int, bits: int, text: str, doc_id: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """Every document's place in its source's sequence with the words that the mix takes of it, and the slots (source, rank, slot)."""
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"))
+def _places(sized: DataFrame, weights: tuple[int, ...], most_epochs: int, bits: int, ties: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Every row's (doc_id, source, size, ...) place in its source's sequence with the words that the mix takes of it, and the slots (source, rank, slot). ``ties`` order rows of like id and size."""
     shuffled = sized.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    placed = running_totals(shuffled, ["order", "doc_id", "size"], {"start": "size"}, ["source"])
+    placed = running_totals(shuffled, ["order", "doc_id", "size", *ties], {"start": "size"}, ["source"])
     targets = cut_lineage(target_weights(placed.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), most_epochs))
     slots = cut_lineage(schedule(targets, bits))
     counts = slots.groupBy("source").agg(F.count("*").alias("slots"))
@@ -107,26 +107,27 @@ def _rank(place: Column) -> Column:
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = MOST_EPOCHS, bits: int = SLOT_BITS, slot: str | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes its words, rounded to whole documents; all columns stay as they are.
+    """The rows of ``docs`` in training order, each as often as the mix takes its words, rounded to whole documents; all columns stay as they are.
 
-    With ``slot`` a column of that name says at which slot of the schedule each copy begins: sorted by it, the copies are in training order. Only the documents at the last cut of a
-    source are taken in part, so rounding moves a source by less than one of its documents. Documents without words are never taken. Equal (doc_id, source, words) rows share what
-    they are taken together. A null source is a source of its own; an empty table gives no row; further columns may have any name.
+    A copy stands at the slot of the schedule at which it begins: the rows are sorted by slot and, inside a slot, along the source's sequence, so every stretch of them holds the sources
+    near their shares. With ``slot`` a column of that name says the slot too. Only the document at the last cut of a source is taken in part, so rounding moves a source by less than one of
+    its documents; a source's first document is taken once at least, so that no source with a target is lost. Documents without words are never taken. Each of several rows with like ids, null
+    ones too, counts on its own; rows of like id, source and size follow one another by a hash of all their columns. A null source is a source of its own; an empty table gives no row;
+    further columns may have any name. The same input gives the same rows in the same order, whatever its partitions.
     """
-    words = F.size(word_array(F.col("text"))).cast("long")
-    own_id, own_source, own_size, copies, starts, copy = free_names(docs, "own_id", "own_source", "own_size", "copies", "starts", "copy")
-    known, slots = _places(docs, weights, most_epochs, bits, "text", "doc_id", "source")
-    length = F.max(F.struct("source_size", "slots", "all_taken"))
-    taken = (known.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies"), F.min("start").alias("start"), length.alias("of"))
-             .where("copies > 0"))
-    if slot is None:
-        passes = taken.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    else:
-        each = taken.select("doc_id", "source", "size", "start", "of.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-        each = each.withColumn("r", _rank(F.least(F.col("start") + (F.col("copy") - 1) * F.col("source_size"), F.col("all_taken") - 1)))
-        passes = (each.alias("e").join(slots.alias("s"), F.col("e.source").eqNullSafe(F.col("s.source")) & (F.col("e.r") == F.col("s.rank")), "left")
-                  .select("e.doc_id", "e.source", "e.size", "e.copy", F.col("s.slot").alias("slot")))
-    extra = [] if slot is None else [F.col(starts).alias(slot)]
-    passes = passes.toDF(own_id, own_source, own_size, copy, *[starts] * (slot is not None))
-    on = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source)) & (words == F.col(own_size))
-    return docs.join(passes, on).select(*docs.columns, *extra)
+    row, size, tie, copied, at, place = free_names(docs, "row", "words", "tie", "copied_row", "at_slot", "place")
+    void = {c for c, kind in docs.dtypes if kind == "void"}  # files hold no such columns
+    # no hash function takes maps and variants
+    hashed = [F.col(c).cast("string") if "map<" in kind or "variant" in kind else F.col(c) for c, kind in docs.dtypes if c not in void]
+    # written, so that a row's number is a fact: rows are found again by it and not by ids, which may repeat or be null
+    held = cut_lineage(docs.drop(*void).select("*", F.monotonically_increasing_id().alias(row), F.size(word_array(F.col("text"))).cast("long").alias(size), F.xxhash64(*hashed).alias(tie)))
+    sized = held.select("doc_id", "source", F.col(size).alias("size"), F.col(tie).alias("tie"), F.col(row).alias("row"))
+    known, slots = _places(sized, weights, most_epochs, bits, ("tie",))
+    copies = F.greatest(F.round(F.col("taken") / F.col("size")), F.when(F.col("start") == 0, F.lit(1.0))).cast("int")
+    each = (known.where("taken > 0").withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+            .withColumn("place", F.col("start") + (F.col("copy") - 1) * F.col("source_size")).withColumn("r", _rank(F.least(F.col("place"), F.col("all_taken") - 1))))
+    passes = (each.alias("e").join(slots.alias("s"), F.col("e.source").eqNullSafe(F.col("s.source")) & (F.col("e.r") == F.col("s.rank")), "left")
+              .select(F.col("e.row").alias(copied), F.col("s.slot").alias(at), F.col("e.place").alias(place)))
+    mixed = held.join(passes, F.col(row) == F.col(copied)).orderBy(at, F.col("source").asc_nulls_last(), place)
+    extra = [] if slot is None else [F.col(at).alias(slot)]
+    return mixed.select(*[F.lit(None).alias(c) if c in void else F.col(c) for c in docs.columns], *extra)
