@@ -111,7 +111,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
 
     A copy stands at the slot of the schedule at which it begins: the rows are sorted by slot and, inside a slot, along the source's sequence, so every stretch of them holds the sources
     near their shares. With ``slot`` a column of that name says the slot too. Only the document at the last cut of a source is taken in part, so rounding moves a source by less than one of
-    its documents; a source's first document is taken once at least, so that no source with a target is lost. Documents without words are never taken. Each of several rows with like ids, null
+    its documents; a source's first document is taken once at least, so that no source with a target of a word or more is lost. Documents without words are never taken. Each of several rows with like ids, null
     ones too, counts on its own; rows of like id, source and size follow one another by a hash of all their columns. A null source is a source of its own; an empty table gives no row;
     further columns may have any name. The same input gives the same rows in the same order, whatever its partitions.
     """
